@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow
+from tidemark.llm.common import extended, map_arrow
 
 #: Matches up to so many bytes are merged directly.
 LEAF = 32
@@ -148,10 +148,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 more.append(pa.array([codec.decode(r) for r in rows], pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, ids, *([decoded] if decoded else [])])
 
-    schema = docs.schema.add(ids, "array<int>")
-    if decoded:
-        schema = schema.add(decoded, "binary")
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, extended(docs.schema, f"`{ids}` array<int>" + (f", `{decoded}` binary" if decoded else "")))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -165,7 +162,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decode
             out = pa.array([codec.decode(r or []) for r in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, decoded])
 
-    return map_arrow(encoded, run, encoded.schema.add(decoded, "binary"))
+    return map_arrow(encoded, run, extended(encoded.schema, f"`{decoded}` binary"))
 
 
 def op8(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Target size of one Arrow slice handled at once inside a Python worker.
 SLICE_BYTES = 8 << 20
@@ -44,7 +45,7 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over slices of at most about ``SLICE_BYTES`` of data each, so that memory stays bounded."""
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,3 +73,8 @@ def text_key(text: Column) -> Column:
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    """A schema with further columns, which are given as DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
