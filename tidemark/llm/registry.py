@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, quality
 from tidemark.llm.common import table
 
 
@@ -17,12 +17,16 @@ def vocabulary() -> tuple[dict[bytes, int], str]:
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op8(table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_byte_bpe,)}
+    return {f.__name__: f for f in (op7_compression_bands, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
