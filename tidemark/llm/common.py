@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,23 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
 def extended(schema: StructType, ddl: str) -> StructType:
     """A schema with further columns, which are given as DDL."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def summed_blocks(parts: DataFrame, width: int) -> np.ndarray:
+    """Sum of vectors of ``width`` int64 that arrive as (block int, counts binary), a block of 1024 at a time.
+
+    Every task sums what it reads, so that no block is gathered; only the sums reach the driver, and ``width`` bounds them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(raw, "int64")
+                sums[block] = sums[block] + counts if block in sums else counts
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
+
+    total = np.zeros(width, "int64")
+    for block, raw in parts.repartition("block").mapInArrow(run, "block int, counts binary").collect():
+        total[block * 1024 : block * 1024 + 1024] += np.frombuffer(raw, "int64")
+    return total
