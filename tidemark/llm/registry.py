@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, langid, quality, toxicity
+from tidemark.llm import bpe, decontaminate, langid, licenses, quality, toxicity
 from tidemark.llm.common import table
 
 
@@ -37,9 +37,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op8(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op9(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op5_decontamination, op6_language_id, op7_compression_bands, op8_byte_bpe)}
+    return {f.__name__: f for f in (op2_toxicity, op5_decontamination, op6_language_id, op7_compression_bands, op8_byte_bpe, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.ORACLE}
+    return {"op5_decontamination": decontaminate.ORACLE, "op9_license_scan": licenses.oracle()}
