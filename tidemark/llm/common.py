@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,6 +44,9 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files of what is now in the shared folder go as soon as nothing refers to them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -99,3 +103,42 @@ def summed_blocks(parts: DataFrame, width: int) -> np.ndarray:
     for block, raw in parts.repartition("block").mapInArrow(run, "block int, counts binary").collect():
         total[block * 1024 : block * 1024 + 1024] += np.frombuffer(raw, "int64")
     return total
+
+
+def cut(docs: DataFrame, text: str = "text", spans: str = "spans", kept: str = "kept", removed: str = "n_removed", runs: str = "n_spans") -> DataFrame:
+    """``docs`` with the UTF-8 bytes of ``text`` outside ``spans`` (array of start and end in bytes, null: none), the bytes removed and their runs."""
+    at_text, at_spans = docs.columns.index(text), docs.columns.index(spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, gone, times = [], [], []
+            for raw, found in zip(as_bytes(batch.column(at_text)), batch.column(at_spans).to_pylist()):
+                raw, parts, end, n, k = raw or b"", [], 0, 0, 0
+                for a, b in sorted((s["start"], s["end"]) for s in found or []):
+                    if a > end or not k:
+                        parts.append(raw[end:a])
+                        k += 1
+                        n += b - a
+                        end = b
+                    elif b > end:
+                        n += b - end
+                        end = b
+                parts.append(raw[end:])
+                out.append(b"".join(parts))
+                gone.append(n)
+                times.append(k)
+            more = [pa.array(out, pa.binary()), pa.array(gone, pa.int64()), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, kept, removed, runs])
+
+    return map_arrow(docs, run, extended(docs.schema, f"`{kept}` binary, `{removed}` long, `{runs}` long"))
+
+
+def with_spans(docs: DataFrame, marks: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the spans of ``marks`` (row_id, row_hash, spans); rows that share id and text share their spans."""
+    same = docs["doc_id"].eqNullSafe(marks["row_id"]) & (row_hash(docs[text]) == marks["row_hash"])
+    return docs.join(marks, same, "left").drop("row_id", "row_hash")
+
+
+def row_hash(text: Column) -> Column:
+    """64-bit hash that tells apart texts under one doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, langid, licenses, quality, toxicity
+from tidemark.llm import bpe, chunks, decontaminate, langid, licenses, quality, toxicity
 from tidemark.llm.common import table
 
 
@@ -17,6 +17,10 @@ def vocabulary() -> tuple[dict[bytes, int], str]:
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +46,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op5_decontamination, op6_language_id, op7_compression_bands, op8_byte_bpe, op9_license_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op5_decontamination, op6_language_id, op7_compression_bands, op8_byte_bpe, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
