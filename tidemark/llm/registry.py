@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chunks, decontaminate, langid, licenses, quality, toxicity
+from tidemark.llm import bpe, chunks, decontaminate, langid, licenses, quality, suffixes, toxicity
 from tidemark.llm.common import table
 
 
@@ -45,8 +45,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.op10(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op5_decontamination, op6_language_id, op7_compression_bands, op8_byte_bpe, op9_license_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op5_decontamination, op6_language_id, op7_compression_bands, op8_byte_bpe, op9_license_scan, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
