@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chunks, decontaminate, langid, licenses, pii, quality, suffixes, toxicity
+from tidemark.llm import bpe, chunks, decontaminate, jaccard, langid, licenses, pii, quality, suffixes, toxicity
 from tidemark.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,8 +58,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_pii_surrogates, op5_decontamination, op6_language_id, op7_compression_bands, op8_byte_bpe, op9_license_scan, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_pii_surrogates, op4_ngram_jaccard_join, op5_decontamination, op6_language_id, op7_compression_bands, op8_byte_bpe, op9_license_scan, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.ORACLE, "op9_license_scan": licenses.oracle()}
+    return {"op4_ngram_jaccard_join": jaccard.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op9_license_scan": licenses.oracle()}
