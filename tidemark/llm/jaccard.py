@@ -150,7 +150,7 @@ def half() -> Column:
 
 def groups_of(docs: DataFrame, frequent: np.ndarray, join: Join, text: str) -> DataFrame:
     """Groups of nodes that share a signature: group and half; equal groups once, large ones as pairs of blocks."""
-    rows = signature_rows(docs, frequent, join, text)
+    rows = staged(signature_rows(docs, frequent, join, text), "signatures")
     ends = rows.groupBy("signature").agg(F.min("half").alias("low"), F.max("half").alias("high"))
     shared = staged(ends.filter("low <> high").select("signature"), "shared-signatures")
     close = staged(rows.join(shared, "signature").distinct(), "close-nodes")
@@ -166,7 +166,7 @@ def groups_of(docs: DataFrame, frequent: np.ndarray, join: Join, text: str) -> D
     return staged(few.unionByName(many), "groups")
 
 
-def forest(nodes: list[tuple[bytes, int, bytes, bytes, list]], join: Join) -> list[tuple[bytes, bytes]]:
+def forest(nodes: list[tuple[bytes, int, bytes, bytes, list]], join: Join) -> list[tuple[bytes, bytes, int]]:
     """Edges between candidates of one group that lie in different components, each component reached once."""
     count = len(nodes)
     size = np.array([r[1] for r in nodes])
@@ -186,24 +186,25 @@ def forest(nodes: list[tuple[bytes, int, bytes, bytes, list]], join: Join) -> li
             if known in place:
                 good &= later != place[known]
         later, apart = later[good], apart[good]
-        for j in later[np.argsort(apart, kind="stable")].tolist():
+        for k in np.argsort(apart, kind="stable").tolist():
+            j = later[k]
             if root[j] != root[i]:
                 root[root == root[j]] = root[i]
-                edges.append((nodes[i][0], nodes[j][0]))
+                edges.append((*sorted((nodes[i][0], nodes[j][0])), int(apart[k])))
     return edges
 
 
 def candidate_edges(groups: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """Distinct edges (a, b) of the groups' forests; ``nodes`` has node, half, n, bits, component and failed."""
+    """Distinct edges (a, b, and how far apart their bitmaps are) of the groups' forests; ``nodes`` has node, half, n, bits, component and failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         group, ready = None, []
 
         def out() -> pa.RecordBatch:
-            pairs = [(min(a, b), max(a, b)) for a, b in ready]
+            made = [pa.array([e[k] for e in ready], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))]
             ready.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays(made, ["a", "b", "apart"])
 
         for batch in batches:
             for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "n", "bits", "component", "failed"))):
@@ -220,39 +221,55 @@ def candidate_edges(groups: DataFrame, nodes: DataFrame, join: Join) -> DataFram
             yield out()
 
     rows = groups.join(nodes, "half").select("group", "node", "n", "bits", "component", "failed")
-    return map_arrow(rows.repartition("group").sortWithinPartitions("group", "node"), run, "a binary, b binary").distinct()
+    return map_arrow(rows.repartition("group").sortWithinPartitions("group", "node"), run, "a binary, b binary, apart int").distinct()
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame, join: Join, text: str) -> DataFrame:
-    """The tokens of the nodes of ``wanted`` (node, rep): node and the packed hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([tokens(raw, join.width).tobytes() for raw in as_bytes(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "tokens"])
-
+def node_texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """One text for each node of ``wanted`` (node, rep). Texts are shorter than their packed tokens."""
     want = wanted.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
     same = docs["doc_id"].eqNullSafe(want["rep_id"]) & (row_hash(docs[text]) == want["rep_hash"])
-    return map_arrow(docs.join(want, same).select("node", text), run, "node binary, tokens binary").dropDuplicates(["node"])
+    return docs.join(want, same).select("node", F.col(text).cast("binary").alias("raw")).dropDuplicates(["node"])
 
 
-def verified(edges: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+def verified(edges: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """``edges`` with whether the exact similarity reaches the wanted one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said = []
             for p, q in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(p, "uint64"), np.frombuffer(q, "uint64")
+                x, y = tokens(p, join.width), tokens(q, join.width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 said.append(100 * both >= join.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(said, pa.bool_())], ["a", "b", "linked"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
+    left = texts.select(F.col("node").alias("a"), F.col("raw").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("raw").alias("right"))
     return map_arrow(edges.join(left, "a").join(right, "b").select("a", "b", "left", "right"), run, "a binary, b binary, linked boolean")
 
 
+def labelled(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """``edges`` between different components, with these as ca and cb."""
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    told = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    told = told.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    return told.filter("ca <> cb")
+
+
+def next_edges(edges: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The edges to verify next: at first the closest one of each node, then the closest one between each two components.
+
+    What they link makes many of the others needless.
+    """
+    edge = F.struct("apart", "a", "b")
+    if found is None:
+        ends = edges.select(F.col("a").alias("end"), edge.alias("edge")).unionByName(edges.select(F.col("b").alias("end"), edge.alias("edge")))
+        best = ends.groupBy("end").agg(F.min("edge").alias("edge"))
+    else:
+        best = labelled(edges, found).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(edge).alias("edge"))
+    return best.select("edge.a", "edge.b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest node reachable from each node of ``links`` (a, b): node and component.
 
@@ -264,13 +281,24 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        lower = staged(lower, "lower-labels")
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
         labels = staged(lower.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
         if labels.filter("was <> component").isEmpty():
             return labels.select("node", "component")
 
 
+def merged(found: DataFrame | None, good: DataFrame) -> DataFrame | None:
+    """Components after the links ``good`` (a, b): those of before, whose graph of components is much smaller than that of nodes."""
+    if good.isEmpty():
+        return found
+    if found is None:
+        return components(good)
+    between = labelled(good, found).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = found.unionByName(moved.select(F.col("component").alias("node"), "component").join(found.select("node"), "node", "left_anti"))
+    return staged(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "merged")
+
+
 def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
     """One row per document: doc_id, row_hash, n_shingles, component_id and rep (the first doc_id and row_hash of the component)."""
     rows = docs.select("doc_id", text)
@@ -282,25 +310,32 @@ def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
     nodes = sized.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"), F.min(row).alias("rep"))
     nodes = staged(nodes.withColumn("half", half()), "nodes")
     groups = groups_of(rows, frequent, join, text)
-    links = failed = found = sets = None
+    failed = found = texts = None
     while True:
         known = nodes.select("node", "half", "n", "bits")
-        if found is None:
-            known = known.select("*", F.col("node").alias("component"), F.array().cast("array<binary>").alias("failed"))
-        else:
+        known = known.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if found is not None else known.withColumn("component", F.col("node"))
+        if failed is not None:
             bad = failed.select(F.col("a").alias("node"), "b").unionByName(failed.select(F.col("b").alias("node"), F.col("a").alias("b"))).groupBy("node").agg(F.collect_set("b").alias("failed"))
-            known = known.join(found, "node", "left").join(bad, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            known = known.join(bad, "node", "left")
+        else:
+            known = known.withColumn("failed", F.array().cast("array<binary>"))
         edges = staged(candidate_edges(groups, known, join), "candidates")
         if edges.isEmpty():
             break
-        if sets is None:
+        if texts is None:
             ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-            sets = staged(node_sets(rows, nodes.join(ends, "node"), join, text), "node-sets")
-        told = staged(verified(edges, sets, join), "verified")
-        good, wrong = told.filter("linked").select("a", "b"), told.filter("not linked").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        failed = wrong if failed is None else failed.unionByName(wrong)
-        found = components(links)
+            texts = staged(node_texts(rows, nodes.join(ends, "node"), text), "node-texts")
+        while True:
+            tried = staged(next_edges(edges, found), "tried")
+            if tried.isEmpty():
+                break
+            told = staged(verified(tried, texts, join), "verified")
+            found = merged(found, told.filter("linked").select("a", "b"))
+            wrong = told.filter("not linked").select("a", "b")
+            failed = wrong if failed is None else failed.unionByName(wrong)
+            edges = edges.join(told.select("a", "b"), ["a", "b"], "left_anti")
+            if found is None:
+                found = nodes.select("node", F.col("node").alias("component")).limit(0)
     named = nodes.select("node", "least_id", "rep", F.col("node").alias("component"))
     if found is not None:
         named = nodes.select("node", "least_id", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
