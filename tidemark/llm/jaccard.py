@@ -7,8 +7,8 @@ are indexed as combinations of two within one of some hashed groups, for which t
 token that stands everywhere makes no candidates by itself.
 
 Sets that share a signature form groups of bounded size (a larger one is dealt into pairs of blocks). Within a group a
-filter on parity bitmaps, which never rejects a true pair, leaves candidates; a spanning forest of these is verified exactly, what is verified is
-merged into components, and groups are searched again for candidates between different components until none is untested. So no link between
+filter on parity bitmaps, which never rejects a true pair, leaves candidates. The closest ones of a spanning forest of these are verified exactly and
+merged into components; then every candidate between different components that is still untested is verified. So no link between
 components is lost, and pairs within a component are not all spelled out.
 
 Defined results: null and empty texts have no shingles, n_shingles 0, and are linked with nothing; fewer words than
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,17 @@ def tokens(raw: bytes | None, width: int) -> np.ndarray:
     return np.unique(x)
 
 
+def parities(x: np.ndarray, join: Join) -> bytes:
+    """A bitmap in which every token flips one bit: two sets differ in as many tokens as their bitmaps do in bits, or more.
+
+    It has two to four bits a token, a power of two and ``join.bits`` at least, so it tells sets of any size apart; its halves laid over each other give
+    the bitmap of half the size.
+    """
+    wide = max(join.bits, 1 << int(2 * len(x) - 1).bit_length()) if len(x) else join.bits
+    odd = np.bincount((x >> np.uint64(20)) & np.uint64(wide - 1), minlength=wide) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def set_rows(docs: DataFrame, join: Join, text: str) -> DataFrame:
     """Rows of documents (doc_id, row_hash, n, node, bits), and of the counts of their tokens (block, counts)."""
 
@@ -81,8 +93,7 @@ def set_rows(docs: DataFrame, join: Join, text: str) -> DataFrame:
                 x = tokens(raw, join.width)
                 sizes.append(len(x))
                 nodes.append(xxhash.xxh3_128_digest(x.tobytes()))
-                odd = np.bincount((x >> np.uint64(40)) % np.uint64(join.bits), minlength=join.bits) & 1
-                bits.append(np.packbits(odd.astype(bool)).tobytes())
+                bits.append(parities(x, join))
                 np.add.at(counts, (x & np.uint64(join.slots - 1)).astype("int64"), 1)
             none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.binary()), *none], names)
@@ -166,36 +177,55 @@ def groups_of(docs: DataFrame, frequent: np.ndarray, join: Join, text: str) -> D
     return staged(few.unionByName(many), "groups")
 
 
-def forest(nodes: list[tuple[bytes, int, bytes, bytes, list]], join: Join) -> list[tuple[bytes, bytes, int]]:
-    """Edges between candidates of one group that lie in different components, each component reached once."""
-    count = len(nodes)
+Node = tuple[bytes, int, bytes, bytes, list | None]
+
+
+def candidate_pairs(nodes: list[Node], join: Join) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each node (node, n, bits, component, failed) of a group: candidates in other components, each pair once, and how far apart they are.
+
+    Bitmaps of twice the size are folded; sizes further apart belong to sets that are too different in size.
+    """
     size = np.array([r[1] for r in nodes])
-    bits = np.frombuffer(b"".join(r[2] for r in nodes), "uint64").reshape(count, -1)
+    wide = np.array([len(r[2]) for r in nodes])
     numbers: dict[bytes, int] = {}
-    root = np.array([numbers.setdefault(r[3], len(numbers)) for r in nodes])
+    component = np.array([numbers.setdefault(r[3], len(numbers)) for r in nodes])
     place = {r[0]: i for i, r in enumerate(nodes)}
-    edges = []
-    for i in range(count - 1):
-        later = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        later = later[100 * np.minimum(size[later], size[i]) >= join.percent * np.maximum(size[later], size[i])]
-        if not len(later):
-            continue
-        apart = np.bitwise_count(bits[later] ^ bits[i]).sum(axis=1)
-        good = apart * (100 + join.percent) <= (size[later] + size[i]) * (100 - join.percent)
-        for known in nodes[i][4] or []:
-            if known in place:
-                good &= later != place[known]
-        later, apart = later[good], apart[good]
+    for w in np.unique(wide).tolist():
+        own, double = np.flatnonzero(wide == w), np.flatnonzero(wide == 2 * w)
+        bits = np.frombuffer(b"".join(nodes[i][2] for i in own), "uint64").reshape(len(own), -1)
+        if len(double):
+            both = np.frombuffer(b"".join(nodes[i][2] for i in double), "uint64").reshape(len(double), 2, -1)
+            bits = np.concatenate((bits, both[:, 0] ^ both[:, 1]))
+        at = np.concatenate((own, double))
+        for k, i in enumerate(own.tolist()):
+            rest = np.arange(k + 1, len(at))
+            other = at[rest]
+            fits = (component[other] != component[i]) & (100 * np.minimum(size[other], size[i]) >= join.percent * np.maximum(size[other], size[i]))
+            for known in nodes[i][4] or []:
+                if known in place:
+                    fits &= other != place[known]
+            rest, other = rest[fits], other[fits]
+            if len(rest):
+                apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(axis=1, dtype="int64")
+                good = apart * (100 + join.percent) <= (size[other] + size[i]) * (100 - join.percent)
+                if good.any():
+                    yield i, other[good], apart[good]
+
+
+def forest(nodes: list[Node], join: Join, every: bool) -> list[tuple[bytes, bytes, int]]:
+    """Edges between candidates of one group: every pair, or a spanning forest that reaches each component once."""
+    root, edges = np.arange(len(nodes)), []
+    for i, other, apart in candidate_pairs(nodes, join):
         for k in np.argsort(apart, kind="stable").tolist():
-            j = later[k]
-            if root[j] != root[i]:
+            j = int(other[k])
+            if every or root[j] != root[i]:
                 root[root == root[j]] = root[i]
                 edges.append((*sorted((nodes[i][0], nodes[j][0])), int(apart[k])))
     return edges
 
 
-def candidate_edges(groups: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """Distinct edges (a, b, and how far apart their bitmaps are) of the groups' forests; ``nodes`` has node, half, n, bits, component and failed."""
+def candidate_edges(groups: DataFrame, nodes: DataFrame, join: Join, every: bool) -> DataFrame:
+    """Distinct edges (a, b, and how far apart their bitmaps are) of the groups' forests, or of all their candidates; ``nodes`` has node, half, n, bits, component and failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -210,13 +240,13 @@ def candidate_edges(groups: DataFrame, nodes: DataFrame, join: Join) -> DataFram
             for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "n", "bits", "component", "failed"))):
                 if g != group:
                     if len(held) > 1:
-                        ready += forest(held, join)
+                        ready += forest(held, join, every)
                     group, held = g, []
                 held.append(tuple(row))
             if len(ready) > 10_000:
                 yield out()
         if len(held) > 1:
-            ready += forest(held, join)
+            ready += forest(held, join, every)
         if ready:
             yield out()
 
@@ -310,32 +340,29 @@ def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
     nodes = sized.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"), F.min(row).alias("rep"))
     nodes = staged(nodes.withColumn("half", half()), "nodes")
     groups = groups_of(rows, frequent, join, text)
-    failed = found = texts = None
-    while True:
-        known = nodes.select("node", "half", "n", "bits")
-        known = known.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if found is not None else known.withColumn("component", F.col("node"))
-        if failed is not None:
-            bad = failed.select(F.col("a").alias("node"), "b").unionByName(failed.select(F.col("b").alias("node"), F.col("a").alias("b"))).groupBy("node").agg(F.collect_set("b").alias("failed"))
-            known = known.join(bad, "node", "left")
-        else:
-            known = known.withColumn("failed", F.array().cast("array<binary>"))
-        edges = staged(candidate_edges(groups, known, join), "candidates")
-        if edges.isEmpty():
-            break
-        if texts is None:
-            ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-            texts = staged(node_texts(rows, nodes.join(ends, "node"), text), "node-texts")
-        while True:
-            tried = staged(next_edges(edges, found), "tried")
-            if tried.isEmpty():
-                break
-            told = staged(verified(tried, texts, join), "verified")
-            found = merged(found, told.filter("linked").select("a", "b"))
-            wrong = told.filter("not linked").select("a", "b")
-            failed = wrong if failed is None else failed.unionByName(wrong)
-            edges = edges.join(told.select("a", "b"), ["a", "b"], "left_anti")
-            if found is None:
-                found = nodes.select("node", F.col("node").alias("component")).limit(0)
+    none = F.array().cast("array<binary>")
+    known = nodes.select("node", "half", "n", "bits", F.col("node").alias("component"), none.alias("failed"))
+    edges = staged(candidate_edges(groups, known, join, every=False), "candidates")
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    texts = staged(node_texts(rows, nodes.join(ends, "node"), text), "node-texts")
+    found, failed = None, []
+
+    def settle(tried: DataFrame) -> None:
+        nonlocal found
+        told = staged(verified(tried, texts, join), "verified")
+        failed.append(told.filter("not linked").select("a", "b"))
+        found = merged(found, told.filter("linked").select("a", "b"))
+
+    # The closest edge of each node, then the closest between components, settle nearly everything; the last step tries all pairs that are left.
+    first = staged(next_edges(edges, None), "tried")
+    settle(first)
+    if found is not None:
+        settle(next_edges(edges.join(first, ["a", "b"], "left_anti"), found))
+    wrong = reduce(DataFrame.unionByName, failed)
+    wrong = wrong.unionByName(wrong.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
+    left = nodes.select("node", "half", "n", "bits").join(ends, "node", "left_semi").join(wrong, "node", "left")
+    left = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if found is not None else left.withColumn("component", F.col("node"))
+    settle(candidate_edges(groups, left, join, every=True).select("a", "b"))
     named = nodes.select("node", "least_id", "rep", F.col("node").alias("component"))
     if found is not None:
         named = nodes.select("node", "least_id", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
