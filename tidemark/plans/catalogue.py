@@ -190,7 +190,7 @@ def b12_future_frame(spark, sf_dir):
     return frames.future_frame(supplier_weeks(spark, sf_dir), HORIZON, "7 days")
 
 
-@query(f"WITH {WEEKLY_SQL}, last AS (SELECT item_id, max(ts) AS t FROM w GROUP BY 1) SELECT item_id, CAST(h AS INTEGER) AS h, 0.5 AS promotion FROM last CROSS JOIN (SELECT unnest(range(1, {HORIZON + 1})) AS h)")
+@query(f"WITH {WEEKLY_SQL}, last AS (SELECT item_id, max(ts) AS t FROM w GROUP BY 1) SELECT item_id, CAST(h AS INTEGER) AS h, CAST(0.5 AS DOUBLE) AS promotion FROM last CROSS JOIN (SELECT unnest(range(1, {HORIZON + 1})) AS h)")
 def b13_override(spark, sf_dir):
     future = frames.future_frame(supplier_weeks(spark, sf_dir), HORIZON, "7 days").withColumn("promotion", F.col("h") * 1.0)
     return frames.override(future, "promotion", 0.5).drop("ts")
