@@ -160,21 +160,27 @@ def half() -> Column:
 
 
 def groups_of(docs: DataFrame, frequent: np.ndarray, join: Join, text: str) -> DataFrame:
-    """Groups of nodes that share a signature: group and half; equal groups once, large ones as pairs of blocks."""
+    """Groups of nodes that share signatures: group and half; what small groups connect as one, large ones as pairs of blocks."""
     rows = staged(signature_rows(docs, frequent, join, text), "signatures")
     ends = rows.groupBy("signature").agg(F.min("half").alias("low"), F.max("half").alias("high"))
     shared = staged(ends.filter("low <> high").select("signature"), "shared-signatures")
     close = staged(rows.join(shared, "signature").distinct(), "close-nodes")
-    sizes = staged(close.groupBy("signature").agg(F.count("*").alias("size")), "signature-sizes")
+    sizes = staged(close.groupBy("signature").agg(F.count("*").alias("size"), F.min("half").alias("low")), "signature-sizes")
     sized = close.join(sizes, "signature")
-    lists = sized.filter(F.col("size") <= join.group).groupBy("signature").agg(F.array_sort(F.collect_set("half")).alias("halves"))
+    # Nodes that any chain of small groups connects are one group, in which each stands once, as long as that stays small too.
+    small = sized.filter(F.col("size") <= join.group)
+    chains = components(small.filter("half <> low").select(F.col("half").alias("a"), F.col("low").alias("b")).distinct())
+    of = staged(chains.join(chains.groupBy("component").agg(F.count("*").alias("nodes")), "component"), "chains")
+    whole = of.filter(F.col("nodes") <= join.group).select(F.xxhash64("component").alias("group"), F.col("node").alias("half"))
+    long = of.filter(F.col("nodes") > join.group).select(F.col("node").alias("half"))
+    lists = small.join(long, "half", "left_semi").groupBy("signature").agg(F.array_sort(F.collect_set("half")).alias("halves"))
     few = lists.select(F.xxhash64("halves").alias("group"), "halves").dropDuplicates(["group", "halves"]).select("group", F.explode("halves").alias("half"))
     blocks = F.ceil(F.col("size") * 2 / join.group).cast("int")
     mine = F.pmod(F.xxhash64("half"), F.col("blocks")).cast("int")
     dealt = sized.filter(F.col("size") > join.group).withColumn("blocks", blocks).withColumn("mine", mine)
     dealt = dealt.select("signature", "half", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     many = dealt.select(F.xxhash64("signature", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "half")
-    return staged(few.unionByName(many), "groups")
+    return staged(whole.unionByName(few).unionByName(many), "groups")
 
 
 Node = tuple[bytes, int, bytes, bytes, list | None]
