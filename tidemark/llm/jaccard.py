@@ -6,7 +6,8 @@ have: these first tokens are the prefix, and each is indexed on its own. Tokens
 are indexed as combinations of two within one of some hashed groups, for which the prefix is extended by one token a group, so a
 token that stands everywhere makes no candidates by itself.
 
-Sets that share a signature form groups of bounded size (a larger one is dealt into pairs of blocks). Within a group a
+Sets that share a signature form groups; groups that have members in common become one while it stays small, and one over a bound is dealt
+into pairs of blocks, so a group is bounded and a set stands in few of them. Within a group a
 filter on parity bitmaps, which never rejects a true pair, leaves candidates. The closest ones of a spanning forest of these are verified exactly and
 merged into components; then every candidate between different components that is still untested is verified. So no link between
 components is lost, and pairs within a component are not all spelled out.
