@@ -189,6 +189,15 @@ def test_op9(spark, odd, empty):
     assert found[4].labels == "" and found[4].first_word is None and found[5].labels == "apache" and found[5].score == 0.95
 
 
+def test_op9_keeps_the_longest_of_equal_priority(spark):
+    rows = [
+        (1, "Licensed under CC BY-NC 4.0."), (2, "Licensed under CC BY-SA 4.0."), (3, "SPDX-License-Identifier: CC-BY-NC-4.0"), (4, "SPDX-License-Identifier: CC-BY-SA-4.0"),
+        (5, "Licensed under CC BY 4.0."), (6, "SPDX-License-Identifier: CC-BY-4.0. Licensed under CC BY-NC 4.0."), (7, "a GNU lesser general public license"),
+    ]
+    found = {r.doc_id: r.labels for r in licenses.op9(texts_of(spark, rows)).collect()}
+    assert found == {1: "cc-by-nc", 2: "cc-by-sa", 3: "cc-by-nc", 4: "cc-by-sa", 5: "cc-by", 6: "cc-by,cc-by-nc", 7: "gpl,lgpl"}
+
+
 def brute_removal(rows):
     count = collections.Counter(t.encode()[k : k + 200] for _, t in rows if t for k in range(len(t.encode()) - 199))
     out = []

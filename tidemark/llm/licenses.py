@@ -2,8 +2,8 @@
 
 A text is lower-cased and reduced to its words. Rules are regular expressions over these words, one for each
 license and each form in which it is named; a rule is tried only where its keyword stands. Detections have a priority,
-and one that lies within the words of a detection of higher priority is suppressed. Besides, plain phrases give base counts and labels, which stay
-whatever the rules find.
+and one that lies within the words of a detection of higher priority, or strictly within those of one of equal priority, is suppressed. Besides, plain
+phrases give base counts and labels, which stay whatever the rules find.
 
 Defined results: null and empty texts have no words, no labels and score 0. Detections of equal priority over the same words all
 stay. Repeated rows get the same result each. Texts are used whole.
@@ -170,7 +170,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     for level in sorted({p for _, p, _, _ in FORMS}):
         higher = F.max(F.when(F.col("priority") > level, F.col("end"))).over(so_far)
         contained = contained | ((F.col("priority") == level) & (higher >= F.col("end")))
-    stay = detections.withColumn("contained", F.coalesce(contained, F.lit(False))).filter(~F.col("contained"))
+    # Of equal priority, a detection strictly within a longer one goes: it begins later and ends no later, or begins there and ends earlier.
+    level_so_far = W.partitionBy("_row", "priority").orderBy("start").rangeBetween(W.unboundedPreceding, -1)
+    contained = F.coalesce(contained, F.lit(False)) | F.coalesce(F.max("end").over(level_so_far) >= F.col("end"), F.lit(False))
+    contained = contained | (F.max("end").over(W.partitionBy("_row", "priority", "start")) > F.col("end"))
+    stay = detections.withColumn("contained", contained).filter(~F.col("contained"))
     per_row = stay.groupBy("_row").agg(F.collect_set("label").alias("found"), F.max("score").alias("rule_score"))
     gated = held.join(per_row, "_row", "left").select(*kept, "n_words", "places", "base", F.coalesce("found", none).alias("found"), F.coalesce("rule_score", F.lit(0.0)).alias("rule_score"))
     return plain.unionByName(gated)
