@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions import errors, metrics
 from tidemark.operators import automl, clean, detect, explain, features, forecast, frames, network, ranges, windows
@@ -23,6 +25,10 @@ def panel(spark, n=200, items=2, gaps=0.1, seed=0):
     return spark.createDataFrame(rows, "item_id int, pos int, x double").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("pos") * 300))
 
 
+def known_schema():
+    return StructType([StructField("item_id", IntegerType()), StructField("pos", IntegerType()), StructField("known", VectorUDT())])
+
+
 def by_item(df, *columns):
     return df.select("item_id", "pos", *columns).toPandas().sort_values(["item_id", "pos"]).reset_index(drop=True)
 
@@ -201,6 +207,24 @@ def test_forecasters(spark):
     assert out["forecast"].filter("q10 > q90").count() == 0
 
 
+def test_direct_tabular_trains_on_every_origin_with_calendar_and_covariates(spark, monkeypatch):
+    fitted_on = []
+    fit = forecast.GBTRegressor.fit
+    monkeypatch.setattr(forecast.GBTRegressor, "fit", lambda self, df: fitted_on.append(df) or fit(self, df))
+    season, n, horizon = 4, 40, 3
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(n)], "pos int, x double").withColumn("item_id", F.lit(1)).withColumn("ts", F.timestamp_seconds(F.col("pos") * 86400))
+    assert forecast.direct_tabular(df, horizon, season).count() == horizon
+    assert fitted_on[0].count() == sum(min(horizon, n - 1 - origin) for origin in range(season, n))
+    one = fitted_on[0].filter("origin = 10 and h = 3").first()
+    assert (one.pos, one.dayofmonth, one.month, one.dayofweek, one.is_weekend) == (13, 14, 1, 2, 0) and set(forecast.CALENDAR) <= set(fitted_on[0].columns)
+    # Noise that only a covariate tells.
+    noise = np.random.default_rng(3).integers(0, 2, n + horizon).tolist()
+    known = spark.createDataFrame([(1, i, Vectors.dense(float(v))) for i, v in enumerate(noise)], known_schema())
+    told = spark.createDataFrame([(i, 10.0 * v) for i, v in enumerate(noise[:n])], "pos int, x double").withColumn("item_id", F.lit(1)).withColumn("ts", F.timestamp_seconds(F.col("pos") * 86400))
+    for made in (forecast.direct_tabular(told, horizon, season, known=known), forecast.recursive_tabular(told, horizon, (1, 2), known=known)):
+        assert [r.mean for r in made.orderBy("h").collect()] == pytest.approx([10.0 * v for v in noise[n:]], abs=1.5)
+
+
 def test_shuffle_keeps_the_values(gappy):
     dealt = errors.shuffled_column(gappy.dropna(), "x", ["item_id"], "pos", 1)
     for item in (0, 1):

@@ -51,18 +51,18 @@ def smoothed(y: np.ndarray, season: int, alpha: float, beta: float, gamma: float
     return error, np.array([level + h * trend + s[(n + h - 1) % season] for h in range(1, horizon + 1)])
 
 
-def per_item(train: DataFrame, horizon: int, fn) -> DataFrame:
-    """``fn`` from the values of an item in order to its forecast; items run in parallel, and an item is one series."""
+def per_item(train: DataFrame, horizon: int, fn, *more: str) -> DataFrame:
+    """``fn`` from the values of an item in order, and what columns of ``more`` hold for the item, to its forecast; items run in parallel, and an item is one series."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos", kind="stable")
         y = group["x"].ffill().bfill().to_numpy("float64")
-        mean = fn(y) if len(y) and not np.isnan(y).any() else np.full(horizon, np.nan)
+        mean = fn(y, *(group[c].iloc[0] for c in more)) if len(y) and not np.isnan(y).any() else np.full(horizon, np.nan)
         h = np.arange(1, horizon + 1)
         return pd.DataFrame({"item_id": group["item_id"].iloc[0], "pos": group["pos"].iloc[-1] + h, "h": h, "mean": mean})
 
     kind = train.schema["item_id"].dataType.simpleString()
-    out = train.select("item_id", "pos", "x").groupBy("item_id").applyInPandas(run, f"item_id {kind}, pos int, h int, mean double")
+    out = train.select("item_id", "pos", "x", *more).groupBy("item_id").applyInPandas(run, f"item_id {kind}, pos int, h int, mean double")
     return out.withColumn("mean", F.when(~F.isnan("mean"), F.col("mean")))
 
 
@@ -89,43 +89,62 @@ def theta(train: DataFrame, horizon: int, season: int = 1, alpha: float = 0.3) -
     return per_item(train, horizon, one)
 
 
+#: Calendar fields of the target's time, as ``features.calendar`` names them.
+CALENDAR = ("hour", "minute", "dayofweek", "dayofmonth", "month", "weekofyear", "is_weekend")
+
+
 def direct_rows(df: DataFrame, horizon: int, origins, lags: Sequence[int], season: int) -> DataFrame:
-    """Features at each origin with every step of the horizon, and the value a season before the target; y where it is known."""
+    """Features at each origin with every step of the horizon, the calendar and the value a season before of the target; y where it is known."""
     w = features.series()
-    at = df.withColumns({f"lag_{k}": F.lag("x", k).over(w) for k in lags} | {"roll": F.avg("x").over(w.rowsBetween(-season, 0))})
-    at = at.filter(origins).withColumn("h", steps(horizon)).select("item_id", F.col("pos").alias("origin"), "h", (F.col("pos") + F.col("h")).alias("pos"), *[f"lag_{k}" for k in lags], "roll")
+    seconds = F.col("ts").cast("timestamp").cast("long")
+    at = df.withColumns({f"lag_{k}": F.lag("x", k).over(w) for k in lags} | {"roll": F.avg("x").over(w.rowsBetween(-season, 0)), "_ts": seconds, "_step": seconds - F.lag(seconds).over(w)})
+    at = at.filter(origins).withColumn("h", steps(horizon)).withColumn("_ts", F.timestamp_seconds(F.col("_ts") + F.col("h") * F.col("_step"))).withColumns(features.calendar("_ts"))
+    at = at.select("item_id", F.col("pos").alias("origin"), "h", (F.col("pos") + F.col("h")).alias("pos"), *[f"lag_{k}" for k in lags], "roll", *CALENDAR)
     known = df.select("item_id", "pos", F.col("x").alias("y"))
     before = df.select("item_id", (F.col("pos") + season).alias("pos"), F.col("x").alias("season_before"))
     return at.join(known, ["item_id", "pos"], "left").join(before, ["item_id", "pos"], "left")
 
 
-def direct_tabular(train: DataFrame, horizon: int, season: int, lags: Sequence[int] = (0, 1, 2, 4), stride: int = 13, trees: int = 5, depth: int = 4, seed: int = 42) -> DataFrame:
-    """One boosted regression for all items and steps, on what is known at the forecast's origin."""
+def direct_tabular(
+    train: DataFrame, horizon: int, season: int, lags: Sequence[int] = (0, 1, 2, 4), stride: int = 1, trees: int = 5, depth: int = 4, seed: int = 42, known: DataFrame | None = None
+) -> DataFrame:
+    """One boosted regression for all items and steps, on what is known at the forecast's origin, the calendar, and covariates known for each step.
+
+    Every origin is trained on; a ``stride`` takes each so many. ``known`` is (item_id, pos, known), a vector at every position of history and horizon.
+    """
     last = train.agg(F.max("pos")).first()[0]
-    inputs = [*[f"lag_{k}" for k in lags], "roll", "season_before", "h"]
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
-    rows = direct_rows(train, horizon, (F.pmod(F.lit(last) - F.col("pos"), F.lit(stride)) == 0) & (F.col("pos") >= season), lags, season)
+    inputs = [*[f"lag_{k}" for k in lags], "roll", "season_before", *CALENDAR, "h"]
+    assembler = VectorAssembler(inputCols=inputs + ([] if known is None else ["known"]), outputCol="features", handleInvalid="skip")
+    with_known = lambda df: df if known is None else df.join(known, ["item_id", "pos"])
+    rows = with_known(direct_rows(train, horizon, (F.pmod(F.lit(last) - F.col("pos"), F.lit(stride)) == 0) & (F.col("pos") >= season), lags, season))
     fitted = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="mean", maxIter=trees, maxDepth=depth, seed=seed).fit(assembler.transform(rows.filter("y is not null")))
-    future = direct_rows(train, horizon, F.col("pos") == last, lags, season).drop("y").fillna(0.0, inputs[:-1])
+    future = with_known(direct_rows(train, horizon, F.col("pos") == last, lags, season).drop("y").fillna(0.0, inputs[:-1]))
     return fitted.transform(assembler.transform(future)).select("item_id", "pos", "h", "mean")
 
 
-def recursive_tabular(train: DataFrame, horizon: int, lags: Sequence[int] = (1, 2, 3, 12, 52)) -> DataFrame:
-    """One linear one-step regression fitted by Spark, rolled forward by each item on its own forecasts."""
+def recursive_tabular(train: DataFrame, horizon: int, lags: Sequence[int] = (1, 2, 3, 12, 52), known: DataFrame | None = None) -> DataFrame:
+    """One linear one-step regression fitted by Spark, rolled forward by each item on its own forecasts; ``known`` as in ``direct_tabular``."""
     w = features.series()
     rows = train.withColumns({f"lag_{k}": F.lag("x", k).over(w) for k in lags}).dropna()
     inputs = [f"lag_{k}" for k in lags]
-    assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
-    model = LinearRegression(featuresCol="features", labelCol="x", regParam=0.01).fit(assembled)
-    weights, bias, reach = model.coefficients.toArray(), model.intercept, max(lags)
+    assembler = VectorAssembler(inputCols=inputs + ([] if known is None else ["known"]), outputCol="features")
+    rows = rows if known is None else rows.join(known, ["item_id", "pos"])
+    model = LinearRegression(featuresCol="features", labelCol="x", regParam=0.01).fit(assembler.transform(rows))
+    weights, bias, reach = model.coefficients.toArray()[: len(lags)], model.intercept, max(lags)
 
-    def one(y: np.ndarray) -> np.ndarray:
+    def one(y: np.ndarray, rest: np.ndarray | None = None) -> np.ndarray:
         y = list(y[-reach:]) if len(y) >= reach else [y.mean()] * (reach - len(y)) + list(y)
-        for _ in range(horizon):
-            y.append(float(np.dot(weights, [y[-k] for k in lags]) + bias))
+        for step in range(horizon):
+            y.append(float(np.dot(weights, [y[-k] for k in lags]) + (bias if rest is None else rest[step])))
         return np.array(y[-horizon:])
 
-    return per_item(train, horizon, one)
+    if known is None:
+        return per_item(train, horizon, one)
+    # What covariates and bias add to each step is the model's prediction where all lags are 0.
+    last = train.groupBy("item_id").agg(F.max("pos").alias("_last"))
+    future = known.join(last, "item_id").filter((F.col("pos") > F.col("_last")) & (F.col("pos") <= F.col("_last") + horizon)).withColumns({c: F.lit(0.0) for c in inputs})
+    rest = model.transform(assembler.transform(future)).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "prediction"))).alias("_rest"))
+    return per_item(train.join(rest.withColumn("_rest", F.col("_rest.prediction")), "item_id"), horizon, one, "_rest")
 
 
 def ensemble_weights(wide: DataFrame, models: Sequence[str], rounds: int = 10, y: str = "y") -> DataFrame:
