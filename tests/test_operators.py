@@ -225,6 +225,18 @@ def test_direct_tabular_trains_on_every_origin_with_calendar_and_covariates(spar
         assert [r.mean for r in made.orderBy("h").collect()] == pytest.approx([10.0 * v for v in noise[n:]], abs=1.5)
 
 
+def test_run_single_knows_the_other_series(spark):
+    rng, season, n = np.random.default_rng(5), 4, 120
+    noise = rng.normal(size=n)
+    rows = [(item, i, float(v)) for i in range(n) for item, v in ((1, 10 * noise[i]), (2, noise[i]), (3, rng.normal()))]
+    df = spark.createDataFrame(rows, "item_id int, pos int, x double").withColumn("ts", F.timestamp_seconds(F.col("pos") * 86400))
+    out = forecast.run_single(df, 1, season, season)
+    assert {r.model for r in out["weights"].collect()} == {"SeasonalNaive", "Naive", "ETS", "Theta", "RecursiveTabular", "DirectTabular"}
+    made = {r.pos: r.mean for r in out["models"].filter("model = 'RecursiveTabular'").collect()}
+    assert [made[i] for i in range(n - season, n)] == pytest.approx((10 * noise[n - season :]).tolist(), abs=1.0)
+    assert out["forecast"].count() == season
+
+
 def test_shuffle_keeps_the_values(gappy):
     dealt = errors.shuffled_column(gappy.dropna(), "x", ["item_id"], "pos", 1)
     for item in (0, 1):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -189,11 +190,11 @@ def against_actual(forecast: DataFrame, actual: DataFrame) -> DataFrame:
     return forecast.join(actual.select("item_id", "pos", F.col("x").alias("actual")), ["item_id", "pos"]).select("item_id", "pos", "actual", F.col("mean").alias("predicted"))
 
 
-def families(train: DataFrame, horizon: int, season: int, heavy: bool = True) -> DataFrame:
-    """All families' forecasts as one frame (item_id, pos, h, mean, model)."""
-    made = {"SeasonalNaive": seasonal_naive(train, horizon, season), "Naive": naive(train, horizon), "ETS": ets(train, horizon, season), "Theta": theta(train, horizon, season), "RecursiveTabular": recursive_tabular(train, horizon)}
+def families(train: DataFrame, horizon: int, season: int, heavy: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """All families' forecasts as one frame (item_id, pos, h, mean, model); the tabular ones use ``known``."""
+    made = {"SeasonalNaive": seasonal_naive(train, horizon, season), "Naive": naive(train, horizon), "ETS": ets(train, horizon, season), "Theta": theta(train, horizon, season), "RecursiveTabular": recursive_tabular(train, horizon, known=known)}
     if heavy:
-        made["DirectTabular"] = direct_tabular(train, horizon, season)
+        made["DirectTabular"] = direct_tabular(train, horizon, season, known=known)
     out = None
     for name, df in made.items():
         df = df.select("item_id", F.col("pos").cast("int").alias("pos"), F.col("h").cast("int").alias("h"), "mean", F.lit(name).alias("model"))
@@ -201,20 +202,20 @@ def families(train: DataFrame, horizon: int, season: int, heavy: bool = True) ->
     return out
 
 
-def run_multi(df: DataFrame, horizon: int, season: int, heavy: bool = True, bucket: int = 13) -> dict[str, DataFrame]:
+def run_multi(df: DataFrame, horizon: int, season: int, heavy: bool = True, bucket: int = 13, known: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every item forecast over its last ``horizon`` positions: forecasts with an ensemble and quantiles, weights and the test frame.
 
     Weights and quantiles come from the horizon before, so nothing is chosen on what is tested.
     """
     parts = backtest_windows(df, horizon, 2).persist()
     fit = lambda k, part: parts.filter((F.col("window") == k) & (F.col("part") == part)).select("item_id", "ts", "pos", "x")
-    validation = families(fit(2, "train"), horizon, season, heavy).join(fit(2, "validation").select("item_id", "pos", F.col("x").alias("y")), ["item_id", "pos"]).persist()
+    validation = families(fit(2, "train"), horizon, season, heavy, known).join(fit(2, "validation").select("item_id", "pos", F.col("x").alias("y")), ["item_id", "pos"]).persist()
     models = sorted(r[0] for r in validation.select("model").distinct().collect())
     wide = validation.groupBy("item_id", "pos", "h", "y").pivot("model", models).agg(F.first("mean")).dropna()
     weights = ensemble_weights(wide, models)
     held = weighted(validation.select("item_id", "pos", "model", "mean"), weights).join(wide.select("item_id", "pos", "h", "y"), ["item_id", "pos"])
     residuals = held.select("item_id", "h", (F.col("y") - F.col("mean")).alias("residual"))
-    singles = families(fit(1, "train"), horizon, season, heavy)
+    singles = families(fit(1, "train"), horizon, season, heavy, known)
     steps_of = singles.select("item_id", "pos", "h").distinct()
     together = weighted(singles.select("item_id", "pos", "model", "mean"), weights).join(steps_of, ["item_id", "pos"])
     forecast = with_quantiles(together, residuals, bucket)
@@ -223,8 +224,18 @@ def run_multi(df: DataFrame, horizon: int, season: int, heavy: bool = True, buck
 
 
 def run_single(df: DataFrame, item, horizon: int, season: int, heavy: bool = True) -> dict[str, DataFrame]:
-    """One item forecast as ``run_multi`` does."""
-    return run_multi(df.filter(F.col("item_id") == item), horizon, season, heavy)
+    """One item forecast as ``run_multi`` does, with the other series as covariates that are known for the horizon too."""
+    one, others = df.filter(F.col("item_id") == item), df.filter(F.col("item_id") != item)
+    known = None if others.isEmpty() else side_by_side(one, others)
+    return run_multi(one, horizon, season, heavy, known=known)
+
+
+def side_by_side(one: DataFrame, others: DataFrame) -> DataFrame:
+    """At every position of ``one``, a vector of what the other series hold there, in order of their names; missing values count as 0."""
+    grid = one.select(F.col("item_id").alias("_one"), "pos").join(F.broadcast(others.select("item_id").distinct()))
+    each = grid.join(others.select("item_id", "pos", "x"), ["item_id", "pos"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    held = each.groupBy(F.col("_one").alias("item_id"), "pos").agg(F.array_sort(F.collect_list(F.struct("item_id", "x"))).alias("_all"))
+    return held.select("item_id", "pos", array_to_vector(F.col("_all.x")).alias("known"))
 
 
 def one_of_each(df: DataFrame) -> DataFrame:

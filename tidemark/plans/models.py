@@ -211,12 +211,12 @@ def h9_backtest_windows(spark, sf_dir):
 def h10_run_single(spark, sf_dir):
     df = filled_weeks(spark, sf_dir)
     first = df.agg(F.min("item_id")).first()[0]
-    return forecast.run_single(df, first, HORIZON, YEAR, heavy=False)["forecast"]
+    return forecast.run_single(df, first, HORIZON, YEAR)["forecast"]
 
 
 @query()
 def h11_run_multi(spark, sf_dir):
-    return forecast.run_multi(filled_weeks(spark, sf_dir), HORIZON, YEAR, heavy=False)["forecast"]
+    return forecast.run_multi(filled_weeks(spark, sf_dir), HORIZON, YEAR)["forecast"]
 
 
 @query(f"WITH {FC} SELECT item_id, pos, {r('y', 'actual')}, {r('p', 'predicted')} FROM fc")
