@@ -264,6 +264,16 @@ def test_shapley_adds_up(spark):
     assert explain.shapley_ranking(values).first().variable == "a"
 
 
+def test_every_candidate_is_trained_however_long_it_takes(spark, monkeypatch):
+    clock = iter(1000.0 * i for i in range(1000))
+    monkeypatch.setattr(automl.time, "monotonic", lambda: next(clock))
+    table = automl.assembled(spark.createDataFrame([(float(i), float(i % 3)) for i in range(20)], "y double, a double"), ["a"])
+    models = {k: v for k, v in automl.candidates(trees=1).items() if k in ("GBM_1", "DRF_1")}
+    fitted, times = automl.train(table, models)
+    assert set(fitted) == {"GBM_1", "DRF_1"} and times.count() == 2
+    assert len(automl.train(table, models, budget_s=300.0)[0]) == 1
+
+
 def test_rank_ties(spark):
     df = spark.createDataFrame([("m", "a", 2.0), ("m", "b", 1.0), ("m", "c", 1.0)], "model string, variable string, importance double")
     assert {r.variable: r.rank for r in explain.rank_stability(df).collect()} == {"a": 1.0, "b": 2.5, "c": 2.5}
