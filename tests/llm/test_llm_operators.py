@@ -103,9 +103,9 @@ def brute_components(rows, width, percent):
     return [(d, len(s), d if not s else least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
-@pytest.mark.parametrize("join", [jaccard.Join(), jaccard.Join(often=0, least_often=1, classes=2, small=12, group=4, slots=1 << 16)])
+@pytest.mark.parametrize("join", [jaccard.Join(), jaccard.Join(often=0, least_often=1, hot=2, salts=3, group=4, slots=1 << 16)])
 def test_op4(spark, odd, empty, join):
-    if join.group == 1000:
+    if join.group > 4:
         assert jaccard.op4(empty, join).count() == 0
     rng = random.Random(5)
     rows = list(ODD)

@@ -97,16 +97,21 @@ def test_jaccard_tokens_and_signatures():
     assert len(jaccard.tokens(b"one two", 3)) == 1
     assert jaccard.tokens(b"one TWO", 3).tolist() == jaccard.tokens(b"ONE two", 3).tolist()
     rng = random.Random(7)
-    join = jaccard.Join(slots=1 << 10, small=16, classes=4)
-    frequent = np.array([rng.random() < 0.7 for _ in range(join.slots)])
-    for _ in range(300):
-        n = rng.randint(1, 120)
-        x = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], "uint64"))
-        y = x[np.array([rng.random() > 0.06 for _ in x])]
-        y = np.unique(np.append(y, np.array([rng.getrandbits(64) for _ in range(rng.randint(0, 1 + n // 25))], "uint64")))
-        both = len(np.intersect1d(x, y))
-        if len(y) and 100 * both >= 90 * (len(x) + len(y) - both) and both < max(len(x), len(y)):
-            assert set(jaccard.signatures(x, frequent, join)) & set(jaccard.signatures(y, frequent, join))
+    for percent, wide in ((90, 120), (80, 120), (90, 900), (50, 60)):
+        join = jaccard.Join(percent=percent, slots=1 << 10)
+        classes = np.array([rng.choice([2, 5, 9, 14, 14, 15]) for _ in range(join.slots)], "uint8")
+        linked = 0
+        for _ in range(300):
+            x = np.unique(np.array([rng.getrandbits(64) for _ in range(rng.randint(1, wide))], "uint64"))
+            y = x[np.array([rng.random() > 0.6 * (1 - percent / 100) for _ in x])]
+            y = np.unique(np.append(y, np.array([rng.getrandbits(64) for _ in range(rng.randint(0, 1 + len(x) // 25))], "uint64")))
+            both = len(np.intersect1d(x, y))
+            if len(y) and 100 * both >= percent * (len(x) + len(y) - both) and both < max(len(x), len(y)):
+                linked += 1
+                one, two = (dict(zip(*map(np.ndarray.tolist, jaccard.signatures(z, classes, 13, 15, join)[:2]))) for z in (x, y))
+                close = [s for s in set(one) & set(two) if min(len(x) - one[s], len(y) - two[s]) * (100 + percent) >= percent * (len(x) + len(y))]
+                assert close and jaccard.apart(jaccard.parities(x, join), jaccard.parities(y, join)) <= len(x) + len(y) - 2 * both
+        assert linked > 60
 
 
 def test_decontamination_words_and_runs():

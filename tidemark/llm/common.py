@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Target size of one Arrow slice handled at once inside a Python worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set to a fresh local one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``. A local session without one gets a fresh folder of its own; a cluster must name one that it shares."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
     import tempfile
 
     made = tempfile.mkdtemp(prefix="spark-")
@@ -36,18 +38,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
+def staged(df: DataFrame, what: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives lost executors.
 
-    Files stay until the cluster clears its checkpoint folder.
+    ``discard`` deletes the files when nothing reads them any more; others stay until the cluster clears its checkpoint folder. After a large shuffle ``release``
+    lets Spark's cleaner delete the shuffle's files, which it does when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Shuffle files of what is now in the shared folder go as soon as nothing refers to them.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*done: DataFrame) -> None:
+    """Delete the files of ``staged`` frames that nothing reads any more; other frames are passed over."""
+    for df in done:
+        if path := getattr(df, "staged_path", None):
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -1,43 +1,43 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-Documents become sets of hashed word shingles; equal sets are one node. Tokens are ordered, those of rare classes first. If two sets of
-the wanted similarity lose at most ``k`` tokens to each other, any ``k + 1`` of a set's tokens hold one that both
-have: these first tokens are the prefix, and each is indexed on its own. Tokens of the frequent class (by counts over all documents)
-are indexed as combinations of two within one of some hashed groups, for which the prefix is extended by one token a group, so a
-token that stands everywhere makes no candidates by itself.
-
-Sets that share a signature form groups; groups that have members in common become one while it stays small, and one over a bound is dealt
-into pairs of blocks, so a group is bounded and a set stands in few of them. Within a group a
-filter on parity bitmaps, which never rejects a true pair, leaves candidates. The closest ones of a spanning forest of these are verified exactly and
-merged into components; then every candidate between different components that is still untested is verified. So no link between
-components is lost, and pairs within a component are not all spelled out.
+Documents become sets of hashed word shingles; equal sets are one node. Tokens are ordered by how many sets hold them, the rarest first, as
+far as counts over all documents in hashed slots can tell. If a linked set may lack ``k`` tokens of a set, two linked sets have a token in
+common within their first ``k + 1``: this is the prefix, and its rare tokens are indexed singly. Tokens of the frequent class are indexed as combinations
+of two within one of ``c`` hashed groups, for which the prefix is extended to ``k + 1 + c`` tokens: ``c + 1`` common tokens stand in both, two of
+them in one group. ``c`` grows with the size of the sets, by bands of sizes; a set is indexed for each band that a partner may be in.
+
+A signature's nodes become candidates if their sizes and the places of the token in both prefixes allow enough overlap; only these two numbers and
+an id travel. Bitmaps that never reject a true pair then thin the distinct candidates, and what is left is verified exactly: the closest candidate
+of each node first, the closest between components next, and then every one between different components. A signature with more than
+``group`` nodes gives chains of candidates at first. If its nodes are not all in one component after these, those outside its
+largest component are compared with all of it, in blocks. So no link between components is lost, and pairs within a component are not all spelled out.
 
 Defined results: null and empty texts have no shingles, n_shingles 0, and are linked with nothing; fewer words than
-a shingle has make one shingle. Repeated rows are linked. A null doc_id never names a component unless it has no other. Texts are used whole.
-Similarity is decided on 64-bit token hashes and 128-bit set digests.
+a shingle has make one shingle. Repeated rows are linked. A null doc_id never names a component unless it has no other. An empty table gives an empty
+table. Texts are used whole; other columns are not looked at, whatever their names. Similarity is decided on 64-bit token hashes and 64-bit set digests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, map_arrow, row_hash, staged, summed_blocks
+from tidemark.llm.common import as_bytes, discard, map_arrow, row_hash, staged
 
 
 @dataclass(frozen=True)
 class Join:
     """Sets of ``width``-word shingles are linked from ``percent`` per cent on.
 
-    A token is frequent if its slot of the counts holds more than ``often`` times the mean and ``least_often`` more. Sets under ``small`` tokens
-    use single tokens only. ``group`` bounds the nodes that are compared at once.
+    A token is frequent if its slot of the counts holds more than ``often`` times the mean and ``least_often`` more, and hot at ``hot`` times that; signatures of
+    hot tokens are dealt to ``salts`` tasks. Signatures of up to ``group`` nodes are compared pair by pair, and blocks of larger ones hold so many. A bitmap has
+    ``bits`` bits at least.
     """
 
     width: int = 3
@@ -45,15 +45,21 @@ class Join:
     slots: int = 1 << 21
     often: int = 8
     least_often: int = 64
-    classes: int = 32
-    small: int = 64
+    hot: int = 8
+    salts: int = 16
     bits: int = 1024
-    group: int = 1000
+    group: int = 200
 
     def lost(self, n: int) -> int:
         """Tokens of a set of ``n`` that a linked set may lack."""
         return n - -(-self.percent * n // 100)
 
+    def combining(self, band: int) -> int:
+        """Groups of frequent tokens for pairs whose smaller set has 2**band tokens or up to twice as many; 0 where a set has too few for combinations."""
+        low = 1 << band
+        groups = max(1, low // 16)
+        return groups if low - self.lost(low) > groups else 0
+
 
 def tokens(raw: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a UTF-8 text."""
@@ -70,206 +76,243 @@ def tokens(raw: bytes | None, width: int) -> np.ndarray:
     return np.unique(x)
 
 
+def digest(x: np.ndarray) -> int:
+    """Signed 64-bit digest of a set."""
+    return xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
+
+
 def parities(x: np.ndarray, join: Join) -> bytes:
     """A bitmap in which every token flips one bit: two sets differ in as many tokens as their bitmaps do in bits, or more.
 
-    It has two to four bits a token, a power of two and ``join.bits`` at least, so it tells sets of any size apart; its halves laid over each other give
+    It has one to two bits a token, a power of two and ``join.bits`` at least, so it tells sets of any size apart; its halves laid over each other give
     the bitmap of half the size.
     """
-    wide = max(join.bits, 1 << int(2 * len(x) - 1).bit_length()) if len(x) else join.bits
+    wide = max(join.bits, 1 << int(len(x) - 1).bit_length()) if len(x) else join.bits
     odd = np.bincount((x >> np.uint64(20)) & np.uint64(wide - 1), minlength=wide) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def apart(a: bytes, b: bytes) -> int:
+    """In how many bits two bitmaps differ, after the longer one is folded."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) < len(b) else (b, a)
+        half = len(b) // 2
+        b = (int.from_bytes(b[:half], "little") ^ int.from_bytes(b[half:], "little")).to_bytes(half, "little")
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+
+
+def narrowest(counts: np.ndarray) -> bytes:
+    """The bytes of counts of one block, in the narrowest of three types."""
+    top = counts.max()
+    return counts.astype("uint8" if top < 1 << 8 else "uint32" if top < 1 << 32 else "int64").tobytes()
+
+
+BLOCK = 1024
+
+
 def set_rows(docs: DataFrame, join: Join, text: str) -> DataFrame:
-    """Rows of documents (doc_id, row_hash, n, node, bits), and of the counts of their tokens (block, counts)."""
+    """Rows of documents (doc_id, row_hash, n, node, and bits, once a task for each set), and of the counts of their tokens (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(join.slots, "int64")
-        id_type = None
+        counts, seen, id_type = np.zeros(join.slots, "int64"), set(), None
         for batch in batches:
             id_type = batch.column(0).type
-            sizes, nodes, bits = [], [], []
+            sizes, nodes, bits, fresh = [], [], [], []
             for raw in as_bytes(batch.column(2)):
                 x = tokens(raw, join.width)
                 sizes.append(len(x))
-                nodes.append(xxhash.xxh3_128_digest(x.tobytes()))
-                bits.append(parities(x, join))
-                np.add.at(counts, (x & np.uint64(join.slots - 1)).astype("int64"), 1)
+                nodes.append(digest(x))
+                bits.append(None if nodes[-1] in seen else parities(x, join))
+                if nodes[-1] not in seen:
+                    seen.add(nodes[-1])
+                    fresh.append((x & np.uint64(join.slots - 1)).astype("int64"))
+            if fresh:
+                counts += np.bincount(np.concatenate(fresh), minlength=join.slots)
             none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.binary()), *none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), *none], names)
         if id_type is not None:
-            parts = [counts[i : i + 1024].tobytes() for i in range(0, join.slots, 1024)]
+            parts = [narrowest(counts[i : i + BLOCK]) for i in range(0, join.slots, BLOCK)]
             k = len(parts)
-            empty = pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())
+            empty = pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())
             yield pa.RecordBatch.from_arrays([*empty, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
     names = ["doc_id", "row_hash", "n", "node", "bits", "block", "counts"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", row_hash(F.col(text)), text), run, f"doc_id {kind}, row_hash long, n long, node binary, bits binary, block int, counts binary")
-
-
-def signatures(x: np.ndarray, frequent: np.ndarray, join: Join) -> list[int]:
-    """Signatures of a set: single tokens of its prefix, and combinations of frequent ones."""
-    need = join.lost(len(x)) + 1
-    often = frequent[x & np.uint64(join.slots - 1)]
-    rare, common = x[~often], x[often]
-    if len(rare) >= need:
-        return rare[:need].tolist()
-    out: list[int] = rare.tolist()
-    if len(x) * join.percent < join.small * 100:
-        out += common[: need - len(rare)].tolist()
-    if len(x) >= join.small:
-        group = (common >> np.uint64(20)) % np.uint64(join.classes)
-        first = np.zeros(len(common), bool)
-        first[np.unique(group, return_index=True)[1]] = True
-        prefix = int(np.searchsorted(np.cumsum(~first), need - len(rare))) + 1
-        common, group = common[:prefix], group[:prefix]
-        for g in np.unique(group):
-            a = common[group == g]
-            i, j = np.triu_indices(len(a), 1)
-            pair = (a[i] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (a[j] + np.uint64(0x165667B19E3779F9))
-            out += (pair ^ (pair >> np.uint64(31))).tolist()
-    return out
-
-
-def signature_rows(docs: DataFrame, frequent: np.ndarray, join: Join, text: str) -> DataFrame:
-    """One row for each signature of each text: signature and the first half of the node's digest."""
-    shipped = docs.sparkSession.sparkContext.broadcast(frequent)
+    return map_arrow(docs.select("doc_id", row_hash(F.col(text)), text), run, f"doc_id {kind}, row_hash long, n long, node long, bits binary, block int, counts binary")
+
+
+def token_classes(parts: DataFrame, join: Join) -> tuple[np.ndarray, float]:
+    """The class of each slot of the counts (block, counts), twice the logarithm of its count, and the mean count. A byte a slot reaches the driver, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            said, halves = [], []
-            for raw in as_bytes(batch.column(0)):
-                x = tokens(raw, join.width)
-                if len(x):
-                    mine = np.array(signatures(x, shipped.value, join), "uint64").view("int64")
-                    said.append(mine)
-                    halves.append(np.full(len(mine), half_of(xxhash.xxh3_128_digest(x.tobytes())), "int64"))
-            if said:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(said)), pa.array(np.concatenate(halves))], ["signature", "half"])
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(raw, {BLOCK: "uint8", 4 * BLOCK: "uint32"}.get(len(raw), "int64")).astype("int64")
+                sums[block] = sums[block] + counts if block in sums else counts
+        classes = [np.ceil(2 * np.log2(v + 1)).astype("uint8").tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary()), pa.array([int(v.sum()) for v in sums.values()], pa.int64())], ["block", "classes", "total"])
 
-    return map_arrow(docs.select(text), run, "signature long, half long")
+    out, whole = np.zeros(join.slots, "uint8"), 0
+    for block, raw, total in parts.repartition("block").mapInArrow(run, "block int, classes binary, total long").toLocalIterator():
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(raw, "uint8")
+        whole += total
+    return out, whole / join.slots
 
 
-def half_of(node: bytes) -> int:
-    return int.from_bytes(node[:8], "big", signed=True)
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
 
 
-def half() -> Column:
-    return F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
+def signatures(x: np.ndarray, classes: np.ndarray, frequent: int, hot: int, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set, the place in the prefix that each stands for (or an earlier one), and whether its tokens are hot.
 
+    Tokens of class ``frequent`` and above are combined.
+    """
+    n, need = len(x), join.lost(len(x)) + 1
+    its = classes[x & np.uint64(join.slots - 1)]
+    order = np.lexsort((x, its))
+    x, its = x[order], its[order]
+    rare = int(np.searchsorted(its, frequent))
+    single = min(rare, need)
+    said, places, warm = [x[:single]], [np.arange(single)], [np.zeros(single, bool)]
+    if rare < need:
+        low = -(-join.percent * n // 100)
+        for band in range(low.bit_length() - 1, n.bit_length()):
+            groups = join.combining(band)
+            if not groups:
+                more = x[rare:need]
+                said.append(mixed(more + np.uint64(band + 1)))
+                places.append(np.arange(rare, need))
+                warm.append(its[rare:need] >= hot)
+                continue
+            at = np.arange(rare, min(need + groups, n))
+            of = (x[at] >> np.uint64(20)) % np.uint64(groups)
+            for g in np.unique(of):
+                mine = at[of == g]
+                i, j = np.triu_indices(len(mine), 1)
+                i, j = mine[i], mine[j]
+                said.append(mixed(mixed(x[i] + np.uint64(band + 1)) ^ x[j]))
+                places.append(np.maximum(i - groups, 0))
+                warm.append(np.minimum(its[i], its[j]) >= hot)
+    return np.concatenate(said), np.concatenate(places), np.concatenate(warm)
+
+
+def signature_rows(docs: DataFrame, classes: np.ndarray, mean: float, join: Join, text: str) -> DataFrame:
+    """One row for each signature of each set, once a task: signature, salt, node, size and place."""
+    bound = join.often * mean + join.least_often
+    frequent, hot = (int(np.ceil(2 * np.log2(b + 1))) for b in (bound, bound * join.hot))
+    shipped = docs.sparkSession.sparkContext.broadcast(classes)
 
-def groups_of(docs: DataFrame, frequent: np.ndarray, join: Join, text: str) -> DataFrame:
-    """Groups of nodes that share signatures: group and half; what small groups connect as one, large ones as pairs of blocks."""
-    rows = staged(signature_rows(docs, frequent, join, text), "signatures")
-    ends = rows.groupBy("signature").agg(F.min("half").alias("low"), F.max("half").alias("high"))
-    shared = staged(ends.filter("low <> high").select("signature"), "shared-signatures")
-    close = staged(rows.join(shared, "signature").distinct(), "close-nodes")
-    sizes = staged(close.groupBy("signature").agg(F.count("*").alias("size"), F.min("half").alias("low")), "signature-sizes")
-    sized = close.join(sizes, "signature")
-    # Nodes that any chain of small groups connects are one group, in which each stands once, as long as that stays small too.
-    small = sized.filter(F.col("size") <= join.group)
-    chains = components(small.filter("half <> low").select(F.col("half").alias("a"), F.col("low").alias("b")).distinct())
-    of = staged(chains.join(chains.groupBy("component").agg(F.count("*").alias("nodes")), "component"), "chains")
-    whole = of.filter(F.col("nodes") <= join.group).select(F.xxhash64("component").alias("group"), F.col("node").alias("half"))
-    long = of.filter(F.col("nodes") > join.group).select(F.col("node").alias("half"))
-    lists = small.join(long, "half", "left_semi").groupBy("signature").agg(F.array_sort(F.collect_set("half")).alias("halves"))
-    few = lists.select(F.xxhash64("halves").alias("group"), "halves").dropDuplicates(["group", "halves"]).select("group", F.explode("halves").alias("half"))
-    blocks = F.ceil(F.col("size") * 2 / join.group).cast("int")
-    mine = F.pmod(F.xxhash64("half"), F.col("blocks")).cast("int")
-    dealt = sized.filter(F.col("size") > join.group).withColumn("blocks", blocks).withColumn("mine", mine)
-    dealt = dealt.select("signature", "half", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    many = dealt.select(F.xxhash64("signature", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), "half")
-    return staged(whole.unionByName(few).unionByName(many), "groups")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            out = []
+            for raw in as_bytes(batch.column(0)):
+                x = tokens(raw, join.width)
+                node = digest(x)
+                if not len(x) or node in seen:
+                    continue
+                seen.add(node)
+                said, places, warm = signatures(x, shipped.value, frequent, hot, join)
+                said = said.view("int64")
+                salt = np.where(warm, 1 + ((said ^ node) >> 7) % join.salts, 0)
+                out.append((said, salt, np.full(len(said), node, "int64"), np.full(len(said), len(x), "int32"), places))
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], ["signature", "salt", "node", "size", "place"])
 
-Node = tuple[bytes, int, bytes, bytes, list | None]
+    return map_arrow(docs.select(text), run, "signature long, salt int, node long, size int, place int")
 
 
-def candidate_pairs(nodes: list[Node], join: Join) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each node (node, n, bits, component, failed) of a group: candidates in other components, each pair once, and how far apart they are.
+def candidates(rows: DataFrame, join: Join) -> DataFrame:
+    """Pairs of nodes (a, b); of signatures with many nodes, which are only chained, also the members (a, and the signature as large).
 
-    Bitmaps of twice the size are folded; sizes further apart belong to sets that are too different in size.
+    A task holds the rows of one signature up to ``join.group`` of them, and one Arrow batch.
     """
-    size = np.array([r[1] for r in nodes])
-    wide = np.array([len(r[2]) for r in nodes])
-    numbers: dict[bytes, int] = {}
-    component = np.array([numbers.setdefault(r[3], len(numbers)) for r in nodes])
-    place = {r[0]: i for i, r in enumerate(nodes)}
-    for w in np.unique(wide).tolist():
-        own, double = np.flatnonzero(wide == w), np.flatnonzero(wide == 2 * w)
-        bits = np.frombuffer(b"".join(nodes[i][2] for i in own), "uint64").reshape(len(own), -1)
-        if len(double):
-            both = np.frombuffer(b"".join(nodes[i][2] for i in double), "uint64").reshape(len(double), 2, -1)
-            bits = np.concatenate((bits, both[:, 0] ^ both[:, 1]))
-        at = np.concatenate((own, double))
-        for k, i in enumerate(own.tolist()):
-            rest = np.arange(k + 1, len(at))
-            other = at[rest]
-            fits = (component[other] != component[i]) & (100 * np.minimum(size[other], size[i]) >= join.percent * np.maximum(size[other], size[i]))
-            for known in nodes[i][4] or []:
-                if known in place:
-                    fits &= other != place[known]
-            rest, other = rest[fits], other[fits]
-            if len(rest):
-                apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(axis=1, dtype="int64")
-                good = apart * (100 + join.percent) <= (size[other] + size[i]) * (100 - join.percent)
-                if good.any():
-                    yield i, other[good], apart[good]
-
-
-def forest(nodes: list[Node], join: Join, every: bool) -> list[tuple[bytes, bytes, int]]:
-    """Edges between candidates of one group: every pair, or a spanning forest that reaches each component once."""
-    root, edges = np.arange(len(nodes)), []
-    for i, other, apart in candidate_pairs(nodes, join):
-        for k in np.argsort(apart, kind="stable").tolist():
-            j = int(other[k])
-            if every or root[j] != root[i]:
-                root[root == root[j]] = root[i]
-                edges.append((*sorted((nodes[i][0], nodes[j][0])), int(apart[k])))
-    return edges
-
-
-def candidate_edges(groups: DataFrame, nodes: DataFrame, join: Join, every: bool) -> DataFrame:
-    """Distinct edges (a, b, and how far apart their bitmaps are) of the groups' forests, or of all their candidates; ``nodes`` has node, half, n, bits, component and failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        group, ready = None, []
+        held = [np.zeros(0, t) for t in ("int64", "int32", "int64", "int32", "int32")]
+        chain: tuple[int, int, int] | None = None
+
+        def settled(columns: list[np.ndarray], whole: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray]]:
+            """What the signatures in ``columns`` give, and the rows of the last one, which wait if it is not ``whole`` and small."""
+            nonlocal chain
+            signature, salt, node, size, place = columns
+            same = (signature[1:] == signature[:-1]) & (salt[1:] == salt[:-1])
+            # Copies of a set from several tasks stand side by side.
+            fresh = np.concatenate(([True], ~same | (node[1:] != node[:-1])))
+            signature, salt, node, size, place = (c[fresh] for c in columns)
+            same = (signature[1:] == signature[:-1]) & (salt[1:] == salt[:-1])
+            first = np.flatnonzero(np.concatenate(([True], ~same)))
+            times = np.diff(np.append(first, len(node)))
+            many = (times > join.group) | (salt[first] > 0)
+            goes_on = chain is not None and chain[:2] == (signature[0], salt[0])
+            many[0] |= goes_on
+            wait = len(node)
+            if not whole and not many[-1]:
+                wait, times, many, first = first[-1], times[:-1], many[:-1], first[:-1]
+            rest = [c[wait:] for c in (signature, salt, node, size, place)]
+            crowd = np.repeat(many, times)
+            made = []
+            # Pairs of small signatures: each row with those after it.
+            after = np.where(crowd, 0, np.repeat(first + times, times) - np.arange(wait) - 1)
+            i = np.repeat(np.arange(wait), after)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+            n, m = size[i].astype("int64"), size[j].astype("int64")
+            most = np.minimum(n - place[i], m - place[j])
+            fits = (100 * np.minimum(n, m) >= join.percent * np.maximum(n, m)) & (most * (100 + join.percent) >= join.percent * (n + m))
+            i, j = i[fits], j[fits]
+            # Chains of large ones.
+            link = np.flatnonzero(crowd[:-1] & same[: max(0, wait - 1)])
+            a, b = np.concatenate((node[i], node[link])), np.concatenate((node[j], node[link + 1]))
+            if goes_on:
+                a, b = np.append(a, chain[2]), np.append(b, node[0])
+            differ = a != b
+            a, b = a[differ], b[differ]
+            made.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names))
+            member = np.flatnonzero(crowd)
+            made.append(pa.RecordBatch.from_arrays([pa.array(node[member]), pa.nulls(len(member), pa.int64()), pa.array(signature[member])], names))
+            chain = (signature[-1], salt[-1], node[-1]) if len(many) and many[-1] and wait == len(node) else None
+            return made, rest
 
-        def out() -> pa.RecordBatch:
-            made = [pa.array([e[k] for e in ready], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))]
-            ready.clear()
-            return pa.RecordBatch.from_arrays(made, ["a", "b", "apart"])
+        for batch in batches:
+            made, held = settled([np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns)], False)
+            yield from made
+        if len(held[0]):
+            yield from settled(held, True)[0]
+
+    names = ["a", "b", "large"]
+    # Within a signature the order is by hash, so that each signature chains its nodes in another order.
+    dealt = rows.repartition("signature", "salt").sortWithinPartitions("signature", "salt", F.xxhash64("signature", "node"), "node")
+    return map_arrow(dealt, run, "a long, b long, large long")
 
+
+def thinned(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the bitmaps of ``nodes`` (node, n, bits) allow, and how far apart they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "n", "bits", "component", "failed"))):
-                if g != group:
-                    if len(held) > 1:
-                        ready += forest(held, join, every)
-                    group, held = g, []
-                held.append(tuple(row))
-            if len(ready) > 10_000:
-                yield out()
-        if len(held) > 1:
-            ready += forest(held, join, every)
-        if ready:
-            yield out()
+            far = [apart(p, q) for p, q in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())]
+            far = np.array(far, "int32")
+            good = pa.array(far * (100 + join.percent) <= (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (100 - join.percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good), pa.array(far).filter(good)], ["a", "b", "apart"])
 
-    rows = groups.join(nodes, "half").select("group", "node", "n", "bits", "component", "failed")
-    return map_arrow(rows.repartition("group").sortWithinPartitions("group", "node"), run, "a binary, b binary, apart int").distinct()
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
+    return map_arrow(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), run, "a long, b long, apart int")
 
 
 def node_texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """One text for each node of ``wanted`` (node, rep). Texts are shorter than their packed tokens."""
     want = wanted.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
-    same = docs["doc_id"].eqNullSafe(want["rep_id"]) & (row_hash(docs[text]) == want["rep_hash"])
-    return docs.join(want, same).select("node", F.col(text).cast("binary").alias("raw")).dropDuplicates(["node"])
+    mine = docs.select("doc_id", row_hash(F.col(text)).alias("row_hash"), F.col(text).cast("binary").alias("raw"))
+    found = mine.join(want, mine["doc_id"].eqNullSafe(want["rep_id"]) & (mine["row_hash"] == want["rep_hash"]))
+    return found.select("node", "raw").dropDuplicates(["node"])
 
 
 def verified(edges: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """``edges`` with whether the exact similarity reaches the wanted one."""
+    """``edges`` (a, b) with whether the exact similarity reaches the wanted one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,45 +325,59 @@ def verified(edges: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
 
     left = texts.select(F.col("node").alias("a"), F.col("raw").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("raw").alias("right"))
-    return map_arrow(edges.join(left, "a").join(right, "b").select("a", "b", "left", "right"), run, "a binary, b binary, linked boolean")
+    return map_arrow(edges.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right"), run, "a long, b long, linked boolean")
 
 
-def labelled(edges: DataFrame, found: DataFrame) -> DataFrame:
+def labelled(edges: DataFrame, found: DataFrame | None) -> DataFrame:
     """``edges`` between different components, with these as ca and cb."""
+    if found is None:
+        return edges.withColumns({"ca": F.col("a"), "cb": F.col("b")})
     of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     told = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
     told = told.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
     return told.filter("ca <> cb")
 
 
-def next_edges(edges: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The edges to verify next: at first the closest one of each node, then the closest one between each two components.
+def closest_of_nodes(edges: DataFrame) -> DataFrame:
+    """The closest edge of each node. What these link makes many of the others needless."""
+    edge = F.struct("apart", "a", "b").alias("edge")
+    ends = edges.select(F.col("a").alias("end"), edge).unionByName(edges.select(F.col("b").alias("end"), edge))
+    return ends.groupBy("end").agg(F.min("edge").alias("edge")).select("edge.a", "edge.b").distinct()
 
-    What they link makes many of the others needless.
-    """
+
+def closest_of_components(edges: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The closest edge between each two components."""
     edge = F.struct("apart", "a", "b")
-    if found is None:
-        ends = edges.select(F.col("a").alias("end"), edge.alias("edge")).unionByName(edges.select(F.col("b").alias("end"), edge.alias("edge")))
-        best = ends.groupBy("end").agg(F.min("edge").alias("edge"))
-    else:
-        best = labelled(edges, found).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(edge).alias("edge"))
-    return best.select("edge.a", "edge.b").distinct()
+    return labelled(edges, found).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(edge).alias("edge")).select("edge.a", "edge.b")
+
+
+#: Parts into which the nodes of one component are dealt where labels are looked up.
+PARTS = 32
 
 
 def components(links: DataFrame) -> DataFrame:
     """The smallest node reachable from each node of ``links`` (a, b): node and component.
 
     Every round a node takes the least label among its neighbours' and then that label's own label, so paths shorten as they
-    are followed; it ends when no label changes.
+    are followed; it ends when no label changes. A label of very many nodes is looked up in ``PARTS`` parts.
     """
     both = staged(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))), "links")
     labels = staged(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = staged(lower.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        lower = staged(lower, "lower-labels")
+        # Only nodes that are labels are looked up: those that have another node under them.
+        named = lower.select("component").distinct()
+        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further")).join(named, "component", "left_semi")
+        jump = jump.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        moved = lower.withColumn("part", part).join(jump, ["component", "part"], "left")
+        later = staged(moved.select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        discard(labels, lower)
+        labels = later
         if labels.filter("was <> component").isEmpty():
+            discard(both)
             return labels.select("node", "component")
 
 
@@ -333,50 +390,105 @@ def merged(found: DataFrame | None, good: DataFrame) -> DataFrame | None:
     between = labelled(good, found).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
     known = found.unionByName(moved.select(F.col("component").alias("node"), "component").join(found.select("node"), "node", "left_anti"))
-    return staged(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "merged")
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")
+    moved = moved.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    told = known.withColumn("part", part).join(moved, ["component", "part"], "left")
+    return staged(told.select("node", F.coalesce("to", "component").alias("component")), "merged")
+
+
+def open_signatures(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Of large signatures (node, large) whose nodes are in several components: node, large, component, main (the largest component), total and outside."""
+    told = members.join(found, "node", "left") if found is not None else members.withColumn("component", F.lit(None).cast("long"))
+    told = told.withColumn("component", F.coalesce("component", "node"))
+    each = told.groupBy("large", "component").agg(F.count("*").alias("times"))
+    whole = each.groupBy("large").agg(F.sum("times").alias("total"), F.max(F.struct("times", "component")).alias("top"))
+    several = whole.filter("total > top.times").select("large", "total", (F.col("total") - F.col("top.times")).alias("outside"), F.col("top.component").alias("main"))
+    return told.join(several, "large")
+
+
+def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b, apart) that the bitmaps allow, between each node outside the main component of a signature and those of other components.
+
+    Both sides are dealt into blocks of about ``join.group`` nodes, and each block of the outsiders meets each of all nodes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mine, theirs = None, [], []
+
+        def out() -> pa.RecordBatch:
+            found = set()
+            for node, n, bits, component in mine:
+                for other, m, their_bits, their_component in theirs:
+                    if component != their_component and 100 * min(n, m) >= join.percent * max(n, m):
+                        far = apart(bits, their_bits)
+                        if far * (100 + join.percent) <= (n + m) * (100 - join.percent):
+                            found.add((min(node, other), max(node, other), far))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "apart"])
+
+        for batch in batches:
+            for *block, outsider, node, n, bits, component in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != key:
+                    if mine and theirs:
+                        yield out()
+                    key, mine, theirs = block, [], []
+                (mine if outsider else theirs).append((node, n, bits, component))
+        if mine and theirs:
+            yield out()
+
+    rows = opened.withColumn("all_blocks", F.ceil(F.col("total") / join.group).cast("int")).withColumn("out_blocks", F.ceil(F.col("outside") / join.group).cast("int"))
+    of = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    every = rows.select("large", of("all_blocks", 1).alias("x"), each("out_blocks").alias("y"), F.lit(False).alias("outsider"), "node", "component")
+    outside = rows.filter("component <> main").select("large", each("all_blocks").alias("x"), of("out_blocks", 2).alias("y"), F.lit(True).alias("outsider"), "node", "component")
+    both = every.unionByName(outside).join(nodes.select("node", "n", "bits"), "node")
+    dealt = both.select("large", "x", "y", "outsider", "node", "n", "bits", "component").repartition("large", "x", "y").sortWithinPartitions("large", "x", "y")
+    return map_arrow(dealt, run, "a long, b long, apart int").distinct()
 
 
 def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
     """One row per document: doc_id, row_hash, n_shingles, component_id and rep (the first doc_id and row_hash of the component)."""
     rows = docs.select("doc_id", text)
     made = staged(set_rows(rows, join, text), "sets")
-    counts = summed_blocks(made.filter("block is not null").select("block", "counts"), join.slots)
-    frequent = counts > join.often * counts.mean() + join.least_often
-    sized = made.filter("block is null")
+    classes, mean = token_classes(made.filter("block is not null").select("block", "counts"), join)
+    sized = made.filter("block is null").drop("block", "counts")
     row = F.struct("doc_id", "row_hash")
-    nodes = sized.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"), F.min(row).alias("rep"))
-    nodes = staged(nodes.withColumn("half", half()), "nodes")
-    groups = groups_of(rows, frequent, join, text)
-    none = F.array().cast("array<binary>")
-    known = nodes.select("node", "half", "n", "bits", F.col("node").alias("component"), none.alias("failed"))
-    edges = staged(candidate_edges(groups, known, join, every=False), "candidates")
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    texts = staged(node_texts(rows, nodes.join(ends, "node"), text), "node-texts")
-    found, failed = None, []
-
-    def settle(tried: DataFrame) -> None:
-        nonlocal found
-        told = staged(verified(tried, texts, join), "verified")
-        failed.append(told.filter("not linked").select("a", "b"))
+    nodes = sized.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("doc_id").alias("least_id"), F.min(row).alias("rep"))
+    nodes = staged(nodes, "nodes")
+    sized = staged(sized.drop("bits"), "sizes")
+    discard(made)
+    maybe = staged(candidates(signature_rows(rows, classes, mean, join, text), join), "candidates", release=True)
+    edges = staged(thinned(maybe.filter("b is not null").select("a", "b").distinct(), nodes, join), "edges")
+
+    def texts_of(these: DataFrame) -> DataFrame:
+        ends = these.select(F.col("a").alias("node")).union(these.select("b")).distinct()
+        return staged(node_texts(rows, nodes.join(ends, "node"), text), "node-texts", release=True)
+
+    found: DataFrame | None = None
+    texts = texts_of(edges)
+    # The closest edge of each node, then the closest between components, settle nearly everything; the third step tries all that are left.
+    tried = None
+    for step in ("nodes", "components", "rest"):
+        left = edges if tried is None else edges.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pick = closest_of_nodes(left) if step == "nodes" else closest_of_components(left, found) if step == "components" else labelled(left, found).select("a", "b")
+        told = staged(verified(pick, texts, join), "verified")
         found = merged(found, told.filter("linked").select("a", "b"))
-
-    # The closest edge of each node, then the closest between components, settle nearly everything; the last step tries all pairs that are left.
-    first = staged(next_edges(edges, None), "tried")
-    settle(first)
-    if found is not None:
-        settle(next_edges(edges.join(first, ["a", "b"], "left_anti"), found))
-    wrong = reduce(DataFrame.unionByName, failed)
-    wrong = wrong.unionByName(wrong.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed"))
-    left = nodes.select("node", "half", "n", "bits").join(ends, "node", "left_semi").join(wrong, "node", "left")
-    left = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")) if found is not None else left.withColumn("component", F.col("node"))
-    settle(candidate_edges(groups, left, join, every=True).select("a", "b"))
+        tried = told if tried is None else tried.unionByName(told)
+    discard(texts)
+    opened = staged(open_signatures(maybe.filter("large is not null").select(F.col("a").alias("node"), "large").distinct(), found), "open-signatures")
+    if not opened.isEmpty():
+        more = staged(block_pairs(opened, nodes, join).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "block-pairs")
+        texts = texts_of(more)
+        told = staged(verified(more, texts, join), "verified")
+        found = merged(found, told.filter("linked").select("a", "b"))
+        discard(more, texts, told)
+    discard(maybe, opened, edges)
     named = nodes.select("node", "least_id", "rep", F.col("node").alias("component"))
     if found is not None:
-        named = nodes.select("node", "least_id", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = staged(named, "named-nodes")
-        of = named.groupBy("component").agg(F.min("least_id").alias("least_id"), F.min("rep").alias("rep"))
-        named = named.select("node", "component").join(of, "component")
+        named = staged(nodes.select("node", "least_id", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named-nodes")
+        of = named.groupBy("component").agg(F.min("least_id").alias("least_id"), F.min("rep").alias("rep")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        named = named.select("node", "component", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part")).join(of, ["component", "part"])
     named = staged(named.select("node", "least_id", "rep"), "components")
+    discard(nodes)
     out = sized.join(named, "node", "left")
     alone = F.col("n") == 0
     return out.select(
