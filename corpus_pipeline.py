@@ -2,6 +2,10 @@
 
 Every stage takes what its predecessor kept and returns the columns of ``documents``; the last one adds the token ids. ``run`` writes
 each stage's result to the shared folder and reads it back for the next one.
+
+Defined results: documents with a null or empty text, or one without a letter, have no language and go at the first stage. Of linked documents the one with
+the smallest doc_id stays (a null one counts as smallest), and rows of the same id and text are one document. Empty tables give an empty table with the
+columns of the last stage. Extra columns pass through; ``ids``, ``n_tokens`` and ``round_trip`` are replaced. Texts are used whole.
 """
 
 from __future__ import annotations
@@ -12,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard, langid, pii
-from tidemark.llm.common import id_bucket, staged, table
-from tidemark.llm.registry import vocabulary
+from tidemark.llm.common import id_bucket, staged, table, unused
+from tidemark.llm.registry import surrogate_key, vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,9 +28,10 @@ LEAST_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; the column ``lang`` gets the prediction."""
     model = langid.fit(langid.learnable_rows(docs, id_bucket(F.col("doc_id"), 3) == 1))
-    said = model.apply(docs, lang_pred="_lang", score="_score")
-    kept = said.filter((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("_lang")).select(docs.columns)
+    lang, score = unused(docs, "_lang"), unused(docs, "_score")
+    said = model.apply(docs, lang_pred=lang, score=score)
+    kept = said.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col(lang)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +46,15 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates in their texts and their new lengths."""
-    return pii.replace(docs).drop("n_entities").withColumn("n_chars", F.length("text").cast("long"))
+    return pii.replace(docs, surrogate_key(spark), entities=None).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids, whether these decode to the text, and their number."""
-    out = bpe.encode(docs, *vocabulary(), decoded="_decoded")
-    whole = F.col("_decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", whole).drop("_decoded")
+    decoded = unused(docs, "_decoded")
+    out = bpe.encode(docs, *vocabulary(), decoded=decoded)
+    whole = F.col(decoded) == F.coalesce("text", F.lit("")).cast("binary")
+    return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", whole).drop(decoded)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -37,9 +37,32 @@ def test_bpe_equals_tiktoken(codec):
 
 
 def test_bpe_tree_equals_direct_merging(codec):
-    small = bpe.Codec(codec[0].ranks, leaf=2)
     for text in texts(2, 200):
-        assert small.encode(text.encode()) == (codec[0].merged(text.encode()) if text else small.encode(b""))
+        if text:
+            assert codec[0].reduced(text.encode()) == codec[0].merged(text.encode())
+
+
+def test_bpe_goes_through_the_tree(codec):
+    """Words outside the vocabulary are joined from single bytes, and windows grow where the first one is not settled."""
+    import regex
+
+    counted = {"joined": 0, "window": 0}
+
+    class Counting(bpe.Codec):
+        def joined(self, left, right):
+            counted["joined"] += 1
+            return super().joined(left, right)
+
+        def merged(self, piece):
+            counted["window"] += len(piece) > 2
+            return super().merged(piece)
+
+    mine, plain = Counting(codec[0].ranks), 0
+    for m in regex.findall(codec[1], "Herpulate gnifters wexel antidisestablishmentarianisms, 3.14159 -- zzzzzz\n\n\tquux"):
+        before = counted["joined"]
+        assert mine.encode(m.encode()) == codec[0].encode(m.encode())
+        plain += counted["joined"] == before
+    assert counted["joined"] > 50 and counted["window"] > 20 and plain > 3
 
 
 def test_suffix_array_and_prefixes():

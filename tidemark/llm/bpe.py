@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-Each match of the pre-tokenisation pattern is encoded on its own. A short match is merged directly.
-A longer one is cut in halves, each half is encoded recursively, and the two token lists are joined: a
+Each match of the pre-tokenisation pattern is encoded on its own. A match that is a token of the vocabulary is that token.
+Any other is cut in halves, each half is encoded recursively down to single bytes, and the two token lists are joined: a
 window around the seam is decoded to bytes and encoded again, and it grows until both of its edges are
 settled. An edge is settled when the two tokens that meet there encode, as a pair, to themselves: a
 token list whose neighbours are all compatible in that sense is the encoding of its bytes, since the
 first merge across a seam would also happen in the pair alone. Concatenation of encodings is thus a
-monoid, and the halves may be reduced in any order. Decoding concatenates byte strings up the same tree.
+monoid, and the halves may be reduced in any order. Decoding concatenates byte strings up a balanced tree, from single tokens on.
 
 Defined results: null text encodes as the empty text (no ids, no bytes); repeated rows and extra columns are
-kept as they are; an empty table gives an empty table; a text of any length is encoded whole.
+kept as they are, but a column with the name of one that is added is replaced; an empty table gives an empty table; a text of any length is
+encoded whole. Of two possible merges of equal rank the left one goes first.
 """
 
 from __future__ import annotations
@@ -23,10 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import extended, map_arrow
+from tidemark.llm.common import extended, map_arrow, with_columns
 
-#: Matches up to so many bytes are merged directly.
-LEAF = 32
 #: Entries of a worker's memo of encoded matches before it is emptied.
 MEMO = 400_000
 
@@ -40,8 +39,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Ranks with the encoding and decoding of one match."""
 
-    def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF):
-        self.ranks, self.leaf = ranks, max(2, leaf)
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -55,9 +54,7 @@ class Codec:
         }
 
     def merged(self, piece: bytes) -> list[int]:
-        """Lowest rank first, leftmost among equals, over a short run of bytes."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
+        """Lowest rank first, leftmost among equals, over the bytes of a window."""
         pair, none = self.pairs.get, 1 << 24
         ids = [self.ranks[piece[i : i + 1]] for i in range(len(piece))]
         made = [pair(a << 24 | b, none) for a, b in zip(ids, ids[1:])]
@@ -94,19 +91,26 @@ class Codec:
                 return left[: len(left) - a] + mid + right[b:]
             a, b = a + a * (not fixed_left), b + b * (not fixed_right)
 
+    def reduced(self, piece: bytes) -> list[int]:
+        """Encoding of a run of bytes by the tree alone."""
+        if len(piece) == 1:
+            return [self.ranks[piece]]
+        half = len(piece) // 2
+        return self.joined(self.reduced(piece[:half]), self.reduced(piece[half:]))
+
     def encode(self, piece: bytes) -> list[int]:
+        """Encoding of one match."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(piece) <= self.leaf:
-            return self.merged(piece)
-        half = len(piece) // 2
-        return self.joined(self.encode(piece[:half]), self.encode(piece[half:]))
+        return self.reduced(piece) if piece else []
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 4096:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        """Neighbours are concatenated, level by level of the tree."""
+        parts = [self.bytes_of[i] for i in ids]
+        while len(parts) > 1:
+            odd = parts[len(parts) & ~1 :]
+            parts = [a + b for a, b in zip(parts[::2], parts[1::2])] + odd
+        return parts[0] if parts else b""
 
 
 class Memo(dict):
@@ -143,10 +147,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
             offsets = np.zeros(len(rows) + 1, "int32")
             np.cumsum([len(r) for r in rows], out=offsets[1:])
             flat = np.fromiter(chain.from_iterable(rows), "int32", int(offsets[-1]))
-            more = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            more = {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
             if decoded:
-                more.append(pa.array([codec.decode(r) for r in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, ids, *([decoded] if decoded else [])])
+                more[decoded] = pa.array([codec.decode(r) for r in rows], pa.binary())
+            yield with_columns(batch, more)
 
     return map_arrow(docs, run, extended(docs.schema, f"`{ids}` array<int>" + (f", `{decoded}` binary" if decoded else "")))
 
@@ -160,7 +164,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decode
         codec = Codec(shipped.value)
         for batch in batches:
             out = pa.array([codec.decode(r or []) for r in batch.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, decoded])
+            yield with_columns(batch, {decoded: out})
 
     return map_arrow(encoded, run, extended(encoded.schema, f"`{decoded}` binary"))
 

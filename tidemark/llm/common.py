@@ -95,8 +95,37 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
 
 
 def extended(schema: StructType, ddl: str) -> StructType:
-    """A schema with further columns, which are given as DDL."""
-    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+    """A schema with further columns, which are given as DDL and take the place of columns of the same name."""
+    more = StructType.fromDDL(ddl).fields
+    return StructType([*(f for f in schema.fields if f.name.lower() not in {m.name.lower() for m in more}), *more])
+
+
+def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """``batch`` with further columns, in place of those of the same name (as ``extended`` has them)."""
+    taken = {name.lower() for name in columns}
+    kept = [k for k, name in enumerate(batch.schema.names) if name.lower() not in taken]
+    return pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *columns.values()], [*(batch.schema.names[k] for k in kept), *columns])
+
+
+def boxed(docs: DataFrame, text: str, *replaced: str) -> DataFrame:
+    """``docs`` as two columns: ``box``, a struct of all others but those to be ``replaced``, and ``text``. So no name of a caller's can clash with one used on the way."""
+    gone = {text.lower(), *(r.lower() for r in replaced)}
+    others = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in gone]
+    return docs.select(F.struct(*(others or [F.lit(None).cast("int").alias("none")])).alias("box"), docs[f"`{text}`"].alias("text"))
+
+
+def unboxed(columns: list[str], text: str, *replaced: str) -> list[Column]:
+    """The columns of a frame that ``boxed`` made of one with ``columns``, in their order and without those ``replaced``."""
+    gone = {r.lower() for r in replaced}
+    return [F.col("text").alias(c) if c.lower() == text.lower() else F.col("box").getField(c).alias(c) for c in columns if c.lower() not in gone]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def summed_blocks(parts: DataFrame, width: int) -> np.ndarray:
@@ -141,8 +170,7 @@ def cut(docs: DataFrame, text: str = "text", spans: str = "spans", kept: str = "
                 out.append(b"".join(parts))
                 gone.append(n)
                 times.append(k)
-            more = [pa.array(out, pa.binary()), pa.array(gone, pa.int64()), pa.array(times, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, kept, removed, runs])
+            yield with_columns(batch, {kept: pa.array(out, pa.binary()), removed: pa.array(gone, pa.int64()), runs: pa.array(times, pa.int64())})
 
     return map_arrow(docs, run, extended(docs.schema, f"`{kept}` binary, `{removed}` long, `{runs}` long"))
 
@@ -156,3 +184,22 @@ def with_spans(docs: DataFrame, marks: DataFrame, text: str = "text") -> DataFra
 def row_hash(text: Column) -> Column:
     """64-bit hash that tells apart texts under one doc_id."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+#: Slots of the bitmap that tells which rows may be wanted: 4 MB at most, whatever the corpus.
+SLOTS = 1 << 25
+
+
+def with_maybe(docs: DataFrame, wanted: DataFrame, text: str, maybe: str) -> DataFrame:
+    """``docs`` with a boolean: false where no row of ``wanted`` (row_hash) has the hash of the text. So only few rows have to be shuffled for an exact join.
+
+    The hashes are marked in a bitmap, which is broadcast; of a crowded one everything is true.
+    """
+    slot = lambda h: F.pmod(F.xxhash64(h), F.lit(SLOTS)) + 1
+    marks = wanted.select(slot(F.col("row_hash")).alias("slot"))
+    marks = staged(marks.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits")), "marks")
+    place = F.bitmap_bit_position(slot(row_hash(docs[text])))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1, F.lit(False))
+    found = docs.withColumn("_at", F.bitmap_bucket_number(slot(row_hash(docs[text])))).join(F.broadcast(marks), F.col("_at") == F.col("_bucket"), "left")
+    return found.withColumn(maybe, bit).drop("_at", "_bucket", "_bits")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, discard, map_arrow, row_hash, staged
+from tidemark.llm.common import as_bytes, boxed, discard, map_arrow, row_hash, staged, unboxed, with_maybe
 
 
 @dataclass(frozen=True)
@@ -217,7 +217,7 @@ def signature_rows(docs: DataFrame, classes: np.ndarray, mean: float, join: Join
                 seen.add(node)
                 said, places, warm = signatures(x, shipped.value, frequent, hot, join)
                 said = said.view("int64")
-                salt = np.where(warm, 1 + ((said ^ node) >> 7) % join.salts, 0)
+                salt = np.where(warm, 1 + (mixed((said ^ node).view("uint64")) % np.uint64(join.salts)).astype("int64"), 0)
                 out.append((said, salt, np.full(len(said), node, "int64"), np.full(len(said), len(x), "int32"), places))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out)]
@@ -306,7 +306,8 @@ def thinned(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
 def node_texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """One text for each node of ``wanted`` (node, rep). Texts are shorter than their packed tokens."""
     want = wanted.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
-    mine = docs.select("doc_id", row_hash(F.col(text)).alias("row_hash"), F.col(text).cast("binary").alias("raw"))
+    near = with_maybe(docs.select("doc_id", text), want.select(F.col("rep_hash").alias("row_hash")), text, "maybe").filter("maybe")
+    mine = near.select("doc_id", row_hash(F.col(text)).alias("row_hash"), F.col(text).cast("binary").alias("raw"))
     found = mine.join(want, mine["doc_id"].eqNullSafe(want["rep_id"]) & (mine["row_hash"] == want["rep_hash"]))
     return found.select("node", "raw").dropDuplicates(["node"])
 
@@ -406,10 +407,10 @@ def open_signatures(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return told.join(several, "large")
 
 
-def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join, every: bool) -> DataFrame:
     """Pairs (a, b, apart) that the bitmaps allow, between each node outside the main component of a signature and those of other components.
 
-    Both sides are dealt into blocks of about ``join.group`` nodes, and each block of the outsiders meets each of all nodes.
+    Unless ``every``, a block gives only the closest pair of a node and another component. Both sides are dealt into blocks of about ``join.group`` nodes, and each block of the outsiders meets each of all nodes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,11 +419,14 @@ def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
         def out() -> pa.RecordBatch:
             found = set()
             for node, n, bits, component in mine:
+                best: dict[int, tuple[int, int]] = {}
                 for other, m, their_bits, their_component in theirs:
                     if component != their_component and 100 * min(n, m) >= join.percent * max(n, m):
                         far = apart(bits, their_bits)
                         if far * (100 + join.percent) <= (n + m) * (100 - join.percent):
-                            found.add((min(node, other), max(node, other), far))
+                            key = other if every else their_component
+                            best[key] = min(best.get(key, (far, other)), (far, other))
+                found |= {(min(node, other), max(node, other), far) for far, other in best.values()}
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "apart"])
 
         for batch in batches:
@@ -438,9 +442,9 @@ def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     rows = opened.withColumn("all_blocks", F.ceil(F.col("total") / join.group).cast("int")).withColumn("out_blocks", F.ceil(F.col("outside") / join.group).cast("int"))
     of = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    every = rows.select("large", of("all_blocks", 1).alias("x"), each("out_blocks").alias("y"), F.lit(False).alias("outsider"), "node", "component")
+    everyone = rows.select("large", of("all_blocks", 1).alias("x"), each("out_blocks").alias("y"), F.lit(False).alias("outsider"), "node", "component")
     outside = rows.filter("component <> main").select("large", each("all_blocks").alias("x"), of("out_blocks", 2).alias("y"), F.lit(True).alias("outsider"), "node", "component")
-    both = every.unionByName(outside).join(nodes.select("node", "n", "bits"), "node")
+    both = everyone.unionByName(outside).join(nodes.select("node", "n", "bits"), "node")
     dealt = both.select("large", "x", "y", "outsider", "node", "n", "bits", "component").repartition("large", "x", "y").sortWithinPartitions("large", "x", "y")
     return map_arrow(dealt, run, "a long, b long, apart int").distinct()
 
@@ -474,14 +478,19 @@ def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
         found = merged(found, told.filter("linked").select("a", "b"))
         tried = told if tried is None else tried.unionByName(told)
     discard(texts)
-    opened = staged(open_signatures(maybe.filter("large is not null").select(F.col("a").alias("node"), "large").distinct(), found), "open-signatures")
-    if not opened.isEmpty():
-        more = staged(block_pairs(opened, nodes, join).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "block-pairs")
+    members = maybe.filter("large is not null").select(F.col("a").alias("node"), "large").distinct()
+    # What is left of the large signatures: the closest pairs first, then every one that is still between components.
+    for every in (False, True):
+        opened = staged(open_signatures(members, found), "open-signatures")
+        if opened.isEmpty():
+            break
+        more = staged(block_pairs(opened, nodes, join, every).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "block-pairs")
         texts = texts_of(more)
         told = staged(verified(more, texts, join), "verified")
         found = merged(found, told.filter("linked").select("a", "b"))
-        discard(more, texts, told)
-    discard(maybe, opened, edges)
+        tried = tried.unionByName(told)
+        discard(more, texts, opened)
+    discard(maybe, edges)
     named = nodes.select("node", "least_id", "rep", F.col("node").alias("component"))
     if found is not None:
         named = staged(nodes.select("node", "least_id", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named-nodes")
@@ -499,9 +508,14 @@ def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
 def first_of_each(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
     """``docs`` without the documents that are linked to one before them; rows of the same id and text are one document."""
     linked = link(docs, join, text)
-    later = linked.filter(~F.struct("doc_id", "row_hash").eqNullSafe(F.col("rep"))).select(F.col("doc_id").alias("late_id"), F.col("row_hash").alias("late_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(later["late_id"]) & (row_hash(docs[text]) == later["late_hash"])
-    return docs.join(later, same, "left_anti")
+    later = linked.filter(~F.struct("doc_id", "row_hash").eqNullSafe(F.col("rep"))).select(F.col("doc_id").alias("late_id"), "row_hash").distinct()
+    later = staged(later, "later-rows")
+    # Most rows are not late; only those that may be are shuffled to find out.
+    told = with_maybe(boxed(docs, text), later, "text", "maybe")
+    ids = F.col("box").getField("doc_id")
+    late = told.filter("maybe").withColumn("hash", row_hash(F.col("text"))).join(later, ids.eqNullSafe(F.col("late_id")) & (F.col("hash") == F.col("row_hash")), "left_anti")
+    columns = unboxed(docs.columns, text)
+    return told.filter(~F.col("maybe")).select(*columns).unionByName(late.select(*columns))
 
 
 def op4(docs: DataFrame, join: Join = Join()) -> DataFrame:

@@ -5,8 +5,9 @@ learned from. The weights are trained by follow-the-regularised-leader with an e
 sample, dealt into shards whose weights are averaged, and a temperature is then fitted on a second bounded sample.
 
 Defined results: a null text or one without a letter gives ``und`` with score 0, as do all texts when nothing can be
-learned (no labelled text). Texts are used whole. Ties between languages go to the first in alphabetical
-order. Repeated rows are scored alike; extra columns are kept by ``LanguageModel.apply``.
+learned (no labelled text). Texts are used whole, whatever their length. Ties between languages go to the first in alphabetical
+order. Repeated rows are scored alike. ``LanguageModel.apply`` keeps extra columns, but a column with the name of one that it adds is replaced. An empty
+table gives an empty table. Every language of the labels is learned; weights take four bytes for each language and bucket.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import extended, id_bucket, map_arrow, summed_blocks
+from tidemark.llm.common import extended, id_bucket, map_arrow, summed_blocks, with_columns
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 def fit_shard(rows: list[tuple[np.ndarray, np.ndarray, int]], width: int, classes: int, s: Settings) -> np.ndarray:
     """FTRL-proximal over the rows of a shard, in the order given."""
-    z, n = np.zeros((width, classes)), np.zeros((width, classes))
+    z, n = np.zeros((width, classes), "float32"), np.zeros((width, classes), "float32")
 
     def weights(at) -> np.ndarray:
         zi = z[at]
@@ -121,11 +122,12 @@ class LanguageModel:
 
     def apply(self, docs: DataFrame, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
         """``docs`` with the language and the calibrated probability of each whole text."""
-        shipped = docs.sparkSession.sparkContext.broadcast(self)
-        column = docs.columns.index(text)
+        # Plain values only: a broadcast is unpickled where this package need not be.
+        shipped = docs.sparkSession.sparkContext.broadcast((self.languages, self.idf, self.weights, self.temperature, self.buckets))
+        column, kind = docs.columns.index(text), LanguageModel
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, letters = shipped.value, letter_table()
+            model, letters = kind(*shipped.value), letter_table()
             for batch in batches:
                 said = []
                 for t in batch.column(column).to_pylist():
@@ -135,8 +137,7 @@ class LanguageModel:
                     else:
                         p = softmax(model.logits(counts) / model.temperature)
                         said.append((model.languages[int(p.argmax())], float(p.max())))
-                more = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, lang_pred, score])
+                yield with_columns(batch, {lang_pred: pa.array([x[0] for x in said], pa.string()), score: pa.array([x[1] for x in said], pa.float64())})
 
         return map_arrow(docs, run, extended(docs.schema, f"`{lang_pred}` string, `{score}` double"))
 
@@ -163,10 +164,10 @@ def ngram_frequencies(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
 
 
 def hashed_share(docs: DataFrame, wanted: int, there: int, seed: int) -> DataFrame:
-    """About ``wanted`` of ``there`` rows, chosen by a hash of their id, and never more than twice as many."""
+    """About ``wanted`` of ``there`` rows, chosen by a hash of their id."""
     share = min(1.0, wanted / max(1, there))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20))
-    return docs.filter(draw < F.lit(int(share * (1 << 20)))).limit(2 * wanted)
+    return docs.filter(draw < F.lit(int(share * (1 << 20))))
 
 
 def fit(learnable: DataFrame, settings: Settings = Settings()) -> LanguageModel:
@@ -174,41 +175,46 @@ def fit(learnable: DataFrame, settings: Settings = Settings()) -> LanguageModel:
     s = settings
     rows = learnable.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     spark = learnable.sparkSession
-    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(1000).collect())
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     frequencies, there = ngram_frequencies(rows, s.buckets)
     idf = np.log((1 + there) / (1 + frequencies)) + 1
     width, classes = s.buckets + 1, len(languages)
-    model = LanguageModel(languages, idf, np.zeros((width, classes)), 1.0, s.buckets)
+    model = LanguageModel(languages, idf, np.zeros((width, classes), "float32"), 1.0, s.buckets)
     if not classes or not there:
         return model
     known = spark.sparkContext.broadcast((languages, idf))
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         names, idf = known.value
+        places = {name: k for k, name in enumerate(names)}
         letters = letter_table()
         group = group.sort_values("draw", kind="stable")
-        counted = [(ngram_counts(t, letters, s.buckets), names.index(y)) for t, y in zip(group["text"], group["lang"])]
+        counted = [(ngram_counts(t, letters, s.buckets), places[y]) for t, y in zip(group["text"], group["lang"])]
         w = fit_shard([(*weighed(c, idf), y) for c, y in counted if c is not None], width, classes, s)
         return pd.DataFrame({"n": [len(group)], "w": [w.astype("float32").tobytes()]})
 
     # One row in eleven is kept for the temperature.
     spare = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(11)) == 0
     sample = hashed_share(rows.filter(~spare), s.max_train, there * 10 // 11, 5).withColumn("draw", F.xxhash64("doc_id", F.lit(7)))
-    parts = sample.withColumn("shard", F.pmod("draw", F.lit(s.shards))).groupBy("shard").applyInPandas(train, "n long, w binary").collect()
-    share = sum(r.n for r in parts) or 1
-    for r in parts:
-        model.weights += np.frombuffer(r.w, "float32").reshape(width, classes) * (r.n / share)
-    ready = spark.sparkContext.broadcast(model)
+    # A number of partitions that is asked for is kept, so that the shards train side by side.
+    dealt = sample.withColumn("shard", F.pmod("draw", F.lit(s.shards))).repartition(4 * s.shards, "shard")
+    share = 0
+    for r in dealt.groupBy("shard").applyInPandas(train, "n long, w binary").toLocalIterator():
+        model.weights += np.frombuffer(r.w, "float32").reshape(width, classes) * np.float32(r.n)
+        share += r.n
+    model.weights /= np.float32(share or 1)
+    ready, kind = spark.sparkContext.broadcast((model.languages, model.idf, model.weights, model.temperature, model.buckets)), LanguageModel
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_table()
+        letters, fitted = letter_table(), kind(*ready.value)
         for batch in batches:
             pairs = [(ngram_counts(t, letters, s.buckets), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            pairs = [(ready.value.logits(c).tolist(), y) for c, y in pairs if c is not None]
+            pairs = [(fitted.logits(c).tolist(), y) for c, y in pairs if c is not None]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.list_(pa.float64())), pa.array([p[1] for p in pairs], pa.string())], ["logits", "lang"])
 
     held = map_arrow(hashed_share(rows.filter(spare), s.max_calibration, there // 11, 6).select("text", "lang"), score, "logits array<double>, lang string").collect()
-    model.temperature = fitted_temperature(np.array([r.logits for r in held]), np.array([languages.index(r.lang) for r in held], int))
+    places = {name: k for k, name in enumerate(languages)}
+    model.temperature = fitted_temperature(np.array([r.logits for r in held]), np.array([places[r.lang] for r in held], int))
     return model
 
 

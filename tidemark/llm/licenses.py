@@ -1,126 +1,256 @@
 """License scan: ordered signature rules over the words of a text, with DataFrame functions only.
 
-A text is lower-cased and reduced to its words. Rules are regular expressions over these words, one for each
-license and each form in which it is named; a rule is tried only where its keyword stands. Detections have a priority,
+A text is lower-cased and reduced to its words. Rules are regular expressions over these words: hand-written signatures of license bodies and
+headers, of addresses, and each license's name in each form in which it is named. A rule is tried only where its own keyword stands. Detections have a priority,
 and one that lies within the words of a detection of higher priority, or strictly within those of one of equal priority, is suppressed. Besides, plain
 phrases give base counts and labels, which stay whatever the rules find.
 
 Defined results: null and empty texts have no words, no labels and score 0. Detections of equal priority over the same words all
-stay. Repeated rows get the same result each. Texts are used whole.
+stay. Repeated rows get the same result each. Texts are used whole, whatever their length. ``scan`` keeps extra columns, but a column with the name of one that
+it adds is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import boxed, staged, unboxed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that the base counts, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Every rule and phrase holds one of these, so that other texts need no further look.
-GATES = ("licen", "spdx")
+GATES = (
+    "licen", "spdx", "permission", "permitted", "redistribut", "warrant", "domain", "copying", "commons", "copyright", "copyleft", "advertis", "misrepresent", "evil", "fuck", "beer", "openssl", "nasa",
+    "mozilla", "eclipse", "wtfpl", "ofl",
+)
 
-#: Licenses: label, the name as words before "license", its identifier as words, and a word that every naming holds.
+#: Signatures of license bodies: label, keyword, pattern over words. A keyword stands in whatever its pattern matches, and a rule is tried only where it does.
+BODIES = (
+    ("mit", " sublicense ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: \\S+){0,12} deal in the software without restriction(?: \\S+){0,20} sublicense"),
+    ("mit", " hereby ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", " substantial ", "the above copyright notice and this permission notice(?: \\S+){0,6} shall be included in all copies or substantial portions of the software"),
+    ("mit-0", " obtaining ", "permission is hereby granted free of charge to any person obtaining a copy of this software(?: \\S+){0,60} to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("json", " evil ", "the software shall be used for good not evil(?: licen[cs]e)?(?: permission)?"),
+    ("x11", " advertising ", "except as contained in this notice the name of the(?: \\S+){1,6} shall not be used in advertising or otherwise to promote the sale(?: \\S+){0,12} authorization(?: from(?: \\S+){1,4})?"),
+    ("isc", " fee ", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", " fee ", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", " fee ", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("postgresql", " agreement ", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", " supporting ", "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: and without fee)? is hereby granted(?: without fee)? provided that the above copyright notice appear in all copies and that both(?: that)? copyright notice and this permission notice appear in supporting documentation"),
+    ("bsd", " binary ", "redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?"),
+    ("bsd", " reproduce ", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", " retain ", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", " endorse ", "neither the name of(?: the)?(?: \\S+){1,8} nor the names of(?: its| any)? contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", " acknowledgement ", "all advertising materials mentioning features or use of this software must display the following acknowledgement(?: this product includes software developed by(?: \\S+){1,6})?(?: permission)?"),
+    ("bsd", " holders ", "this software is provided by the(?: copyright holders and contributors| regents and contributors| author) as is and any express or implied warranties"),
+    ("bsd-protection", " derivative ", "you may redistribute this program in any form whether modified or not provided that the derivative work"),
+    ("zlib", " misrepresented ", "the origin of this software must not be misrepresented you must not claim that you wrote the original software(?: \\S+){0,30}"),
+    ("zlib", " freely ", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("libpng", " png ", "permission is hereby granted to use copy modify and distribute this source code or portions hereof for any purpose without fee(?: \\S+){0,60} png"),
+    ("ijg", " jpeg ", "permission is hereby granted to use copy modify and distribute this software(?: \\S+){0,80} independent jpeg group"),
+    ("bsl", " organization ", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
+    ("apache", " perpetual ", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable(?: except as stated in this section)? (?:copyright|patent) licen[cs]e"),
+    ("apache", " warranties ", "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache", " except ", "you may not use this file except in compliance with the licen[cs]e(?: you may obtain a copy of the licen[cs]e at)?"),
+    ("apache", " derivative ", "you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications(?: \\S+){0,30} (?:licen[cs]e|copyright|permission)"),
+    ("apache-1-1", " redistribution ", "the end user documentation included with the redistribution if any must include the following acknowledge?ment"),
+    ("gpl", " redistribute ", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
+    ("gpl", " hope ", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[cs]e"),
+    ("gpl", " copyleft ", "the gnu general public licen[cs]e is a free copyleft licen[cs]e"),
+    ("gpl", " freedom ", "the licen[cs]es for most software(?: and other practical works)? are designed to take away your freedom to share and change"),
+    ("gpl", " verbatim ", "you may (?:convey|copy and distribute) verbatim copies of the program s source code as you receive it in any medium(?: \\S+){0,12} copyright"),
+    ("gpl-2.0", " section ", "you may copy and distribute the program or a work based on it under section 2 in object code or executable form under the terms of sections(?: 1 and 2)?(?: above)?(?: \\S+){0,40} copying"),
+    ("gpl-3.0", " tivoization ", "protecting users from tivoization(?: \\S+){0,20} licen[cs]e"),
+    ("gpl-3.0", " anti ", "no covered work shall be deemed part of an effective technological measure(?: \\S+){0,20} anti circumvention(?: \\S+){0,60} copyright"),
+    ("gpl-2.0+", " later ", "either version 2 of the licen[cs]e or at your option any later version"),
+    ("gpl-3.0+", " later ", "either version 3 of the licen[cs]e or at your option any later version"),
+    ("lgpl", " library ", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("lgpl", " library ", "this library is distributed in the hope that it will be useful but without any warranty(?: \\S+){0,16} see the gnu (?:lesser|library) general public licen[cs]e"),
+    ("lgpl", " libraries ", "the gnu lesser general public licen[cs]e applies to some specially designated software packages typically libraries"),
+    ("lgpl", " linked ", "a program that contains no derivative of any portion of the library but is designed to work with the library by being compiled or linked with it"
+     " is called a work that uses the library(?: \\S+){0,20} (?:licen[cs]e|copyright)"),
+    ("lgpl-2.1+", " later ", "either version 2 1 of the licen[cs]e or at your option any later version"),
+    ("agpl", " affero ", "this program is free software(?: you can redistribute it and or modify)?(?: it)? under the terms of the gnu affero general public licen[cs]e"),
+    ("agpl", " remotely ", "all users interacting with it remotely through a computer network(?: \\S+){0,20} (?:licen[cs]e|warranty|copyright)"),
+    ("agpl", " affero ", "the gnu affero general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works"),
+    ("mpl", " mozilla ", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    ("mpl-1.1", " mozilla ", "the contents of this file are subject to the mozilla public licen[cs]e version 1 1 the licen[cs]e you may not use this file except in compliance with the licen[cs]e"),
+    ("mpl", " initial ", "the initial developer hereby grants you a world ?wide royalty free non exclusive licen[cs]e"),
+    ("mpl", " incompatible ", "incompatible with secondary licen[cs]es"),
+    ("npl", " netscape ", "the contents of this file are subject to the netscape public licen[cs]e"),
+    ("epl", " eclipse ", "(?:this program|all rights reserved this program) and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("epl", " recipient ", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement(?: \\S+){0,20} (?:licen[cs]e|copyright)"),
+    ("cpl", " common ", "the accompanying program is provided under the terms of this common public licen[cs]e"),
+    ("cddl", " development ", "the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("cddl", " covered ", "you must include this cddl header notice in each file(?: \\S+){0,10} covered software(?: \\S+){0,10} licen[cs]e"),
+    ("eupl", " european ", "licen[cs]ed under the eupl version 1 [012](?: or as soon they will be approved by the european commission subsequent versions of the eupl)"),
+    ("ms-pl", " accompanying ", "this licen[cs]e governs use of the accompanying software if you use the software you accept this licen[cs]e"),
+    ("ms-rl", " reciprocal ", "reciprocal grants for any file you distribute that contains code from the software(?: \\S+){0,20} licen[cs]e"),
+    ("unlicense", " unencumbered ", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", " dedicate ", "the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("public-domain", " domain ", "(?:i|we|the authors?) (?:hereby )?(?:release|place|dedicate)s? (?:this|it|the)(?: \\S+){0,6} (?:in|into|to) the public domain"),
+    ("public-domain", " domain ", "(?:is|are|was|were|been) (?:hereby )?(?:placed|released|dedicated) (?:in|into|to) the public domain"),
+    ("wtfpl", " fuck ", "everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document(?: \\S+){0,20} do what the fuck you want to"),
+    ("wtfpl", " fuck ", "you just do what the fuck you want to(?: public licen[cs]e)?(?: copyright)?"),
+    ("beerware", " beer ", "as long as you retain this notice you can do whatever you want with this stuff(?: \\S+){0,20} buy me a beer(?: in return)?"),
+    ("cc0", " waive ", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives?(?: \\S+){0,20} copyright"),
+    ("cc0", " waived ", "has (?:dedicated the work to the public domain by waiving|waived) all copyright and related or neighbou?ring rights"),
+    ("cc", " exercising ", "by exercising the licen[cs]ed rights(?: defined below)? you accept and agree to be bound by the terms and conditions of this creative commons"),
+    ("cc", " creative ", "this work is licen[cs]ed under a creative commons(?: \\S+){1,10} licen[cs]e"),
+    ("cc-by-nc", " noncommercial ", "you may not use the (?:material|work) for commercial purposes(?: \\S+){0,10} noncommercial(?: \\S+){0,10} licen[cs]e"),
+    ("artistic", " artistic ", "you may distribute this(?: \\S+){1,4} under the terms of(?: either)?(?: the gnu general public licen[cs]e or)? the artistic licen[cs]e"),
+    ("artistic", " standard ", "you may make and give away verbatim copies of the (?:standard version|source form of the standard version) of this package without restriction(?: \\S+){0,20} copyright"),
+    ("perl", " perl ", "(?:free software )?you can redistribute it and or modify it under the same terms as perl(?: itself)?"),
+    ("psf", " psf ", "psf is making python available to licensee on an as is basis"),
+    ("psf", " python ", "this licen[cs]e agreement is between the python software foundation psf and the individual or organization"),
+    ("openssl", " openssl ", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ofl", " reserved ", "this font software is licen[cs]ed under the sil open font licen[cs]e(?: \\S+){0,20}(?: reserved font name)"),
+    ("ofl", " font ", "this font software is licen[cs]ed under the sil open font licen[cs]e version 1 [01]"),
+    ("ofl", " font ", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("ncsa", " illinois ", "neither the names of(?: \\S+){1,8} university of illinois(?: \\S+){1,16} may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("w3c", " w3c ", "permission to(?: use)? copy modify and distribute this software and its documentation with or without modification for any purpose and without fee or royalty is hereby granted(?: \\S+){0,60} w3c"),
+    ("curl", " fee ", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is"),
+    ("unicode", " unicode ", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("vim", " charityware ", "(?:vim is|this software is) charityware(?: \\S+){0,40} (?:licen[cs]e|copying|permission)"),
+    ("lppl", " latex ", "this work may be distributed and or modified under the conditions of the latex project public licen[cs]e"),
+    ("ruby", " ruby ", "(?:you can redistribute it and or modify it under )?(?:either )?the terms of(?: the)? ruby s? ?licen[cs]e"),
+        ("php", " php ", "this source file is subject to version (?:3 0|3 01|2 02) of the php licen[cs]e"),
+    ("cecill", " cecill ", "this software is governed by the cecill(?: [abc])? licen[cs]e under french law"),
+    ("afl", " academic ", "licen[cs]ed under the academic free licen[cs]e version \\d(?: \\d)?"),
+    ("osl", " open ", "licen[cs]ed under the open software licen[cs]e version \\d(?: \\d)?"),
+    ("sspl", " server ", "server side public licen[cs]e(?: version 1)?"),
+    ("busl", " business ", "business source licen[cs]e(?: version)?(?: 1 1)?"),
+    ("busl", " change ", "change date(?: \\S+){1,6} change licen[cs]e"),
+    ("elastic", " elastic ", "elastic licen[cs]e(?: version)?(?: 2 0| v2)?"),
+    ("commons-clause", " clause ", "commons clause licen[cs]e condition(?: v1 0)?"),
+    ("polyform", " polyform ", "polyform (?:noncommercial|small business|shield|strict|perimeter|internal use) licen[cs]e"),
+    ("hippocratic", " hippocratic ", "hippocratic licen[cs]e"),
+    ("parity", " parity ", "parity public licen[cs]e"),
+    ("odbl", " database ", "(?:open data commons )?open database licen[cs]e"),
+    ("odc-by", " commons ", "open data commons attribution licen[cs]e"),
+    ("pddl", " domain ", "(?:open data commons )?public domain dedication and licen[cs]e"),
+    ("gfdl", " invariant ", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e(?: \\S+){0,30} invariant sections"),
+    ("gfdl", " documentation ", "gnu free documentation licen[cs]e(?: version 1 [123])?"),
+    ("fsfap", " medium ", "copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved"),
+    ("nasa", " nasa ", "nasa open source agreement(?: version 1 3)?(?: licen[cs]e)?"),
+    ("proprietary", " unauthorized ", "unauthorized copying of this file via any medium is strictly prohibited(?: proprietary and confidential)?"),
+    ("proprietary", " confidential ", "(?:this software|this file|this document|the information contained herein) is (?:the )?confidential and proprietary(?: \\S+){0,30} (?:licen[cs]e|copyright|permission)"),
+    ("proprietary", " reproduced ", "no part of this (?:publication|work|book|software|document) may be reproduced(?: \\S+){0,24} without(?: the)?(?: prior)?(?: express)?(?: written)? permission"),
+    ("proprietary", " licensors ", "(?:its|our|their) licensors retain all rights not expressly granted(?: \\S+){0,6}"),
+)
+#: Signatures of addresses under which licenses stand: label, keyword, pattern.
+PLACES = (
+    ("apache", " apache ", "apache org licen[cs]es licen[cs]e 2 0"), ("apache", " apache ", "apache org licen[cs]es licen[cs]e 1 1"),
+    ("gpl", " gpl ", "gnu org licen[cs]es(?: old licen[cs]es)? gpl(?: [123] 0)?"), ("lgpl", " lgpl ", "gnu org licen[cs]es(?: old licen[cs]es)? lgpl(?: [23] [01])?"),
+    ("agpl", " agpl ", "gnu org licen[cs]es agpl(?: 3 0)?"), ("gfdl", " fdl ", "gnu org licen[cs]es fdl(?: 1 [123])?"), ("gpl", " copyleft ", "gnu org copyleft gpl(?: html)?(?: licen[cs]e)?"),
+    ("mpl", " mozilla ", "mozilla org mpl(?: [12] [01])?(?: licen[cs]e)?"), ("epl", " eclipse ", "eclipse org legal epl(?: v10| 2 0| v20)?(?: licen[cs]e)?"),
+    ("cc-by", " by ", "creativecommons org licen[cs]es by [1234] [05]"), ("cc-by-sa", " sa ", "creativecommons org licen[cs]es by sa [1234] [05]"),
+    ("cc-by-nc", " nc ", "creativecommons org licen[cs]es by nc [1234] [05]"), ("cc-by-nd", " nd ", "creativecommons org licen[cs]es by nd [1234] [05]"),
+    ("cc-by-nc-sa", " nc ", "creativecommons org licen[cs]es by nc sa [1234] [05]"), ("cc-by-nc-nd", " nc ", "creativecommons org licen[cs]es by nc nd [1234] [05]"),
+    ("cc0", " zero ", "creativecommons org publicdomain zero 1 0"), ("public-domain", " mark ", "creativecommons org publicdomain mark 1 0"),
+    ("bsl", " boost ", "boost org licen[cs]e 1 0(?: txt)?"), ("unlicense", " unlicense ", "unlicense org"), ("wtfpl", " wtfpl ", "wtfpl net(?: txt copying)?(?: licen[cs]e)?"),
+    ("mit", " mit ", "opensource org licen[cs]es mit(?: licen[cs]e)?(?: php)?"), ("bsd", " bsd ", "opensource org licen[cs]es bsd(?: [0234] clause| licen[cs]e)?(?: php)?"),
+    ("ofl", " ofl ", "scripts sil org ofl(?: licen[cs]e)?"), ("zlib", " zlib ", "(?:www )?zlib net zlib licen[cs]e(?: html)?"), ("cddl", " cddl ", "(?:sun com|java net|opensource org licen[cs]es) cddl(?: licen[cs]e)?(?: 1 [01])?"),
+    ("psf", " python ", "(?:docs )?python org(?: psf| \\d)? (?:psf )?licen[cs]e(?: html)?"), ("artistic", " perl ", "dev perl org licen[cs]es(?: artistic)?(?: html)?"), ("eupl", " eupl ", "joinup ec europa eu(?: \\S+){0,6} eupl(?: \\S+){0,3} licen[cs]e"),
+)
+
+#: Licenses by name: label, the name as words before "license" with its keyword, and the identifier as words with its keyword.
 LICENSES = (
-    ("mit", "(?:mit|expat)", "mit", "mit"),
-    ("mit", "expat", "expat", "expat"),
-    ("apache", "apache(?: software)?", "apache(?: 2 0| 1 1)?", "apache"),
-    ("gpl", "(?:gnu )?general public", "gpl(?: [123] 0| [123])?(?: only| or later)?", "general"),
-    ("gpl", "gpl(?: v[123]| [123])?", "gplv?[123]?", "gpl"),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public", "lgpl(?: [23] [01])?(?: only| or later)?", "general"),
-    ("lgpl", "lgpl(?: v[23]| [23])?", "lgplv?[23]?", "lgpl"),
-    ("agpl", "(?:gnu )?affero general public", "agpl(?: 3 0)?(?: only| or later)?", "affero"),
-    ("agpl", "agpl(?: v3| 3)?", "agplv?3?", "agpl"),
-    ("bsd", "(?:new |revised |simplified |modified |original )?bsd(?: style)?", "bsd(?: [0234] clause)?", "bsd"),
-    ("bsd", "[0234] clause bsd", "0bsd", "bsd"),
-    ("mpl", "mozilla public", "mozilla", "mozilla"),
-    ("mpl", "mpl(?: [12] [01])?", "mpl(?: [12] [01])?", "mpl"),
-    ("epl", "eclipse public", "epl(?: [12] 0)?", "eclipse"),
-    ("isc", "isc", "isc", "isc"),
-    ("zlib", "zlib(?: libpng)?", "zlib", "zlib"),
-    ("bsl", "boost software", "bsl(?: 1 0)?", "boost"),
-    ("artistic", "(?:perl )?artistic", "artistic(?: [12] 0)?", "artistic"),
-    ("cc-by", "creative commons attribution", "cc by(?: [1234] [05])?", "creative"),
-    ("cc-by-sa", "creative commons attribution share ?alike", "cc by sa(?: [1234] [05])?", "creative"),
-    ("cc-by-nc", "creative commons attribution non ?commercial", "cc by nc(?: [1234] [05])?", "creative"),
-    ("cc0", "creative commons zero(?: public domain)?", "cc0(?: 1 0)?", "creative"),
-    ("cc", "creative commons", "cc", "commons"),
-    ("unlicense", "public domain", "unlicense", "domain"),
-    ("wtfpl", "do what the fuck you want to public", "wtfpl", "public"),
-    ("psf", "python software foundation", "psf(?: 2 0)?", "python"),
-    ("python", "python", "python(?: 2 0)?", "python"),
-    ("afl", "academic free", "afl(?: [123] [012])?", "academic"),
-    ("osl", "open software", "osl(?: [123] [01])?", "open"),
-    ("cpl", "common public", "cpl(?: 1 0)?", "common"),
-    ("cpal", "common public attribution", "cpal(?: 1 0)?", "attribution"),
-    ("cddl", "common development and distribution", "cddl(?: 1 [01])?", "distribution"),
-    ("ms-pl", "microsoft public", "ms pl", "microsoft"),
-    ("ms-rl", "microsoft reciprocal", "ms rl", "reciprocal"),
-    ("eupl", "european union public", "eupl(?: 1 [012])?", "european"),
-    ("cecill", "cecill(?: free software)?", "cecill(?: [12] [01])?", "cecill"),
-    ("ofl", "(?:sil )?open font", "ofl(?: 1 [01])?", "font"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("php", "php", "php(?: 3 01?)?", "php"),
-    ("openssl", "openssl", "openssl", "openssl"),
-    ("json", "json", "json", "json"),
-    ("ncsa", "(?:university of illinois )?ncsa(?: open source)?", "ncsa", "ncsa"),
-    ("w3c", "w3c(?: software)?", "w3c", "w3c"),
-    ("x11", "x11", "x11", "x11"),
-    ("vim", "vim", "vim", "vim"),
-    ("curl", "curl", "curl", "curl"),
-    ("unicode", "unicode(?: data files and software)?", "unicode", "unicode"),
-    ("lppl", "latex project public", "lppl(?: 1 3[ac]?)?", "latex"),
-    ("rpl", "reciprocal public", "rpl(?: 1 [15])?", "reciprocal"),
-    ("qpl", "q public", "qpl(?: 1 0)?", "public"),
-    ("upl", "universal permissive", "upl(?: 1 0)?", "permissive"),
+    ("mit", "mit", " mit ", "mit", " mit "),
+    ("mit", "expat", " expat ", "expat", " expat "),
+    ("apache", "apache(?: software)?", " apache ", "apache(?: 2 0| 1 1)?", " apache "),
+    ("gpl", "(?:gnu )?general public", " general ", "gpl(?: [123] 0| [123])?(?: only| or later)?", " gpl"),
+    ("gpl", "gpl(?: v[123]| [123])?", " gpl ", "gplv?[123]?", " gpl"),
+    ("lgpl", "(?:gnu )?(?:lesser|library) general public", " general ", "lgpl(?: [23] [01])?(?: only| or later)?", " lgpl"),
+    ("lgpl", "lgpl(?: v[23]| [23])?", " lgpl ", "lgplv?[23]?", " lgpl"),
+    ("agpl", "(?:gnu )?affero general public", " affero ", "agpl(?: 3 0)?(?: only| or later)?", " agpl"),
+    ("agpl", "agpl(?: v3| 3)?", " agpl ", "agplv?3?", " agpl"),
+    ("bsd", "(?:new |revised |simplified |modified |original )?bsd(?: style)?", " bsd ", "bsd(?: [0234] clause)?", " bsd "),
+    ("bsd", "[0234] clause bsd", " clause ", "0bsd", " 0bsd "),
+    ("mpl", "mozilla public", " mozilla ", "mozilla", " mozilla "),
+    ("mpl", "mpl(?: [12] [01])?", " mpl ", "mpl(?: [12] [01])?", " mpl "),
+    ("epl", "eclipse public", " eclipse ", "epl(?: [12] 0)?", " epl "),
+    ("isc", "isc", " isc ", "isc", " isc "),
+    ("zlib", "zlib(?: libpng)?", " zlib ", "zlib", " zlib "),
+    ("bsl", "boost software", " boost ", "bsl(?: 1 0)?", " bsl "),
+    ("artistic", "(?:perl )?artistic", " artistic ", "artistic(?: [12] 0)?", " artistic "),
+    ("cc-by", "creative commons attribution", " attribution ", "cc by(?: [1234] [05])?", " cc "),
+    ("cc-by-sa", "creative commons attribution share ?alike", " attribution ", "cc by sa(?: [1234] [05])?", " sa "),
+    ("cc-by-nc", "creative commons attribution non ?commercial", " attribution ", "cc by nc(?: [1234] [05])?", " nc "),
+    ("cc-by-nd", "creative commons attribution no ?deriv(?:ative)?s", " attribution ", "cc by nd(?: [1234] [05])?", " nd "),
+    ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike", " attribution ", "cc by nc sa(?: [1234] [05])?", " nc "),
+    ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?deriv(?:ative)?s", " attribution ", "cc by nc nd(?: [1234] [05])?", " nc "),
+    ("cc0", "creative commons zero(?: public domain)?", " zero ", "cc0(?: 1 0)?", " cc0 "),
+    ("cc", "creative commons", " creative ", "cc", " cc "),
+    ("unlicense", "public domain", " domain ", "unlicense", " unlicense "),
+    ("wtfpl", "do what the fuck you want to public", " fuck ", "wtfpl", " wtfpl "),
+    ("psf", "python software foundation", " foundation ", "psf(?: 2 0)?", " psf "),
+    ("python", "python", " python ", "python(?: 2 0)?", " python "),
+    ("afl", "academic free", " academic ", "afl(?: [123] [012])?", " afl "),
+    ("osl", "open software", " open ", "osl(?: [123] [01])?", " osl "),
+    ("cpl", "common public", " common ", "cpl(?: 1 0)?", " cpl "),
+    ("cpal", "common public attribution", " attribution ", "cpal(?: 1 0)?", " cpal "),
+    ("cddl", "common development and distribution", " distribution ", "cddl(?: 1 [01])?", " cddl "),
+    ("ms-pl", "microsoft public", " microsoft ", "ms pl", " pl "),
+    ("ms-rl", "microsoft reciprocal", " microsoft ", "ms rl", " rl "),
+    ("eupl", "european union public", " european ", "eupl(?: 1 [012])?", " eupl "),
+    ("cecill", "cecill(?: free software)?", " cecill ", "cecill(?: [12] [01])?", " cecill "),
+    ("ofl", "(?:sil )?open font", " font ", "ofl(?: 1 [01])?", " ofl "),
+    ("postgresql", "postgresql", " postgresql ", "postgresql", " postgresql "),
+    ("ruby", "ruby", " ruby ", "ruby", " ruby "),
+    ("php", "php", " php ", "php(?: 3 01?)?", " php "),
+    ("openssl", "openssl", " openssl ", "openssl", " openssl "),
+    ("json", "json", " json ", "json", " json "),
+    ("ncsa", "(?:university of illinois )?ncsa(?: open source)?", " ncsa ", "ncsa", " ncsa "),
+    ("w3c", "w3c(?: software)?", " w3c ", "w3c", " w3c "),
+    ("x11", "x11", " x11 ", "x11", " x11 "),
+    ("vim", "vim", " vim ", "vim", " vim "),
+    ("curl", "curl", " curl ", "curl", " curl "),
+    ("unicode", "unicode(?: data files and software)?", " unicode ", "unicode", " unicode "),
+    ("lppl", "latex project public", " latex ", "lppl(?: 1 3[ac]?)?", " lppl "),
+    ("rpl", "reciprocal public", " reciprocal ", "rpl(?: 1 [15])?", " rpl "),
+    ("qpl", "q public", " q ", "qpl(?: 1 0)?", " qpl "),
+    ("upl", "universal permissive", " universal ", "upl(?: 1 0)?", " upl "),
 )
 VERSION = r"(?: version \d+(?: \d+)*| v\d+(?: \d+)*| \d+(?: \d+)*)?"
-#: Forms: which part of a license they name, priority, score, and the pattern around it.
+#: Forms in which names stand: whether they name a license by its identifier, priority, score, and the pattern around it.
 FORMS = (
-    ("id", 5, 1.0, " spdx license identifier {} "),
-    ("name", 4, 0.95, " (?:licensed|released|distributed|available|provided|published|covered) (?:to you )?(?:under|by|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?{} licen[cs]e" + VERSION + " "),
-    ("id", 3, 0.9, " (?:opensource|spdx|choosealicense) (?:org|com) licen[cs]es? {} "),
-    ("name", 3, 0.8, " (?:the |an? ){} licen[cs]e" + VERSION + " "),
-    ("id", 2, 0.7, " licen[cs]e[sd]? (?:is |are |as |type |name |under )?(?:the )?{} "),
-    ("name", 1, 0.6, " {} licen[cs]e[sd]?" + VERSION + " "),
+    ("id", 5, 1.0, "spdx license identifier {}"),
+    ("name", 4, 0.95, "(?:licensed|released|distributed|available|provided|published|covered) (?:to you )?(?:under|by|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?{} licen[cs]e" + VERSION),
+    ("id", 3, 0.9, "(?:opensource|spdx|choosealicense) (?:org|com) licen[cs]es? {}"),
+    ("name", 3, 0.8, "(?:the |an? ){} licen[cs]e" + VERSION),
+    ("id", 2, 0.7, "licen[cs]e[sd]? (?:is |are |as |type |name |under )?(?:the )?{}"),
+    ("name", 1, 0.6, "{} licen[cs]e[sd]?" + VERSION),
 )
 
 
 def spaced(pattern: str) -> str:
     """The pattern for words between which two blanks stand, so that neighbouring matches need not share one."""
-    inner = pattern[1:-1].replace(" ?", "\x00").replace(" ", "  ").replace("\x00", "(?:  )?")
+    inner = pattern.replace(" ?", "\x00").replace(" ", "  ").replace("\x00", "(?:  )?")
     return f" {inner} "
 
 
-def rules() -> list[tuple[str, str, int, float, str, str]]:
-    """Label, keyword, priority, score and pattern of every rule: each license in each form."""
-    return [
-        (label, " licen" if form != "id" or "spdx" not in around else " spdx ", priority, score, spaced(around.format(identifier if form == "id" else name)), word)
-        for form, priority, score, around in FORMS
-        for label, name, identifier, word in LICENSES
-        if form == "name" or identifier
-    ]
+def rules() -> list[tuple[str, str, int, float, str]]:
+    """Label, keyword, priority, score and pattern of every rule: bodies first, then addresses, then each name in each form."""
+    out = [(label, keyword, 7, 1.0, spaced(pattern)) for label, keyword, pattern in BODIES]
+    out += [(label, keyword, 6, 0.95, spaced(pattern)) for label, keyword, pattern in PLACES]
+    for form, priority, score, around in FORMS:
+        for label, name, name_keyword, identifier, identifier_keyword in LICENSES:
+            said, keyword = (identifier, identifier_keyword) if form == "id" else (name, name_keyword)
+            out.append((label, keyword, priority, score, spaced(around.format(said))))
+    return out
 
 
 def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def rule_array() -> Column:
-    each = [
-        F.struct(F.lit(label).alias("label"), F.lit(gate).alias("gate"), F.lit(priority).alias("priority"), F.lit(score).alias("score"), F.lit(pattern).alias("pattern"))
-        for label, gate, priority, score, pattern, _ in rules()
-    ]
-    return F.array(*each)
-
-
 def base_columns(words: Column) -> dict[str, Column]:
     """Places of the base phrases among the words, and their labels."""
 
@@ -142,41 +272,47 @@ def base_columns(words: Column) -> dict[str, Column]:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text and with n_words, places, base (labels), found (labels of the rules that stay) and rule_score."""
-    kept = [c for c in docs.columns if c != text]
-    seen = docs.withColumn("_low", lowered(F.col(text))).drop(text)
-    gate = F.lit(False)
-    for word in GATES:
-        gate = gate | F.contains("_low", F.lit(word))
+    """``docs`` without its text and with n_words, places, base (labels), found (labels of the rules that stay) and rule_score, which replace columns of these names."""
+    added = ("n_words", "places", "base", "found", "rule_score")
+    kept = unboxed([c for c in docs.columns if c.lower() != text.lower()], text, *added)
+    seen = boxed(docs, text, *added).select("box", lowered(F.col("text")).alias("low"))
+    gate = reduce(Column.__or__, (F.contains("low", F.lit(stem)) for stem in GATES))
     none = F.array().cast("array<string>")
-    plain = seen.filter(~gate).select(
-        *kept, F.regexp_count("_low", F.lit(WORD)).cast("long").alias("n_words"), F.array().cast("array<int>").alias("places"), none.alias("base"), none.alias("found"), F.lit(0.0).alias("rule_score")
-    )
-    held = seen.filter(gate).withColumn("_words", F.regexp_extract_all("_low", F.lit(WORD), F.lit(0))).drop("_low")
-    base = base_columns(F.col("_words"))
+    words = F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words")
+    plain = seen.filter(~gate).select(*kept, words, F.array().cast("array<int>").alias("places"), none.alias("base"), none.alias("found"), F.lit(0.0).alias("rule_score"))
+    held = seen.filter(gate).select("box", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("words"))
+    base = base_columns(F.col("words"))
     held = held.withColumn("places", base["places"]).withColumn("base", base["base"])
-    joined = F.concat(F.lit("  "), F.array_join("_words", "  "), F.lit("  "))
-    held = staged(held.select(*kept, F.size("_words").cast("long").alias("n_words"), "places", "base", joined.alias("_joined")).withColumn("_row", F.monotonically_increasing_id()), "licenses")
-
-    tried = held.select("_row", "_joined", F.explode(F.filter(rule_array(), lambda r: F.contains(F.col("_joined"), r["gate"]))).alias("rule"))
-    tried = tried.withColumn("hits", F.regexp_extract_all("_joined", F.col("rule.pattern"), F.lit(0))).filter(F.size("hits") > 0)
-    gaps = F.transform(F.split("_joined", F.col("rule.pattern")), lambda part: F.length(part))
-    each = tried.select("_row", "rule", F.posexplode(F.arrays_zip(F.transform("hits", lambda h: F.length(h)).alias("size"), F.slice(gaps, F.lit(1), F.size("hits")).alias("gap"))).alias("i", "hit"))
-    order = W.partitionBy("_row", "rule.pattern", "rule.label").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    joined = F.concat(F.lit("  "), F.array_join("words", "  "), F.lit("  "))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = held.select("box", F.size("words").cast("long").alias("n_words"), "places", "base", joined.alias("joined")).repartition(spread)
+    held = staged(held.withColumn("row", F.monotonically_increasing_id()), "licenses")
+
+    # Patterns are literals, so each is compiled once, and each is tried only behind its own keyword.
+    patterns = rules()
+    hits = lambda keyword, pattern: F.when(F.contains("joined", F.lit(keyword)), F.regexp_extract_all("joined", F.lit(pattern), F.lit(0)))
+    tried = [F.struct(F.lit(k).alias("rule"), hits(keyword, pattern).alias("hits")) for k, (_, keyword, _, _, pattern) in enumerate(patterns)]
+    matched = held.select("row", "joined", F.explode(F.filter(F.array(*tried), lambda r: F.size(r["hits"]) > 0)).alias("m")).select("row", "joined", "m.rule", "m.hits")
+    of = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(score).alias("score"), F.lit(pattern).alias("pattern")) for label, _, priority, score, pattern in patterns))
+    matched = matched.withColumn("of", F.get(of, F.col("rule")))
+    gaps = F.transform(F.split("joined", F.col("of.pattern")), lambda part: F.length(part))
+    zipped = F.arrays_zip(F.transform("hits", lambda h: F.length(h)).alias("size"), F.slice(gaps, F.lit(1), F.size("hits")).alias("gap"))
+    each = matched.select("row", "rule", "of.label", "of.priority", "of.score", F.posexplode(zipped).alias("i", "hit"))
+    order = W.partitionBy("row", "rule").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("hit.gap") + F.col("hit.size")).over(order)
-    detections = each.select("_row", "rule.label", "rule.priority", "rule.score", (end - F.col("hit.size")).alias("start"), end.alias("end"))
-    so_far = W.partitionBy("_row").orderBy("start").rangeBetween(W.unboundedPreceding, 0)
+    detections = each.select("row", "label", "priority", "score", (end - F.col("hit.size")).alias("start"), end.alias("end"))
+    so_far = W.partitionBy("row").orderBy("start").rangeBetween(W.unboundedPreceding, 0)
     contained = F.lit(False)
-    for level in sorted({p for _, p, _, _ in FORMS}):
+    for level in sorted({p for _, _, p, _, _ in patterns}):
         higher = F.max(F.when(F.col("priority") > level, F.col("end"))).over(so_far)
-        contained = contained | ((F.col("priority") == level) & (higher >= F.col("end")))
+        contained = contained | ((F.col("priority") == level) & F.coalesce(higher >= F.col("end"), F.lit(False)))
     # Of equal priority, a detection strictly within a longer one goes: it begins later and ends no later, or begins there and ends earlier.
-    level_so_far = W.partitionBy("_row", "priority").orderBy("start").rangeBetween(W.unboundedPreceding, -1)
-    contained = F.coalesce(contained, F.lit(False)) | F.coalesce(F.max("end").over(level_so_far) >= F.col("end"), F.lit(False))
-    contained = contained | (F.max("end").over(W.partitionBy("_row", "priority", "start")) > F.col("end"))
+    level_so_far = W.partitionBy("row", "priority").orderBy("start").rangeBetween(W.unboundedPreceding, -1)
+    contained = contained | F.coalesce(F.max("end").over(level_so_far) >= F.col("end"), F.lit(False))
+    contained = contained | (F.max("end").over(W.partitionBy("row", "priority", "start")) > F.col("end"))
     stay = detections.withColumn("contained", contained).filter(~F.col("contained"))
-    per_row = stay.groupBy("_row").agg(F.collect_set("label").alias("found"), F.max("score").alias("rule_score"))
-    gated = held.join(per_row, "_row", "left").select(*kept, "n_words", "places", "base", F.coalesce("found", none).alias("found"), F.coalesce("rule_score", F.lit(0.0)).alias("rule_score"))
+    per_row = stay.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("score").alias("rule_score"))
+    gated = held.join(per_row, "row", "left").select(*kept, "n_words", "places", "base", F.coalesce("found", none).alias("found"), F.coalesce("rule_score", F.lit(0.0)).alias("rule_score"))
     return plain.unionByName(gated)
 
 
@@ -191,8 +327,8 @@ def op9(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for ``op9``: the same rules as a values list, joined where their gate stands."""
-    values = ", ".join("('{}', '{}', {}, {}, '{}')".format(label, gate, priority, score, pattern) for label, gate, priority, score, pattern, _ in rules())
+    """DuckDB SQL for ``op9``: the same rules as a values list, joined where their keyword stands."""
+    values = ", ".join("({}, '{}', '{}', {}, {}, '{}')".format(k, *rule) for k, rule in enumerate(rules()))
     places = " OR ".join("(" + " AND ".join(f"w[p + {k}] = '{word}'" for k, word in enumerate(phrase.split(" "), 1)) + ")" for phrase, _ in PHRASES)
     labels = ", ".join("bool_or({}) AS is_{}".format(" AND ".join(f"w[p + {k}] = '{word}'" for k, word in enumerate(phrase.split(" "), 1)), label) for phrase, label in PHRASES)
     base = "list_sort(list_filter([{}], lambda x: x IS NOT NULL))".format(", ".join(f"CASE WHEN is_{label} THEN '{label}' END" for _, label in PHRASES))
@@ -200,12 +336,12 @@ def oracle() -> str:
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents
 ), j AS (SELECT doc_id, '  ' || array_to_string(w, '  ') || '  ' AS t FROM d WHERE len(w) > 0),
-rules(label, gate, priority, score, pattern) AS (VALUES {values}),
-tried AS (SELECT doc_id, label, priority, CAST(score AS DOUBLE) AS score, pattern, regexp_extract_all(t, pattern) AS hits, string_split_regex(t, pattern) AS gaps FROM j JOIN rules ON contains(t, gate) WHERE regexp_matches(t, pattern)),
-each AS (SELECT doc_id, label, priority, score, pattern, unnest(range(1, len(hits) + 1)) AS i, hits, gaps FROM tried),
-ends AS (SELECT doc_id, label, priority, score, length(hits[i]) AS size, sum(length(gaps[i]) + length(hits[i])) OVER (PARTITION BY doc_id, pattern, label ORDER BY i) AS e FROM each),
+rules(rule, label, keyword, priority, score, pattern) AS (VALUES {values}),
+tried AS (SELECT doc_id, rule, label, priority, CAST(score AS DOUBLE) AS score, pattern, regexp_extract_all(t, pattern) AS hits, string_split_regex(t, pattern) AS gaps FROM j JOIN rules ON contains(t, keyword) WHERE regexp_matches(t, pattern)),
+each AS (SELECT doc_id, rule, label, priority, score, unnest(range(1, len(hits) + 1)) AS i, hits, gaps FROM tried),
+ends AS (SELECT doc_id, label, priority, score, length(hits[i]) AS size, sum(length(gaps[i]) + length(hits[i])) OVER (PARTITION BY doc_id, rule ORDER BY i) AS e FROM each),
 det AS (SELECT doc_id, label, priority, score, e - size AS s, e FROM ends),
-stay AS (SELECT * FROM det a WHERE NOT EXISTS (SELECT 1 FROM det b WHERE b.doc_id = a.doc_id AND b.priority > a.priority AND b.s <= a.s AND b.e >= a.e)),
+stay AS (SELECT * FROM det a WHERE NOT EXISTS (SELECT 1 FROM det b WHERE b.doc_id = a.doc_id AND b.s <= a.s AND b.e >= a.e AND (b.priority > a.priority OR (b.priority = a.priority AND b.e - b.s > a.e - a.s)))),
 found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM stay GROUP BY doc_id),
 pl AS (SELECT doc_id, w, p FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM d) WHERE {places}),
 base AS (SELECT doc_id, count(*) AS n, min(p) AS a, max(p) AS b, {labels} FROM pl GROUP BY doc_id),

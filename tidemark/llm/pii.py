@@ -1,23 +1,28 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Entities are found by one pattern of alternatives. Each is made of units (an address, a number, a secret, a given name, a surname),
-and every distinct unit gets one surrogate wherever it stands: a keyed hash draws characters of the same classes, so length,
-separators and case stay; card numbers stay valid or invalid by their check digit; names are drawn from syllables of their script, with an ending
-of the title's gender. Surrogates are checked over all distinct units: none may equal another's, nor a unit that stands in the
+and every distinct unit gets one surrogate wherever it stands: a keyed hash (HMAC) draws characters of the same classes, so length,
+separators and case stay; card and bank account numbers stay valid or invalid by their check digits; network addresses stay in their private range;
+names are drawn from syllables of their script, with an ending of the title's gender. A name that stands after a title somewhere in a text is replaced in
+the whole of that text, also where it stands alone. Surrogates are checked over all distinct units: none may equal another's, nor a unit that stands in the
 corpus; what fails is drawn again until nothing fails.
 
 Defined results: null and empty texts and texts without entities stay as they are. Of units that draw the same
-surrogate the smallest keeps it. Repeated rows get the same result each, and extra columns are kept. Texts are used whole.
+surrogate the smallest keeps it. After ``ROUNDS`` draws, which only a format with hardly a free value needs, surrogates may be longer than what they stand for,
+and network addresses leave their range. Repeated rows get the same result each. Extra columns are kept, but one with the name of the count is replaced. An
+empty table gives an empty table. Texts are used whole, whatever their length.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import boxed, discard, staged, unboxed
 
 #: Titles by gender; a name follows them.
 MALE = ("Mr", "Mister", "Herr", "Sr", "Señor", "Don", "Monsieur", "Господин", "Κύριος")
@@ -25,7 +30,7 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Doña", "Madame", "Mme
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kinds in the order in which they are tried, each with its pattern.
 KINDS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)++[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("ip", rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"),
@@ -37,8 +42,8 @@ KINDS = (
     ("person", rf"(?<!\p{{L}})(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"),
 )
 PATTERN = "|".join(pattern for _, pattern in KINDS)
-#: Characters without which no entity can stand, as a quick test of a text.
-GATE = rf"[0-9@]|password=|token = |api_key=|(?:{'|'.join(MALE + FEMALE)})\.? "
+#: What stands in every entity, as a quick test of a text.
+GATE = rf"[0-9@]|A[KS]IA|password=|token = |api_key=|(?:{'|'.join(MALE + FEMALE)})\.? "
 
 #: Syllables by script; a name takes some of them and an ending by gender.
 SYLLABLES = {
@@ -46,7 +51,9 @@ SYLLABLES = {
     "cyrillic": ("ба бе да де фа фе га ка ке ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си та те ва ве".split(), ("слав", "ла", "енко")),
     "greek": ("βα βε δα δε φα φε γα κα κε λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε σι τα τε ζα ζε".split(), ("ος", "ία", "άκης")),
 }
+#: Draws after which surrogates may leave the format of what they stand for.
 ROUNDS = 40
+PERSON = rf"^(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?$"
 
 
 def kind_of(match: Column) -> Column:
@@ -59,7 +66,7 @@ def kind_of(match: Column) -> Column:
         .when(match.rlike(r"^[+(0-9][0-9 ().-]+$"), "phone")
         .when(match.rlike(r"^A[KS]IA[A-Z0-9]{16}$"), "access")
         .when(match.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), "iban")
-        .when(match.rlike(rf"^(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?$"), "person")
+        .when(match.rlike(PERSON), "person")
         .otherwise("secret")
     )
 
@@ -81,7 +88,12 @@ def units_of(match: Column) -> Column:
 
 
 def keyed(secret: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\u001f", F.lit(secret), *parts).cast("binary"), 512)
+    """HMAC-SHA512 of the parts, as hexadecimal digits."""
+    key = secret.encode()
+    key = (hashlib.sha512(key).digest() if len(key) > 128 else key).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    said = F.concat_ws("\u001f", *parts).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, said), 512))), 512)
 
 
 def drawn(stream: Column, i: Column, below: int) -> Column:
@@ -107,6 +119,29 @@ def check_digit(body: Column) -> Column:
     return F.pmod(F.lit(10) - F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10, F.lit(10)).cast("string")
 
 
+def remainder(account: Column) -> Column:
+    """The remainder by 97 of a bank account number (IBAN), with its first four characters moved to the end."""
+    moved = F.split(F.concat(F.substr(account, F.lit(5)), F.substring(account, 1, 4)), "")
+    value = lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(moved, F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97))
+
+
+def address(value: Column, stream: Column, attempt: Column) -> Column:
+    """A network address in the same private range, or a public one for a public one."""
+    octet = lambda i, low, high: (drawn(stream, F.lit(i), high - low) + low).cast("string")
+    parts = F.split(value, r"\.")
+    first, second = parts[0].cast("int"), parts[1].cast("int")
+    ends = F.concat_ws(".", octet(2, 0, 256), octet(3, 1, 255))
+    return (
+        F.when(attempt >= ROUNDS, F.concat_ws(".", octet(0, 1, 224), octet(1, 0, 256), ends))
+        .when((first == 192) & (second == 168), F.concat(F.lit("192.168."), ends))
+        .when((first == 169) & (second == 254), F.concat(F.lit("169.254."), ends))
+        .when((first == 172) & second.between(16, 31), F.concat_ws(".", F.lit("172"), octet(1, 16, 32), ends))
+        .when(first.isin(10, 127), F.concat_ws(".", parts[0], octet(1, 0, 256), ends))
+        .otherwise(F.concat_ws(".", octet(0, 11, 100), octet(1, 0, 256), ends))
+    )
+
+
 def name(stream: Column, script: Column, ending: Column, count: Column) -> Column:
     """A name of ``count`` syllables and an ending of the script: 0 male, 1 female, 2 surname."""
 
@@ -125,24 +160,27 @@ def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Colu
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     host, top = F.regexp_extract(domain, r"^(.*)(\.[^.]*)$", 1), F.regexp_extract(domain, r"^(.*)(\.[^.]*)$", 2)
     email = F.concat(characters(local, stream), F.lit("@"), characters(host, keyed(secret, F.lit("host"), F.lower(domain))), top)
-    octet = lambda i, low, high: (drawn(stream, F.lit(i), high - low) + low).cast("string")
-    first = F.when(F.split(value, r"\.")[0] == "10", "10").otherwise(octet(0, 11, 224))
-    ip = F.concat_ws(".", first, octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 255))
     body = F.concat(F.substring(value, 1, 1), characters(F.substr(value, F.lit(2), F.length(value) - 2), stream))
     valid = check_digit(F.substr(value, F.lit(1), F.length(value) - 1)) == F.right(value, F.lit(1))
     card = F.concat(body, F.when(valid, check_digit(body)).otherwise(drawn(stream, F.lit(31), 10).cast("string")))
     code = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0)
     phone = F.concat(code, characters(F.substr(value, F.length(code) + 1), stream))
     access = F.concat(F.substring(value, 1, 4), characters(F.substr(value, F.lit(5)), stream))
-    iban = F.concat(F.substring(value, 1, 2), characters(F.substr(value, F.lit(3)), stream))
+    land, account = F.substring(value, 1, 2), characters(F.substr(value, F.lit(5)), stream)
+    digits = F.lpad((98 - remainder(F.concat(land, F.lit("00"), account))).cast("string"), 2, "0")
+    iban = F.concat(land, F.when(remainder(value) == 1, digits).otherwise(characters(F.substring(value, 3, 2), stream)), account)
     hexadecimal = value.rlike("^[0-9a-f]+$")
     plain = F.when(hexadecimal, characters(value, stream, 6)).otherwise(characters(value, stream))
     script = F.substring_index(kind, "-", -1)
     count = (F.lit(2) + attempt / 2).cast("int")
     given = name(stream, script, F.when(kind.startswith("given-f"), 1).otherwise(0), count)
+    # Where a format has hardly a free value, surrogates grow.
+    more = F.when(attempt >= ROUNDS, F.repeat(F.lit("0"), attempt - ROUNDS + 1)).otherwise("")
+    grown = lambda made: F.concat(made, characters(more, keyed(secret, F.lit("more"), kind, value, attempt.cast("string"))))
+    email = F.when(attempt >= ROUNDS, F.concat(grown(F.lit("x")), email)).otherwise(email)
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "access", access)
-        .when(kind == "iban", iban).when(kind.startswith("given-"), given).when(kind.startswith("surname-"), name(stream, script, F.lit(2), count)).otherwise(plain)
+        F.when(kind == "email", email).when(kind == "ip", address(value, stream, attempt)).when(kind.startswith("given-"), given).when(kind.startswith("surname-"), name(stream, script, F.lit(2), count))
+        .otherwise(grown(F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "access", access).when(kind == "iban", iban).otherwise(plain)))
     )
 
 
@@ -151,7 +189,7 @@ def surrogate_table(units: DataFrame, secret: str) -> DataFrame:
     known = staged(units.distinct(), "units")
     settled: list[DataFrame] = []
     pending = known
-    for attempt in range(ROUNDS):
+    for attempt in count():
         tried = staged(pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), secret)), "tried")
         first = tried.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         taken = known.select("kind", F.col("value").alias("surrogate"))
@@ -159,37 +197,50 @@ def surrogate_table(units: DataFrame, secret: str) -> DataFrame:
         for done in settled:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         settled.append(staged(free.select("kind", "value", "surrogate"), "settled"))
-        pending = staged(pending.join(settled[-1].select("kind", "value"), ["kind", "value"], "left_anti"), "pending")
+        left = staged(pending.join(settled[-1].select("kind", "value"), ["kind", "value"], "left_anti"), "pending")
+        discard(tried)
+        if pending is not known:
+            discard(pending)
+        pending = left
         if pending.isEmpty():
+            discard(known, pending)
             return reduce(DataFrame.unionByName, settled)
-    raise RuntimeError(f"units without a free surrogate after {ROUNDS} attempts")
-
-
-def replace(docs: DataFrame, secret: str = "tidemark", text: str = "text", entities: str = "n_entities") -> DataFrame:
-    """``docs`` with surrogates in place of the personal data of ``text``, and how many entities were replaced."""
-    columns = docs.columns
-    may = F.coalesce(F.col(text).rlike(GATE), F.lit(False))
-    found = docs.withColumn("_found", F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    clean = found.filter(F.size("_found") == 0).select(*columns, F.lit(0).cast("long").alias(entities))
-    held = staged(found.filter(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "private")
-    each = held.select("_row", F.posexplode("_found").alias("_at", "_match")).select("_row", "_at", F.posexplode(units_of(F.col("_match"))).alias("_part", "_unit"))
-    each = staged(each.select("_row", "_at", "_part", "_unit.kind", "_unit.value"), "private-units")
+
+
+def replace(docs: DataFrame, secret: str, text: str = "text", entities: str | None = "n_entities") -> DataFrame:
+    """``docs`` with surrogates in place of the personal data of ``text``, and (unless None) how many entities were replaced. ``secret`` is the key of the surrogates.
+
+    The pattern runs over each text once; what it finds is written with the texts.
+    """
+    added = [entities] if entities else []
+    columns, counted = unboxed(docs.columns, text, *added), lambda n: [n.cast("long").alias(e) for e in added]
+    may = F.coalesce(F.col("text").rlike(GATE), F.lit(False))
+    first = F.when(may, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    seen = staged(boxed(docs, text, *added).withColumn("found", first), "searched")
+    clean = seen.filter(F.size("found") == 0).select(*columns, *counted(F.lit(0)))
+    # Names that a title has shown are looked for in the whole text.
+    shown = F.flatten(F.transform(F.filter("found", lambda m: m.rlike(PERSON)), lambda m: F.filter(units_of(m), lambda u: u["kind"].isNotNull())))
+    held = seen.filter(F.size("found") > 0).withColumn("names", shown)
+    alone = F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(F.array_distinct(F.transform("names", lambda u: u["value"])), "|"), F.lit(r")(?!\p{L})"))
+    held = held.withColumn("pattern", F.when(F.size("names") > 0, alone).otherwise(PATTERN))
+    held = held.withColumn("found", F.when(F.size("names") > 0, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("found")))
+    held = staged(held.withColumn("row", F.monotonically_increasing_id()), "private")
+    each = held.select("row", "names", F.posexplode("found").alias("at", "match"))
+    known = F.filter("names", lambda u: u["value"] == F.col("match"))
+    each = each.select("row", "at", F.posexplode(F.when(F.size(known) > 0, F.slice(known, 1, 1)).otherwise(units_of(F.col("match")))).alias("part", "unit"))
+    each = staged(each.select("row", "at", "part", "unit.kind", "unit.value"), "private-units")
     table = surrogate_table(each.filter("kind is not null").select("kind", "value"), secret)
-    told = each.join(table, ["kind", "value"], "left").select("_row", F.struct("_at", "_part", F.coalesce("surrogate", "value").alias("say")).alias("_say"))
-    lists = told.groupBy("_row").agg(F.array_sort(F.collect_list("_say")).alias("_say"))
+    told = each.join(table, ["kind", "value"], "left").select("row", F.struct("at", "part", F.coalesce("surrogate", "value").alias("say")).alias("say"))
+    lists = told.groupBy("row").agg(F.array_sort(F.collect_list("say")).alias("say"))
     # The parts of an entity are joined by blanks; entities alternate with what stands between them.
-    before = lambda s: F.when(s["_part"] > 0, F.lit(" ")).otherwise(F.get("_gap", s["_at"]))
-    said = F.array_join(F.transform("_say", lambda s: F.concat(before(s), s["say"])), "")
-    rebuilt = (
-        held.join(lists, "_row")
-        .withColumn("_gap", F.split(text, PATTERN, -1))
-        .withColumn(text, F.concat(said, F.element_at("_gap", -1)))
-        .select(*columns, F.size("_found").cast("long").alias(entities))
-    )
+    before = lambda s: F.when(s["part"] > 0, F.lit(" ")).otherwise(F.get("gap", s["at"]))
+    said = F.array_join(F.transform("say", lambda s: F.concat(before(s), s["say"])), "")
+    gaps = F.when(F.size("names") > 0, F.split("text", F.col("pattern"), -1)).otherwise(F.split("text", PATTERN, -1))
+    rebuilt = held.join(lists, "row").withColumn("gap", gaps).withColumn("text", F.concat(said, F.element_at("gap", -1))).select(*columns, *counted(F.size("found")))
     return clean.unionByName(rebuilt)
 
 
-def op3(docs: DataFrame) -> DataFrame:
+def op3(docs: DataFrame, secret: str) -> DataFrame:
     """Each document with surrogates, how many entities were replaced, and a digest of the new text."""
-    out = replace(docs.select("doc_id", "text"))
+    out = replace(docs.select("doc_id", "text"), secret)
     return out.select("doc_id", "text", "n_entities", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

@@ -4,8 +4,9 @@ A text is compressed with zstandard as a whole and in fixed chunks. Text that co
 repetitive, text that hardly compresses is noise; both limits depend on the length, since short inputs give the
 compressor less to work with.
 
-Defined results: null and empty texts have no words, ratio 1 and fail the base rules; texts are used whole; ties do
-not arise; repeated rows and extra columns are kept as they are.
+Defined results: null and empty texts have no words, ratio 1 and fail the base rules; texts are used whole, whatever their length; a ratio at
+a limit is within it; repeated rows and extra columns are kept as they are, but a column with the name of one that is added is replaced; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, extended, map_arrow
+from tidemark.llm.common import as_bytes, extended, map_arrow, with_columns
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -97,8 +98,7 @@ def measure(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> Data
         squeeze = zstandard.ZstdCompressor(level=bands.level).compress
         for batch in batches:
             rows = [base_counts(raw or b"") + compression(raw or b"", squeeze, bands) for raw in as_bytes(batch.column(at))]
-            more = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
+            yield with_columns(batch, {name: pa.array(values, kind) for name, values, kind in zip(names, zip(*rows), kinds)})
 
     ddl = ", ".join(f"{name} {kind}" for name, kind in zip(names, ["long"] * 5 + ["double"] * 4 + ["boolean"]))
     return map_arrow(docs, run, extended(docs.schema, ddl))

@@ -17,6 +17,11 @@ def vocabulary() -> tuple[dict[bytes, int], str]:
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key of surrogates: ``spark.tidemark.surrogate.key``, or one that is no secret, for sample tables."""
+    return spark.conf.get("spark.tidemark.surrogate.key", "sample tables only")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.op1(table(spark, sf_dir, "documents"))
 
@@ -26,7 +31,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.op3(table(spark, sf_dir, "documents"))
+    return pii.op3(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

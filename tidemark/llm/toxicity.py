@@ -6,8 +6,9 @@ holds a short vector for each hashed term, trained by AdaGrad, and scores pairs
 than alone. Labels come from a bounded sample, dealt into shards; after each round the shards' parameters are averaged.
 
 Defined results: null and empty texts have no terms and get the score of the bias alone; without labels every score
-is the sigmoid of 0 (0.5 would call all toxic, so the bias is then set to give 0). Texts are used whole. A document
-labelled more than once counts once for each label; repeated rows are scored alike.
+is the sigmoid of 0 (0.5 would call all toxic, so the bias is then set to give 0). Texts are used whole, whatever their length. A document
+labelled more than once counts once for each label; repeated rows are scored alike. ``apply`` keeps extra columns, but a column with the name of the
+score is replaced. An empty table gives an empty table. Equal scores are equal results: 0.5 itself is predicted toxic.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import extended, id_bucket, map_arrow, summed_blocks
+from tidemark.llm.common import extended, id_bucket, map_arrow, summed_blocks, with_columns
 
 #: Words in a worker's memo before it is emptied.
 MEMO = 200_000
@@ -133,7 +134,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Parameters:
     draw = F.xxhash64("doc_id", F.lit(s.seed))
     share = min(1.0, s.max_train / there)
     # The terms of the sample are made once; its size is bounded, and every round reads them again.
-    sample = rows.filter(F.pmod(draw, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(2 * s.max_train).withColumn("draw", draw)
+    sample = rows.filter(F.pmod(draw, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).withColumn("draw", draw)
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(s.buckets)
@@ -142,8 +143,9 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Parameters:
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), found], ["toxic", "draw", "terms"])
 
     ready = map_arrow(sample.select("doc_id", "text", F.col("toxic").cast("int"), "draw"), terms_of, "toxic int, draw long, terms array<int>")
-    ready = ready.withColumn("shard", F.pmod("draw", F.lit(max(1, min(s.shards, there // s.shard_rows))))).persist()
-
+    shards = max(1, min(s.shards, there // s.shard_rows))
+    # A number of partitions that is asked for is kept, so that the shards train side by side.
+    ready = ready.withColumn("shard", F.pmod("draw", F.lit(shards))).repartition(4 * shards, "shard").persist()
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(s.buckets, "int64")
@@ -154,12 +156,13 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Parameters:
 
     frequent = spark.sparkContext.broadcast(summed_blocks(map_arrow(ready.select("terms"), count_terms, "block int, counts binary"), s.buckets) >= s.min_docs)
     for _ in range(s.rounds):
-        shipped = spark.sparkContext.broadcast(p)
+        # Plain values only: a broadcast is unpickled where this package need not be.
+        shipped, kind = spark.sparkContext.broadcast((p.bias, p.linear, p.pairs)), Parameters
 
         def train(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("draw", kind="stable")
             rows = [(np.asarray(t, "int64"), int(y)) for t, y in zip(group["terms"], group["toxic"])]
-            q = fit_shard([(t[frequent.value[t]], y) for t, y in rows], shipped.value, s)
+            q = fit_shard([(t[frequent.value[t]], y) for t, y in rows], kind(*shipped.value), s)
             return pd.DataFrame({"n": [len(group)], "bias": [q.bias], "linear": [q.linear.astype("float32").tobytes()], "pairs": [q.pairs.astype("float32").tobytes()]})
 
         parts = ready.groupBy("shard").applyInPandas(train, "n long, bias double, linear binary, pairs binary")
@@ -177,14 +180,14 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Parameters:
 
 def apply(docs: DataFrame, parameters: Parameters, settings: Settings = Settings(), text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text."""
-    shipped = docs.sparkSession.sparkContext.broadcast(parameters)
+    shipped, kind = docs.sparkSession.sparkContext.broadcast((parameters.bias, parameters.linear, parameters.pairs)), Parameters
     at, buckets = docs.columns.index(text), settings.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, terms = shipped.value, Terms(buckets)
+        p, terms = kind(*shipped.value), Terms(buckets)
         for batch in batches:
             scores = pa.array([sigmoid(p.score(features(t, terms))) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, score])
+            yield with_columns(batch, {score: scores})
 
     return map_arrow(docs, run, extended(docs.schema, f"`{score}` double"))
 
