@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chunks, decontaminate, jaccard, langid, licenses, pii, quality, suffixes, toxicity
 from tidemark.llm.registry import vocabulary
@@ -47,8 +49,48 @@ def test_op1(spark, odd, empty):
     passage = words(9, 70)
     found = {r.doc_id: r for r in chunks.op1(texts_of(spark, [(1, words(10, 90) + " " + passage + " " + words(11, 90)), (2, words(12, 50) + " " + passage), (3, words(13, 200))])).collect()}
     assert found[2].n_removed > len(passage) // 3 and found[1].n_removed == 0 and found[1].n_shared == found[2].n_shared and found[3].n_shared == 0
-    clash = odd.withColumnRenamed("source", "spans").withColumnRenamed("n_chars", "row_hash")
-    assert chunks.op1(clash).count() == len(ODD)
+    clash = odd.withColumnsRenamed({"lang": "kept", "source": "spans", "n_chars": "row_hash"})
+    out = chunks.deduplicate(clash)
+    assert out.columns == ["doc_id", "text", "row_hash", "kept", "n_removed", "n_spans", "spans", "n_shared"] and out.count() == len(ODD)
+
+
+def brute_chunks(rows):
+    """Spans that go, by the definition, in plain Python: repeated chunks, their runs, and the first place of each."""
+    texts = sorted({(d, t) for d, t in rows if t}, key=lambda r: (r[0], r[1]))
+    pieces = {r: list(zip([0, *chunks.cut_points(r[1].encode())], chunks.cut_points(r[1].encode()))) for r in texts}
+    times = collections.Counter(r[1].encode()[a:b] for r in texts for a, b in pieces[r])
+    places = collections.defaultdict(list)
+    for r in texts:
+        run = []
+        for a, b in [*pieces[r], (-1, -1)]:
+            if a >= 0 and times[r[1].encode()[a:b]] > 1:
+                run.append((a, b))
+            else:
+                if sum(y - x for x, y in run) >= chunks.LEAST:
+                    for x, y in run:
+                        places[r[1].encode()[x:y]].append((r, x, y))
+                run = []
+    gone, shared = collections.Counter(), collections.Counter()
+    for where in places.values():
+        for k, (r, x, y) in enumerate(where):
+            shared[r] += y - x
+            gone[r] += (y - x) * (k > 0)
+    return sorted((d, len((t or "").encode()), shared[(d, t)], gone[(d, t)]) for d, t in rows)
+
+
+def test_op1_equals_brute_force(spark):
+    rng = random.Random(21)
+    passages = [words(50 + k, rng.choice([6, 20, 55, 90])) for k in range(8)]
+    rows = [(k, " ".join(x for j in range(3) for x in (words(1000 + 3 * k + j, rng.choice([5, 40, 80])), rng.choice(passages)))) for k in range(40)]
+    rows += [(50, rows[3][1]), (51, rows[3][1][40:]), (52, "ab" * 3000), (53, "ab" * 3000), (54, None), (55, "")]
+    got = sorted((r.doc_id, r.n_bytes, r.n_shared, r.n_removed) for r in chunks.op1(texts_of(spark, rows)).collect())
+    assert got == brute_chunks(rows) and sum(r[3] for r in got) > 3000
+
+
+def test_op1_leaves_common_phrases_alone(spark):
+    phrase = words(77, 7)
+    rows = [(k, words(2000 + k, 60) + " " + phrase + " " + words(3000 + k, 60)) for k in range(6)]
+    assert all(r.n_shared == 0 for r in chunks.op1(texts_of(spark, rows)).collect())
 
 
 def test_op2(spark, odd, empty):
@@ -193,6 +235,56 @@ def test_op6(spark, odd, empty):
     assert held and all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in held)
 
 
+def test_op6_learns_every_language(spark):
+    """More languages than any list of them is likely to hold; none is left out, and none stops the fit."""
+    rows = [(i, f"{words(i % 1600, 3)} {words(5000 + i % 1600, 4)}", f"l{i % 1600}", "s", 1) for i in range(4800)]
+    settings = langid.Settings(buckets=1 << 10, shards=2, epochs=1)
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA), settings)
+    assert len(model.languages) == 1600 and np.isfinite(model.weights).all()
+    said = model.apply(spark.createDataFrame(rows[:50], SCHEMA).withColumnRenamed("source", "score")).collect()
+    assert all(r.lang_pred in model.languages and 0 <= r.score <= 1 for r in said)
+
+
+def test_added_columns_replace_those_of_the_same_name(odd):
+    ranks, pattern = vocabulary()
+    clash = odd.withColumnsRenamed({"lang": "ids", "source": "score", "n_chars": "n_words"})
+    assert bpe.encode(clash, ranks, pattern).columns == ["doc_id", "text", "score", "n_words", "ids"]
+    assert quality.measure(clash).columns.count("n_words") == 1
+    parameters = toxicity.Parameters(0.0, np.zeros(1 << 18, "float32"), np.zeros((1 << 18, 4), "float32"))
+    out = toxicity.apply(clash, parameters)
+    assert out.columns == ["doc_id", "text", "ids", "n_words", "score"] and out.count() == len(ODD)
+
+
+def test_op7_bands_equal_a_restatement(spark):
+    import zstandard
+
+    rng = random.Random(13)
+    rows = [(k, (words(k, 8) + " ") * rng.choice([1, 3, 40]) + words(100 + k, rng.choice([1, 60, 700]))) for k in range(60)] + [(90, None), (91, "")]
+    bands, squeeze = quality.Bands(), zstandard.ZstdCompressor(level=3).compress
+
+    def inside(of, raw):
+        low, high = [(a, b) for n, a, b in of if n <= len(raw)][-1]
+        return low <= len(raw) / len(squeeze(raw)) <= high
+
+    for r in quality.measure(texts_of(spark, rows)).collect():
+        raw = (r.text or "").encode()
+        parts = [raw[i : i + 2048] for i in range(0, len(raw), 2048)]
+        judged = [p for p in parts if len(p) == 2048] or parts
+        assert r.in_band == (not raw or inside(bands.whole, raw) and sum(not inside(bands.chunk, p) for p in judged) <= 0.5 * len(judged))
+
+
+def test_op8_ids_equal_tiktoken(odd):
+    import tiktoken
+
+    ranks, pattern = vocabulary()
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    want = collections.Counter()
+    for i, t in ODD:
+        ids = theirs.encode_ordinary(t or "")
+        want[(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe.op8(odd, ranks, pattern).collect()) == want
+
+
 def test_op7(odd, empty):
     assert quality.op7(empty).count() == 0
     rows = quality.op7(odd).collect()
@@ -288,10 +380,10 @@ def test_op9_replaces_clashing_columns(odd):
 
 
 def brute_removal(rows):
-    count = collections.Counter(t.encode()[k : k + 200] for _, t in rows if t for k in range(len(t.encode()) - 199))
+    raws = [(d, (t or "").encode()) for d, t in rows]
+    count = collections.Counter(raw[k : k + 200] for _, raw in raws for k in range(len(raw) - 199))
     out = []
-    for d, t in rows:
-        raw = (t or "").encode()
+    for d, raw in raws:
         gone = bytearray(len(raw))
         for k in range(len(raw) - 199):
             if count[raw[k : k + 200]] > 1:
@@ -304,10 +396,12 @@ def brute_removal(rows):
 @pytest.mark.parametrize("crowd", [2000, 1])
 def test_op10(spark, odd, empty, crowd, monkeypatch):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "PART", 30_000 if crowd == 1 else 1 << 20)
     if crowd > 1:
         assert suffixes.op10(empty).count() == 0
     passage, short = words(30, 60), words(31, 25)
-    rows = [r for r in ODD if r[0] != 6] + [(20, words(32, 40) + passage + words(33, 30)), (21, words(34, 9) + passage[5:] + words(35, 70)), (22, passage[:260]), (23, short + "x"), (24, "y" + short), (25, "ab" * 400), (26, "ü" * 350)]
+    rows = [*ODD, (20, words(32, 40) + passage + words(33, 30)), (21, words(34, 9) + passage[5:] + words(35, 70)), (22, passage[:260]), (23, short + "x"), (24, "y" + short), (25, "ab" * 400), (26, "ü" * 350)]
+    rows += [(27, LONG[4000:4600])]
     assert sorted(str(tuple(r)) for r in suffixes.op10(texts_of(spark, rows)).collect()) == brute_removal(rows)
 
 
@@ -323,3 +417,15 @@ def test_pipeline(spark, sf_dir):
     kept = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in set(ids)]
     labels = brute_components(kept, 5, 80)
     assert all(d == c for d, n, c in labels if n)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty, sf_dir):
+    """Nulls, empty and long texts, repeated rows, an empty table, and columns whose names are used on the way."""
+    import corpus_pipeline
+
+    for docs in (odd, empty):
+        docs = docs.withColumns({c: F.lit(7) for c in ("_lang", "_score", "_decoded", "row", "found", "box", "maybe", "n_entities")})
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf_dir)
+            assert set(docs.columns) <= set(out.columns) and out.count() <= max(docs.count(), 0) and (k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns)
+            assert out.filter("_lang <> 7 or row <> 7 or n_entities <> 7").isEmpty()

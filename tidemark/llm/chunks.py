@@ -2,12 +2,15 @@
 
 A gear hash rolls over the bytes of a text. A text is cut before the bytes where the hash is the largest among its
 neighbours, so that a cut depends on nothing but some dozens of bytes around it and an insertion moves no cut further off. Chunks
-that occur more than once, by a 128-bit digest, are kept at their first place (smallest doc_id, then hash of the text, then
-position) and removed elsewhere.
+that occur more than once, by a 128-bit digest, count where they stand in a run of such chunks that follow each other over ``LEAST`` bytes or more, so that
+phrases which texts merely have in common stay. Of a chunk's places in such runs the first one (smallest doc_id, then hash of the text, then
+position) is kept, and the chunk is removed elsewhere.
 
 Cuts fall between characters only. Defined results: null and empty texts have no chunks; a text shorter than the
-neighbourhood is one chunk; a repeated row counts as the same text at the same place, so it keeps what its twin keeps; a null
-doc_id comes first. Texts are used whole.
+neighbourhood is one chunk. Where a text repeats itself within fewer bytes than the neighbourhood, no place differs from the others, so it is cut every
+``LONGEST`` bytes from the last cut on: an insertion moves these cuts up to the next one that the text sets, and no others. A
+repeated row counts as the same text at the same place, so it keeps what its twin keeps; a null doc_id comes first. Extra columns are kept, but one with the
+name of one that is added is replaced. An empty table gives an empty table. Texts are used whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -18,15 +21,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, cut, map_arrow, row_hash, staged, with_spans
+from tidemark.llm.common import as_bytes, boxed, cut, discard, map_arrow, row_hash, staged, unboxed, with_spans
 
 #: Bytes that the rolling hash covers, and bytes on each side among which a cut has the largest hash.
 ROLL = 16
 REACH = 32
 #: A chunk without a cut for so long (a text that repeats itself) is cut all the same.
 LONGEST = 1024
+#: Bytes that repeated chunks in a row cover at least.
+LEAST = 128
 #: Fixed by a seed: one random number for each byte value.
 GEAR = np.random.default_rng(20_240_601).integers(0, 1 << 32, 256, dtype="uint32")
 
@@ -102,27 +108,33 @@ def chunk_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Chunks that occur more than once: row_id, row_hash, start, end and whether the place is the first."""
-    # A repeated row is one place, not two: its chunks are told apart from other texts' only.
+    """Chunks in runs of repeated ones: row_id, row_hash, start, end and whether the place is the first."""
     rows = docs.select("doc_id", text)
     chunks = chunk_rows(rows, text)
     counts = chunks.groupBy("d0", "d1").agg(F.count("*").alias("times"))
-    shared = staged(counts.filter("times > 1").select("d0", "d1"), "shared-chunks")
-    repeated = staged(chunks.join(shared, ["d0", "d1"]), "repeated-chunks")
-    first = staged(repeated.groupBy("d0", "d1").agg(F.min(F.struct("row_id", "row_hash", "start")).alias("first")), "first-chunks")
+    shared = staged(counts.filter("times > 1").select("d0", "d1"), "shared-chunks", release=True)
+    # A repeated row is one place, not two: its chunks are told apart from other texts' only.
+    repeated = staged(chunks.join(shared, ["d0", "d1"]).distinct(), "repeated-chunks", release=True)
+    discard(shared)
+    along = W.partitionBy("row_id", "row_hash").orderBy("start")
+    run = F.sum((F.coalesce(F.lag("end").over(along), F.lit(-1)) != F.col("start")).cast("int")).over(along)
+    covered = F.sum(F.col("end") - F.col("start")).over(W.partitionBy("row_id", "row_hash", "run"))
+    long = staged(repeated.withColumn("run", run).withColumn("covered", covered).filter(F.col("covered") >= LEAST).drop("run", "covered"), "long-runs", release=True)
+    discard(repeated)
     place = F.struct("row_id", "row_hash", "start")
-    return repeated.join(first, ["d0", "d1"]).select("row_id", "row_hash", "start", "end", place.eqNullSafe(F.col("first")).alias("is_first"))
+    first = long.groupBy("d0", "d1").agg(F.min(place).alias("first"))
+    return long.join(first, ["d0", "d1"]).select("row_id", "row_hash", "start", "end", place.eqNullSafe(F.col("first")).alias("is_first"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with kept (bytes), n_removed, n_spans and n_shared (bytes in chunks that occur elsewhere too)."""
+    """``docs`` with kept (bytes), n_removed, n_spans, spans and n_shared (bytes in runs of chunks that occur elsewhere too)."""
+    added = ("kept", "n_removed", "n_spans", "spans", "n_shared")
     size = F.col("end") - F.col("start")
-    each = repeated_chunks(docs, text).distinct()
-    marks = each.groupBy("row_id", "row_hash").agg(
+    marks = repeated_chunks(docs, text).groupBy("row_id", "row_hash").agg(
         F.array_sort(F.collect_list(F.when(~F.col("is_first"), F.struct("start", "end")))).alias("spans"), F.sum(size).alias("n_shared")
     )
-    out = cut(with_spans(docs, staged(marks, "chunk-marks"), text), text)
-    return out.withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long")))
+    out = cut(with_spans(boxed(docs, text, *added), staged(marks, "chunk-marks", release=True)))
+    return out.withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long"))).select(*unboxed(docs.columns, text, *added), *added)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -175,9 +175,9 @@ def cut(docs: DataFrame, text: str = "text", spans: str = "spans", kept: str = "
     return map_arrow(docs, run, extended(docs.schema, f"`{kept}` binary, `{removed}` long, `{runs}` long"))
 
 
-def with_spans(docs: DataFrame, marks: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the spans of ``marks`` (row_id, row_hash, spans); rows that share id and text share their spans."""
-    same = docs["doc_id"].eqNullSafe(marks["row_id"]) & (row_hash(docs[text]) == marks["row_hash"])
+def with_spans(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``boxed`` documents with the columns of ``marks`` (row_id, row_hash and others); rows that share id and text share their marks."""
+    same = docs["box"].getField("doc_id").eqNullSafe(marks["row_id"]) & (row_hash(docs["text"]) == marks["row_hash"])
     return docs.join(marks, same, "left").drop("row_id", "row_hash")
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, cut, map_arrow, row_hash, staged, with_spans
+from tidemark.llm.common import as_bytes, boxed, cut, map_arrow, row_hash, staged, unboxed, with_spans
 
 LENGTH = 200
 ANCHOR = 100
@@ -382,8 +382,9 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with kept (the bytes that stay), n_removed and n_spans."""
-    return cut(with_spans(docs, repeated_spans(docs, text), text), text)
+    """``docs`` with kept (the bytes that stay), n_removed and n_spans, which replace columns of these names."""
+    added = ("kept", "n_removed", "n_spans")
+    return cut(with_spans(boxed(docs, text, *added), repeated_spans(docs, text))).select(*unboxed(docs.columns, text, *added), *added)
 
 
 def op10(docs: DataFrame) -> DataFrame:
