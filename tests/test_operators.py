@@ -1,10 +1,13 @@
 """Operators against plain re-statements, and their properties."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -169,7 +172,7 @@ def test_network_gradients_and_causality():
     later[:, 6:] += 1
     a, b = network.forward(w, config, x), network.forward(w, config, later)
     assert np.allclose(a["xm"][:, :6], b["xm"][:, :6]) and not np.allclose(a["xm"][:, 6:], b["xm"][:, 6:])
-    assert all(np.array_equal(network.unpacked(network.packed(w), w)[k], w[k]) for k in w)
+    assert all(np.array_equal(network.unpacked(network.packed(w), w)[0][k], w[k]) for k in w)
     with pytest.raises(ValueError):
         network.Config(channels=1, units=(4, 4))
 
@@ -295,3 +298,73 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = spark.read.parquet(str(tmp_path / "out")).toPandas().sort_values(["series", "ts", "channel"]).reset_index(drop=True)
     batch = detect.detect(model.score(df.drop("ts"), chunk=30), alphas).toPandas().sort_values(["series", "pos", "channel"]).reset_index(drop=True)
     assert len(streamed) == len(batch) and np.allclose(streamed["recon"], batch["recon"]) and (streamed["pred"] == batch["pred"]).all()
+
+
+def panel_of(spark, lengths, fn, start="2020-01-06"):
+    first = datetime.datetime.fromisoformat(start)
+    rows = [(i, p, first + datetime.timedelta(days=7 * p), float(fn(i, p))) for i, n in enumerate(lengths) for p in range(n)]
+    return spark.createDataFrame(rows, "item_id long, pos int, ts timestamp, x double")
+
+
+def test_tabular_forecasters_start_from_each_items_end(spark):
+    df = panel_of(spark, (60, 50), lambda i, p: 10 * i + np.sin(p / 2) + 0.01 * p)
+    for made in (forecast.direct_tabular(df, 6, 12), forecast.recursive_tabular(df, 6, lags=(1, 2, 3))):
+        rows = sorted((r.item_id, r.pos, r.h) for r in made.collect())
+        assert rows == [(i, n - 1 + h, h) for i, n in ((0, 60), (1, 50)) for h in range(1, 7)]
+
+
+def test_direct_forecasts_beyond_a_season_look_back_further(spark):
+    rows = forecast.direct_rows(panel_of(spark, (30,), lambda i, p: p), 10, F.col("pos") == 29, (0,), 4).collect()
+    assert {r.h: r.season_before for r in rows} == {h: 29 + h - 4 * -(-h // 4) for h in range(1, 11)}
+
+
+def test_known_covariates_lower_the_error(spark):
+    rng = np.random.default_rng(3)
+    drive = rng.normal(size=90)
+    df = panel_of(spark, (80,), lambda i, p: drive[p])
+    known = spark.createDataFrame([(0, p, [float(drive[p])]) for p in range(90)], "item_id long, pos int, v array<double>").select("item_id", "pos", array_to_vector("v").alias("known"))
+    error = lambda made: np.mean([abs(r["mean"] - drive[r.pos]) for r in made.collect()])
+    for fit in (lambda **k: forecast.direct_tabular(df, 8, 4, **k), lambda **k: forecast.recursive_tabular(df, 8, lags=(1, 2), **k)):
+        assert error(fit(known=known)) < 0.6 * error(fit())
+
+
+def test_future_frame_takes_known_covariates(spark):
+    df = panel_of(spark, (5,), lambda i, p: p)
+    future = frames.future_frame(df, 3, "7 days")
+    known = future.filter("h < 3").select("item_id", "ts", (F.col("h") * 2).alias("price"))
+    assert sorted((r.h, r.price) for r in frames.with_known(future, known, ["item_id", "ts"]).collect()) == [(1, 2), (2, 4), (3, None)]
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    df = automl.assembled(spark.createDataFrame([(float(k), float(3 * k)) for k in range(40)], "a double, y double").withColumn("item_id", F.lit(0)), ["a"])
+    found, _ = automl.train(df, {k: v for k, v in automl.candidates(trees=2).items() if k in ("GBM_1", "DRF_1")})
+    for name, model in found.items():
+        io.save_model(model, f"file://{tmp_path}/{name}")
+        again = io.load_model(spark, f"file://{tmp_path}/{name}")
+        assert type(again) is type(model)
+        assert [r.p for r in again.transform(df).collect()] == [r.p for r in model.transform(df).collect()]
+
+
+def test_adam_goes_on_between_epochs():
+    config = network.Config(channels=1, length=4, units=(2, 2, 2), dilations=(1, 1), latent=1, rate=1e-2, batch=8)
+    windows = np.random.default_rng(0).normal(size=(32, 4, 1))
+    one, taken, _ = network.train_epoch(network.fresh(network.initial(config)), config, windows, 1, 0)
+    assert taken == 4 and any(np.abs(v).max() > 0 for v in one[1].values())
+    kept, _, _ = network.train_epoch(one, config, windows, 2, taken)
+    reset, _, _ = network.train_epoch(network.fresh(one[0]), config, windows, 2, 0)
+    assert any(not np.allclose(kept[0][k], reset[0][k]) for k in kept[0])
+    assert all(np.array_equal(a[k], b[k]) for a, b in zip(network.unpacked(network.packed(*kept), *kept), kept) for k in a)
+
+
+def test_search_varies_what_it_searches():
+    found = candidates(20, seed=1)
+    for key in ("length", "units", "batch", "latent", "rate"):
+        assert len({str(c[key]) for c in found}) > 1
+
+
+def test_alphas_are_chosen_by_points_or_ranges(spark):
+    rows = [("a", p, 5.0 if 10 <= p < 14 else 0.5 * (-1) ** p, 0.0, 1.0, int(10 <= p < 14)) for p in range(40)]
+    df = spark.createDataFrame(rows, "channel string, pos int, x double, recon double, sigma double, label int")
+    for by in ("point", "range"):
+        best = detect.fit_alphas(df, by).first()
+        assert best.f1 > 0.99 and (best.alpha_up, best.alpha_down) == (2, 2)

@@ -10,10 +10,10 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import mae, rmse, rmsle
+from tidemark.sources.staging import staged
 
 
 def assembled(df: DataFrame, inputs: Sequence[str], target: str = "y") -> DataFrame:
@@ -22,10 +22,11 @@ def assembled(df: DataFrame, inputs: Sequence[str], target: str = "y") -> DataFr
 
 
 def candidates(seed: int = 42, trees: int = 5) -> dict[str, Estimator]:
-    """Boosted trees, a second boosted variant with absolute loss and subsamples, and a random forest."""
+    """Four boosted models, a second boosted family with absolute loss and subsamples, and a random forest."""
     common = {"featuresCol": "features", "labelCol": "y", "predictionCol": "p", "seed": seed}
     return {
         "GBM_1": GBTRegressor(maxIter=trees, maxDepth=3, **common), "GBM_2": GBTRegressor(maxIter=trees, maxDepth=4, stepSize=0.2, **common),
+        "GBM_3": GBTRegressor(maxIter=trees, maxDepth=5, subsamplingRate=0.8, **common), "GBM_4": GBTRegressor(maxIter=trees, maxDepth=2, stepSize=0.3, **common),
         "XGB_1": GBTRegressor(maxIter=trees, maxDepth=3, lossType="absolute", subsamplingRate=0.7, **common),
         "DRF_1": RandomForestRegressor(numTrees=trees, maxDepth=5, **common),
     }
@@ -81,10 +82,32 @@ def leaderboard(every: DataFrame) -> DataFrame:
     return scores.orderBy("mae", "model")
 
 
-def panel_leaderboard(every: DataFrame, naive: DataFrame) -> DataFrame:
-    """Negated MASE of each model over items: ``every`` has (item_id, model, y, p), ``naive`` (item_id, naive_mae)."""
-    errors = every.groupBy("model", "item_id").agg(mae().alias("mae")).join(naive, "item_id")
-    return errors.groupBy("model").agg((-F.avg(F.col("mae") / F.col("naive_mae"))).alias("score_test")).orderBy(F.desc("score_test"), "model")
+def panel_leaderboard(every: DataFrame, naive: DataFrame, validation: DataFrame | None = None, times: DataFrame | None = None) -> DataFrame:
+    """Negated MASE of each model over items: ``every`` has (item_id, model, y, p), ``naive`` (item_id, naive_mae).
+
+    ``validation`` (as ``every``) adds score_val; ``times`` (model, fit_time, predict_time, fit_order) adds its columns.
+    """
+
+    def scores(of: DataFrame, name: str) -> DataFrame:
+        errors = of.groupBy("model", "item_id").agg(mae().alias("mae")).join(naive, "item_id")
+        return errors.groupBy("model").agg((-F.avg(F.col("mae") / F.col("naive_mae"))).alias(name))
+
+    out = scores(every, "score_test")
+    if validation is not None:
+        out = out.join(scores(validation, "score_val"), "model", "left")
+    if times is not None:
+        out = out.join(F.broadcast(times), "model", "left")
+    return out.orderBy(F.desc("score_test"), "model")
+
+
+def timed_predictions(fitted: dict[str, Model], df: DataFrame, key: Sequence[str], times: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Predictions of all models, each written as it is made, and ``times`` with how long that took (predict_time)."""
+    parts, took = [], []
+    for name, model in fitted.items():
+        began = time.monotonic()
+        parts.append(staged(predictions({name: model}, df, key), f"predictions-{name}"))
+        took.append((name, time.monotonic() - began))
+    return reduce(DataFrame.unionByName, parts), times.join(df.sparkSession.createDataFrame(took, "model string, predict_time double"), "model")
 
 
 def family(model: str = "model") -> Column:
@@ -93,8 +116,8 @@ def family(model: str = "model") -> Column:
 
 def leaders(board: DataFrame) -> DataFrame:
     """The leader and the best model of another family, stacked ensembles aside (role, model, mae)."""
-    ranked = board.withColumn("family", family()).withColumn("_n", F.row_number().over(W.orderBy("mae", "model")))
-    first = ranked.filter("_n = 1").select(F.lit("leader").alias("role"), "model", "mae", "family")
+    ranked = board.withColumn("family", family())
+    first = ranked.orderBy("mae", "model").limit(1).select(F.lit("leader").alias("role"), "model", "mae", "family")
     other = ranked.join(F.broadcast(first.select(F.col("family").alias("_first"))), F.col("family") != F.col("_first")).filter("family <> 'StackedEnsemble'")
     second = other.orderBy("mae", "model").limit(1).select(F.lit("runner_up").alias("role"), "model", "mae", "family")
     return first.unionByName(second)

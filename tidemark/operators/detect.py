@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
+
 #: Widths in deviations that are tried upwards and downwards.
 ALPHAS = (7, 6, 5, 4, 3, 2)
 
@@ -47,11 +49,6 @@ def alpha_grid(spark) -> DataFrame:
     return spark.createDataFrame([(u, d) for u in ALPHAS for d in ALPHAS], "alpha_up int, alpha_down int")
 
 
-def exceeded(deviation: Column) -> Column:
-    """How many of the grid's widths a deviation exceeds."""
-    return sum((F.coalesce(deviation > a, F.lit(False)).cast("int") for a in ALPHAS), F.lit(0))
-
-
 def confusion(frame: DataFrame, channel: str = "channel") -> DataFrame:
     """tp, fp and fn for each channel and pair of widths, from one pass over ``frame`` (channel, x, recon, sigma, label).
 
@@ -80,3 +77,17 @@ def best_alphas(scores: DataFrame, channel: str = "channel", f1: str = "f1") ->
     """The widths of largest F1 for each channel; ties go to the smallest width up, then down."""
     rank = F.row_number().over(W.partitionBy(channel).orderBy(F.desc(f1), "alpha_up", "alpha_down"))
     return scores.withColumn("_rank", rank).filter("_rank = 1").select(channel, "alpha_up", "alpha_down", F.col(f1).alias("f1"))
+
+
+def range_f1(frame: DataFrame, channel: str = "channel") -> DataFrame:
+    """Range precision, recall and F1 for each channel and pair of widths; ``frame`` (channel, pos, x, recon, sigma, label) is told 36 times."""
+    tried = frame.join(F.broadcast(alpha_grid(frame.sparkSession)))
+    tried = tried.withColumn("pred", F.coalesce(outside(F.col("alpha_up"), F.col("alpha_down")).cast("int"), F.lit(0)))
+    return ranges.range_scores(tried, (channel, "alpha_up", "alpha_down"))
+
+
+def fit_alphas(frame: DataFrame, by: str = "point", channel: str = "channel") -> DataFrame:
+    """The widths of largest point-wise or range-based F1 for each channel (``by`` is "point" or "range")."""
+    if by not in ("point", "range"):
+        raise ValueError(f"unknown choice {by!r}")
+    return best_alphas(point_f1(confusion(frame, channel)) if by == "point" else range_f1(frame, channel), channel)

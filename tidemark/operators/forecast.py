@@ -100,10 +100,12 @@ def direct_rows(df: DataFrame, horizon: int, origins, lags: Sequence[int], seaso
     seconds = F.col("ts").cast("timestamp").cast("long")
     at = df.withColumns({f"lag_{k}": F.lag("x", k).over(w) for k in lags} | {"roll": F.avg("x").over(w.rowsBetween(-season, 0)), "_ts": seconds, "_step": seconds - F.lag(seconds).over(w)})
     at = at.filter(origins).withColumn("h", steps(horizon)).withColumn("_ts", F.timestamp_seconds(F.col("_ts") + F.col("h") * F.col("_step"))).withColumns(features.calendar("_ts"))
-    at = at.select("item_id", F.col("pos").alias("origin"), "h", (F.col("pos") + F.col("h")).alias("pos"), *[f"lag_{k}" for k in lags], "roll", *CALENDAR)
+    # A step beyond one season looks so many seasons back that the value is known at the origin.
+    back = (F.col("pos") + F.col("h") - F.ceil(F.col("h") / season) * season).cast("int")
+    at = at.select("item_id", F.col("pos").alias("origin"), "h", back.alias("_back"), (F.col("pos") + F.col("h")).alias("pos"), *[f"lag_{k}" for k in lags], "roll", *CALENDAR)
     known = df.select("item_id", "pos", F.col("x").alias("y"))
-    before = df.select("item_id", (F.col("pos") + season).alias("pos"), F.col("x").alias("season_before"))
-    return at.join(known, ["item_id", "pos"], "left").join(before, ["item_id", "pos"], "left")
+    before = df.select("item_id", F.col("pos").alias("_back"), F.col("x").alias("season_before"))
+    return at.join(known, ["item_id", "pos"], "left").join(before, ["item_id", "_back"], "left").drop("_back")
 
 
 def direct_tabular(
@@ -111,39 +113,40 @@ def direct_tabular(
 ) -> DataFrame:
     """One boosted regression for all items and steps, on what is known at the forecast's origin, the calendar, and covariates known for each step.
 
-    Every origin is trained on; a ``stride`` takes each so many. ``known`` is (item_id, pos, known), a vector at every position of history and horizon.
+    Every origin is trained on; a ``stride`` takes each so many. An item is forecast from its own last position, wherever that is. ``known`` is
+    (item_id, pos, known), a vector at every position of history and horizon.
     """
-    last = train.agg(F.max("pos")).first()[0]
+    train = train.withColumn("_last", F.max("pos").over(W.partitionBy("item_id")))
     inputs = [*[f"lag_{k}" for k in lags], "roll", "season_before", *CALENDAR, "h"]
     assembler = VectorAssembler(inputCols=inputs + ([] if known is None else ["known"]), outputCol="features", handleInvalid="skip")
     with_known = lambda df: df if known is None else df.join(known, ["item_id", "pos"])
-    rows = with_known(direct_rows(train, horizon, (F.pmod(F.lit(last) - F.col("pos"), F.lit(stride)) == 0) & (F.col("pos") >= season), lags, season))
+    rows = with_known(direct_rows(train, horizon, (F.pmod(F.col("_last") - F.col("pos"), F.lit(stride)) == 0) & (F.col("pos") >= season), lags, season))
     fitted = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="mean", maxIter=trees, maxDepth=depth, seed=seed).fit(assembler.transform(rows.filter("y is not null")))
-    future = with_known(direct_rows(train, horizon, F.col("pos") == last, lags, season).drop("y").fillna(0.0, inputs[:-1]))
+    future = with_known(direct_rows(train, horizon, F.col("pos") == F.col("_last"), lags, season).drop("y").fillna(0.0, inputs[:-1]))
     return fitted.transform(assembler.transform(future)).select("item_id", "pos", "h", "mean")
 
 
 def recursive_tabular(train: DataFrame, horizon: int, lags: Sequence[int] = (1, 2, 3, 12, 52), known: DataFrame | None = None) -> DataFrame:
-    """One linear one-step regression fitted by Spark, rolled forward by each item on its own forecasts; ``known`` as in ``direct_tabular``."""
+    """One linear one-step regression fitted by Spark on lags, the calendar and covariates, rolled forward by each item on its own forecasts; ``known`` as in ``direct_tabular``."""
     w = features.series()
-    rows = train.withColumns({f"lag_{k}": F.lag("x", k).over(w) for k in lags}).dropna()
     inputs = [f"lag_{k}" for k in lags]
-    assembler = VectorAssembler(inputCols=inputs + ([] if known is None else ["known"]), outputCol="features")
-    rows = rows if known is None else rows.join(known, ["item_id", "pos"])
-    model = LinearRegression(featuresCol="features", labelCol="x", regParam=0.01).fit(assembler.transform(rows))
-    weights, bias, reach = model.coefficients.toArray()[: len(lags)], model.intercept, max(lags)
+    assembler = VectorAssembler(inputCols=[*inputs, *CALENDAR] + ([] if known is None else ["known"]), outputCol="features")
+    with_known = lambda df: df if known is None else df.join(known, ["item_id", "pos"])
+    rows = train.select("item_id", "pos", "ts", "x").withColumns({f"lag_{k}": F.lag("x", k).over(w) for k in lags} | features.calendar("ts")).dropna()
+    model = LinearRegression(featuresCol="features", labelCol="x", regParam=0.01).fit(assembler.transform(with_known(rows)))
+    weights, reach = model.coefficients.toArray()[: len(lags)].tolist(), max(lags)
 
-    def one(y: np.ndarray, rest: np.ndarray | None = None) -> np.ndarray:
+    def one(y: np.ndarray, rest: np.ndarray) -> np.ndarray:
         y = list(y[-reach:]) if len(y) >= reach else [y.mean()] * (reach - len(y)) + list(y)
         for step in range(horizon):
-            y.append(float(np.dot(weights, [y[-k] for k in lags]) + (bias if rest is None else rest[step])))
+            y.append(float(np.dot(weights, [y[-k] for k in lags]) + rest[step]))
         return np.array(y[-horizon:])
 
-    if known is None:
-        return per_item(train, horizon, one)
-    # What covariates and bias add to each step is the model's prediction where all lags are 0.
-    last = train.groupBy("item_id").agg(F.max("pos").alias("_last"))
-    future = known.join(last, "item_id").filter((F.col("pos") > F.col("_last")) & (F.col("pos") <= F.col("_last") + horizon)).withColumns({c: F.lit(0.0) for c in inputs})
+    # What calendar, covariates and bias add to each step is the model's prediction where all lags are 0.
+    seconds = F.col("ts").cast("timestamp").cast("long")
+    last = train.groupBy("item_id").agg(F.max("pos").alias("_last"), F.max(seconds).alias("_at"), ((F.max(seconds) - F.min(seconds)) / F.greatest(F.max("pos") - F.min("pos"), F.lit(1))).alias("_step"))
+    future = last.withColumn("h", steps(horizon)).select("item_id", (F.col("_last") + F.col("h")).alias("pos"), F.timestamp_seconds(F.col("_at") + F.col("h") * F.col("_step")).alias("ts"))
+    future = with_known(future.withColumns({c: F.lit(0.0) for c in inputs} | features.calendar("ts")))
     rest = model.transform(assembler.transform(future)).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "prediction"))).alias("_rest"))
     return per_item(train.join(rest.withColumn("_rest", F.col("_rest.prediction")), "item_id"), horizon, one, "_rest")
 
@@ -236,8 +239,3 @@ def side_by_side(one: DataFrame, others: DataFrame) -> DataFrame:
     each = grid.join(others.select("item_id", "pos", "x"), ["item_id", "pos"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
     held = each.groupBy(F.col("_one").alias("item_id"), "pos").agg(F.array_sort(F.collect_list(F.struct("item_id", "x"))).alias("_all"))
     return held.select("item_id", "pos", array_to_vector(F.col("_all.x")).alias("known"))
-
-
-def one_of_each(df: DataFrame) -> DataFrame:
-    """The latest row of each item."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("pos")))).filter("_n = 1").drop("_n")

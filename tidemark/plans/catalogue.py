@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import errors, metrics
 from tidemark.operators import clean, detect, features, frames, ranges, windows
+from tidemark.sources import io
+from tidemark.sources.staging import scratch
 from tidemark.sources.samples import CHANNELS, HOURLY_SQL, WEEKLY_SQL, hourly_events, hourly_wide, supplier_weeks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,15 +102,26 @@ def wide_sql(source: str = "h") -> str:
 # Sources.
 
 
-@query(f"WITH {HOURLY_SQL} SELECT ts, channel, {r('x', 'x')}, label, pos FROM h")
+def written(wide: DataFrame, what: str) -> str:
+    """A wide table as a source in CSV, and where it stands."""
+    path = scratch(wide.sparkSession, what)
+    wide.write.csv(path, header=True)
+    return path
+
+
+@query(f"WITH {HOURLY_SQL} SELECT ts, channel, {r('x', 'x')} FROM h")
 def a1_read_mts(spark, sf_dir):
-    return rounded(hourly_events(spark, sf_dir), "x")
+    wide = io.read_mts(spark, written(hourly_wide(spark, sf_dir), "mts"), CHANNELS)
+    return rounded(wide.unpivot("ts", list(CHANNELS), "channel", "x"), "x")
 
 
 @query(f"""WITH {HOURLY_SQL} SELECT ts, channel, {r('x', 'x')}, 0 AS split_rank FROM h WHERE pos <= 480
 UNION ALL SELECT ts, channel, {r('x', 'x')}, 1 FROM h WHERE pos BETWEEN 480 AND 600 UNION ALL SELECT ts, channel, {r('x', 'x')}, 2 FROM h WHERE pos >= 600""")
 def a2_read_splits(spark, sf_dir):
-    return rounded(split_hours(spark, sf_dir), "x").drop("pos")
+    parts = split_hours(spark, sf_dir).groupBy("split_rank", "ts").pivot("channel", list(CHANNELS)).agg(F.first("x"))
+    paths = [written(parts.filter(F.col("split_rank") == k).drop("split_rank"), f"split-{k}") for k in range(3)]
+    wide = io.read_splits(spark, paths, CHANNELS, "ts")
+    return rounded(wide.unpivot(["ts", "split_rank"], list(CHANNELS), "channel", "x"), "x")
 
 
 def split_hours(spark, sf_dir):
@@ -120,7 +133,7 @@ def split_hours(spark, sf_dir):
 @query(f"WITH {HOURLY_SQL} SELECT ts, channel, label FROM h")
 def a3_read_labels(spark, sf_dir):
     df = hourly_events(spark, sf_dir).groupBy("ts").pivot("channel", list(CHANNELS)).agg(F.first("label"))
-    return df.unpivot("ts", list(CHANNELS), "channel", "label")
+    return io.read_labels(spark, written(df, "labels"), CHANNELS)
 
 
 # Shaping.
@@ -179,10 +192,10 @@ def b10_drop_null_target(spark, sf_dir):
     return rounded(frames.without_null_target(supplier_weeks(spark, sf_dir).drop("ts"), "x"), "x")
 
 
-@query(f"WITH {WEEKLY_SQL} SELECT item_id, pos, {r('x', 'x')} FROM w WHERE pos < 30")
+@query(f"WITH {WEEKLY_SQL} SELECT item_id, pos, {r('x', 'x')} FROM w")
 def b11_drop_empty_columns(spark, sf_dir):
-    df = supplier_weeks(spark, sf_dir).filter("pos < 30").withColumn("year_before", F.lag("x", YEAR).over(features.series()))
-    return rounded(df.select("item_id", "pos", *frames.filled_columns(df, ["x", "year_before"])), "x")
+    df = supplier_weeks(spark, sf_dir).withColumn("century_before", F.lag("x", 100 * YEAR).over(features.series()))
+    return rounded(df.select("item_id", "pos", *frames.filled_columns(df, ["x", "century_before"])), "x")
 
 
 @query(f"WITH {WEEKLY_SQL}, last AS (SELECT item_id, max(ts) AS t FROM w GROUP BY 1) SELECT item_id, CAST(h AS INTEGER) AS h, t + h * INTERVAL 7 DAY AS ts FROM last CROSS JOIN (SELECT unnest(range(1, {HORIZON + 1})) AS h)")

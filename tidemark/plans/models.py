@@ -5,14 +5,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import errors, metrics
-from tidemark.operators import automl, clean, detect, explain, features, forecast, frames
+from tidemark.operators import automl, clean, detect, explain, features, forecast, frames, network
 from tidemark.operators.vae import CausalVAE, candidates, search
 from tidemark.plans.catalogue import DET, FC, HORIZON, WF, YEAR, detection_frame, filled_weeks, forecast_frame, r, rounded
 from tidemark.sources import io
-from tidemark.sources.samples import CHANNELS
+from tidemark.sources.samples import CHANNELS, hourly_events
+from tidemark.sources.staging import scratch, staged
 
 FOUND = {}
 SQL = {}
@@ -28,15 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark, what: str) -> str:
-    """A fresh folder in the shared place of the session, for the queries that write and read back."""
-    import tempfile
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 # Sinks and state.
 
 
@@ -83,10 +76,16 @@ LOSS = """l AS (SELECT item_id, pos, x, lag(x, 52) OVER (PARTITION BY item_id OR
 FROM l WHERE mu IS NOT NULL GROUP BY 1""")
 def f4_loss(spark, sf_dir):
     df = filled_weeks(spark, sf_dir).withColumn("mu", F.lag("x", YEAR).over(features.series())).filter("mu is not null")
-    lv, zm, zlv = 0.1 * F.sin("pos"), 0.2 * F.cos("pos"), 0.05 * F.sin(2 * F.col("pos"))
-    reconstruction = 0.5 * F.pow((F.col("x") - F.col("mu")) / F.exp(lv), 2) + lv
-    divergence = -0.5 * (1 + zlv - zm * zm - F.exp(zlv))
-    return rounded(df.groupBy("item_id").agg(F.avg(reconstruction).alias("reconstruction"), F.avg(divergence).alias("kl")), "reconstruction", "kl")
+    df = df.select("item_id", "x", "mu", (0.1 * F.sin("pos")).alias("lv"), (0.2 * F.cos("pos")).alias("zm"), (0.05 * F.sin(2 * F.col("pos"))).alias("zlv"))
+
+    def run(parts):
+        for p in parts:
+            a, b = network.losses(p["x"].to_numpy(), {"xm": p["mu"].to_numpy(), "xv": p["lv"].to_numpy(), "zm": p["zm"].to_numpy(), "zv": p["zlv"].to_numpy()})
+            yield p[["item_id"]].assign(a=a, b=b)
+
+    kind = df.schema["item_id"].dataType.simpleString()
+    each = df.mapInPandas(run, f"item_id {kind}, a double, b double")
+    return rounded(each.groupBy("item_id").agg(F.avg("a").alias("reconstruction"), F.avg("b").alias("kl")), "reconstruction", "kl")
 
 
 def fitted_network(spark, sf_dir, **more):
@@ -102,32 +101,52 @@ def f5_fit(spark, sf_dir):
 
 @query()
 def f7_score(spark, sf_dir):
-    return small_network().score(network_frame(spark, sf_dir)).drop("z")
+    (model, _), df = fitted_network(spark, sf_dir, epochs=1)
+    return model.score(df).drop("z")
 
 
 @query()
 def f8_latent(spark, sf_dir):
-    return small_network().latent(network_frame(spark, sf_dir)).select("series", "pos", F.explode("z").alias("z"))
+    (model, _), df = fitted_network(spark, sf_dir, epochs=1)
+    return model.latent(df).select("series", "pos", F.explode("z").alias("z"))
 
 
 @query()
 def f9_evaluate(spark, sf_dir):
-    return small_network().evaluate(network_frame(spark, sf_dir))
+    (model, _), df = fitted_network(spark, sf_dir, epochs=1)
+    return model.evaluate(df)
 
 
 @query()
 def f10_search(spark, sf_dir):
     df = network_frame(spark, sf_dir)
-    settings = candidates(2, seed=3)
-    small = {"length": 12, "units": (8, 8, 8), "dilations": (1, 2, 4), "epochs": 1, "seed": 7}
-    return search(df.filter("pos < 270"), df.filter("pos >= 270"), ("x", "mean4"), settings, **small)
+    settings = candidates(4, seed=3, lengths=(8, 16, 32), widths=(4, 8, 16))
+    return search(df.filter("pos < 270"), df.filter("pos >= 270"), ("x", "mean4"), settings, epochs=2, seed=7)
 
 
 @query()
 def g11_detect(spark, sf_dir):
-    (model, _), df = fitted_network(spark, sf_dir)
-    alphas = spark.createDataFrame([("x", 3, 3), ("mean4", 3, 3)], "channel string, alpha_up int, alpha_down int")
-    return detect.detect(model.score(df), alphas).drop("z")
+    return detection_bundle(spark, sf_dir, "point")
+
+
+@query()
+def g11_detect_by_ranges(spark, sf_dir):
+    return detection_bundle(spark, sf_dir, "range")
+
+
+def detection_bundle(spark, sf_dir, by: str) -> DataFrame:
+    """The network over the five hourly channels, widths chosen on the first 480 hours, and the detector's tables, written and read back."""
+    hours = hourly_events(spark, sf_dir).withColumnRenamed("channel", "item_id")
+    scaled, _ = clean.preprocess(hours, "fit", max_std=7)
+    wide = scaled.groupBy(F.lit(0).alias("series"), F.col("pos").cast("long").alias("pos")).pivot("item_id", list(CHANNELS)).agg(F.first("x"))
+    model, _ = CausalVAE.initial(CHANNELS, length=24, units=(8, 8, 8), dilations=(1, 2, 4), latent=2, rate=5e-3, epochs=3, batch=32, seed=7).fit(wide.filter("pos < 480"), wide.filter("pos >= 480"))
+    labels = hours.select(F.col("pos").cast("long").alias("pos"), F.col("item_id").alias("channel"), "label", "ts")
+    scores = model.score(wide)
+    told = scores.drop("z").join(labels, ["pos", "channel"])
+    alphas = detect.resolved_alphas(told, fitted=detect.fit_alphas(told.filter("pos < 480"), by))
+    path = scratch(spark, "bundle")
+    io.write_detection(detect.detect(told, alphas), model.latent(wide), path)
+    return spark.read.parquet(f"{path}/detection")
 
 
 # Forecasts.
@@ -238,7 +257,7 @@ def feature_frame(spark, sf_dir) -> DataFrame:
 
 def fitted(spark, sf_dir, names=None):
     df = automl.assembled(feature_frame(spark, sf_dir), INPUTS)
-    models = automl.candidates(trees=3)
+    models = automl.candidates(trees=10)
     models = {k: v for k, v in models.items() if names is None or k in names}
     cut = 300
     return automl.train(df.filter(F.col("pos") < cut), models)[0], df.filter(F.col("pos") >= cut)
@@ -253,25 +272,65 @@ def fit_query(name: str, model: str) -> None:
     query()(fn)
 
 
-for _name, _model in (("i1_gbm", "GBM_1"), ("i2_boosted_variant", "XGB_1"), ("i3_random_forest", "DRF_1"), ("i10_batch_prediction", "GBM_2")):
+for _name, _model in (("i1_gbm", "GBM_1"), ("i2_boosted_variant", "XGB_1"), ("i3_random_forest", "DRF_1")):
     fit_query(_name, _model)
 
 
+@query()
+def i10_batch_prediction(spark, sf_dir):
+    """A model that is fitted, saved, loaded and then applied."""
+    found, test = fitted(spark, sf_dir, {"GBM_2"})
+    path = scratch(spark, "model")
+    io.save_model(found["GBM_2"], path)
+    return automl.predictions({"GBM_2": io.load_model(spark, path)}, test, ["item_id", "pos"])
+
+
 @query()
 def i4_stacked_ensemble(spark, sf_dir):
-    df = automl.assembled(feature_frame(spark, sf_dir), INPUTS).withColumn("fold", automl.fold(2))
-    models = {k: v for k, v in automl.candidates(trees=2).items() if k in ("GBM_1", "DRF_1")}
-    held = automl.out_of_fold(df, models, 2, ["item_id", "pos"]).persist()
-    return automl.stacked(automl.stack(held, sorted(models), ["item_id", "pos"]), held, sorted(models), ["item_id", "pos"])
+    """The meta model is fitted on out-of-fold predictions of the earlier weeks and applied to the later ones, which no model has seen."""
+    df = staged(automl.assembled(feature_frame(spark, sf_dir), INPUTS), "features")
+    early, late = df.filter("pos < 300").withColumn("fold", automl.fold(5)), df.filter("pos >= 300")
+    models = {k: v for k, v in automl.candidates(trees=5).items() if k in ("GBM_1", "XGB_1", "DRF_1")}
+    key = ["item_id", "pos"]
+    meta = automl.stack(automl.out_of_fold(early, models, 5, key), sorted(models), key)
+    found, _ = automl.train(early, models)
+    return automl.stacked(meta, automl.predictions(found, late, key), sorted(models), key)
 
 
 @query()
 def i5_cross_validation(spark, sf_dir):
-    df = automl.assembled(feature_frame(spark, sf_dir), INPUTS).withColumn("fold", automl.fold(5))
-    models = {"DRF_1": automl.candidates(trees=2)["DRF_1"]}
+    df = staged(automl.assembled(feature_frame(spark, sf_dir), INPUTS), "features").withColumn("fold", automl.fold(5))
+    models = automl.candidates(trees=3)
     return automl.out_of_fold(df, models, 5, ["item_id", "pos"]).groupBy("model").agg(metrics.mae().alias("mae"))
 
 
+@query()
+def i8_fitted_leaderboard(spark, sf_dir):
+    """All candidates, fitted on the weeks before 270, validated up to 300 and tested after."""
+    df = staged(automl.assembled(feature_frame(spark, sf_dir), INPUTS), "features")
+    found, times = automl.train(df.filter("pos < 270"), automl.candidates(trees=5))
+    every, times = automl.timed_predictions(found, df.filter("pos >= 270"), ["item_id", "pos"], times)
+    naive = metrics.seasonal_error(df.filter("pos < 270").select("item_id", "pos", F.col("y").alias("x")), YEAR)
+    return automl.panel_leaderboard(every.filter("pos >= 300"), naive, every.filter("pos < 300"), times)
+
+
+@query()
+def i7_fitted_leaders(spark, sf_dir):
+    found, test = fitted(spark, sf_dir)
+    return automl.leaders(staged(automl.leaderboard(automl.predictions(found, test, ["item_id", "pos"])), "leaderboard"))
+
+
+@query()
+def l10_fitted_importance(spark, sf_dir):
+    """Shares of importance and their ranks over the candidates whose error is within five per cent of the best."""
+    found, test = fitted(spark, sf_dir)
+    near = explain.rashomon(automl.leaderboard(automl.predictions(found, test, ["item_id", "pos"])), 1.05)
+    names = [row.model for row in near.select("model").collect()]
+    every = reduce(DataFrame.unionByName, [explain.variable_importance(spark, found[n], INPUTS).select(F.lit(n).alias("model"), "variable", F.col("relative").alias("importance")) for n in names])
+    return explain.rank_stability(explain.normalised_importance(every))
+
+
+#: Stand-ins that SQL can state too; their names only follow the pattern of families. ``i7_fitted_leaders``, ``i8_fitted_leaderboard`` and ``l10_fitted_importance`` have fitted models.
 BASE = {"GBM_1": "p", "DRF_1": "p1", "GBM_2": "p4", "Mean_1": "pm"}
 BOARD_SQL = f"""{FC}, b AS (SELECT item_id, pos, last, x AS y, p, lag(x, 1) OVER w AS p1, avg(x) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS p4, avg(x) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING) AS pm FROM wlag WINDOW w AS (PARTITION BY item_id ORDER BY pos)),
 e AS ({' UNION ALL '.join(f"SELECT item_id, pos, y, '{m}' AS model, {c} AS p FROM b WHERE pos > last - {HORIZON}" for m, c in BASE.items())}),
@@ -354,7 +413,8 @@ def l3_partial_dependence(spark, sf_dir):
 @query()
 def l4_dependence_across_models(spark, sf_dir):
     found, test = fitted(spark, sf_dir, {"GBM_1", "DRF_1"})
-    ranked = [explain.variable_importance(spark, m, INPUTS).orderBy(F.desc("relative"), "variable").limit(2).withColumn("rank", F.monotonically_increasing_id()).select("variable", "rank") for m in found.values()]
+    by_model = W.partitionBy("model").orderBy(F.desc("relative"), "variable")
+    ranked = [explain.variable_importance(spark, m, INPUTS).withColumn("model", F.lit(n)).withColumn("rank", F.row_number().over(by_model)).filter("rank <= 2").select("variable", "rank") for n, m in found.items()]
     chosen = [row.variable for row in explain.top_union(reduce(DataFrame.unionByName, ranked), 2).collect()]
     df = test.drop("features")
     parts = []

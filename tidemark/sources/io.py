@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Model
+from pyspark.ml.util import DefaultParamsReader, MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
@@ -68,3 +70,13 @@ def save_state(state: DataFrame, path: str) -> None:
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def save_model(model: MLWritable, path: str) -> None:
+    """A fitted Spark model (or pipeline of them) with its settings."""
+    model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """What ``save_model`` wrote, as the class that it was."""
+    return DefaultParamsReader.loadParamsInstance(path, spark)

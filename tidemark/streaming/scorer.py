@@ -25,11 +25,11 @@ def score_stream(stream: DataFrame, model: CausalVAE, alphas: DataFrame, delay:
     """
     found = {r.channel: (float(r.alpha_up), float(r.alpha_down)) for r in alphas.collect()}
     names, length = list(model.values), model.config.length
-    shipped = stream.sparkSession.sparkContext.broadcast((model, [found[n] for n in names]))
+    shipped, kind_of = stream.sparkSession.sparkContext.broadcast((*model.plain(), [found[n] for n in names])), network.Config
     columns = ["series", time, "channel", "x", "recon", "sigma", "score", "pred"]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        of, bands = shipped.value
+        settings, weights, bands = shipped.value
         held_at, held = (list(state.get[0]), np.array(state.get[1]).reshape(-1, len(names))) if state.exists else ([], np.zeros((0, len(names))))
         rows = pd.concat(list(parts)).drop_duplicates(time).sort_values(time, kind="stable")
         stamps = rows[time].astype("datetime64[us]").astype("int64").to_numpy()
@@ -42,7 +42,7 @@ def score_stream(stream: DataFrame, model: CausalVAE, alphas: DataFrame, delay:
         if len(values) < length or not len(rows):
             return
         views = np.lib.stride_tricks.sliding_window_view(values, length, axis=0).transpose(0, 2, 1)[-len(rows) :]
-        out = network.forward(of.weights, of.config, np.ascontiguousarray(views))
+        out = network.forward(weights, kind_of(**settings), np.ascontiguousarray(views))
         recon, sigma = out["xm"][:, -1], np.sqrt(np.exp(out["xv"][:, -1]))
         rows = rows.iloc[-len(views) :]
         x = rows[names].to_numpy("float64")
