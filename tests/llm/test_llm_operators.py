@@ -206,6 +206,8 @@ def test_op4(spark, odd, empty, join):
 
 
 def test_op4_keeps_one_of_each(spark, odd):
+    clash = odd.withColumnsRenamed({"lang": "node", "source": "maybe", "n_chars": "late_id"})
+    assert jaccard.first_of_each(clash).columns == clash.columns
     kept = jaccard.first_of_each(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text and len(r.text) < 1000 and r.doc_id) == sorted([(3, "%%% 12"), (4, words(1, 80)), (4, words(1, 80)), (7, words(2, 60)), (7, words(3, 60))])
@@ -224,6 +226,8 @@ def test_op5(spark, odd, empty):
     assert [r.n_hit for r in by[4]] == [25, 25] and by[5][0].items_sha256 == hashlib.sha256(b"10").hexdigest()
     assert by[50][0].n_hit == 4 and by[50][0].n_words == 6 and not by[6][0].contaminated and by[1][0].n_words == 0
     assert decontaminate.clean(more, items).count() == len(ODD) + 1 - 4
+    clash = more.withColumnsRenamed({"lang": "hit_id", "source": "maybe", "n_chars": "spans"})
+    assert decontaminate.clean(clash, items.unionByName(spark.createDataFrame([(None, words(2, 60))], "item_id long, text string"))).columns == clash.columns
 
 
 def test_op6(spark, odd, empty):

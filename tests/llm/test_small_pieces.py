@@ -68,7 +68,7 @@ def test_bpe_goes_through_the_tree(codec):
 def test_suffix_array_and_prefixes():
     rng = random.Random(3)
     for _ in range(150):
-        width = rng.choice([1, 2, 4, 20])
+        width = rng.choice([1, 2, 4, 20, 400])
         s = np.array([rng.randint(1, width) for _ in range(rng.choice([1, 2, 3, 10, 200]))] + [0], "uint16")
         order = sorted(range(len(s)), key=lambda i: s[i:].tolist())
         sa = suffixes.suffix_array(s, width + 1)
@@ -79,6 +79,23 @@ def test_suffix_array_and_prefixes():
             assert length[b] == next((d for d in range(min(len(x), len(y))) if x[d] != y[d]), min(len(x), len(y)))
 
 
+def test_suffixes_are_sorted_by_recursion(monkeypatch):
+    """Over sample prose: the leftmost-smaller substrings of a shard are named and sorted as a string of their own, level by level."""
+    raw = (" ".join(texts(9, 40)) + " the same passage again and again") * 3
+    s = np.concatenate((np.frombuffer(raw.encode()[:20_000], "uint8").astype("uint16") + 2, [np.uint16(0)]))
+    levels, plain = [], suffixes.suffix_array
+
+    def counting(s, width):
+        levels.append(len(s))
+        return plain(s, width)
+
+    monkeypatch.setattr(suffixes, "suffix_array", counting)
+    order = counting(s, 258)
+    tail = s.astype(">u2").tobytes()
+    assert order.tolist() == sorted(range(len(s)), key=lambda i: tail[2 * i :])
+    assert len(levels) >= 3 and all(2 * b <= a + 1 for a, b in zip(levels, levels[1:]))
+
+
 def test_anchor_runs_cover_every_string_once():
     rng = random.Random(4)
     for raw in [bytes(rng.choice(b"ab") for _ in range(900)), b"a" * 700, bytes(rng.randrange(256) for _ in range(1500))]:

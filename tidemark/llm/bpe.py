@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import extended, map_arrow, with_columns
 
-#: Entries of a worker's memo of encoded matches before it is emptied.
-MEMO = 400_000
+#: Entries of a worker's memo of encoded matches before it is emptied, and of its memos of seams and short runs.
+MEMO = 200_000
+SHORT = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +45,9 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.settled: dict[tuple[int, int], bool] = {}
+        #: Encodings of two tokens' bytes, and of short runs of bytes; never changed once they are here.
+        self.seams: dict[int, list[int]] = {}
+        self.parts: dict[bytes, list[int]] = {}
         #: Rank of the token that two tokens make, by their ids packed into one integer.
         self.pairs = {
             ranks[token[:i]] << 24 | ranks[token[i:]]: rank
@@ -68,35 +71,48 @@ class Codec:
                 made[i] = pair(rank << 24 | ids[i + 1], none)
         return ids
 
-    def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
-        if key not in self.settled:
-            if len(self.settled) > MEMO:
-                self.settled.clear()
-            self.settled[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return self.settled[key]
+    def pair(self, left: int, right: int) -> list[int]:
+        """Encoding of what two tokens stand for: themselves, if their seam is settled."""
+        key = left << 24 | right
+        found = self.seams.get(key)
+        if found is None:
+            if len(self.seams) >= SHORT:
+                self.seams.clear()
+            found = self.seams[key] = self.merged(self.bytes_of[left] + self.bytes_of[right])
+        return found
+
+    def settled(self, left: int, right: int) -> bool:
+        return self.pair(left, right) == [left, right]
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """Encoding of the concatenation of what two encodings stand for."""
-        if not left or not right or self.compatible(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        mid, a, b = self.pair(left[-1], right[0]), 1, 1
+        if mid == [left[-1], right[0]]:
             return left + right
-        a, b = 1, 1
         while True:
-            a, b = min(a, len(left)), min(b, len(right))
-            window = b"".join(self.bytes_of[t] for t in chain(left[len(left) - a :], right[:b]))
-            mid = self.merged(window)
-            fixed_left = a == len(left) or self.compatible(left[-a - 1], mid[0])
-            fixed_right = b == len(right) or self.compatible(mid[-1], right[b])
+            fixed_left = a == len(left) or self.settled(left[-a - 1], mid[0])
+            fixed_right = b == len(right) or self.settled(mid[-1], right[b])
             if fixed_left and fixed_right:
                 return left[: len(left) - a] + mid + right[b:]
-            a, b = a + a * (not fixed_left), b + b * (not fixed_right)
+            a, b = min(a + a * (not fixed_left), len(left)), min(b + b * (not fixed_right), len(right))
+            mid = self.merged(b"".join([self.bytes_of[t] for t in chain(left[len(left) - a :], right[:b])]))
 
     def reduced(self, piece: bytes) -> list[int]:
         """Encoding of a run of bytes by the tree alone."""
-        if len(piece) == 1:
+        n = len(piece)
+        if n == 1:
             return [self.ranks[piece]]
-        half = len(piece) // 2
-        return self.joined(self.reduced(piece[:half]), self.reduced(piece[half:]))
+        found = self.parts.get(piece)
+        if found is None:
+            found = self.joined(self.reduced(piece[: n // 2]), self.reduced(piece[n // 2 :]))
+            # Short runs come back in many words.
+            if n <= 8:
+                if len(self.parts) >= SHORT:
+                    self.parts.clear()
+                self.parts[piece] = found
+        return found
 
     def encode(self, piece: bytes) -> list[int]:
         """Encoding of one match."""

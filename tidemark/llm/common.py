@@ -190,16 +190,16 @@ def row_hash(text: Column) -> Column:
 SLOTS = 1 << 25
 
 
-def with_maybe(docs: DataFrame, wanted: DataFrame, text: str, maybe: str) -> DataFrame:
-    """``docs`` with a boolean: false where no row of ``wanted`` (row_hash) has the hash of the text. So only few rows have to be shuffled for an exact join.
+def with_maybe(docs: DataFrame, wanted: DataFrame, key: Column, maybe: str) -> DataFrame:
+    """``docs`` with a boolean: false where no row of ``wanted`` (one column) has the ``key``. So only few rows have to be shuffled for an exact join.
 
-    The hashes are marked in a bitmap, which is broadcast; of a crowded one everything is true.
+    The keys are marked in a bitmap, which is broadcast; of a crowded one everything is true.
     """
     slot = lambda h: F.pmod(F.xxhash64(h), F.lit(SLOTS)) + 1
-    marks = wanted.select(slot(F.col("row_hash")).alias("slot"))
+    marks = wanted.select(slot(F.col(wanted.columns[0])).alias("slot"))
     marks = staged(marks.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits")), "marks")
-    place = F.bitmap_bit_position(slot(row_hash(docs[text])))
+    place = F.bitmap_bit_position(slot(key))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.coalesce(F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1, F.lit(False))
-    found = docs.withColumn("_at", F.bitmap_bucket_number(slot(row_hash(docs[text])))).join(F.broadcast(marks), F.col("_at") == F.col("_bucket"), "left")
+    found = docs.withColumn("_at", F.bitmap_bucket_number(slot(key))).join(F.broadcast(marks), F.col("_at") == F.col("_bucket"), "left")
     return found.withColumn(maybe, bit).drop("_at", "_bucket", "_bits")

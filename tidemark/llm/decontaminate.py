@@ -11,7 +11,8 @@ benchmark shingles by a bitmap of fixed size; the bitmap has false positives and
 
 Defined results: null and empty texts have no words and no hits; an item without words has no window; hits of an item
 with a null id count, but the id isn't listed. Repeated rows get the same result each; rows that share an id and differ in text are
-told apart by a digest of the text. Without documents or items there are no hits.
+told apart by a digest of the text. Without documents or items there are no hits, and an empty table gives an empty table. Shingles that are equally rare are taken
+in the order of their hashes. Texts are used whole, whatever their length. ``clean`` keeps extra columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, map_arrow, staged, text_key
+from tidemark.llm.common import as_bytes, boxed, map_arrow, staged, text_key, unboxed, with_maybe
 
 WINDOW = 10
 SHINGLE = 3
@@ -184,9 +185,13 @@ def op5(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a window of an item; columns and repeated rows stay."""
-    hit = find(docs.select("doc_id", "text"), items).filter("spans is not null").select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"))
-    same = docs["doc_id"].eqNullSafe(hit["hit_id"]) & (text_key(docs["text"]) == hit["hit_key"])
-    return docs.join(hit, same, "left_anti")
+    hit = find(docs.select("doc_id", "text"), items).filter("spans is not null")
+    hit = staged(hit.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")), "contaminated")
+    # Most rows have no hit; only those that may have one are shuffled to find out.
+    told = with_maybe(boxed(docs, "text"), hit.select("hit_key"), text_key(F.col("text")), "maybe")
+    same = F.col("box").getField("doc_id").eqNullSafe(F.col("hit_id")) & (text_key(F.col("text")) == F.col("hit_key"))
+    columns = unboxed(docs.columns, "text")
+    return told.filter(~F.col("maybe")).select(*columns).unionByName(told.filter("maybe").join(hit, same, "left_anti").select(*columns))
 
 
 ORACLE = r"""

@@ -306,7 +306,7 @@ def thinned(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
 def node_texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """One text for each node of ``wanted`` (node, rep). Texts are shorter than their packed tokens."""
     want = wanted.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
-    near = with_maybe(docs.select("doc_id", text), want.select(F.col("rep_hash").alias("row_hash")), text, "maybe").filter("maybe")
+    near = with_maybe(docs.select("doc_id", text), want.select("rep_hash"), row_hash(F.col(text)), "maybe").filter("maybe")
     mine = near.select("doc_id", row_hash(F.col(text)).alias("row_hash"), F.col(text).cast("binary").alias("raw"))
     found = mine.join(want, mine["doc_id"].eqNullSafe(want["rep_id"]) & (mine["row_hash"] == want["rep_hash"]))
     return found.select("node", "raw").dropDuplicates(["node"])
@@ -511,7 +511,7 @@ def first_of_each(docs: DataFrame, join: Join = Join(), text: str = "text") -> D
     later = linked.filter(~F.struct("doc_id", "row_hash").eqNullSafe(F.col("rep"))).select(F.col("doc_id").alias("late_id"), "row_hash").distinct()
     later = staged(later, "later-rows")
     # Most rows are not late; only those that may be are shuffled to find out.
-    told = with_maybe(boxed(docs, text), later, "text", "maybe")
+    told = with_maybe(boxed(docs, text), later.select("row_hash"), row_hash(F.col("text")), "maybe")
     ids = F.col("box").getField("doc_id")
     late = told.filter("maybe").withColumn("hash", row_hash(F.col("text"))).join(later, ids.eqNullSafe(F.col("late_id")) & (F.col("hash") == F.col("row_hash")), "left_anti")
     columns = unboxed(docs.columns, text)

@@ -65,7 +65,7 @@ def weighed(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = np.flatnonzero(counts)
     x = (1 + np.log(counts[at])) * idf[at]
     x /= np.sqrt((x * x).sum()) or 1
-    return np.append(at, len(idf)), np.append(x, 0.1)
+    return np.append(at, len(idf)).astype("int32"), np.append(x, 0.1).astype("float32")
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -189,8 +189,12 @@ def fit(learnable: DataFrame, settings: Settings = Settings()) -> LanguageModel:
         places = {name: k for k, name in enumerate(names)}
         letters = letter_table()
         group = group.sort_values("draw", kind="stable")
-        counted = [(ngram_counts(t, letters, s.buckets), places[y]) for t, y in zip(group["text"], group["lang"])]
-        w = fit_shard([(*weighed(c, idf), y) for c, y in counted if c is not None], width, classes, s)
+        rows = []
+        for t, y in zip(group["text"], group["lang"]):
+            counts = ngram_counts(t, letters, s.buckets)
+            if counts is not None:
+                rows.append((*weighed(counts, idf), places[y]))
+        w = fit_shard(rows, width, classes, s)
         return pd.DataFrame({"n": [len(group)], "w": [w.astype("float32").tobytes()]})
 
     # One row in eleven is kept for the temperature.
@@ -208,8 +212,11 @@ def fit(learnable: DataFrame, settings: Settings = Settings()) -> LanguageModel:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, fitted = letter_table(), kind(*ready.value)
         for batch in batches:
-            pairs = [(ngram_counts(t, letters, s.buckets), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            pairs = [(fitted.logits(c).tolist(), y) for c, y in pairs if c is not None]
+            pairs = []
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = ngram_counts(t, letters, s.buckets)
+                if counts is not None:
+                    pairs.append((fitted.logits(counts).tolist(), y))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.list_(pa.float64())), pa.array([p[1] for p in pairs], pa.string())], ["logits", "lang"])
 
     held = map_arrow(hashed_share(rows.filter(spare), s.max_calibration, there // 11, 6).select("text", "lang"), score, "logits array<double>, lang string").collect()

@@ -8,7 +8,8 @@ induced, and neighbours in it whose common prefix reaches 200 bytes start with t
 runs is not gathered into one shard; the strings of its runs are counted by a 128-bit hash instead.
 
 Defined results: null and empty texts, and texts under 200 bytes, lose nothing. A repeated row is another document with the
-same text, so all of it is repeated. Texts are used whole, and what is removed is judged on the input.
+same text, so all of it is repeated. Texts are used whole, whatever their length, and what is removed is judged on the input. Extra columns are kept, but one with
+the name of one that is added is replaced. An empty table gives an empty table. Equal strings are all removed: none counts as the first.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, boxed, cut, map_arrow, row_hash, staged, unboxed, with_spans
+from tidemark.llm.common import as_bytes, boxed, cut, discard, map_arrow, row_hash, staged, unboxed, with_spans
 
 LENGTH = 200
 ANCHOR = 100
@@ -194,8 +195,30 @@ def named(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray
     return out, int(rank[-1]) + 1
 
 
-#: Symbols up to which a reduced string is sorted by induction again; beyond, its ranks are doubled instead.
-WIDE = 2048
+def induced_singly(s: np.ndarray, lms: np.ndarray, is_s: np.ndarray, width: int) -> np.ndarray:
+    """The same as ``induced``, suffix by suffix: for reduced strings, whose many symbols occur so rarely that waves would hold a suffix or two."""
+    ends = np.cumsum(np.bincount(s, minlength=width))
+    heads, tails = np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()
+    symbol, small, sa, tail = s.tolist(), is_s.tolist(), [-1] * len(s), ends.tolist()
+    for i in lms[::-1].tolist():
+        at = tail[symbol[i]] = tail[symbol[i]] - 1
+        sa[at] = i
+    for k in range(len(sa)):
+        i = sa[k] - 1
+        if i >= 0 and not small[i]:
+            c = symbol[i]
+            sa[heads[c]] = i
+            heads[c] += 1
+    for k in range(len(sa) - 1, -1, -1):
+        i = sa[k] - 1
+        if i >= 0 and small[i]:
+            at = tails[symbol[i]] = tails[symbol[i]] - 1
+            sa[at] = i
+    return np.array(sa)
+
+
+#: Symbols up to which suffixes are induced in waves.
+WAVES = 300
 
 
 def suffix_array(s: np.ndarray, width: int) -> np.ndarray:
@@ -203,35 +226,15 @@ def suffix_array(s: np.ndarray, width: int) -> np.ndarray:
     if len(s) == 1:
         return np.zeros(1, "int64")
     is_s, lms = kinds(s)
-    sa = induced(s, lms, is_s, width)
+    induce = induced if width <= WAVES else induced_singly
+    sa = induce(s, lms, is_s, width)
     leftmost = np.zeros(len(s), bool)
     leftmost[lms] = True
     order = sa[leftmost[sa]]
     reduced, names = named(s, lms, order)
     if names < len(lms):
-        order = lms[suffix_array(narrow(reduced, names), names) if names <= WIDE else doubled(reduced)]
-    return induced(s, order, is_s, width)
-
-
-def narrow(s: np.ndarray, width: int) -> np.ndarray:
-    return s.astype("uint8" if width <= 256 else "uint16")
-
-
-def doubled(rank: np.ndarray) -> np.ndarray:
-    """Suffix array from ranks by doubling the length that they tell apart."""
-    n, step = len(rank), 1
-    while True:
-        after = np.zeros(n, "int64")
-        after[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        fresh = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        rank = np.empty(n, "int64")
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
-        step *= 2
+        order = lms[suffix_array(reduced, names)]
+    return induce(s, order, is_s, width)
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -365,20 +368,22 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Spans of every text that are covered by repeated 200-byte strings: row_id, row_hash, spans."""
     rows = docs.select("doc_id", text)
     runs = run_rows(rows, text)
-    shared = staged(runs.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "shared-anchors")
-    close = staged(runs.join(shared, "anchor"), "shared-runs")
+    shared = staged(runs.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "shared-anchors", release=True)
+    close = staged(runs.join(shared, "anchor"), "shared-runs", release=True)
     place = F.struct("row_id", "row_hash", "first", "last")
-    alike = close.groupBy("anchor", "digest").agg(F.count("*").alias("times"), F.min(place).alias("place"))
-    alike = staged(alike, "alike-runs")
-    kinds_of = alike.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    alike = staged(alike.join(kinds_of, "anchor").filter("times > 1 or kinds > 1").withColumn("crowd", F.col("kinds") > CROWD), "run-kinds")
-    told = staged(close.join(alike.drop("place"), ["anchor", "digest"]), "told-runs")
+    kinds = staged(close.groupBy("anchor", "digest").agg(F.count("*").alias("times"), F.min(place).alias("place")), "alike-runs", release=True)
+    kinds_of = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    alike = staged(kinds.join(kinds_of, "anchor").filter("times > 1 or kinds > 1").withColumn("crowd", F.col("kinds") > CROWD), "run-kinds")
+    told = staged(close.join(alike.drop("place"), ["anchor", "digest"]), "told-runs", release=True)
+    discard(shared, close, kinds)
     full = told.filter("times > 1").select("row_id", "row_hash", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
     single = told.filter("times = 1").select("row_id", "row_hash", "anchor", "first", "last", "crowd", F.lit(False).alias("twin"))
     twins = alike.filter("times > 1 and kinds > 1").select("place.row_id", "place.row_hash", "anchor", "place.first", "place.last", "crowd", F.lit(True).alias("twin"))
-    members = staged(member_rows(docs, single.unionByName(twins), text), "member-runs")
+    members = staged(member_rows(docs, single.unionByName(twins), text), "member-runs", release=True)
     each = full.unionByName(sharded_spans(members)).unionByName(crowded_spans(members))
-    return staged(each.groupBy("row_id", "row_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeated-spans")
+    out = staged(each.groupBy("row_id", "row_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeated-spans", release=True)
+    discard(alike, told, members)
+    return out
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
