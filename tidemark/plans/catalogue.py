@@ -299,14 +299,14 @@ def p1_windows_chunked(spark, sf_dir):
     def summed(views, rows):
         return pd.DataFrame({"item_id": rows["item_id"], "pos": rows["pos"], "first_x": views[:, 0, 0], "sum_x": views[:, :, 0].sum(axis=1), "n": 12})
 
-    df = windows.over_windows(filled_weeks(spark, sf_dir).drop("ts"), ["x"], 12, 64, summed, "item_id long, pos int, first_x double, sum_x double, n int", "item_id")
+    df = windows.over_windows(filled_weeks(spark, sf_dir).drop("ts"), ["x"], 12, 192, summed, "item_id long, pos int, first_x double, sum_x double, n int", "item_id")
     return rounded(df, "first_x", "sum_x")
 
 
 @query(f"WITH {HF}, n AS (SELECT max(pos) + 1 AS n FROM h) SELECT channel, pos, {r('x', 'x')}, CASE WHEN pos < n - CAST(floor(0.2 * n) AS INTEGER) THEN 'train' ELSE 'validation' END AS part FROM hfill, n")
 def d2_holdout(spark, sf_dir):
     df = filled_hours(spark, sf_dir).select("channel", "pos", "x")
-    train, validation = windows.holdout(df, 0.2, 720)
+    train, validation = windows.holdout(df, 0.2, df.agg(F.max("pos")).first()[0] + 1)
     return rounded(train.withColumn("part", F.lit("train")).unionByName(validation.withColumn("part", F.lit("validation"))), "x")
 
 
@@ -322,7 +322,7 @@ def d4_last_step(spark, sf_dir):
     def last(views, rows):
         return pd.DataFrame({"item_id": rows["item_id"], "pos": rows["pos"], "x": views[:, -1, 0]})
 
-    return rounded(windows.over_windows(filled_weeks(spark, sf_dir).drop("ts"), ["x"], 12, 64, last, "item_id long, pos int, x double", "item_id"), "x")
+    return rounded(windows.over_windows(filled_weeks(spark, sf_dir).drop("ts"), ["x"], 12, 192, last, "item_id long, pos int, x double", "item_id"), "x")
 
 
 # Features.

@@ -10,7 +10,7 @@ CHANNELS = ("click", "error", "purchase", "signup", "view")
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly mean value by event type over January 2024 (ts, channel, x, label, pos); x is NULL where nothing happened.
+    """Hourly mean value by event type from the first hour with an event to the last (ts, channel, x, label, pos); x is NULL where nothing happened.
 
     The label is 1 for three hours from an hour on whose largest value lies in the top two per cent of its channel.
     """
@@ -18,8 +18,9 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = events.groupBy(F.date_trunc("HOUR", F.col("ts").cast("timestamp")).alias("ts"), F.col("event_type").alias("channel")).agg(
         (F.sum(F.round(F.col("value") * 100).cast("bigint")) / (F.count("value") * F.lit(100.0))).alias("x"), F.max("value").alias("mx")
     )
-    hours = F.sequence(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-30 23:00:00").cast("timestamp"), F.expr("interval 1 hour"))
-    grid = cell.select("channel").distinct().select("channel", F.posexplode(hours).alias("pos", "ts"))
+    bounds = cell.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    hours = F.sequence(F.col("a"), F.col("b"), F.expr("interval 1 hour"))
+    grid = cell.select("channel").distinct().join(F.broadcast(bounds)).select("channel", F.posexplode(hours).alias("pos", "ts"))
     top = cell.groupBy("channel").agg(F.percentile("mx", F.lit(0.98)).alias("q"))
     recent = W.partitionBy("channel").orderBy("ts").rowsBetween(-2, 0)
     full = grid.join(cell, ["ts", "channel"], "left").withColumn("recent", F.max("mx").over(recent)).join(F.broadcast(top), "channel")
@@ -47,10 +48,11 @@ def supplier_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOURLY_SQL = """
 cell AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts, event_type AS channel,
   CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / (count(value) * CAST(100 AS DOUBLE)) AS x, max(value) AS mx FROM events GROUP BY 1, 2),
-hours AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts),
+hb AS (SELECT min(ts) AS a, max(ts) AS b FROM cell),
+hours AS (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM hb),
 grid AS (SELECT ts, channel FROM hours CROSS JOIN (SELECT DISTINCT channel FROM cell)),
 thr AS (SELECT channel, quantile_cont(mx, 0.98) AS q FROM cell GROUP BY 1),
-hf AS (SELECT g.ts, g.channel, c.x, c.mx, CAST(date_diff('hour', TIMESTAMP '2024-01-01', g.ts) AS INTEGER) AS pos FROM grid g LEFT JOIN cell c ON g.ts = c.ts AND g.channel = c.channel),
+hf AS (SELECT g.ts, g.channel, c.x, c.mx, CAST(date_diff('hour', (SELECT a FROM hb), g.ts) AS INTEGER) AS pos FROM grid g LEFT JOIN cell c ON g.ts = c.ts AND g.channel = c.channel),
 h AS (SELECT ts, f.channel, x, pos, CASE WHEN max(mx) OVER (PARTITION BY f.channel ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > q THEN 1 ELSE 0 END AS label FROM hf f JOIN thr t ON f.channel = t.channel)"""
 WEEKLY_SQL = """
 wcell AS (SELECT l_suppkey AS item_id, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS ts, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 1e7 AS x FROM lineitem GROUP BY 1, 2),
