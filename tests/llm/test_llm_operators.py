@@ -409,6 +409,12 @@ def test_op10(spark, odd, empty, crowd, monkeypatch):
     assert sorted(str(tuple(r)) for r in suffixes.op10(texts_of(spark, rows)).collect()) == brute_removal(rows)
 
 
+def test_op10_replaces_clashing_columns(odd, empty):
+    clash = odd.withColumnsRenamed({"lang": "kept", "source": "spans", "n_chars": "row_hash"})
+    out = suffixes.deduplicate(clash)
+    assert out.columns == ["doc_id", "text", "spans", "row_hash", "kept", "n_removed", "n_spans"] and out.count() == len(ODD)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
