@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 #: Target size of one Arrow slice handled at once inside a Python worker.
 SLICE_BYTES = 2 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,10 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
             for at in range(0, n, step):
                 yield batch.slice(at, step)
 
+    conf = df.sparkSession.conf
+    # Rows of an Arrow batch, unless the session asks for another number: ten thousand texts at once take more memory than they are worth.
+    if conf.get(BATCH_ROWS) == "10000":
+        conf.set(BATCH_ROWS, "2000")
     return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
 
 

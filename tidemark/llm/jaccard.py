@@ -397,20 +397,34 @@ def merged(found: DataFrame | None, good: DataFrame) -> DataFrame | None:
     return staged(told.select("node", F.coalesce("to", "component").alias("component")), "merged")
 
 
-def open_signatures(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Of large signatures (node, large) whose nodes are in several components: node, large, component, main (the largest component), total and outside."""
+def open_groups(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Groups to compare, of large signatures (node, large) whose nodes are in several components: node, component, group, main (the largest component), total and outside.
+
+    Signatures with the same main component share most of their nodes as a rule. Where it is less work they are one group, in which each node stands once.
+    """
     told = members.join(found, "node", "left") if found is not None else members.withColumn("component", F.lit(None).cast("long"))
     told = told.withColumn("component", F.coalesce("component", "node"))
     each = told.groupBy("large", "component").agg(F.count("*").alias("times"))
     whole = each.groupBy("large").agg(F.sum("times").alias("total"), F.max(F.struct("times", "component")).alias("top"))
     several = whole.filter("total > top.times").select("large", "total", (F.col("total") - F.col("top.times")).alias("outside"), F.col("top.component").alias("main"))
-    return told.join(several, "large")
+    several = staged(several, "open-signatures")
+    rows = staged(told.join(several.select("large", "main"), "large"), "open-members")
+    work = several.groupBy("main").agg(F.sum(F.col("total") * F.col("outside")).alias("work"))
+    union = rows.select("main", "node", "component").distinct().groupBy("main").agg(F.count("*").alias("all_nodes"), F.count(F.when(F.col("component") != F.col("main"), 1)).alias("all_outside"))
+    union = union.join(work, "main").filter(F.col("all_nodes") * F.col("all_outside") <= F.col("work")).select("main", "all_nodes", "all_outside")
+    sized = several.join(union, "main", "left")
+    joint = F.col("all_nodes").isNotNull()
+    sized = sized.select(
+        "large", F.when(joint, F.xxhash64("main", F.lit(1))).otherwise(F.xxhash64("large", F.lit(2))).alias("group"),
+        F.coalesce("all_nodes", "total").alias("total"), F.coalesce("all_outside", "outside").alias("outside"),
+    )
+    return rows.join(sized, "large").drop("large").distinct()
 
 
 def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join, every: bool) -> DataFrame:
-    """Pairs (a, b, apart) that the bitmaps allow, between each node outside the main component of a signature and those of other components.
+    """Pairs (a, b, apart, more) that the bitmaps allow, between each node outside the main component of a group and those of other components.
 
-    Unless ``every``, a block gives only the closest pair of a node and another component. Both sides are dealt into blocks of about ``join.group`` nodes, and each block of the outsiders meets each of all nodes.
+    Unless ``every``, a block gives only the closest pair of a node and another component, and whether there are ``more`` of them. Both sides are dealt into blocks of about ``join.group`` nodes, and each block of the outsiders meets each of all nodes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,15 +433,16 @@ def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join, every: bool) ->
         def out() -> pa.RecordBatch:
             found = set()
             for node, n, bits, component in mine:
-                best: dict[int, tuple[int, int]] = {}
+                best: dict[int, tuple[int, int, bool]] = {}
                 for other, m, their_bits, their_component in theirs:
                     if component != their_component and 100 * min(n, m) >= join.percent * max(n, m):
                         far = apart(bits, their_bits)
                         if far * (100 + join.percent) <= (n + m) * (100 - join.percent):
                             key = other if every else their_component
-                            best[key] = min(best.get(key, (far, other)), (far, other))
-                found |= {(min(node, other), max(node, other), far) for far, other in best.values()}
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "apart"])
+                            was = best.get(key)
+                            best[key] = (far, other, False) if was is None else (*min(was[:2], (far, other)), key != other)
+                found |= {(min(node, other), max(node, other), far, more) for far, other, more in best.values()}
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], ["a", "b", "apart", "more"])
 
         for batch in batches:
             for *block, outsider, node, n, bits, component in zip(*(c.to_pylist() for c in batch.columns)):
@@ -442,11 +457,11 @@ def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join, every: bool) ->
     rows = opened.withColumn("all_blocks", F.ceil(F.col("total") / join.group).cast("int")).withColumn("out_blocks", F.ceil(F.col("outside") / join.group).cast("int"))
     of = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    everyone = rows.select("large", of("all_blocks", 1).alias("x"), each("out_blocks").alias("y"), F.lit(False).alias("outsider"), "node", "component")
-    outside = rows.filter("component <> main").select("large", each("all_blocks").alias("x"), of("out_blocks", 2).alias("y"), F.lit(True).alias("outsider"), "node", "component")
+    everyone = rows.select("group", of("all_blocks", 1).alias("x"), each("out_blocks").alias("y"), F.lit(False).alias("outsider"), "node", "component")
+    outside = rows.filter("component <> main").select("group", each("all_blocks").alias("x"), of("out_blocks", 2).alias("y"), F.lit(True).alias("outsider"), "node", "component")
     both = everyone.unionByName(outside).join(nodes.select("node", "n", "bits"), "node")
-    dealt = both.select("large", "x", "y", "outsider", "node", "n", "bits", "component").repartition("large", "x", "y").sortWithinPartitions("large", "x", "y")
-    return map_arrow(dealt, run, "a long, b long, apart int").distinct()
+    dealt = both.select("group", "x", "y", "outsider", "node", "n", "bits", "component").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
+    return map_arrow(dealt, run, "a long, b long, apart int, more boolean").groupBy("a", "b").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
 
 
 def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
@@ -479,17 +494,22 @@ def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
         tried = told if tried is None else tried.unionByName(told)
     discard(texts)
     members = maybe.filter("large is not null").select(F.col("a").alias("node"), "large").distinct()
-    # What is left of the large signatures: the closest pairs first, then every one that is still between components.
+    # What is left of the large signatures: the closest pairs first, and every one that is still between components if any of these has failed.
     for every in (False, True):
-        opened = staged(open_signatures(members, found), "open-signatures")
+        opened = staged(open_groups(members, found), "open-groups")
         if opened.isEmpty():
             break
-        more = staged(block_pairs(opened, nodes, join, every).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "block-pairs")
-        texts = texts_of(more)
-        told = staged(verified(more, texts, join), "verified")
+        blocks = staged(block_pairs(opened, nodes, join, every), "block-pairs")
+        fresh = blocks.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        texts = texts_of(fresh)
+        told = staged(verified(fresh, texts, join), "verified")
         found = merged(found, told.filter("linked").select("a", "b"))
         tried = tried.unionByName(told)
-        discard(more, texts, opened)
+        # A closest pair that has failed, now or before, may have hidden others; one that is linked has brought them into one component.
+        hidden = blocks.filter("more").join(told.filter("linked"), ["a", "b"], "left_anti")
+        if every or hidden.isEmpty():
+            break
+        discard(blocks, texts, opened)
     discard(maybe, edges)
     named = nodes.select("node", "least_id", "rep", F.col("node").alias("component"))
     if found is not None:
