@@ -22,6 +22,8 @@ from tidemark.llm.common import boxed, staged, unboxed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for texts that are not lower-cased yet.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases that the base counts, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Every rule and phrase holds one of these, so that other texts need no further look.
@@ -275,12 +277,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text and with n_words, places, base (labels), found (labels of the rules that stay) and rule_score, which replace columns of these names."""
     added = ("n_words", "places", "base", "found", "rule_score")
     kept = unboxed([c for c in docs.columns if c.lower() != text.lower()], text, *added)
-    seen = boxed(docs, text, *added).select("box", lowered(F.col("text")).alias("low"))
-    gate = reduce(Column.__or__, (F.contains("low", F.lit(stem)) for stem in GATES))
+    seen = boxed(docs, text, *added)
+    # A function over a one-element array, so that the text is lower-cased once and not for every stem. Letters beyond A-Z don't matter here.
+    gate = F.exists(F.array(F.lower(F.coalesce("text", F.lit("")))), lambda t: reduce(Column.__or__, (F.contains(t, F.lit(stem)) for stem in GATES)))
     none = F.array().cast("array<string>")
-    words = F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words")
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words")
     plain = seen.filter(~gate).select(*kept, words, F.array().cast("array<int>").alias("places"), none.alias("base"), none.alias("found"), F.lit(0.0).alias("rule_score"))
-    held = seen.filter(gate).select("box", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("words"))
+    held = seen.filter(gate).select("box", F.regexp_extract_all(lowered(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
     base = base_columns(F.col("words"))
     held = held.withColumn("places", base["places"]).withColumn("base", base["base"])
     joined = F.concat(F.lit("  "), F.array_join("words", "  "), F.lit("  "))
