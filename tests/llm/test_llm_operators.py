@@ -346,7 +346,7 @@ BODIES = {
     "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "ofl": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
-    "json": "The Software shall be used for Good, not Evil.",
+    "json": "this permission notice shall be included in all copies or substantial portions of the Software. The Software shall be used for Good, not Evil.",
 }
 
 

@@ -27,10 +27,7 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases that the base counts, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Every rule and phrase holds one of these, so that other texts need no further look.
-GATES = (
-    "licen", "spdx", "permission", "permitted", "redistribut", "warrant", "domain", "copying", "commons", "copyright", "copyleft", "advertis", "misrepresent", "evil", "fuck", "beer", "openssl", "nasa",
-    "mozilla", "eclipse", "wtfpl", "ofl",
-)
+GATES = ("licen", "spdx", "permi", "redistribut", "domain", "copy", "warrant")
 
 #: Signatures of license bodies: label, keyword, pattern over words. A keyword stands in whatever its pattern matches, and a rule is tried only where it does.
 BODIES = (
@@ -38,8 +35,7 @@ BODIES = (
     ("mit", " hereby ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", " substantial ", "the above copyright notice and this permission notice(?: \\S+){0,6} shall be included in all copies or substantial portions of the software"),
     ("mit-0", " obtaining ", "permission is hereby granted free of charge to any person obtaining a copy of this software(?: \\S+){0,60} to permit persons to whom the software is furnished to do so the software is provided as is"),
-    ("json", " evil ", "the software shall be used for good not evil(?: licen[cs]e)?(?: permission)?"),
-    ("x11", " advertising ", "except as contained in this notice the name of the(?: \\S+){1,6} shall not be used in advertising or otherwise to promote the sale(?: \\S+){0,12} authorization(?: from(?: \\S+){1,4})?"),
+    ("json", " evil ", "permission notice shall be included in all copies or substantial portions of the software the software shall be used for good not evil"),
     ("isc", " fee ", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", " fee ", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("0bsd", " fee ", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
@@ -49,10 +45,10 @@ BODIES = (
     ("bsd", " reproduce ", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd", " retain ", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd-3-clause", " endorse ", "neither the name of(?: the)?(?: \\S+){1,8} nor the names of(?: its| any)? contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-4-clause", " acknowledgement ", "all advertising materials mentioning features or use of this software must display the following acknowledgement(?: this product includes software developed by(?: \\S+){1,6})?(?: permission)?"),
+    ("bsd-4-clause", " advertising ", "redistributions in binary form must reproduce the above copyright notice(?: \\S+){0,24} all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("bsd", " holders ", "this software is provided by the(?: copyright holders and contributors| regents and contributors| author) as is and any express or implied warranties"),
     ("bsd-protection", " derivative ", "you may redistribute this program in any form whether modified or not provided that the derivative work"),
-    ("zlib", " misrepresented ", "the origin of this software must not be misrepresented you must not claim that you wrote the original software(?: \\S+){0,30}"),
+    ("zlib", " misrepresented ", "redistribute it freely subject to the following restrictions(?: \\S+){0,1} the origin of this software must not be misrepresented"),
     ("zlib", " freely ", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
     ("libpng", " png ", "permission is hereby granted to use copy modify and distribute this source code or portions hereof for any purpose without fee(?: \\S+){0,60} png"),
     ("ijg", " jpeg ", "permission is hereby granted to use copy modify and distribute this software(?: \\S+){0,80} independent jpeg group"),
@@ -99,8 +95,7 @@ BODIES = (
     ("public-domain", " domain ", "(?:i|we|the authors?) (?:hereby )?(?:release|place|dedicate)s? (?:this|it|the)(?: \\S+){0,6} (?:in|into|to) the public domain"),
     ("public-domain", " domain ", "(?:is|are|was|were|been) (?:hereby )?(?:placed|released|dedicated) (?:in|into|to) the public domain"),
     ("wtfpl", " fuck ", "everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document(?: \\S+){0,20} do what the fuck you want to"),
-    ("wtfpl", " fuck ", "you just do what the fuck you want to(?: public licen[cs]e)?(?: copyright)?"),
-    ("beerware", " beer ", "as long as you retain this notice you can do whatever you want with this stuff(?: \\S+){0,20} buy me a beer(?: in return)?"),
+    ("beerware", " beer ", "the beer ware licen[cs]e(?: revision 42)?(?: \\S+){0,12} as long as you retain this notice you can do whatever you want with this stuff"),
     ("cc0", " waive ", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives?(?: \\S+){0,20} copyright"),
     ("cc0", " waived ", "has (?:dedicated the work to the public domain by waiving|waived) all copyright and related or neighbou?ring rights"),
     ("cc", " exercising ", "by exercising the licen[cs]ed rights(?: defined below)? you accept and agree to be bound by the terms and conditions of this creative commons"),
@@ -111,7 +106,7 @@ BODIES = (
     ("perl", " perl ", "(?:free software )?you can redistribute it and or modify it under the same terms as perl(?: itself)?"),
     ("psf", " psf ", "psf is making python available to licensee on an as is basis"),
     ("psf", " python ", "this licen[cs]e agreement is between the python software foundation psf and the individual or organization"),
-    ("openssl", " openssl ", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("openssl", " openssl ", "redistributions of any form whatsoever must retain the following acknowledge?ment this product includes software developed by the openssl project"),
     ("ofl", " reserved ", "this font software is licen[cs]ed under the sil open font licen[cs]e(?: \\S+){0,20}(?: reserved font name)"),
     ("ofl", " font ", "this font software is licen[cs]ed under the sil open font licen[cs]e version 1 [01]"),
     ("ofl", " font ", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
@@ -140,7 +135,6 @@ BODIES = (
     ("gfdl", " invariant ", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e(?: \\S+){0,30} invariant sections"),
     ("gfdl", " documentation ", "gnu free documentation licen[cs]e(?: version 1 [123])?"),
     ("fsfap", " medium ", "copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved"),
-    ("nasa", " nasa ", "nasa open source agreement(?: version 1 3)?(?: licen[cs]e)?"),
     ("proprietary", " unauthorized ", "unauthorized copying of this file via any medium is strictly prohibited(?: proprietary and confidential)?"),
     ("proprietary", " confidential ", "(?:this software|this file|this document|the information contained herein) is (?:the )?confidential and proprietary(?: \\S+){0,30} (?:licen[cs]e|copyright|permission)"),
     ("proprietary", " reproduced ", "no part of this (?:publication|work|book|software|document) may be reproduced(?: \\S+){0,24} without(?: the)?(?: prior)?(?: express)?(?: written)? permission"),
@@ -151,14 +145,14 @@ PLACES = (
     ("apache", " apache ", "apache org licen[cs]es licen[cs]e 2 0"), ("apache", " apache ", "apache org licen[cs]es licen[cs]e 1 1"),
     ("gpl", " gpl ", "gnu org licen[cs]es(?: old licen[cs]es)? gpl(?: [123] 0)?"), ("lgpl", " lgpl ", "gnu org licen[cs]es(?: old licen[cs]es)? lgpl(?: [23] [01])?"),
     ("agpl", " agpl ", "gnu org licen[cs]es agpl(?: 3 0)?"), ("gfdl", " fdl ", "gnu org licen[cs]es fdl(?: 1 [123])?"), ("gpl", " copyleft ", "gnu org copyleft gpl(?: html)?(?: licen[cs]e)?"),
-    ("mpl", " mozilla ", "mozilla org mpl(?: [12] [01])?(?: licen[cs]e)?"), ("epl", " eclipse ", "eclipse org legal epl(?: v10| 2 0| v20)?(?: licen[cs]e)?"),
+    
     ("cc-by", " by ", "creativecommons org licen[cs]es by [1234] [05]"), ("cc-by-sa", " sa ", "creativecommons org licen[cs]es by sa [1234] [05]"),
     ("cc-by-nc", " nc ", "creativecommons org licen[cs]es by nc [1234] [05]"), ("cc-by-nd", " nd ", "creativecommons org licen[cs]es by nd [1234] [05]"),
     ("cc-by-nc-sa", " nc ", "creativecommons org licen[cs]es by nc sa [1234] [05]"), ("cc-by-nc-nd", " nc ", "creativecommons org licen[cs]es by nc nd [1234] [05]"),
     ("cc0", " zero ", "creativecommons org publicdomain zero 1 0"), ("public-domain", " mark ", "creativecommons org publicdomain mark 1 0"),
-    ("bsl", " boost ", "boost org licen[cs]e 1 0(?: txt)?"), ("unlicense", " unlicense ", "unlicense org"), ("wtfpl", " wtfpl ", "wtfpl net(?: txt copying)?(?: licen[cs]e)?"),
+    ("bsl", " boost ", "boost org licen[cs]e 1 0(?: txt)?"), ("unlicense", " unlicense ", "unlicense org"),
     ("mit", " mit ", "opensource org licen[cs]es mit(?: licen[cs]e)?(?: php)?"), ("bsd", " bsd ", "opensource org licen[cs]es bsd(?: [0234] clause| licen[cs]e)?(?: php)?"),
-    ("ofl", " ofl ", "scripts sil org ofl(?: licen[cs]e)?"), ("zlib", " zlib ", "(?:www )?zlib net zlib licen[cs]e(?: html)?"), ("cddl", " cddl ", "(?:sun com|java net|opensource org licen[cs]es) cddl(?: licen[cs]e)?(?: 1 [01])?"),
+    ("zlib", " zlib ", "(?:www )?zlib net zlib licen[cs]e(?: html)?"), ("cddl", " cddl ", "(?:sun com|java net|opensource org licen[cs]es) cddl(?: licen[cs]e)?(?: 1 [01])?"),
     ("psf", " python ", "(?:docs )?python org(?: psf| \\d)? (?:psf )?licen[cs]e(?: html)?"), ("artistic", " perl ", "dev perl org licen[cs]es(?: artistic)?(?: html)?"), ("eupl", " eupl ", "joinup ec europa eu(?: \\S+){0,6} eupl(?: \\S+){0,3} licen[cs]e"),
 )
 
@@ -281,9 +275,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     # A function over a one-element array, so that the text is lower-cased once and not for every stem. Letters beyond A-Z don't matter here.
     gate = F.exists(F.array(F.lower(F.coalesce("text", F.lit("")))), lambda t: reduce(Column.__or__, (F.contains(t, F.lit(stem)) for stem in GATES)))
     none = F.array().cast("array<string>")
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words")
-    plain = seen.filter(~gate).select(*kept, words, F.array().cast("array<int>").alias("places"), none.alias("base"), none.alias("found"), F.lit(0.0).alias("rule_score"))
-    held = seen.filter(gate).select("box", F.regexp_extract_all(lowered(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
+    # One pass over the texts: the words of those that may hold a detection, and only the number of words of the others.
+    found = F.when(gate, F.regexp_extract_all(lowered(F.col("text")), F.lit(WORD), F.lit(0)))
+    once = seen.select("box", "text", found.alias("words")).select("box", "words", F.when(F.col("words").isNull(), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_WORD))).alias("count"))
+    once = staged(once, "license-words")
+    plain = once.filter("words is null").select(*kept, F.col("count").cast("long").alias("n_words"), F.array().cast("array<int>").alias("places"), none.alias("base"), none.alias("found"), F.lit(0.0).alias("rule_score"))
+    held = once.filter("words is not null").select("box", "words")
     base = base_columns(F.col("words"))
     held = held.withColumn("places", base["places"]).withColumn("base", base["base"])
     joined = F.concat(F.lit("  "), F.array_join("words", "  "), F.lit("  "))
