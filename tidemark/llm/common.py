@@ -208,3 +208,18 @@ def with_maybe(docs: DataFrame, wanted: DataFrame, key: Column, maybe: str) -> D
     bit = F.coalesce(F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1, F.lit(False))
     found = docs.withColumn("_at", F.bitmap_bucket_number(slot(key))).join(F.broadcast(marks), F.col("_at") == F.col("_bucket"), "left")
     return found.withColumn(maybe, bit).drop("_at", "_bucket", "_bits")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of the UTF-8 bytes of a text expression: the lookup table is linear, so that the entries of its eight powers of two are enough."""
+    entries = []
+    for k in range(8):
+        c = 1 << k
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        entries.append(c)
+    looked_up = "0"
+    for k, entry in enumerate(entries):
+        looked_up = f"xor({looked_up}, ((xor(c, b) >> {k}) & 1) * {entry})"
+    listed = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce({listed}, lambda c, b: xor(c >> 8, {looked_up}), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chunks, decontaminate, jaccard, langid, licenses, pii, quality, suffixes, toxicity
+from tidemark.llm import bisector, bpe, chunks, decontaminate, jaccard, langid, licenses, pii, quality, repair, sharding, suffixes, toxicity
 from tidemark.llm.common import table
 
 
@@ -62,9 +62,28 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_bisector_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector.op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_weighted_cyk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.op12(table(spark, sf_dir, "conversations"))
+
+
+def op13_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_pii_surrogates, op4_ngram_jaccard_join, op5_decontamination, op6_language_id, op7_compression_bands, op8_byte_bpe, op9_license_scan, op10_suffix_array_dedup)}
+    every = (
+        op1_substring_dedup, op2_toxicity, op3_pii_surrogates, op4_ngram_jaccard_join, op5_decontamination, op6_language_id, op7_compression_bands, op8_byte_bpe, op9_license_scan, op10_suffix_array_dedup,
+        op11_bisector_tournament, op12_weighted_cyk, op13_jump_hash,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": jaccard.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op9_license_scan": licenses.oracle()}
+    return {
+        "op4_ngram_jaccard_join": jaccard.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op9_license_scan": licenses.oracle(), "op11_bisector_tournament": bisector.oracle(),
+        "op12_weighted_cyk": repair.oracle(), "op13_jump_hash": sharding.oracle(),
+    }
