@@ -440,7 +440,7 @@ def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join, every: bool) ->
                         if far * (100 + join.percent) <= (n + m) * (100 - join.percent):
                             key = other if every else their_component
                             was = best.get(key)
-                            best[key] = (far, other, False) if was is None else (*min(was[:2], (far, other)), key != other)
+                            best[key] = (far, other, False) if was is None else (*min(was[:2], (far, other)), not every)
                 found |= {(min(node, other), max(node, other), far, more) for far, other, more in best.values()}
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], ["a", "b", "apart", "more"])
 
