@@ -205,6 +205,33 @@ def test_op4(spark, odd, empty, join):
     assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows, 3, 90), key=key)
 
 
+@pytest.mark.parametrize("label", [10, 5])
+def test_op4_says_where_a_closest_pair_hides_others(spark, label):
+    """Also where the other pair's node gives its component the label."""
+    join = jaccard.Join(group=10)
+    bits = jaccard.parities(jaccard.tokens(words(1, 50).encode(), 3), join)
+    opened = spark.createDataFrame([(n, c, 7, label, 3, 1) for n, c in ((10, label), (20, label), (99, 99))], "node long, component long, group long, main long, total long, outside long")
+    nodes = spark.createDataFrame([(n, 48, bits) for n in (10, 20, 99)], "node long, n long, bits binary")
+    assert [tuple(r) for r in jaccard.block_pairs(opened, nodes, join, False).collect()] == [(10, 99, 0, True)]
+    assert sorted(tuple(r) for r in jaccard.block_pairs(opened, nodes, join, True).collect()) == [(10, 99, 0, False), (20, 99, 0, False)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op4_goes_on_where_closest_pairs_fail(spark, monkeypatch, seed):
+    """With bitmaps that tell nothing apart, the closest pair is any pair, and most of those first tried fail."""
+    monkeypatch.setattr(jaccard, "apart", lambda a, b: 0)
+    rng, rows = random.Random(seed), []
+    for base in range(4):
+        text = words(700 + base, 60).split()
+        for copy in range(25):
+            changed = list(text)
+            for at in rng.sample(range(60), rng.choice([0, 1, 1, 1, 2])):
+                changed[at] = f"w{rng.randrange(99999)}"
+            rows.append((100 * base + copy, " ".join(changed)))
+    got = jaccard.op4(texts_of(spark, rows), jaccard.Join(group=3, often=0, least_often=2, hot=1)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows, 3, 90))
+
+
 def test_op4_keeps_one_of_each(spark, odd):
     clash = odd.withColumnsRenamed({"lang": "node", "source": "maybe", "n_chars": "late_id"})
     assert jaccard.first_of_each(clash).columns == clash.columns
@@ -346,9 +373,45 @@ BODIES = {
     "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "ofl": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
-    "json": "this permission notice shall be included in all copies or substantial portions of the Software. The Software shall be used for Good, not Evil.",
+    "json": "The Software shall be used for Good, not Evil.",
 }
 
+#: Notices as they stand in the wild, in part only, with the label that each must give.
+NOTICES = [
+    ("x11", "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."),
+    ("x11", "Except as contained in this notice, the name of the X Consortium shall not be used in advertising without authorization"),
+    ("zlib", "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("zlib", "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."),
+    ("openssl", "This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit. (http://www.openssl.org/)"),
+    ("bsd-4-clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the University"),
+    ("wtfpl", "0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("nasa", "NASA Open Source Agreement version 1.3"),
+    ("mpl", "http://mozilla.org/MPL/2.0/"),
+    ("epl", "http://www.eclipse.org/legal/epl-v10.html"),
+    ("ofl", "http://scripts.sil.org/OFL"),
+    ("wtfpl", "See http://www.wtfpl.net/ for more details."),
+    ("beerware", "As long as you retain this notice you can do whatever you want with this stuff. If we meet some day, and you think this stuff is worth it, you can buy me a beer in return."),
+    ("agpl", "prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity"),
+    ("gpl-3.0", "No covered work shall be deemed part of an effective technological measure under any applicable law fulfilling obligations"),
+    ("gpl-2.0", "You may copy and distribute the Program (or a work based on it, under Section 2) in object code or executable form under the terms of Sections 1 and 2 above"),
+    ("lgpl", "A program that contains no derivative of any portion of the Library, but is designed to work with the Library by being compiled or linked with it, is called a \"work that uses the Library\"."),
+    ("epl", "Any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement."),
+    ("cddl", "include this CDDL HEADER in each file"),
+    ("cc0", "Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of"),
+    ("cc-by-nc", "You may not use the material for commercial purposes."),
+    ("vim", "Vim is Charityware. You can use and copy it as much as you like."),
+    ("gpl", "When we speak of free software, we are referring to freedom, not price."),
+    ("classpath-exception", "Linking this library statically or dynamically with other modules is making a combined work based on this library."),
+    ("ssleay", "This package is an SSL implementation written by Eric Young (eay@cryptsoft.com)."),
+    ("ncsa", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimers."),
+    ("sspl", "If you make the functionality of the Program or a modified version available to third parties as a service, you must make the Service Source Code available"),
+    ("nvidia", "NVIDIA CORPORATION and its licensors retain all intellectual property and proprietary rights in and to this software"),
+    ("proprietary", "This file is confidential and proprietary."),
+    ("mit-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY"),
+    ("public-domain", "I hereby place this code in the public domain."),
+    ("blessing", "May you do good and not evil. May you find forgiveness for yourself and forgive others. May you share freely, never taking more than you give."),
+]
+
 
 def test_op9_finds_bodies(spark):
     rows = list(enumerate(BODIES.values()))
@@ -357,11 +420,27 @@ def test_op9_finds_bodies(spark):
         assert label in found[k][0] and found[k][1] >= 0.95, (label, found[k])
 
 
+def test_op9_finds_notices(spark):
+    """Texts that are written out here, not derived from the rules, and once more under letters and line ends that mustn't matter."""
+    rows = [(k, text) for k, (_, text) in enumerate(NOTICES)]
+    rows += [(k + 1000, "Ärger. " + text.upper().replace(" ", "\n *  ")) for k, text in rows]
+    found = {r.doc_id: r.labels.split(",") for r in licenses.op9(texts_of(spark, rows)).collect()}
+    assert [(label, text) for k, (label, text) in enumerate(NOTICES) if label not in found[k] or label not in found[k + 1000]] == []
+
+
+def test_op9_rules_are_many_and_gated():
+    by_hand = [*licenses.BODIES, *licenses.PLACES]
+    assert len(by_hand) == len(set(by_hand)) >= 250
+    assert all(licenses.needed(pattern) for *_, pattern in licenses.rules())
+    assert licenses.needed("(?:the )?gplv?[12]? licen[cs]e(?: x| y)? world ?wide") == [["licence", "license"], ["gplv1", "gplv2", "gplv", "gpl1", "gpl2", "gpl"]]
+    assert licenses.needed("a(?:b|c) d(?: e)? f") == [["d"], ["f"]]
+
+
 def brute_scan(text):
     """Labels and the best score of the rules that stay: every rule is tried, without keywords, and each detection held against all others."""
     low = re.sub("[A-Z]", lambda c: c.group().lower(), text or "")
     joined = "  " + "  ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + "  "
-    found = [(priority, m.start(), m.end(), label, score) for label, _, priority, score, pattern in licenses.rules() for m in re.finditer(pattern, joined)]
+    found = [(priority, m.start(), m.end(), label, score) for label, priority, score, pattern in licenses.rules() for m in re.finditer(licenses.spaced(pattern), joined)]
     inside = lambda a, b: b[1] <= a[1] and a[2] <= b[2] and (b[0] > a[0] or b[0] == a[0] and b[2] - b[1] > a[2] - a[1])
     stay = [a for a in found if not any(inside(a, b) for b in found)]
     return {a[3] for a in stay}, max((a[4] for a in stay), default=0.0)
@@ -370,7 +449,7 @@ def brute_scan(text):
 def test_op9_equals_brute_force(spark):
     """Keywords lose no detection, and suppression is by containment: over pieces of notices that follow each other at random."""
     rng = random.Random(11)
-    pieces = [*BODIES.values(), "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: GPL-3.0-or-later", "https://www.apache.org/licenses/LICENSE-2.0", "the mit license", "a GNU lesser general public license version 2.1"]
+    pieces = [*BODIES.values(), *(text for _, text in NOTICES), "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: GPL-3.0-or-later", "https://www.apache.org/licenses/LICENSE-2.0", "the mit license", "a GNU lesser general public license version 2.1"]
     pieces += ["either version 3 of the License, or (at your option) any later version", "This license is ours", "permission", "See https://creativecommons.org/licenses/by-nc-sa/4.0/", "expat licence", words(1, 12)]
     rows = [(k, " ".join(rng.choice(pieces) for _ in range(rng.randint(1, 6)))) for k in range(120)]
     for r in licenses.scan(texts_of(spark, rows)).collect():
