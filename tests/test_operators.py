@@ -155,6 +155,119 @@ def test_wider_bands_never_add_anomalies(spark):
     assert (told.alpha_up, told.alpha_down) == (3.0, 4.0)
 
 
+def wave(spark, n, items=1, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = [(str(i), t, float(np.sin(t / 9 + i) + 0.1 * rng.normal()), float(np.cos(t / 9) + 0.1 * rng.normal())) for i in range(items) for t in range(n)]
+    return spark.createDataFrame(rows, "series string, pos long, a double, b double")
+
+
+def plain_epochs(start, rows, length, epochs):
+    """A plain loop of Adam over the batches of one group: weights and the loss of every step."""
+    config, w = start.config, {k: v.copy() for k, v in start.weights.items()}
+    m, v, t, losses = {}, {}, 0, []
+    for epoch in range(epochs):
+        rng = np.random.default_rng([config.seed, epoch, 0])
+        windows = np.stack([rows[i : i + length] for i in range(len(rows) - length + 1)])
+        order = rng.permutation(len(windows))
+        for at in range(0, len(order), config.batch):
+            x = windows[order[at : at + config.batch]]
+            loss, g, moments = network.gradients(w, config, x, rng.standard_normal((len(x), length, config.latent)))
+            t += 1
+            losses.append((epoch, len(x), loss))
+            for k in g:
+                m[k] = 0.9 * m.get(k, 0) + 0.1 * g[k]
+                v[k] = 0.999 * v.get(k, 0) + 0.001 * g[k] ** 2
+                w[k] = w[k] - config.rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)
+            share = min(0.99, (t - 1) / t)
+            for k in moments:
+                w[k] = share * w[k] + (1 - share) * moments[k]
+    return w, losses
+
+
+def test_training_in_one_group_equals_a_plain_loop(spark):
+    """One state of the optimiser lives through all epochs."""
+    df = wave(spark, 300)
+    start = CausalVAE.initial(("a", "b"), length=12, units=(6, 6, 6), dilations=(1, 2, 4), latent=2, rate=5e-3, epochs=3, min_delta=-1e9, seed=3)
+    steps = []
+    model, history = start.fit(df.filter("pos < 250"), df.filter("pos >= 250"), groups=1, steps=steps)
+    rows = np.array([(r.a, r.b) for r in df.filter("pos < 250").orderBy("pos").collect()])
+    wanted, losses = plain_epochs(start, rows, 12, 3)
+    assert [(e, n) for e, _, n, _ in steps] == [(e, n) for e, n, _ in losses] and np.allclose([v for *_, v in steps], [v for *_, v in losses], rtol=0, atol=1e-9)
+    held = {r.epoch: r.value for r in history.collect() if r.metric == "val_loss"}
+    if min(held, key=held.get) == 2:
+        assert all(np.allclose(model.weights[k], wanted[k], rtol=0, atol=1e-9) for k in wanted)
+
+
+def test_training_in_groups_keeps_step(spark):
+    """Four groups end where one does after equal steps; groups that have no chunk, or fewer batches, go along."""
+    df = wave(spark, 1000, items=4)
+    settings = dict(length=12, units=(6, 6, 6), dilations=(1, 2, 4), latent=2, rate=5e-3, epochs=4, min_delta=-1e9, seed=3)
+    ends = {}
+    for groups in (1, 4):
+        steps = []
+        start = CausalVAE.initial(("a", "b"), batch=64, **settings)
+        start.fit(df.filter("pos < 900"), df.filter("pos >= 900"), chunk=100, groups=groups, steps=steps)
+        assert sum(n for e, _, n, _ in steps if e == 0) == 4 * (900 - 11)
+        ends[groups] = steps
+    last = min(len(ends[1]), len(ends[4]))
+    mean = lambda steps: np.mean([v for *_, v in steps[last - 30 : last]])
+    # Groups draw other batches, so the two are compared as shares of the loss that both began with.
+    assert abs(mean(ends[4]) - mean(ends[1])) < 0.01 * ends[1][0][3]
+    steps = []
+    CausalVAE.initial(("a", "b"), **{**settings, "epochs": 1}).fit(wave(spark, 150).filter("pos < 100"), wave(spark, 150).filter("pos >= 100"), chunk=1000, groups=4, steps=steps)
+    assert sum(n for *_, n, _ in steps) == 89
+
+
+def test_groups_take_the_mean_step():
+    """Three groups in threads, of which one has fewer batches, against one loop over all of their gradients."""
+    import threading
+
+    config = network.Config(channels=2, length=8, units=(4, 4, 4), dilations=(1, 2, 4), latent=2, rate=1e-2, seed=5)
+    given = [[np.random.default_rng([g, k]).normal(size=(3 + g + k % 2, 8, 2)) for k in range(4 - g)] for g in range(3)]
+    said, meet, ended = {}, threading.Barrier(3), {}
+
+    def group(g):
+        def gather(raw):
+            said[g] = raw
+            meet.wait()
+            out = [said[k] for k in range(3)]
+            meet.wait()
+            return out
+
+        training = network.Training.begin(network.initial(config))
+        ended[g] = training, network.synchronous(training, config, iter(given[g]), np.random.default_rng(g), gather)
+
+    threads = [threading.Thread(target=group, args=(g,)) for g in range(3)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    plain, rngs = network.Training.begin(network.initial(config)), [np.random.default_rng(g) for g in range(3)]
+    for k in range(4):
+        found = []
+        for g in range(3):
+            if k < len(given[g]):
+                x = given[g][k]
+                loss, grad, moments = network.gradients(plain.weights, config, x, rngs[g].standard_normal((len(x), 8, 2)))
+                found.append((len(x), grad, moments))
+        n = sum(f[0] for f in found)
+        grad = {name: sum(f[0] * f[1][name] for f in found) / n for name in found[0][1]}
+        moments = {name: sum(f[0] * f[2][name] for f in found) / n for name in found[0][2] if name.endswith(".mean")}
+        for name in list(moments):
+            var = name[:-4] + "var"
+            moments[var] = sum(f[0] * (f[2][var] + f[2][name] ** 2) for f in found) / n - moments[name] ** 2
+        plain.step(config, grad, moments)
+    for training, steps in ended.values():
+        assert training.steps == 4 and [n for n, _ in steps] == [sum(len(b[k]) for b in given if k < len(b)) for k in range(4)]
+        assert all(np.allclose(training.weights[k], plain.weights[k], rtol=0, atol=1e-9) for k in plain.weights)
+
+
+def test_an_epoch_has_the_same_windows_in_another_order():
+    from tidemark.operators.vae import mini_batches
+
+    arrays = [np.arange(at, at + 30, dtype="float64").reshape(-1, 1) for at in (0, 100, 200)]
+    drawn = [np.concatenate(list(mini_batches(iter(arrays), 5, 7, np.random.default_rng([1, epoch, 0]), pool)))[:, 0, 0] for epoch in (0, 1) for pool in (35, 10_000)]
+    assert all(sorted(d) == sorted(drawn[0]) and len(d) == 78 for d in drawn)
+    assert not np.array_equal(drawn[0], drawn[2]) and not np.array_equal(drawn[1], drawn[3])
+
+
 def test_network_gradients_and_causality():
     config = network.Config(channels=3, length=9, units=(4, 5, 4), dilations=(1, 2, 4), latent=2, seed=1)
     w, rng = network.initial(config), np.random.default_rng(0)
@@ -181,7 +294,7 @@ def test_training_lowers_the_loss_and_finds_spikes(spark):
     rng = np.random.default_rng(2)
     rows = [(0, i, float(np.sin(i / 3) + rng.normal() * 0.05), float(np.cos(i / 3) + rng.normal() * 0.05)) for i in range(1200)]
     df = spark.createDataFrame(rows, "series int, pos long, a double, b double")
-    start = CausalVAE.initial(("a", "b"), length=16, units=(8, 8, 8), dilations=(1, 2, 4), latent=2, rate=5e-3, epochs=6, min_delta=1e-4, seed=3)
+    start = CausalVAE.initial(("a", "b"), length=16, units=(8, 8, 8), dilations=(1, 2, 4), latent=2, rate=5e-3, epochs=16, min_delta=1e-4, seed=3)
     model, history = start.fit(df.filter("pos < 900"), df.filter("pos >= 900"), chunk=256, group_rows=600)
     val = [r.value for r in history.filter("metric = 'val_loss'").orderBy("epoch").collect()]
     assert min(val) < val[0] and model.evaluate(df).first().total < start.evaluate(df).first().total
@@ -357,3 +470,34 @@ def test_alphas_are_chosen_by_points_or_ranges(spark):
     for by in ("point", "range"):
         best = detect.fit_alphas(df, by).first()
         assert best.f1 > 0.99 and (best.alpha_up, best.alpha_down) == (2, 2)
+
+
+@pytest.mark.parametrize("chunk", [7, 16, 1000])
+def test_range_search_equals_the_scores_of_each_pair_of_widths(spark, chunk):
+    """Runs and true ranges that go on over the borders of chunks, series that are outside throughout, and channels without labels or predictions."""
+    rng = np.random.default_rng(chunk)
+    rows = []
+    for channel in ("noisy", "blocks", "always", "quiet", "unlabelled"):
+        level = 0.0
+        for pos in range(150):
+            level = level if rng.random() < 0.8 else rng.choice([0.0, 2.5, -3.5, 6.5, -7.5])
+            x = {"noisy": rng.normal() * 3, "blocks": level, "always": 9.0, "quiet": 0.0, "unlabelled": level}[channel]
+            label = int(channel != "unlabelled" and (pos // 11) % 3 == 0)
+            rows.append((channel, pos, None if rng.random() < 0.03 else float(x), 0.0, 1.0, label))
+    df = spark.createDataFrame(rows, "channel string, pos int, x double, recon double, sigma double, label int")
+    got = {(r.channel, r.alpha_up, r.alpha_down): (r.recall, r.precision, r.f1) for r in detect.range_f1(df, chunk=chunk).collect()}
+    tried = df.join(detect.alpha_grid(spark)).withColumn("pred", F.coalesce(detect.outside(F.col("alpha_up"), F.col("alpha_down")).cast("int"), F.lit(0)))
+    wanted = {(r.channel, r.alpha_up, r.alpha_down): (r.recall, r.precision, r.f1) for r in ranges.range_scores(tried, ("channel", "alpha_up", "alpha_down")).collect()}
+    assert got.keys() == wanted.keys() and len(got) == 180
+    assert {k: (got[k], v) for k, v in wanted.items() if not np.allclose(got[k], v, rtol=0, atol=1e-12)} == {}
+
+
+def test_fill_of_a_long_item_is_linear(spark):
+    """Two hundred thousand rows of one item, of which only the last has a value."""
+    df = spark.range(200_000).select(F.lit(1).alias("item_id"), F.col("id").alias("pos"), F.when(F.col("id") == 199_999, F.lit(5.0)).alias("x"))
+    import time
+
+    began = time.perf_counter()
+    assert clean.fill(df).filter("x = 5").count() == 200_000
+    assert clean.fill_chunked(df, 150_000).filter("x = 5").count() == 200_000
+    assert time.perf_counter() - began < 60

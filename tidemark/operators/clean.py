@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,14 +23,18 @@ def mask_outliers(df: DataFrame, max_std: float, item: str = "item_id", x: str =
     return out.withColumn(x, F.when(~F.coalesce(far, F.lit(False)), F.col(x))).drop("_mean", "_std")
 
 
+def next_value(x: str, part: WindowSpec, pos: str) -> Column:
+    """The first value from a row on, as the last one up to it when read backwards: a frame that grows, which Spark carries from row to row. One that shrinks it would go through for each row anew."""
+    return F.last(x, ignorenulls=True).over(part.orderBy(F.col(pos).desc()).rowsBetween(W.unboundedPreceding, 0))
+
+
 def fill(df: DataFrame, item: str = "item_id", pos: str = "pos", x: str = "x", backfill: bool = True) -> DataFrame:
     """The last value before, and where there is none the first one after."""
     w = W.partitionBy(item).orderBy(pos)
     before = F.last(x, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
     if not backfill:
         return df.withColumn(x, before)
-    after = F.first(x, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    return df.withColumn(x, F.coalesce(before, after))
+    return df.withColumns({x: F.coalesce(before, next_value(x, W.partitionBy(item), pos))})
 
 
 def fill_chunked(df: DataFrame, chunk: int, item: str = "item_id", pos: str = "pos", x: str = "x") -> DataFrame:
@@ -48,7 +52,7 @@ def fill_chunked(df: DataFrame, chunk: int, item: str = "item_id", pos: str = "p
     )
     local = W.partitionBy(item, "_chunk").orderBy(pos)
     before = F.last(x, ignorenulls=True).over(local.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(x, ignorenulls=True).over(local.rowsBetween(0, W.unboundedFollowing))
+    after = next_value(x, W.partitionBy(item, "_chunk"), pos)
     out = part.join(carried, [item, "_chunk"])
     return out.withColumn(x, F.coalesce(before, "_before", after, "_after")).drop("_chunk", "_before", "_after")
 

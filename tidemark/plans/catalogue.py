@@ -514,6 +514,33 @@ def g10_best_alpha(spark, sf_dir):
     return rounded(detect.best_alphas(detect.point_f1(detect.confusion(detection_frame(spark, sf_dir)))), "f1")
 
 
+def covered_by_widths(name: str, of: str, by: str, keys: str) -> str:
+    """As ``coverage_sql`` for every pair of widths; ``of`` or ``by`` may be the true ranges, which are the same for all of them."""
+    w = "(b - a + 1) * ((e - a + 1) + (e - b + 1)) / 2.0 / ((e - s + 1) * (e - s + 2) / 2.0)"
+    return f"""{name} AS (SELECT channel, alpha_up, alpha_down, avg(v) AS score FROM (SELECT channel, alpha_up, alpha_down, s, e, coalesce(sum({w}) / greatest(count(a), 1), 0) AS v FROM
+(SELECT o.channel, o.alpha_up, o.alpha_down, o.s, o.e, CASE WHEN p.s IS NOT NULL THEN greatest(o.s, p.s) END AS a, CASE WHEN p.s IS NOT NULL THEN least(o.e, p.e) END AS b
+FROM {of} o LEFT JOIN {by} p ON {keys} AND o.s <= p.e AND p.s <= o.e) GROUP BY ALL) GROUP BY ALL)"""
+
+
+WIDTHS = "o.channel = p.channel AND o.alpha_up = p.alpha_up AND o.alpha_down = p.alpha_down"
+SEARCH = f"""{ALPHA_SQL}, pr AS (SELECT channel, pos, label, alpha_up, alpha_down, (x < recon - alpha_down * sigma OR x > recon + alpha_up * sigma)::INT AS pred FROM det CROSS JOIN up CROSS JOIN down),
+sr AS (SELECT channel, alpha_up, alpha_down, min(pos) AS s, max(pos) AS e FROM (SELECT *, pos - row_number() OVER (PARTITION BY channel, alpha_up, alpha_down ORDER BY pos) AS i FROM pr WHERE pred = 1) GROUP BY channel, alpha_up, alpha_down, i),
+{islands('t0', 'det', 'label')}, tr AS (SELECT t0.*, alpha_up, alpha_down FROM t0 CROSS JOIN up CROSS JOIN down),
+{covered_by_widths('rc', 'tr', 'sr', WIDTHS)}, {covered_by_widths('pc', 'sr', 'tr', WIDTHS)}, b AS (SELECT DISTINCT channel, alpha_up, alpha_down FROM pr),
+s AS (SELECT channel, alpha_up, alpha_down, coalesce(rc.score, 0) AS re, coalesce(pc.score, 0) AS pr FROM b LEFT JOIN rc USING (channel, alpha_up, alpha_down) LEFT JOIN pc USING (channel, alpha_up, alpha_down)),
+found AS (SELECT channel, alpha_up, alpha_down, {r('re', 'recall')}, {r('pr', 'precision')}, {r('CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re + 1e-6) ELSE 0 END', 'f1')} FROM s)"""
+
+
+@query(f"WITH {DET}, {SEARCH} SELECT * FROM found")
+def g10_range_search(spark, sf_dir):
+    return rounded(detect.range_f1(detection_frame(spark, sf_dir)), "recall", "precision", "f1")
+
+
+@query(f"WITH {DET}, {SEARCH}, k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY f1 DESC, alpha_up, alpha_down) AS n FROM found) SELECT channel, alpha_up, alpha_down, f1 FROM k WHERE n = 1")
+def g10_best_alpha_by_ranges(spark, sf_dir):
+    return detect.best_alphas(rounded(detect.range_f1(detection_frame(spark, sf_dir), chunk=100), "f1"))
+
+
 # Metrics.
 
 PAIR = "pr AS (SELECT * FROM fc WHERE y IS NOT NULL AND p IS NOT NULL)"

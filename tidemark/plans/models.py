@@ -88,10 +88,15 @@ def f4_loss(spark, sf_dir):
     return rounded(each.groupBy("item_id").agg(F.avg("a").alias("reconstruction"), F.avg("b").alias("kl")), "reconstruction", "kl")
 
 
+def split_by_share(df: DataFrame, share: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """What lies before a share of the last position, and the rest."""
+    cut = int(share * df.agg(F.max("pos")).first()[0])
+    return df.filter(F.col("pos") < cut), df.filter(F.col("pos") >= cut)
+
+
 def fitted_network(spark, sf_dir, **more):
     df = network_frame(spark, sf_dir)
-    cut = 270
-    return small_network(**more).fit(df.filter(F.col("pos") < cut), df.filter(F.col("pos") >= cut)), df
+    return small_network(**more).fit(*split_by_share(df)), df
 
 
 @query()
@@ -99,6 +104,15 @@ def f5_fit(spark, sf_dir):
     return fitted_network(spark, sf_dir)[0][1]
 
 
+@query()
+def f5_steps(spark, sf_dir):
+    """The loss of every step of all groups."""
+    df, steps = network_frame(spark, sf_dir), []
+    train, held = split_by_share(df)
+    small_network().fit(train, held, steps=steps)
+    return spark.createDataFrame(steps, "epoch int, step int, windows long, loss double")
+
+
 @query()
 def f7_score(spark, sf_dir):
     (model, _), df = fitted_network(spark, sf_dir, epochs=1)
@@ -121,7 +135,7 @@ def f9_evaluate(spark, sf_dir):
 def f10_search(spark, sf_dir):
     df = network_frame(spark, sf_dir)
     settings = candidates(4, seed=3, lengths=(8, 16, 32), widths=(4, 8, 16))
-    return search(df.filter("pos < 270"), df.filter("pos >= 270"), ("x", "mean4"), settings, epochs=2, seed=7)
+    return search(*split_by_share(df), ("x", "mean4"), settings, epochs=2, seed=7)
 
 
 @query()
