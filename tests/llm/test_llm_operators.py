@@ -212,8 +212,9 @@ def test_op4_says_where_a_closest_pair_hides_others(spark, label):
     bits = jaccard.parities(jaccard.tokens(words(1, 50).encode(), 3), join)
     opened = spark.createDataFrame([(n, c, 7, label, 3, 1) for n, c in ((10, label), (20, label), (99, 99))], "node long, component long, group long, main long, total long, outside long")
     nodes = spark.createDataFrame([(n, 48, bits) for n in (10, 20, 99)], "node long, n long, bits binary")
-    assert [tuple(r) for r in jaccard.block_pairs(opened, nodes, join, False).collect()] == [(10, 99, 0, True)]
-    assert sorted(tuple(r) for r in jaccard.block_pairs(opened, nodes, join, True).collect()) == [(10, 99, 0, False), (20, 99, 0, False)]
+    assert [tuple(r) for r in jaccard.block_pairs(opened, nodes, join).collect()] == [(10, 99, 0, True)]
+    marked = spark.createDataFrame([(99,)], "node long")
+    assert sorted(tuple(r) for r in jaccard.block_pairs(opened, nodes, join, marked).collect()) == [(10, 99, 0, False), (20, 99, 0, False)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -421,12 +421,14 @@ def open_groups(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(sized, "large").drop("large").distinct()
 
 
-def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join, every: bool) -> DataFrame:
-    """Pairs (a, b, apart, more) that the bitmaps allow, between each node outside the main component of a group and those of other components.
+def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join, marked: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, apart, more) that the bitmaps allow, between each node outside the main component of a group, or each ``marked`` one (node), and those of other components.
 
-    Unless ``every``, a block gives only the closest pair of a node and another component, and whether there are ``more`` of them. Both sides are dealt into blocks of about ``join.group`` nodes, and each block of the outsiders meets each of all nodes.
+    Unless nodes are marked, a block gives only the closest pair of a node and another component, and whether there are ``more`` of them. Both sides are dealt into blocks of about ``join.group`` nodes, and each block of the outsiders meets each of all nodes.
     """
 
+    every = marked is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, mine, theirs = None, [], []
 
@@ -454,11 +456,14 @@ def block_pairs(opened: DataFrame, nodes: DataFrame, join: Join, every: bool) ->
         if mine and theirs:
             yield out()
 
+    if every:
+        those = opened.join(marked, "node", "left_semi")
+        opened = opened.drop("outside").join(those.groupBy("group").agg(F.count("*").alias("outside")), "group")
     rows = opened.withColumn("all_blocks", F.ceil(F.col("total") / join.group).cast("int")).withColumn("out_blocks", F.ceil(F.col("outside") / join.group).cast("int"))
     of = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     everyone = rows.select("group", of("all_blocks", 1).alias("x"), each("out_blocks").alias("y"), F.lit(False).alias("outsider"), "node", "component")
-    outside = rows.filter("component <> main").select("group", each("all_blocks").alias("x"), of("out_blocks", 2).alias("y"), F.lit(True).alias("outsider"), "node", "component")
+    outside = (rows.join(marked, "node", "left_semi") if every else rows.filter("component <> main")).select("group", each("all_blocks").alias("x"), of("out_blocks", 2).alias("y"), F.lit(True).alias("outsider"), "node", "component")
     both = everyone.unionByName(outside).join(nodes.select("node", "n", "bits"), "node")
     dealt = both.select("group", "x", "y", "outsider", "node", "n", "bits", "component").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
     return map_arrow(dealt, run, "a long, b long, apart int, more boolean").groupBy("a", "b").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
@@ -494,21 +499,24 @@ def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
         tried = told if tried is None else tried.unionByName(told)
     discard(texts)
     members = maybe.filter("large is not null").select(F.col("a").alias("node"), "large").distinct()
-    # What is left of the large signatures: the closest pairs first, and every one that is still between components if any of these has failed.
+    # What is left of the large signatures: the closest pairs first, and then every other one of the nodes whose closest pair has failed.
+    marked = None
     for every in (False, True):
         opened = staged(open_groups(members, found), "open-groups")
         if opened.isEmpty():
             break
-        blocks = staged(block_pairs(opened, nodes, join, every), "block-pairs")
+        blocks = staged(block_pairs(opened, nodes, join, marked), "block-pairs")
         fresh = blocks.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         texts = texts_of(fresh)
         told = staged(verified(fresh, texts, join), "verified")
         found = merged(found, told.filter("linked").select("a", "b"))
         tried = tried.unionByName(told)
         # A closest pair that has failed, now or before, may have hidden others; one that is linked has brought them into one component.
+        # Whichever pair it has hidden, one of its nodes is among these, wherever the components have grown since.
         hidden = blocks.filter("more").join(told.filter("linked"), ["a", "b"], "left_anti")
         if every or hidden.isEmpty():
             break
+        marked = staged(hidden.select(F.col("a").alias("node")).union(hidden.select("b")).distinct(), "marked-nodes")
         discard(blocks, texts, opened)
     discard(maybe, edges)
     named = nodes.select("node", "least_id", "rep", F.col("node").alias("component"))
