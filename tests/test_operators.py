@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions import errors, metrics
+from tidemark.functions.quantiles import quantiles
 from tidemark.operators import automl, clean, detect, explain, features, forecast, frames, network, ranges, windows
 from tidemark.operators.vae import CausalVAE, candidates
 from tidemark.sources import io
@@ -501,3 +502,42 @@ def test_fill_of_a_long_item_is_linear(spark):
     assert clean.fill(df).filter("x = 5").count() == 200_000
     assert clean.fill_chunked(df, 150_000).filter("x = 5").count() == 200_000
     assert time.perf_counter() - began < 60
+
+
+def test_rolling_blocks_equal_frames(spark, gappy):
+    """Also in the first windows, on gaps, on large levels with small steps, and where a window is a block or longer than the item."""
+    sizes = (1, 2, 7, 50, 300)
+    for df in (gappy, gappy.withColumn("x", F.col("x") * 1e-3 + 1e6), gappy.withColumn("x", F.lit(None).cast("double"))):
+        names = list(features.rolling("x", sizes, features.series()))
+        got = by_item(features.rolling_blocks(df, "x", sizes), *names)
+        wanted = by_item(df.withColumns(features.rolling("x", sizes, features.series())), *names)
+        for name in names:
+            assert np.allclose(got[name].astype(float), wanted[name].astype(float), equal_nan=True, rtol=1e-9, atol=1e-9), name
+
+
+def test_rolling_blocks_do_not_grow_with_the_window(spark):
+    import time
+
+    df = spark.range(300_000).select(F.lit(1).alias("item_id"), F.col("id").alias("pos"), F.sin("id").alias("x"))
+    took = {}
+    for n in (10, 100, 20_000):
+        began = time.perf_counter()
+        features.rolling_blocks(df, "x", (n,)).agg(F.sum(f"x_roll_max_{n}"), F.sum(f"x_roll_std_{n}")).collect()
+        took[n] = time.perf_counter() - began
+    assert took[20_000] < 4 * took[100] + 2
+
+
+def test_quantiles_equal_percentiles(spark):
+    """Ties, one value, wide and huge ranges, gaps, groups without values, a null group, and no groups at all."""
+    rng = np.random.default_rng(4)
+    rows = [("normal", float(v)) for v in rng.normal(size=997)] + [("ties", float(v)) for v in rng.integers(0, 4, 400)] + [("one", 7.5), ("none", None), (None, 1.0), (None, 4.0), ("normal", None)]
+    rows += [("tails", float(v)) for v in np.concatenate([rng.normal(size=500) * 1e-9, [1e300, -1e308, 1.7e308]])] + [("same", 3.0)] * 50
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares = (0.0, 0.02, 0.25, 0.5, 0.9, 0.98, 1.0)
+    percentiles = F.percentile("x", F.array(*map(F.lit, shares))).alias("q")
+    for buckets in (2, 16, 1024):
+        got = {r.g: r.q for r in quantiles(df, ["g"], "x", shares, buckets=buckets).collect()}
+        wanted = {r.g: r.q for r in df.groupBy("g").agg(percentiles).collect() if r.q}
+        assert got.keys() == wanted.keys() and all(np.allclose(got[g], wanted[g], rtol=1e-12, atol=0) for g in wanted)
+    assert np.allclose(quantiles(df, [], "x", shares).first().q, df.agg(percentiles).first().q, rtol=1e-12)
+    assert quantiles(df.limit(0), ["g"], "x", shares).isEmpty()

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import mae
+from tidemark.functions.quantiles import quantiles
 
 
 def interval_coverage(df: DataFrame, bands: dict[str, tuple[str, str, float]], by: str = "item_id", y: str = "y") -> DataFrame:
@@ -50,7 +51,7 @@ def permutation_importance(df: DataFrame, covariates: Sequence[str], predict: Ca
 def error_by_hour(df: DataFrame, item: str = "item_id", time: str = "ts", residual: str = "residual") -> DataFrame:
     """Quartiles of the absolute error by item and hour, and the largest and smallest errors within 1.5 interquartile ranges."""
     error = df.select(item, F.hour(time).alias("hour"), F.abs(F.col(residual)).alias("e")).filter("e is not null")
-    q = error.groupBy(item, "hour").agg(F.percentile("e", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(error, [item, "hour"], "e", (0.25, 0.5, 0.75))
     q = q.select(item, "hour", q["q"][0].alias("q1"), q["q"][1].alias("median"), q["q"][2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     kept = F.when(F.col("e").between(F.col("q1") - reach, F.col("q3") + reach), F.col("e"))
@@ -69,7 +70,7 @@ def normal_quantiles(df: DataFrame, by: str = "item_id", x: str = "residual", po
     """Quantiles of each group beside those of a normal distribution of the same deviation."""
     shares = [i / (points + 1) for i in range(1, points + 1)]
     normal = F.array(*[F.lit(NormalDist().inv_cdf(s)) for s in shares])
-    q = df.groupBy(by).agg(F.percentile(x, F.array(*map(F.lit, shares))).alias("q"), F.stddev_pop(x).alias("deviation"))
+    q = quantiles(df, [by], x, shares).join(df.groupBy(by).agg(F.stddev_pop(x).alias("deviation")), by)
     each = q.select(by, "deviation", F.posexplode(F.arrays_zip(F.col("q").alias("observed"), normal.alias("z"))).alias("i", "pair"))
     return each.select(by, (F.col("i") + 1).alias("i"), F.col("pair.observed").alias("observed"), (F.col("pair.z") * F.col("deviation")).alias("normal"))
 

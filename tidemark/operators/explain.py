@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import quantiles
+
 
 def variable_importance(spark: SparkSession, model, inputs: Sequence[str]) -> DataFrame:
     """relative, scaled and percentage importance of each input; absolute coefficients for a linear model."""
@@ -31,9 +33,8 @@ def grid_of(df: DataFrame, variables: Sequence[str], points: int) -> DataFrame:
 def quantile_grid(train: DataFrame, variables: Sequence[str], points: int = 15, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Percentiles of the training part as grid."""
     shares = [low + (high - low) * i / max(1, points - 1) for i in range(points)]
-    row = train.agg(*[F.percentile(v, F.array(*map(F.lit, shares))).alias(v) for v in variables])
-    rows = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("values")) for v in variables])
-    return row.select(F.explode(rows).alias("r")).select("r.variable", F.posexplode("r.values").alias("i", "value"))
+    long = train.select(*(F.col(v).cast("double").alias(v) for v in variables)).unpivot([], list(variables), "variable", "value")
+    return quantiles(long, ["variable"], "value", shares).select("variable", F.posexplode("q").alias("i", "value"))
 
 
 def partial_dependence(df: DataFrame, grid: DataFrame, variables: Sequence[str], predict: Callable[[DataFrame], DataFrame]) -> DataFrame:

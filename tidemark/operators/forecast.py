@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import quantiles as exact_quantiles
 from tidemark.operators import features
 
 
@@ -175,7 +176,7 @@ QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 def with_quantiles(forecast: DataFrame, residuals: DataFrame, bucket: int, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """``forecast`` with quantile columns: percentiles of validation residuals (item_id, h, residual) by item and part of the horizon."""
     part = F.floor((F.col("h") - 1) / bucket).alias("_part")
-    q = residuals.groupBy("item_id", part).agg(F.percentile("residual", F.array(*map(F.lit, quantiles))).alias("_q"))
+    q = exact_quantiles(residuals.select("item_id", part, "residual"), ["item_id", "_part"], "residual", quantiles, "_q")
     out = forecast.withColumn("_part", F.floor((F.col("h") - 1) / bucket)).join(q, ["item_id", "_part"], "left")
     return out.withColumns({f"q{round(100 * v)}": F.col("mean") + F.col("_q")[i] for i, v in enumerate(quantiles)}).drop("_q", "_part")
 

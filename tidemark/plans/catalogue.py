@@ -364,7 +364,18 @@ def e3_lags(spark, sf_dir):
 
 @query(f"WITH {WF} SELECT item_id, pos, {ROLL} FROM wfill")
 def e4_rolling(spark, sf_dir):
-    return weekly_features(spark, sf_dir, features.rolling("x", SIZES, features.series()))
+    names = list(features.rolling("x", SIZES, features.series()))
+    return rounded(features.rolling_blocks(filled_weeks(spark, sf_dir), "x", SIZES).select("item_id", "pos", *names), *names)
+
+
+WIDE = (72, 288)
+WIDE_SQL = ", ".join(r(f"{f}(x) OVER (PARTITION BY channel ORDER BY pos ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)", f"x_roll_{kind}_{n}") for n in WIDE for kind, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
+
+
+@query(f"WITH {HF} SELECT channel, pos, {WIDE_SQL} FROM hfill")
+def e4_wide_windows(spark, sf_dir):
+    names = list(features.rolling("x", WIDE, features.series()))
+    return rounded(features.rolling_blocks(filled_hours(spark, sf_dir), "x", WIDE, "channel").select("channel", "pos", *names), *names)
 
 
 @query(SQL["e4_rolling"])
@@ -412,8 +423,11 @@ def e7_exogenous_lags(spark, sf_dir):
 @query(f"WITH {HF}, {WIDE_POS} SELECT pos, {', '.join(r(f'avg({c}) OVER (ORDER BY pos ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)', f'{c}_roll_mean_{n}') for c in EXO for n in (12, 24))} FROM wp")
 def e8_exogenous_rolling(spark, sf_dir):
     names = [f"{c}_roll_mean_{n}" for c in EXO for n in (12, 24)]
-    means = lambda w: {k: v for c in EXO for k, v in features.rolling(c, (12, 24), w, ("mean",)).items()}
-    return rounded(features.over_chunks(wide_hours(spark, sf_dir), means, 96, 24).select("pos", *names), *names)
+    # Every chunk begins with a halo as long as the widest window, so the blocks of a chunk know all that they need.
+    out = features.with_halo(wide_hours(spark, sf_dir), 96, 24)
+    for c in EXO:
+        out = features.rolling_blocks(out, c, (12, 24), ("item_id", "chunk"), kinds=("mean",))
+    return rounded(out.filter(~F.col("is_halo")).select("pos", *names), *names)
 
 
 @query(f"""WITH {WF}, {', '.join(map(ewm_sql, SPANS)).replace('FROM w a LEFT JOIN w b', 'FROM wfill a LEFT JOIN wfill b')},
