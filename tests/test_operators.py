@@ -324,6 +324,48 @@ def test_forecasters(spark):
     assert out["forecast"].filter("q10 > q90").count() == 0
 
 
+def test_run_multi_is_restated(spark):
+    """Two validation windows before the test, each forecast from what lies before it; weights and quantiles from both, on small frames in pandas."""
+    season, horizon, rng = 6, 6, np.random.default_rng(8)
+    rows = [(item, i, float(item + np.sin(i) + 0.02 * i + rng.normal() * 0.3)) for item in (1, 2, 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "item_id int, pos int, x double").withColumn("ts", F.timestamp_seconds(F.col("pos") * 3600))
+    out = forecast.run_multi(df, horizon, season, heavy=False, bucket=3)
+    said = out["validation"].toPandas()
+    assert {(k, p) for k, p in zip(said["window"], said["pos"])} == {(2, p) for p in range(138, 144)} | {(3, p) for p in range(132, 138)}
+    for k, cut in ((2, 138), (3, 132)):
+        alone = forecast.families(df.filter(F.col("pos") < cut), horizon, season, heavy=False).toPandas()
+        both = said[said["window"] == k].merge(alone, on=["item_id", "pos", "model"], suffixes=("", "_alone"))
+        assert len(both) == len(alone) == 3 * horizon * 5 and np.allclose(both["mean"], both["mean_alone"])
+    wide = said.pivot_table(index=["item_id", "window", "pos", "h", "y"], columns="model", values="mean").reset_index()
+    models, picks = sorted(said["model"].unique()), []
+    for _ in range(10):
+        picks.append(min(models, key=lambda m: (float((wide["y"] - sum(wide[p] for p in [*picks, m]) / (len(picks) + 1)).abs().mean()), m)))
+    weights = {r.model: r.weight for r in out["weights"].collect()}
+    assert weights == {m: picks.count(m) / 10 for m in models}
+    wide["residual"] = wide["y"] - sum(wide[m] * w for m, w in weights.items())
+    singles = out["models"].toPandas().pivot_table(index=["item_id", "pos", "h"], columns="model", values="mean").reset_index()
+    told = out["forecast"].toPandas().merge(singles, on=["item_id", "pos", "h"])
+    assert len(told) == 3 * horizon and np.allclose(told["mean"], sum(told[m] * w for m, w in weights.items())) and np.allclose(told["mean"], told["WeightedEnsemble"])
+    for r in told.itertuples():
+        mine = wide[(wide["item_id"] == r.item_id) & ((wide["h"] - 1) // 3 == (r.h - 1) // 3)]["residual"]
+        assert len(mine) == 6 and np.allclose([r.q10, r.q50, r.q90], r.mean + np.quantile(mine, [0.1, 0.5, 0.9]))
+    with pytest.raises(ValueError):
+        forecast.run_single(df, 1, horizon, season, most=1)
+
+
+def test_direct_rows_are_restated(spark):
+    """Targets and seasonal values by position, on gaps, before the first season and beyond the end."""
+    rng = np.random.default_rng(3)
+    x = {(i, p): (None if rng.random() < 0.2 else float(rng.normal())) for i in (1, 2) for p in range(40)}
+    df = spark.createDataFrame([(i, p, v) for (i, p), v in x.items()], "item_id int, pos int, x double").withColumn("ts", F.timestamp_seconds(F.col("pos") * 3600))
+    season, horizon = 5, 12
+    got = forecast.direct_rows(df, horizon, F.col("pos") >= 2, (0, 1), season).collect()
+    assert len(got) == 2 * 38 * horizon
+    for r in got:
+        assert r.pos == r.origin + r.h and r.y == x.get((r.item_id, r.pos)) and r.lag_1 == x[r.item_id, r.origin - 1]
+        assert r.season_before == x.get((r.item_id, r.pos - -(-r.h // season) * season)) and r.hour == r.pos % 24
+
+
 def test_direct_tabular_trains_on_every_origin_with_calendar_and_covariates(spark, monkeypatch):
     fitted_on = []
     fit = forecast.GBTRegressor.fit

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import quantiles as exact_quantiles
 from tidemark.operators import features
+from tidemark.sources.staging import staged
 
 
 def steps(horizon: int):
@@ -96,17 +97,24 @@ CALENDAR = ("hour", "minute", "dayofweek", "dayofmonth", "month", "weekofyear",
 
 
 def direct_rows(df: DataFrame, horizon: int, origins, lags: Sequence[int], season: int) -> DataFrame:
-    """Features at each origin with every step of the horizon, the calendar and the value a season before of the target; y where it is known."""
+    """Features at each origin with every step of the horizon, the calendar and the value a season before of the target; y where it is known.
+
+    An origin's next values and its last season are arrays by window, so that nothing is joined once the steps are spelled out.
+    """
     w = features.series()
     seconds = F.col("ts").cast("timestamp").cast("long")
-    at = df.withColumns({f"lag_{k}": F.lag("x", k).over(w) for k in lags} | {"roll": F.avg("x").over(w.rowsBetween(-season, 0)), "_ts": seconds, "_step": seconds - F.lag(seconds).over(w)})
-    at = at.filter(origins).withColumn("h", steps(horizon)).withColumn("_ts", F.timestamp_seconds(F.col("_ts") + F.col("h") * F.col("_step"))).withColumns(features.calendar("_ts"))
+    held = F.coalesce(F.col("x").cast("double"), F.lit(float("nan")))
+    ahead, behind = F.collect_list(held).over(w.rowsBetween(1, horizon)), F.collect_list(held).over(w.rowsBetween(1 - season, 0))
+    columns = {f"lag_{k}": F.lag("x", k).over(w) for k in lags}
+    columns |= {"roll": F.avg("x").over(w.rowsBetween(-season, 0)), "_ts": seconds, "_step": seconds - F.lag(seconds).over(w), "_ahead": ahead, "_behind": behind}
+    known = lambda v: F.when(~F.isnan(v), v)
     # A step beyond one season looks so many seasons back that the value is known at the origin.
-    back = (F.col("pos") + F.col("h") - F.ceil(F.col("h") / season) * season).cast("int")
-    at = at.select("item_id", F.col("pos").alias("origin"), "h", back.alias("_back"), (F.col("pos") + F.col("h")).alias("pos"), *[f"lag_{k}" for k in lags], "roll", *CALENDAR)
-    known = df.select("item_id", "pos", F.col("x").alias("y"))
-    before = df.select("item_id", F.col("pos").alias("_back"), F.col("x").alias("season_before"))
-    return at.join(known, ["item_id", "pos"], "left").join(before, ["item_id", "_back"], "left").drop("_back")
+    step = lambda h: F.struct(
+        h.alias("h"), known(F.get("_ahead", h - 1)).alias("y"), known(F.get("_behind", F.size("_behind") - season + F.pmod(h - 1, F.lit(season)))).alias("season_before")
+    )
+    at = df.withColumns(columns).filter(origins).withColumn("_s", F.explode(F.transform(F.sequence(F.lit(1), F.lit(horizon)), step)))
+    at = at.withColumn("h", F.col("_s.h")).withColumn("_ts", F.timestamp_seconds(F.col("_ts") + F.col("h") * F.col("_step"))).withColumns(features.calendar("_ts"))
+    return at.select("item_id", (F.col("pos") + F.col("h")).alias("pos"), F.col("pos").alias("origin"), "h", *[f"lag_{k}" for k in lags], "roll", *CALENDAR, "_s.y", "_s.season_before")
 
 
 def direct_tabular(
@@ -165,9 +173,9 @@ def ensemble_weights(wide: DataFrame, models: Sequence[str], rounds: int = 10, y
     return wide.sparkSession.createDataFrame([(m, n / rounds) for m, n in picks.items()], "model string, weight double")
 
 
-def weighted(forecasts: DataFrame, weights: DataFrame) -> DataFrame:
-    """The weighted mean of forecasts (item_id, pos, model, mean)."""
-    return forecasts.join(F.broadcast(weights), "model").groupBy("item_id", "pos").agg((F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("mean"))
+def weighted(forecasts: DataFrame, weights: DataFrame, *more: str) -> DataFrame:
+    """The weighted mean of forecasts (item_id, pos, model, mean) of each item, position and value of ``more``."""
+    return forecasts.join(F.broadcast(weights), "model").groupBy("item_id", "pos", *more).agg((F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("mean"))
 
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -206,36 +214,46 @@ def families(train: DataFrame, horizon: int, season: int, heavy: bool = True, kn
     return out
 
 
-def run_multi(df: DataFrame, horizon: int, season: int, heavy: bool = True, bucket: int = 13, known: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every item forecast over its last ``horizon`` positions: forecasts with an ensemble and quantiles, weights and the test frame.
+def run_multi(df: DataFrame, horizon: int, season: int, heavy: bool = True, bucket: int = 13, known: DataFrame | None = None, validations: int = 2) -> dict[str, DataFrame]:
+    """Every item forecast over its last ``horizon`` positions: forecasts with an ensemble and quantiles, weights, the validation rows and the test frame.
 
-    Weights and quantiles come from the horizon before, so nothing is chosen on what is tested.
+    Weights and quantiles come from the ``validations`` horizons before, each forecast by families that know only what lies before it, so nothing is chosen on what is tested. Every
+    family's forecasts are written once.
     """
-    parts = backtest_windows(df, horizon, 2).persist()
+    if validations < 1:
+        raise ValueError("a validation window at least")
+    parts = staged(backtest_windows(df, horizon, validations + 1), "windows")
     fit = lambda k, part: parts.filter((F.col("window") == k) & (F.col("part") == part)).select("item_id", "ts", "pos", "x")
-    validation = families(fit(2, "train"), horizon, season, heavy, known).join(fit(2, "validation").select("item_id", "pos", F.col("x").alias("y")), ["item_id", "pos"]).persist()
+    validation = None
+    for k in range(2, validations + 2):
+        one = families(fit(k, "train"), horizon, season, heavy, known).join(fit(k, "validation").select("item_id", "pos", F.col("x").alias("y")), ["item_id", "pos"]).withColumn("window", F.lit(k))
+        validation = one if validation is None else validation.unionByName(one)
+    validation = staged(validation, "validation")
     models = sorted(r[0] for r in validation.select("model").distinct().collect())
-    wide = validation.groupBy("item_id", "pos", "h", "y").pivot("model", models).agg(F.first("mean")).dropna()
+    wide = staged(validation.groupBy("item_id", "pos", "h", "window", "y").pivot("model", models).agg(F.first("mean")).dropna(), "validation-wide")
     weights = ensemble_weights(wide, models)
-    held = weighted(validation.select("item_id", "pos", "model", "mean"), weights).join(wide.select("item_id", "pos", "h", "y"), ["item_id", "pos"])
+    mean = validation.select("item_id", "pos", "h", "window", "y", "model", "mean").join(wide.select("item_id", "pos", "window"), ["item_id", "pos", "window"], "left_semi")
+    held = weighted(mean, weights, "h", "window", "y")
     residuals = held.select("item_id", "h", (F.col("y") - F.col("mean")).alias("residual"))
-    singles = families(fit(1, "train"), horizon, season, heavy, known)
-    steps_of = singles.select("item_id", "pos", "h").distinct()
-    together = weighted(singles.select("item_id", "pos", "model", "mean"), weights).join(steps_of, ["item_id", "pos"])
-    forecast = with_quantiles(together, residuals, bucket)
-    every = singles.unionByName(together.withColumn("model", F.lit("WeightedEnsemble")))
-    return {"forecast": forecast, "models": every, "weights": weights, "test": fit(1, "validation"), "train": fit(1, "train")}
+    singles = staged(families(fit(1, "train"), horizon, season, heavy, known), "forecasts")
+    together = weighted(singles, weights, "h")
+    forecast = staged(with_quantiles(together, residuals, bucket), "ensemble")
+    every = singles.unionByName(forecast.select("item_id", "pos", "h", "mean").withColumn("model", F.lit("WeightedEnsemble")))
+    return {"forecast": forecast, "models": every, "weights": weights, "validation": validation, "test": fit(1, "validation"), "train": fit(1, "train")}
 
 
-def run_single(df: DataFrame, item, horizon: int, season: int, heavy: bool = True) -> dict[str, DataFrame]:
-    """One item forecast as ``run_multi`` does, with the other series as covariates that are known for the horizon too."""
+def run_single(df: DataFrame, item, horizon: int, season: int, heavy: bool = True, most: int = 1024) -> dict[str, DataFrame]:
+    """One item forecast as ``run_multi`` does, with the other series as covariates that are known for the horizon too: ``most`` of them at most, so choose them first in a larger panel."""
     one, others = df.filter(F.col("item_id") == item), df.filter(F.col("item_id") != item)
-    known = None if others.isEmpty() else side_by_side(one, others)
+    n = others.select("item_id").distinct().limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} other series: choose the covariates")
+    known = side_by_side(one, others) if n else None
     return run_multi(one, horizon, season, heavy, known=known)
 
 
 def side_by_side(one: DataFrame, others: DataFrame) -> DataFrame:
-    """At every position of ``one``, a vector of what the other series hold there, in order of their names; missing values count as 0."""
+    """At every position of ``one``, a vector of what the other series hold there, in order of their names; missing values count as 0. The caller bounds the number of the others."""
     grid = one.select(F.col("item_id").alias("_one"), "pos").join(F.broadcast(others.select("item_id").distinct()))
     each = grid.join(others.select("item_id", "pos", "x"), ["item_id", "pos"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
     held = each.groupBy(F.col("_one").alias("item_id"), "pos").agg(F.array_sort(F.collect_list(F.struct("item_id", "x"))).alias("_all"))
