@@ -154,7 +154,7 @@ def token_classes(parts: DataFrame, join: Join) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary()), pa.array([int(v.sum()) for v in sums.values()], pa.int64())], ["block", "classes", "total"])
 
     out, whole = np.zeros(join.slots, "uint8"), 0
-    for block, raw, total in parts.repartition("block").mapInArrow(run, "block int, classes binary, total long").toLocalIterator():
+    for block, raw, total in parts.repartition("block").mapInArrow(run, "block int, classes binary, total long").collect():
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(raw, "uint8")
         whole += total
     return out, whole / join.slots
@@ -502,9 +502,13 @@ def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
     # What is left of the large signatures: the closest pairs first, and then every other one of the nodes whose closest pair has failed.
     marked = None
     for every in (False, True):
-        opened = staged(open_groups(members, found), "open-groups")
-        if opened.isEmpty():
-            break
+        if not every:
+            opened = staged(open_groups(members, found), "open-groups")
+            if opened.isEmpty():
+                break
+        elif found is not None:
+            # The groups stay what they were; only their nodes' components have grown.
+            opened = opened.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         blocks = staged(block_pairs(opened, nodes, join, marked), "block-pairs")
         fresh = blocks.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         texts = texts_of(fresh)
@@ -517,7 +521,7 @@ def link(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
         if every or hidden.isEmpty():
             break
         marked = staged(hidden.select(F.col("a").alias("node")).union(hidden.select("b")).distinct(), "marked-nodes")
-        discard(blocks, texts, opened)
+        discard(blocks, texts)
     discard(maybe, edges)
     named = nodes.select("node", "least_id", "rep", F.col("node").alias("component"))
     if found is not None:
