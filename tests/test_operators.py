@@ -583,3 +583,26 @@ def test_quantiles_equal_percentiles(spark):
         assert got.keys() == wanted.keys() and all(np.allclose(got[g], wanted[g], rtol=1e-12, atol=0) for g in wanted)
     assert np.allclose(quantiles(df, [], "x", shares).first().q, df.agg(percentiles).first().q, rtol=1e-12)
     assert quantiles(df.limit(0), ["g"], "x", shares).isEmpty()
+
+
+def test_error_correlation_equals_pandas(spark):
+    """Many small blocks, gaps, large levels, an item that never varies, two that never meet, and wanted pairs only."""
+    rng = np.random.default_rng(9)
+    common = rng.normal(size=200)
+    rows = [(i, t, float(1e5 * i + common[t] * (i % 3) + rng.normal())) for i in range(9) for t in range(200) if rng.random() < 0.7]
+    rows += [(20, t, 4.0) for t in range(50)] + [(21, t, float(t % 5)) for t in range(500, 530)] + [(22, 3, None)]
+    df = spark.createDataFrame(rows, "item_id int, ts int, residual double").repartition(4)
+    wide = pd.DataFrame(rows, columns=["item", "t", "r"]).dropna().pivot(index="t", columns="item", values="r")
+    wanted = {}
+    for a in wide.columns:
+        for b in wide.columns:
+            both = wide[[a, b]].dropna() if a != b else wide[[a]].dropna()
+            if a <= b and len(both):
+                x, y = both[a].to_numpy(), both[b].to_numpy() if a != b else both[a].to_numpy()
+                wanted[a, b] = None if np.ptp(x) == 0 or np.ptp(y) == 0 else float(np.corrcoef(x, y)[0, 1])
+    for block in (2, 64):
+        got = {(r.a, r.b): r["corr"] for r in errors.error_correlation(df, block=block).collect()}
+        assert got.keys() == wanted.keys()
+        assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in wanted.items())
+    some = spark.createDataFrame([(5, 2), (1, 1)], "a int, b int")
+    assert {(r.a, r.b) for r in errors.error_correlation(df, pairs=some).collect()} == {(2, 5), (1, 1)}

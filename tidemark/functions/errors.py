@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import mae
 from tidemark.functions.quantiles import quantiles
+from tidemark.sources.staging import staged
 
 
 def interval_coverage(df: DataFrame, bands: dict[str, tuple[str, str, float]], by: str = "item_id", y: str = "y") -> DataFrame:
@@ -20,11 +23,49 @@ def interval_coverage(df: DataFrame, bands: dict[str, tuple[str, str, float]], b
     return df.groupBy(by).agg(*inside).select("*", *expected)
 
 
-def error_correlation(residuals: DataFrame, item: str = "item_id", time: str = "ts", residual: str = "residual") -> DataFrame:
-    """Pearson correlation of the residuals of each two items (a <= b) over common times."""
-    left = residuals.select(F.col(item).alias("a"), time, F.col(residual).alias("ra"))
-    right = residuals.select(F.col(item).alias("b"), time, F.col(residual).alias("rb"))
-    return left.join(right, time).filter("a <= b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"))
+def error_correlation(residuals: DataFrame, item: str = "item_id", time: str = "ts", residual: str = "residual", pairs: DataFrame | None = None, block: int = 64) -> DataFrame:
+    """Pearson correlation of the residuals of each two items (a <= b) over common times, or of the ``pairs`` (a, b) that are wanted.
+
+    Items are dealt into blocks, and every two blocks meet in tasks of their own, each with a slice of time: a matrix of its times and items, from which the sums of all products of two items are single
+    matrix products. So a row travels once for each block of items it meets, not once for each item, and what is written are sums for each pair, slice by slice. Values are centred by item before, so that nothing cancels. A pair without a
+    common time has no row; one whose values don't vary over its common times has no correlation.
+    """
+    rows = residuals.select(F.col(item).alias("item"), F.col(time).alias("time"), F.col(residual).cast("double").alias("r")).filter("r is not null")
+    if pairs is not None:
+        ends = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
+        rows = rows.join(ends, "item", "left_semi")
+    centre = rows.groupBy("item").agg(F.avg("r").alias("centre"), F.count("*").alias("n"))
+    sizes = staged(centre.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(1 << 16)).cast("int")), "correlation-items")
+    blocks = max(1, -(-sizes.count() // block))
+    rows = rows.join(sizes.select("item", "centre", F.pmod(F.col("part"), F.lit(blocks)).alias("own")), "item").withColumn("r", F.col("r") - F.col("centre"))
+    # A slice has about as many times as a matrix of 65,536 values allows; rows of one time are in one slice.
+    slices = max(1, int(sizes.agg(F.max("n")).first()[0] or 1) // 1024)
+    others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
+    dealt = rows.withColumn("_b", F.explode(others)).select("_b.p", "_b.q", F.pmod(F.xxhash64("time"), F.lit(slices)).cast("int").alias("slice"), "item", "own", "time", "r")
+    kind = residuals.schema[item].dataType.simpleString()
+
+    def products(group: pd.DataFrame) -> pd.DataFrame:
+        times, at = np.unique(group["time"].to_numpy(), return_inverse=True)
+        names, of = np.unique(group["item"].to_numpy(), return_inverse=True)
+        x, there = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
+        x[at, of], there[at, of] = group["r"].to_numpy(), 1.0
+        square = x * x
+        sums = {"n": there.T @ there, "sa": x.T @ there, "sb": there.T @ x, "saa": square.T @ there, "sbb": there.T @ square, "sab": x.T @ x}
+        own = np.zeros(len(names), "int64")
+        own[of] = group["own"].to_numpy()
+        i, j = np.triu_indices(len(names))
+        # Two items of one block meet in the task of that block with itself, and in no other.
+        met = (sums["n"][i, j] > 0) & ((own[i] != own[j]) | (group["p"].iloc[0] == group["q"].iloc[0]))
+        i, j = i[met], j[met]
+        return pd.DataFrame({"a": names[i], "b": names[j], **{c: v[i, j] for c, v in sums.items()}})
+
+    found = dealt.groupBy("p", "q", "slice").applyInPandas(products, f"a {kind}, b {kind}, n double, sa double, sb double, saa double, sbb double, sab double")
+    if pairs is not None:
+        found = found.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_semi")
+    total = found.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
+    n = F.col("n")
+    spread = (F.col("saa") - F.col("sa") * F.col("sa") / n) * (F.col("sbb") - F.col("sb") * F.col("sb") / n)
+    return total.select("a", "b", F.when(spread > 0, (F.col("sab") - F.col("sa") * F.col("sb") / n) / F.sqrt(spread)).alias("corr"))
 
 
 def shuffled_column(df: DataFrame, column: str, by: Sequence[str], pos: str, seed: int) -> DataFrame:

@@ -84,12 +84,12 @@ def best_alphas(scores: DataFrame, channel: str = "channel", f1: str = "f1") ->
 
 
 def exceeded(frame: DataFrame, channel: str) -> DataFrame:
-    """The rows outside the narrowest band (channel, pos, label, ups, downs), with how many of the widths each exceeds on either side. No other row is ever predicted."""
+    """The rows that are labelled or outside the narrowest band (channel, pos, label, ups, downs), with how many of the widths each exceeds on either side. No other row is ever predicted."""
     count = lambda beyond: sum((F.coalesce(beyond(a), F.lit(False)).cast("int") for a in ALPHAS), F.lit(0))
     ups = count(lambda a: F.col("x") > F.col("recon") + a * F.col("sigma"))
     downs = count(lambda a: F.col("x") < F.col("recon") - a * F.col("sigma"))
     rows = frame.select(F.col(channel).alias("channel"), F.col("pos").cast("long").alias("pos"), F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("label"), ups.alias("ups"), downs.alias("downs"))
-    return rows.filter((F.col("ups") > 0) | (F.col("downs") > 0))
+    return rows.filter((F.col("ups") > 0) | (F.col("downs") > 0) | (F.col("label") == 1))
 
 
 def thresholds() -> list[tuple[int, int]]:
@@ -165,12 +165,13 @@ def found_parts(rows: DataFrame, chunk: int) -> DataFrame:
 def range_f1(frame: DataFrame, channel: str = "channel", chunk: int = 65_536) -> DataFrame:
     """Range precision, recall and F1 (front bias, reciprocal cardinality) for each channel and pair of widths; ``frame`` has (channel, pos, x, recon, sigma, label).
 
-    Rows are read once, and only those outside the narrowest band go further, each of them once. Overlaps are sums over positions: what a set of predicted rows covers of a range follows from
+    Of all rows, only those that are labelled or outside the narrowest band go further, each of them once; besides these, only the channels' names are read. Overlaps are sums over positions: what a set of predicted rows covers of a range follows from
     their number, the sum of their positions and the number of runs. Runs are found for all pairs of widths within a chunk; those at its borders are then merged.
     """
     spark = frame.sparkSession
-    rows = staged(exceeded(frame, channel), "outside-rows")
-    true = staged(ranges.ranges_chunked(frame.select(F.col(channel).alias("channel"), F.col("pos").cast("long").alias("pos"), "label"), "label", chunk), "true-ranges")
+    kept = staged(exceeded(frame, channel), "outside-rows")
+    rows = kept.filter((F.col("ups") > 0) | (F.col("downs") > 0))
+    true = staged(ranges.ranges_chunked(kept.select("channel", "pos", "label"), "label", chunk), "true-ranges")
     # Precision: the mean over predicted runs.
     runs = staged(predicted_runs(rows, chunk), "predicted-runs")
     w = W.partitionBy("channel", "k").orderBy("s")

@@ -149,15 +149,15 @@ def g11_detect_by_ranges(spark, sf_dir):
 
 
 def detection_bundle(spark, sf_dir, by: str) -> DataFrame:
-    """The network over the five hourly channels, widths chosen on the first 480 hours, and the detector's tables, written and read back."""
-    hours = hourly_events(spark, sf_dir).withColumnRenamed("channel", "item_id")
+    """The network over the five hourly channels, widths chosen on the first two thirds of the hours, and the detector's tables, written and read back."""
+    hours = staged(hourly_events(spark, sf_dir), "hours").withColumnRenamed("channel", "item_id")
     scaled, _ = clean.preprocess(hours, "fit", max_std=7)
     wide = scaled.groupBy(F.lit(0).alias("series"), F.col("pos").cast("long").alias("pos")).pivot("item_id", list(CHANNELS)).agg(F.first("x"))
-    model, _ = CausalVAE.initial(CHANNELS, length=24, units=(8, 8, 8), dilations=(1, 2, 4), latent=2, rate=5e-3, epochs=3, batch=32, seed=7).fit(wide.filter("pos < 480"), wide.filter("pos >= 480"))
+    model, _ = CausalVAE.initial(CHANNELS, length=24, units=(8, 8, 8), dilations=(1, 2, 4), latent=2, rate=5e-3, epochs=3, batch=32, seed=7).fit(*split_by_share(wide, 2 / 3))
     labels = hours.select(F.col("pos").cast("long").alias("pos"), F.col("item_id").alias("channel"), "label", "ts")
     scores = model.score(wide)
-    told = scores.drop("z").join(labels, ["pos", "channel"])
-    alphas = detect.resolved_alphas(told, fitted=detect.fit_alphas(told.filter("pos < 480"), by))
+    told = staged(scores.drop("z").join(labels, ["pos", "channel"]), "scores")
+    alphas = detect.resolved_alphas(told, fitted=detect.fit_alphas(split_by_share(told, 2 / 3)[0], by))
     path = scratch(spark, "bundle")
     io.write_detection(detect.detect(told, alphas), model.latent(wide), path)
     return spark.read.parquet(f"{path}/detection")
@@ -273,8 +273,8 @@ def fitted(spark, sf_dir, names=None):
     df = automl.assembled(feature_frame(spark, sf_dir), INPUTS)
     models = automl.candidates(trees=10)
     models = {k: v for k, v in models.items() if names is None or k in names}
-    cut = 300
-    return automl.train(df.filter(F.col("pos") < cut), models)[0], df.filter(F.col("pos") >= cut)
+    early, late = split_by_share(df, 0.83)
+    return automl.train(early, models)[0], late
 
 
 def fit_query(name: str, model: str) -> None:
@@ -303,7 +303,8 @@ def i10_batch_prediction(spark, sf_dir):
 def i4_stacked_ensemble(spark, sf_dir):
     """The meta model is fitted on out-of-fold predictions of the earlier weeks and applied to the later ones, which no model has seen."""
     df = staged(automl.assembled(feature_frame(spark, sf_dir), INPUTS), "features")
-    early, late = df.filter("pos < 300").withColumn("fold", automl.fold(5)), df.filter("pos >= 300")
+    early, late = split_by_share(df, 0.83)
+    early = early.withColumn("fold", automl.fold(5))
     models = {k: v for k, v in automl.candidates(trees=5).items() if k in ("GBM_1", "XGB_1", "DRF_1")}
     key = ["item_id", "pos"]
     meta = automl.stack(automl.out_of_fold(early, models, 5, key), sorted(models), key)
@@ -320,12 +321,14 @@ def i5_cross_validation(spark, sf_dir):
 
 @query()
 def i8_fitted_leaderboard(spark, sf_dir):
-    """All candidates, fitted on the weeks before 270, validated up to 300 and tested after."""
+    """All candidates, fitted on the first three quarters of the weeks, validated up to 83 of 100 and tested after."""
     df = staged(automl.assembled(feature_frame(spark, sf_dir), INPUTS), "features")
-    found, times = automl.train(df.filter("pos < 270"), automl.candidates(trees=5))
-    every, times = automl.timed_predictions(found, df.filter("pos >= 270"), ["item_id", "pos"], times)
-    naive = metrics.seasonal_error(df.filter("pos < 270").select("item_id", "pos", F.col("y").alias("x")), YEAR)
-    return automl.panel_leaderboard(every.filter("pos >= 300"), naive, every.filter("pos < 300"), times)
+    early, later = split_by_share(df, 0.75)
+    found, times = automl.train(early, automl.candidates(trees=5))
+    every, times = automl.timed_predictions(found, later, ["item_id", "pos"], times)
+    naive = metrics.seasonal_error(early.select("item_id", "pos", F.col("y").alias("x")), YEAR)
+    validation, test = split_by_share(every, 0.83)
+    return automl.panel_leaderboard(test, naive, validation, times)
 
 
 @query()
