@@ -156,6 +156,19 @@ def test_wider_bands_never_add_anomalies(spark):
     assert (told.alpha_up, told.alpha_down) == (3.0, 4.0)
 
 
+@pytest.mark.parametrize("length", [5, 16, 128])
+def test_last_step_equals_the_whole_pass(length):
+    """Also where windows are shorter than what a step rests on, and with noise."""
+    rng = np.random.default_rng(length)
+    for dilations in ((1, 2, 4, 8), (1, 1, 3, 7)):
+        config = network.Config(channels=3, length=length, units=(4, 5, 6, 4), dilations=dilations, latent=2, seed=1)
+        w = {k: v + 0.1 * np.abs(rng.normal(size=v.shape)) for k, v in network.initial(config).items()}
+        x = rng.normal(size=(6, length, 3))
+        for noise in (0.0, rng.normal(size=(6, length, 2))):
+            whole, last = network.forward(w, config, x, noise), network.last_step(w, config, x, noise)
+            assert all(np.allclose(whole[k][:, -1], last[k], rtol=0, atol=1e-12) for k in ("xm", "xv", "z"))
+
+
 def wave(spark, n, items=1, seed=0):
     rng = np.random.default_rng(seed)
     rows = [(str(i), t, float(np.sin(t / 9 + i) + 0.1 * rng.normal()), float(np.cos(t / 9) + 0.1 * rng.normal())) for i in range(items) for t in range(n)]

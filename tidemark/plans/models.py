@@ -116,7 +116,7 @@ def f5_steps(spark, sf_dir):
 @query()
 def f7_score(spark, sf_dir):
     (model, _), df = fitted_network(spark, sf_dir, epochs=1)
-    return model.score(df).drop("z")
+    return model.score(df, latent=False)
 
 
 @query()
