@@ -9,7 +9,7 @@ import pytest
 from tidemark.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
-SLOW = {"f5_fit", "f10_search", "i8_fitted_leaderboard", "i7_fitted_leaders", "l10_fitted_importance", "h10_run_single", "h11_run_multi", "i4_stacked_ensemble", "i5_cross_validation"}
+SLOW = {"f10_search", "i8_fitted_leaderboard", "i7_fitted_leaders", "l10_fitted_importance", "h10_run_single", "h11_run_multi", "i4_stacked_ensemble", "i5_cross_validation"}
 
 
 @pytest.fixture(scope="module")
