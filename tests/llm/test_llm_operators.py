@@ -144,6 +144,52 @@ def test_op3_keeps_types_and_names_together(spark):
     assert other[1] != out[1].text and other[2] != out[2].text
 
 
+def test_op3_takes_the_kind_from_the_match(spark):
+    """Secrets that look like an address or a number stay secrets, at their full length; a secret is no name."""
+    rows = [
+        (1, "password=hunter@home and api_key=10.20.30.40x"), (2, "password=123-45-6789 api_key=AB12CDEF34567890123"), (3, "password=a.b@ex.com for a.b@ex.com"),
+        (4, "Mr. John Kowalski has password=Kowalski"), (5, "Mr. Kowalski"),
+    ]
+    out = {r.doc_id: r.text for r in pii.op3(texts_of(spark, rows), "k").collect()}
+    assert re.fullmatch(r"password=[a-z]{6}@[a-z]{4} and api_key=[0-9]{2}\.[0-9]{2}\.[0-9]{2}\.[0-9]{2}[a-z]", out[1]) and "20.30" not in out[1] and "hunter" not in out[1] and "home" not in out[1]
+    assert re.fullmatch(r"password=\d{3}-\d{2}-\d{4} api_key=[A-Z]{2}\d{2}[A-Z]{4}\d{11}", out[2]) and "123-45" not in out[2] and "AB12" not in out[2]
+    user, again = re.fullmatch(r"password=(\S+) for (\S+)", out[3]).groups()
+    assert user == again and user.endswith(".com") and "a.b@ex" not in user
+    name, word = re.fullmatch(r"Mr\. [A-Z][a-z]+ ([A-Z][a-z]+) has password=([A-Z][a-z]{7})", out[4]).groups()
+    assert "Kowalski" not in (name, word) and out[5] == f"Mr. {name}"
+
+
+def test_op3_addresses_are_blind_to_case(spark):
+    rows = [(1, "a.b@ex.com"), (2, "A.B@EX.COM"), (3, "A.b@Ex.com and a.b@ex.com"), (4, "c.d@EX.com")]
+    out = {r.doc_id: r.text for r in pii.op3(texts_of(spark, rows), "k").collect()}
+    assert out[2] == out[1].upper() and out[1] != "a.b@ex.com" and out[3].lower() == f"{out[1]} and {out[1]}"
+    assert out[3][0].isupper() and out[3].split("@")[1][0].isupper() and out[3].split(" ")[2] == out[1]
+    assert out[4].split("@")[1].lower() == out[1].split("@")[1] and out[4].split("@")[1][:2].isupper()
+
+
+def test_op3_finds_names_after_more_titles(spark):
+    rows = [
+        (1, "Dr. Anna Smith came, and Anna stayed."), (2, "so Prof Kowalski said"), (3, "Herr Prof. Dr. Hans Meier"), (4, "My name is Anna Smith"),
+        (5, "Prof. Dr. here"), (6, "my name is in print"), (7, "the Professor and Dr. nobody"), (8, "Δρ Νίκος Παππάς"), (9, "Frau Dr. Eva Braun"),
+    ]
+    out = {r.doc_id: r for r in pii.op3(texts_of(spark, rows), "k").collect()}
+    first, last, again = re.fullmatch(r"Dr\. (\w+) (\w+) came, and (\w+) stayed\.", out[1].text).groups()
+    assert first == again and out[4].text == f"My name is {first} {last}" and not {"Anna", "Smith"} & {first, last}
+    assert re.fullmatch(r"so Prof [A-Z][a-z]+ said", out[2].text) and "Kowalski" not in out[2].text
+    assert re.fullmatch(r"Herr Prof\. Dr\. [A-Z][a-z]+ [A-Z][a-z]+", out[3].text) and not re.search("Hans|Meier", out[3].text)
+    assert all(out[k].text == dict(rows)[k] and out[k].n_entities == 0 for k in (5, 6, 7))
+    assert re.fullmatch(r"Δρ \w+ \w+", out[8].text) and "Νίκος" not in out[8].text and "Παππάς" not in out[8].text
+    assert re.fullmatch(r"Frau Dr\. [A-Z]\w+na [A-Z]\w+son", out[9].text)
+
+
+def test_op3_with_one_address_in_most_rows(spark):
+    rows = [(i, f"to hot@a.example.com from x{i}@b.example.com" if i % 3 else "hot@a.example.com") for i in range(3000)]
+    out = {r.doc_id: r.text for r in pii.op3(texts_of(spark, rows), "k").collect()}
+    hot = out[0]
+    assert len(out) == 3000 and hot != rows[0][1] and all(out[i] == hot if i % 3 == 0 else out[i].startswith(f"to {hot} from ") for i in out)
+    assert len({t.split(" ")[3] for i, t in out.items() if i % 3}) == 2000
+
+
 def test_op3_goes_on_where_a_format_is_full(spark, monkeypatch):
     """All ten values of a form are taken, so surrogates must leave the form."""
     monkeypatch.setattr(pii, "ROUNDS", 2)

@@ -3,8 +3,9 @@
 Entities are found by one pattern of alternatives. Each is made of units (an address, a number, a secret, a given name, a surname),
 and every distinct unit gets one surrogate wherever it stands: a keyed hash (HMAC) draws characters of the same classes, so length,
 separators and case stay; card and bank account numbers stay valid or invalid by their check digits; network addresses stay in their private range;
-names are drawn from syllables of their script, with an ending of the title's gender. A name that stands after a title somewhere in a text is replaced in
-the whole of that text, also where it stands alone. Surrogates are checked over all distinct units: none may equal another's, nor a unit that stands in the
+names are drawn from syllables of their script, with an ending of the title's gender (one of its own where the title tells none). A name that stands after a title or
+such words as "my name is" somewhere in a text is replaced in the whole of that text, also where it stands alone. What kind an entity is, a secret above all, follows from the alternative
+that matched, not from its characters. Mail addresses are one and the same in upper and lower case; their surrogates take on the case of each place. Surrogates are checked over all distinct units: none may equal another's, nor a unit that stands in the
 corpus; what fails is drawn again until nothing fails.
 
 Defined results: null and empty texts and texts without entities stay as they are. Of units that draw the same
@@ -26,64 +27,85 @@ from tidemark.llm.common import boxed, discard, staged, unboxed
 
 #: Titles by gender; a name follows them.
 MALE = ("Mr", "Mister", "Herr", "Sr", "Señor", "Don", "Monsieur", "Господин", "Κύριος")
+NEUTRAL = ("Dr", "Prof", "Professor", "Доктор", "Профессор", "Δρ")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Doña", "Madame", "Mme", "Mlle", "Госпожа", "Κυρία")
+#: Words before a name that is no title.
+SAID = ("my name is", "My name is", "mein Name ist", "Mein Name ist", "me llamo", "Me llamo", "je m'appelle", "Je m'appelle", "меня зовут", "Меня зовут")
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Kinds in the order in which they are tried, each with its pattern.
+
+
+def one_of(words: tuple[str, ...]) -> str:
+    return f"(?:{'|'.join(sorted(words, key=len, reverse=True))})"
+
+
+#: What stands before a name: words that introduce it, a title, more academic titles. No academic title is a name itself.
+BEFORE = rf"(?:{one_of(SAID)} |{one_of(MALE + FEMALE + NEUTRAL)}\.? )(?:{one_of(NEUTRAL)}\.? )*+(?!{one_of(NEUTRAL)}(?!\p{{L}}))"
+NAMES = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
+#: Kinds in the order in which they are tried, each with its pattern. Secrets come first, so that no other kind takes a part of one.
 KINDS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    ("secret", r"((?<=password=)[^\s\"']{6,64}|(?<=token = \")[0-9A-Za-z_-]{16,128}(?=\")|(?<=api_key=)[^\s\"']{8,128})"),
+    ("email", EMAIL),
     ("ip", rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"),
-    ("card", r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![0-9])"),
+    ("card", r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{13,19})(?![0-9])"),
     ("access", r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
-    ("secret", r"(?<=password=)[^\s\"']{6,64}|(?<=token = \")[0-9A-Za-z_-]{16,128}(?=\")|(?<=api_key=)[^\s\"']{8,128}"),
-    ("person", rf"(?<!\p{{L}})(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"),
+    ("person", rf"(?<!\p{{L}}){BEFORE}{NAMES}"),
 )
 PATTERN = "|".join(pattern for _, pattern in KINDS)
+#: The group of the pattern that holds a secret; group 2 is the separator of a card number.
+SECRET = 1
+#: What stands before secrets, as a quick test of a text with entities.
+SHOWS_SECRET = "password=|token = |api_key="
 #: What stands in every entity, as a quick test of a text.
-GATE = rf"[0-9@]|A[KS]IA|password=|token = |api_key=|(?:{'|'.join(MALE + FEMALE)})\.? "
+GATE = rf"[0-9@]|A[KS]IA|{SHOWS_SECRET}|{one_of(SAID)} |{one_of(MALE + FEMALE + NEUTRAL)}\.? "
 
 #: Syllables by script; a name takes some of them and an ending by gender.
 SYLLABLES = {
-    "latin": ("ba be da de fa fe ga ka ke la le li lo ma me mi mo na ne ni no ra re ri ro sa se si ta te va ve".split(), ("lo", "na", "son")),
-    "cyrillic": ("ба бе да де фа фе га ка ке ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си та те ва ве".split(), ("слав", "ла", "енко")),
-    "greek": ("βα βε δα δε φα φε γα κα κε λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε σι τα τε ζα ζε".split(), ("ος", "ία", "άκης")),
+    "latin": ("ba be da de fa fe ga ka ke la le li lo ma me mi mo na ne ni no ra re ri ro sa se si ta te va ve".split(), ("lo", "na", "son", "rin")),
+    "cyrillic": ("ба бе да де фа фе га ка ке ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си та те ва ве".split(), ("слав", "ла", "енко", "ша")),
+    "greek": ("βα βε δα δε φα φε γα κα κε λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε σι τα τε ζα ζε".split(), ("ος", "ία", "άκης", "ι")),
 }
 #: Draws after which surrogates may leave the format of what they stand for.
 ROUNDS = 40
-PERSON = rf"^(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?$"
+PERSON = rf"^{BEFORE}{NAMES}$"
 
 
 def kind_of(match: Column) -> Column:
-    """The kind of an entity, from its own characters."""
+    """The kind of an entity that is no secret: those differ in their characters."""
     return (
-        F.when(match.contains("@") & match.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+$"), "email")
+        F.when(match.contains("@"), "email")
         .when(match.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), "ip")
         .when(match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(match.rlike(r"^[0-9]{13,19}$|^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), "card")
         .when(match.rlike(r"^[+(0-9][0-9 ().-]+$"), "phone")
         .when(match.rlike(r"^A[KS]IA[A-Z0-9]{16}$"), "access")
         .when(match.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), "iban")
-        .when(match.rlike(PERSON), "person")
-        .otherwise("secret")
+        .otherwise("person")
     )
 
 
-def units_of(match: Column) -> Column:
+def units_of(match: Column, is_secret: Column) -> Column:
     """The parts of an entity: structs of kind (null: kept as it is) and value, to be joined by blanks."""
-    words = F.split(match, " ")
-    gender = F.when(F.regexp_replace(F.get(words, F.lit(0)), r"\.", "").isin(*FEMALE), "f").otherwise("m")
-    script = F.when(match.rlike(r"\p{IsCyrillic}{2}"), "cyrillic").when(match.rlike(r"\p{IsGreek}{2}"), "greek").otherwise("latin")
     unit = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
-    none = F.lit(None).cast("string")
-    title, second, third = (F.get(words, F.lit(i)) for i in range(3))
-    surname = F.concat(F.lit("surname-"), script)
-    person = F.when(F.size(words) > 2, F.array(unit(none, title), unit(F.concat(F.lit("given-"), gender, F.lit("-"), script), second), unit(surname, third))).otherwise(
-        F.array(unit(none, title), unit(surname, second))
-    )
-    kind = kind_of(match)
+    # What stands before the name is kept; its first word tells the gender.
+    names = F.regexp_replace(match, f"^{BEFORE}", "")
+    before = F.substr(match, F.lit(1), F.length(match) - F.length(names) - 1)
+    title = F.regexp_replace(F.substring_index(before, " ", 1), r"\.", "")
+    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("n")
+    script = F.when(match.rlike(r"\p{IsCyrillic}{2}"), "cyrillic").when(match.rlike(r"\p{IsGreek}{2}"), "greek").otherwise("latin")
+    words = F.split(names, " ")
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    given, surname = F.concat(F.lit("given-"), gender, F.lit("-"), script), F.concat(F.lit("surname-"), script)
+    # A single name is a surname after a title, a given name after "my name is".
+    alone = F.when(before.isin(*SAID), given).otherwise(surname)
+    kept = unit(F.lit(None).cast("string"), before)
+    person = F.when(F.size(words) > 1, F.array(kept, unit(given, first), unit(surname, second))).otherwise(F.array(kept, unit(alone, first)))
+    # A whole mail address is the same one behind "password=" as elsewhere.
+    kind = F.when(is_secret & ~match.rlike(f"^{EMAIL}$"), "secret").otherwise(kind_of(match))
     return F.when(kind == "person", person).otherwise(F.array(unit(kind, match)))
 
 
@@ -143,7 +165,7 @@ def address(value: Column, stream: Column, attempt: Column) -> Column:
 
 
 def name(stream: Column, script: Column, ending: Column, count: Column) -> Column:
-    """A name of ``count`` syllables and an ending of the script: 0 male, 1 female, 2 surname."""
+    """A name of ``count`` syllables and an ending of the script: 0 male, 1 female, 2 surname, 3 either."""
 
     def of(which: str) -> Column:
         parts, ends = SYLLABLES[which]
@@ -154,6 +176,14 @@ def name(stream: Column, script: Column, ending: Column, count: Column) -> Colum
     return F.when(script == "cyrillic", of("cyrillic")).when(script == "greek", of("greek")).otherwise(of("latin"))
 
 
+def in_case_of(made: Column, shown: Column) -> Column:
+    """``made`` with upper case where ``shown`` has it, counted from the end."""
+    ahead = F.length(shown) - F.length(made)
+    at = lambda i: F.substr(shown, i + 1 + ahead, F.lit(1))
+    upper = F.transform(F.split(made, ""), lambda c, i: F.when((i + ahead >= 0) & at(i).rlike("[A-Z]"), F.upper(c)).otherwise(c))
+    return F.when(shown.rlike("[A-Z]"), F.array_join(upper, "")).otherwise(made)
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Column:
     """The ``attempt``-th surrogate of a unit."""
     stream = keyed(secret, kind, value, attempt.cast("string"))
@@ -173,7 +203,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Colu
     plain = F.when(hexadecimal, characters(value, stream, 6)).otherwise(characters(value, stream))
     script = F.substring_index(kind, "-", -1)
     count = (F.lit(2) + attempt / 2).cast("int")
-    given = name(stream, script, F.when(kind.startswith("given-f"), 1).otherwise(0), count)
+    given = name(stream, script, F.when(kind.startswith("given-f"), 1).when(kind.startswith("given-n"), 3).otherwise(0), count)
     # Where a format has hardly a free value, surrogates grow.
     more = F.when(attempt >= ROUNDS, F.repeat(F.lit("0"), attempt - ROUNDS + 1)).otherwise("")
     grown = lambda made: F.concat(made, characters(more, keyed(secret, F.lit("more"), kind, value, attempt.cast("string"))))
@@ -219,18 +249,26 @@ def replace(docs: DataFrame, secret: str, text: str = "text", entities: str | No
     seen = staged(boxed(docs, text, *added).withColumn("found", first), "searched")
     clean = seen.filter(F.size("found") == 0).select(*columns, *counted(F.lit(0)))
     # Names that a title has shown are looked for in the whole text.
-    shown = F.flatten(F.transform(F.filter("found", lambda m: m.rlike(PERSON)), lambda m: F.filter(units_of(m), lambda u: u["kind"].isNotNull())))
+    shown = F.flatten(F.transform(F.filter("found", lambda m: m.rlike(PERSON)), lambda m: F.filter(units_of(m, F.lit(False)), lambda u: u["kind"].isNotNull())))
     held = seen.filter(F.size("found") > 0).withColumn("names", shown)
     alone = F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(F.array_distinct(F.transform("names", lambda u: u["value"])), "|"), F.lit(r")(?!\p{L})"))
     held = held.withColumn("pattern", F.when(F.size("names") > 0, alone).otherwise(PATTERN))
     held = held.withColumn("found", F.when(F.size("names") > 0, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("found")))
+    # A secret is told from the rest by the alternative that matched.
+    groups = F.regexp_extract_all("text", F.col("pattern"), F.lit(SECRET))
+    held = held.withColumn("secrets", F.when(F.col("text").rlike(SHOWS_SECRET), groups).otherwise(F.array().cast("array<string>")))
     held = staged(held.withColumn("row", F.monotonically_increasing_id()), "private")
-    each = held.select("row", "names", F.posexplode("found").alias("at", "match"))
-    known = F.filter("names", lambda u: u["value"] == F.col("match"))
-    each = each.select("row", "at", F.posexplode(F.when(F.size(known) > 0, F.slice(known, 1, 1)).otherwise(units_of(F.col("match")))).alias("part", "unit"))
-    each = staged(each.select("row", "at", "part", "unit.kind", "unit.value"), "private-units")
+    match, is_secret = F.col("match"), F.coalesce(F.get("secrets", "at") != "", F.lit(False))
+    each = held.select("row", "names", "secrets", F.posexplode("found").alias("at", "match"))
+    each = each.select("row", "names", "at", "match", is_secret.alias("is_secret"))
+    known = F.filter("names", lambda u: (u["value"] == match) & ~F.col("is_secret"))
+    units = F.when(F.size(known) > 0, F.slice(known, 1, 1)).otherwise(units_of(match, F.col("is_secret")))
+    each = each.select("row", "at", F.posexplode(units).alias("part", "unit"))
+    one = F.when(F.col("unit.kind") == "email", F.lower("unit.value")).otherwise(F.col("unit.value"))
+    each = staged(each.select("row", "at", "part", "unit.kind", one.alias("value"), F.col("unit.value").alias("shown")), "private-units")
     table = surrogate_table(each.filter("kind is not null").select("kind", "value"), secret)
-    told = each.join(table, ["kind", "value"], "left").select("row", F.struct("at", "part", F.coalesce("surrogate", "value").alias("say")).alias("say"))
+    say = F.when(F.col("kind") == "email", in_case_of(F.col("surrogate"), F.col("shown"))).otherwise(F.coalesce("surrogate", "value"))
+    told = each.join(table, ["kind", "value"], "left").select("row", F.struct("at", "part", say.alias("say")).alias("say"))
     lists = told.groupBy("row").agg(F.array_sort(F.collect_list("say")).alias("say"))
     # The parts of an entity are joined by blanks; entities alternate with what stands between them.
     before = lambda s: F.when(s["part"] > 0, F.lit(" ")).otherwise(F.get("gap", s["at"]))
