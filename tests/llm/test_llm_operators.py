@@ -51,10 +51,10 @@ def test_op1(spark, odd, empty):
     assert found[2].n_removed > len(passage) // 3 and found[1].n_removed == 0 and found[1].n_shared == found[2].n_shared and found[3].n_shared == 0
     clash = odd.withColumnsRenamed({"lang": "kept", "source": "spans", "n_chars": "row_hash"})
     out = chunks.deduplicate(clash)
-    assert out.columns == ["doc_id", "text", "row_hash", "kept", "n_removed", "n_spans", "spans", "n_shared"] and out.count() == len(ODD)
+    assert out.columns == ["doc_id", "text", "row_hash", "kept", "n_removed", "n_spans", "spans", "n_shared", "n_repeated"] and out.count() == len(ODD)
 
 
-def brute_chunks(rows):
+def brute_chunks(rows, least=chunks.LEAST):
     """Spans that go, by the definition, in plain Python: repeated chunks, their runs, and the first place of each."""
     texts = sorted({(d, t) for d, t in rows if t}, key=lambda r: (r[0], r[1]))
     pieces = {r: list(zip([0, *chunks.cut_points(r[1].encode())], chunks.cut_points(r[1].encode()))) for r in texts}
@@ -66,7 +66,7 @@ def brute_chunks(rows):
             if a >= 0 and times[r[1].encode()[a:b]] > 1:
                 run.append((a, b))
             else:
-                if sum(y - x for x, y in run) >= chunks.LEAST:
+                if sum(y - x for x, y in run) >= least:
                     for x, y in run:
                         places[r[1].encode()[x:y]].append((r, x, y))
                 run = []
@@ -87,10 +87,31 @@ def test_op1_equals_brute_force(spark):
     assert got == brute_chunks(rows) and sum(r[3] for r in got) > 3000
 
 
+def test_op1_without_a_least_run(spark):
+    """The method's own behaviour: every repeated chunk counts. It agrees with what the default reports beside its runs."""
+    passage = words(70, 12)
+    rows = [(k, f"{words(4000 + k, 45)} {passage} {words(5000 + k, 45)}") for k in range(12)] + [(20, passage), (21, words(4003, 45))]
+    docs = texts_of(spark, rows)
+    every = {r.doc_id: r for r in chunks.deduplicate(docs, least=0).collect()}
+    got = sorted((d, len(t.encode()), every[d].n_shared, every[d].n_removed) for d, t in rows)
+    assert got == brute_chunks(rows, 0) and sum(g[3] for g in got) > 0
+    some = {r.doc_id: r for r in chunks.op1(docs).collect()}
+    assert all(some[d].n_repeated == every[d].n_repeated == every[d].n_shared >= some[d].n_shared for d in every)
+
+
+def test_op1_with_one_passage_in_a_third_of_rows(spark):
+    """Also rows that stand several times, with and without an id."""
+    hot = words(71, 40)
+    rows = [(k, f"{words(6000 + k, 20)} {hot}" if k % 3 == 0 else words(7000 + k, 30)) for k in range(1500)] + [(0, f"{words(6000, 20)} {hot}")] * 40
+    got = sorted((r.doc_id, r.n_bytes, r.n_shared, r.n_removed) for r in chunks.op1(texts_of(spark, rows)).collect())
+    assert got == brute_chunks(rows) and sum(g[3] > 0 for g in got) == 499
+
+
 def test_op1_leaves_common_phrases_alone(spark):
     phrase = words(77, 7)
     rows = [(k, words(2000 + k, 60) + " " + phrase + " " + words(3000 + k, 60)) for k in range(6)]
-    assert all(r.n_shared == 0 for r in chunks.op1(texts_of(spark, rows)).collect())
+    out = chunks.op1(texts_of(spark, rows)).collect()
+    assert all(r.n_shared == 0 and r.n_removed == 0 and not r.spans for r in out)
 
 
 def test_op2(spark, odd, empty):

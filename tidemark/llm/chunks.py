@@ -2,8 +2,8 @@
 
 A gear hash rolls over the bytes of a text. A text is cut before the bytes where the hash is the largest among its
 neighbours, so that a cut depends on nothing but some dozens of bytes around it and an insertion moves no cut further off. Chunks
-that occur more than once, by a 128-bit digest, count where they stand in a run of such chunks that follow each other over ``LEAST`` bytes or more, so that
-phrases which texts merely have in common stay. Of a chunk's places in such runs the first one (smallest doc_id, then hash of the text, then
+that occur more than once, by a 128-bit digest, count where they stand in a run of such chunks that follow each other over ``least`` bytes or more. With 0 every repeated chunk counts;
+``LEAST`` leaves phrases alone which texts merely have in common, and these are reported still. Of a chunk's places in such runs the first one (smallest doc_id, then hash of the text, then
 position) is kept, and the chunk is removed elsewhere.
 
 Cuts fall between characters only. Defined results: null and empty texts have no chunks; a text shorter than the
@@ -31,7 +31,7 @@ ROLL = 16
 REACH = 32
 #: A chunk without a cut for so long (a text that repeats itself) is cut all the same.
 LONGEST = 1024
-#: Bytes that repeated chunks in a row cover at least.
+#: Bytes that repeated chunks in a row cover at least, unless a caller says otherwise.
 LEAST = 128
 #: Fixed by a seed: one random number for each byte value.
 GEAR = np.random.default_rng(20_240_601).integers(0, 1 << 32, 256, dtype="uint32")
@@ -107,40 +107,47 @@ def chunk_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_arrow(docs.select("doc_id", row_hash(F.col(text)), text), run, f"row_id {kind}, row_hash long, start int, end int, d0 long, d1 long")
 
 
-def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Chunks in runs of repeated ones: row_id, row_hash, start, end and whether the place is the first."""
+def repeated_chunks(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
+    """Repeated chunks: row_id, row_hash, start, end and whether the place is the first; null where the run is shorter than ``least`` bytes."""
     rows = docs.select("doc_id", text)
     chunks = chunk_rows(rows, text)
-    counts = chunks.groupBy("d0", "d1").agg(F.count("*").alias("times"))
-    shared = staged(counts.filter("times > 1").select("d0", "d1"), "shared-chunks", release=True)
-    # A repeated row is one place, not two: its chunks are told apart from other texts' only.
-    repeated = staged(chunks.join(shared, ["d0", "d1"]).distinct(), "repeated-chunks", release=True)
+    # Two places differ in their hash; a row that stands several times has the same places each time.
+    at = F.xxhash64("row_id", "row_hash", "start")
+    counts = chunks.groupBy("d0", "d1").agg(F.min(at).alias("one"), F.max(at).alias("other"))
+    shared = staged(counts.filter("one <> other").select("d0", "d1"), "shared-chunks", release=True)
+    # Written as joined, so that Spark may split a digest with many places.
+    places = staged(chunks.join(shared, ["d0", "d1"]), "repeated-chunks", release=True)
     discard(shared)
     along = W.partitionBy("row_id", "row_hash").orderBy("start")
     run = F.sum((F.coalesce(F.lag("end").over(along), F.lit(-1)) != F.col("start")).cast("int")).over(along)
     covered = F.sum(F.col("end") - F.col("start")).over(W.partitionBy("row_id", "row_hash", "run"))
-    long = staged(repeated.withColumn("run", run).withColumn("covered", covered).filter(F.col("covered") >= LEAST).drop("run", "covered"), "long-runs", release=True)
-    discard(repeated)
+    # A repeated row is one place, not two: its chunks are told apart from other texts' only.
+    runs = staged(places.distinct().withColumn("run", run).withColumn("long", covered >= least).drop("run"), "chunk-runs", release=True)
+    discard(places)
     place = F.struct("row_id", "row_hash", "start")
+    long = runs.filter("long")
     first = long.groupBy("d0", "d1").agg(F.min(place).alias("first"))
-    return long.join(first, ["d0", "d1"]).select("row_id", "row_hash", "start", "end", place.eqNullSafe(F.col("first")).alias("is_first"))
+    told = long.join(first, ["d0", "d1"]).select("row_id", "row_hash", "start", "end", place.eqNullSafe(F.col("first")).alias("is_first"))
+    return told.unionByName(runs.filter("not long").select("row_id", "row_hash", "start", "end", F.lit(None).cast("boolean").alias("is_first")))
 
 
-def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with kept (bytes), n_removed, n_spans, spans and n_shared (bytes in runs of chunks that occur elsewhere too)."""
-    added = ("kept", "n_removed", "n_spans", "spans", "n_shared")
+def deduplicate(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
+    """``docs`` with kept (bytes), n_removed, n_spans, spans, n_shared (bytes in runs, of ``least`` bytes or more, of chunks that occur elsewhere too) and n_repeated (the same, without ``least``)."""
+    added = ("kept", "n_removed", "n_spans", "spans", "n_shared", "n_repeated")
     size = F.col("end") - F.col("start")
-    marks = repeated_chunks(docs, text).groupBy("row_id", "row_hash").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("is_first"), F.struct("start", "end")))).alias("spans"), F.sum(size).alias("n_shared")
-    )
+    marks = repeated_chunks(docs, text, least).groupBy("row_id", "row_hash").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("is_first"), F.struct("start", "end")))).alias("spans"),
+        F.coalesce(F.sum(F.when(F.col("is_first").isNotNull(), size)), F.lit(0)).alias("n_shared"), F.sum(size).alias("n_repeated"),
+    )
     out = cut(with_spans(boxed(docs, text, *added), staged(marks, "chunk-marks", release=True)))
-    return out.withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long"))).select(*unboxed(docs.columns, text, *added), *added)
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_shared", "n_repeated")}
+    return out.withColumns(zero).select(*unboxed(docs.columns, text, *added), *added)
 
 
 def op1(docs: DataFrame) -> DataFrame:
     """Bytes shared and removed, and the digest of what is kept, of each document."""
     out = deduplicate(docs.select("doc_id", "text"))
     return out.select(
-        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_shared", "n_removed", "n_spans", "spans",
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_shared", "n_repeated", "n_removed", "n_spans", "spans",
         F.sha2("kept", 256).alias("kept_sha256"),
     )
