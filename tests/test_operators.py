@@ -619,3 +619,76 @@ def test_error_correlation_equals_pandas(spark):
         assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in wanted.items())
     some = spark.createDataFrame([(5, 2), (1, 1)], "a int, b int")
     assert {(r.a, r.b) for r in errors.error_correlation(df, pairs=some).collect()} == {(2, 5), (1, 1)}
+
+
+def one_by_one(y, season, alpha, beta, gamma, phi, horizon):
+    """Additive smoothing of one series with plain numbers: squared error and forecast."""
+    use = season > 1 and len(y) >= 2 * season
+    level = sum(y[:season]) / season if use else y[0]
+    s, trend, error = [v - level for v in y[:season]] if use else [0.0] * season, 0.0, 0.0
+    for t, v in enumerate(y):
+        at = t % season
+        guess = level + phi * trend
+        error += (v - guess - s[at]) ** 2
+        now = alpha * (v - s[at]) + (1 - alpha) * guess
+        trend = beta * (now - level) + (1 - beta) * phi * trend
+        level = now
+        if use:
+            s[at] = gamma * (v - now) + (1 - gamma) * s[at]
+    return error, [level + sum(phi**j for j in range(1, h + 1)) * trend + s[(len(y) + h - 1) % season] for h in range(1, horizon + 1)]
+
+
+def ragged(seed=3, items=14):
+    rng = np.random.default_rng(seed)
+    n = np.sort(rng.integers(3, 70, items))[::-1].copy()
+    y = np.zeros((n[0], items))
+    for i, k in enumerate(n):
+        t = np.arange(k)
+        y[:k, i] = 5 + 0.1 * i * t + 2 * np.sin(2 * np.pi * t / 6) + rng.normal(0, 0.7, k)
+    return y, n
+
+
+def test_smoothing_in_step_equals_one_by_one():
+    y, n = ragged()
+    weights = np.random.default_rng(5).uniform(0.8, 0.99, (4, 3, len(n)))
+    error, ahead = forecast.smoothed(y, n, 6, weights, 9)
+    for i, k in enumerate(n):
+        for j in range(3):
+            want, path = one_by_one(y[:k, i].tolist(), 6, *weights[:, j, i], 9)
+            assert error[j, i] == pytest.approx(want, rel=1e-9) and ahead[:, j, i] == pytest.approx(path, rel=1e-9)
+
+
+def test_smoothing_search_against_a_dense_grid():
+    y, n = ragged(items=10)
+    found = forecast.smoothed(y, n, 6, forecast.best_weights(y, n, 6)[:, None])[0][0]
+    at = lambda points: forecast.smoothed(y, n, 6, np.repeat(np.array(points).T[:, :, None], len(n), axis=2))[0].min(axis=0)
+    starts = at(forecast.STARTS)
+    dense = at([(a, b, g, p) for a in np.linspace(0.001, 0.999, 9) for b in np.linspace(0, 0.999, 7) for g in np.linspace(0, 0.999, 7) for p in (0.8, 0.9, 1.0)])
+    assert (found <= starts + 1e-12).all() and np.median(found / dense) < 1.01
+
+
+def test_smoothing_of_odd_items(spark):
+    """Items of one value, without values, with gaps and without an id; blocks of like length only."""
+    rows = [(1, 0, 4.0), (2, 0, None), (2, 1, None), (None, 0, 1.0), (None, 1, 2.0)] + [(3, k, None if k % 5 == 1 else float(k)) for k in range(40)]
+    out = forecast.ets(spark.createDataFrame(rows, "item_id int, pos int, x double"), 3, 4).collect()
+    by = {(r.item_id, r.h): (r.pos, r.mean) for r in out}
+    assert len(by) == len(out) == 12 and all(by[(2, h)] == (1 + h, None) for h in (1, 2, 3)) and all(by[(1, h)][1] == pytest.approx(4.0) for h in (1, 2, 3))
+    filled = pd.Series([r[2] for r in rows if r[0] == 3]).ffill().to_numpy()
+    weights = forecast.best_weights(filled[:, None], np.array([40]), 4)[:, 0]
+    assert [by[(3, h)][1] for h in (1, 2, 3)] == pytest.approx(one_by_one(filled.tolist(), 4, *weights, 3)[1])
+    assert forecast.ets(spark.createDataFrame([], "item_id int, pos int, x double"), 3, 4).count() == 0
+    assert forecast.alike([100, 90, 51, 49, 25], 1 << 20) == [slice(0, 3), slice(3, 5)] and forecast.alike([10] * 5, 20) == [slice(0, 2), slice(2, 4), slice(4, 5)]
+
+
+def test_folds_side_by_side_equal_one_after_another(spark):
+    rng = np.random.default_rng(8)
+    data = [(int(i), i % 4, float(a), float(b), float(a - 2 * b + rng.normal(0, 0.1))) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    df = automl.assembled(spark.createDataFrame(data, "pos int, fold int, a double, b double, y double"), ["a", "b"])
+    models = {k: v for k, v in automl.candidates(trees=2).items() if k in ("GBM_1", "DRF_1")}
+    part = automl.by_fold(df)
+    jobs = [(m, part.filter(F.col("fold") != k)) for m in models.values() for k in range(4)]
+    told = lambda m: [r.p for r in m.transform(df).orderBy("pos").collect()]
+    assert [told(m) for m in automl.fit_together(jobs, 3)] == [told(m.fit(d)) for m, d in jobs] and automl.fit_together([]) == []
+    got = {(r.model, r.pos): r.p for r in automl.out_of_fold(df, models, 4, ["pos"], at_once=3).collect()}
+    want = {r.pos: r.p for k in range(4) for r in models["GBM_1"].fit(df.filter(F.col("fold") != k)).transform(df.filter(F.col("fold") == k)).collect()}
+    assert len(got) == 600 and all(got[("GBM_1", pos)] == pytest.approx(p, abs=1e-9) for pos, p in want.items())

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from queue import Queue
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import mae, rmse, rmsle
-from tidemark.sources.staging import staged
+from tidemark.sources.staging import scratch, staged
 
 
 def assembled(df: DataFrame, inputs: Sequence[str], target: str = "y") -> DataFrame:
@@ -37,13 +40,41 @@ def fold(folds: int, pos: str = "pos", blocked: int | None = None) -> Column:
     return F.pmod(F.col(pos) if blocked is None else F.floor(F.col(pos) / blocked), F.lit(folds)).cast("int")
 
 
-def out_of_fold(df: DataFrame, models: dict[str, Estimator], folds: int, key: Sequence[str]) -> DataFrame:
-    """Predictions of every row by models that were fitted without its fold: key, y, model and p."""
-    parts = []
-    for name, estimator in models.items():
-        for k in range(folds):
-            fitted = estimator.fit(df.filter(F.col("fold") != k))
-            parts.append(fitted.transform(df.filter(F.col("fold") == k)).select(*key, "y", F.lit(name).alias("model"), "p"))
+def fit_together(jobs: Sequence[tuple[Estimator, DataFrame]], at_once: int = 4) -> list[Model]:
+    """The fitted models of all jobs, in their order. No more than ``at_once`` are being fitted at a time, each in a scheduler pool of its own, which a session with fair scheduling serves alike."""
+    if not jobs:
+        return []
+    spark = jobs[0][1].sparkSession
+    free: Queue[int] = Queue()
+    for slot in range(at_once):
+        free.put(slot)
+
+    @inheritable_thread_target(spark)
+    def fit(job: tuple[Estimator, DataFrame]) -> Model:
+        slot = free.get()
+        try:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{slot}")
+            return job[0].fit(job[1])
+        finally:
+            free.put(slot)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(fit, jobs))
+
+
+def by_fold(df: DataFrame) -> DataFrame:
+    """``df`` written once with a folder for each fold, so that fits and predictions read the folds that they want and no others."""
+    path = scratch(df.sparkSession, "folds")
+    df.write.partitionBy("fold").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def out_of_fold(df: DataFrame, models: dict[str, Estimator], folds: int, key: Sequence[str], at_once: int = 4) -> DataFrame:
+    """Predictions of every row by models that were fitted without its fold: key, y, model and p. The source is read once; up to ``at_once`` fits run side by side."""
+    df = by_fold(df)
+    tasks = [(name, k) for name in models for k in range(folds)]
+    fitted = fit_together([(models[name], df.filter(F.col("fold") != k)) for name, k in tasks], at_once)
+    parts = [m.transform(df.filter(F.col("fold") == k)).select(*key, "y", F.lit(name).alias("model"), "p") for (name, k), m in zip(tasks, fitted)]
     return reduce(DataFrame.unionByName, parts)
 
 

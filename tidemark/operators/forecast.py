@@ -36,22 +36,81 @@ def seasonal_naive(train: DataFrame, horizon: int, season: int) -> DataFrame:
     return future.join(tail, ["item_id", "_phase"], "left").select("item_id", (F.col("_last") + F.col("h")).alias("pos"), "h", "mean")
 
 
-def smoothed(y: np.ndarray, season: int, alpha: float, beta: float, gamma: float, horizon: int) -> tuple[float, np.ndarray]:
-    """Squared one-step error and forecast of additive level, trend and season."""
-    use = season > 1 and len(y) >= 2 * season
-    s = (y[:season] - y[:season].mean()).tolist() if use else [0.0] * season
-    level, trend, error = float(y[0] if not use else y[:season].mean()), 0.0, 0.0
-    for t, v in enumerate(y):
-        phase = t % season
-        off = v - (level + trend + s[phase])
-        error += off * off
-        before = level
-        level = alpha * (v - s[phase]) + (1 - alpha) * (level + trend)
-        trend = beta * (level - before) + (1 - beta) * trend
-        if use:
-            s[phase] = gamma * (v - level) + (1 - gamma) * s[phase]
-    n = len(y)
-    return error, np.array([level + h * trend + s[(n + h - 1) % season] for h in range(1, horizon + 1)])
+#: Bounds of the weights of level, trend and season and of the trend's damping, and where the search for them starts.
+BOX = np.array(((1e-3, 0.999), (0.0, 0.999), (0.0, 0.999), (0.8, 1.0)))
+STARTS = ((0.1, 0.01, 0.1, 1.0), (0.3, 0.05, 0.1, 1.0), (0.5, 0.1, 0.3, 1.0), (0.2, 0.0, 0.05, 1.0))
+
+
+def smoothed(y: np.ndarray, n: np.ndarray, season: int, weights: np.ndarray, horizon: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Squared one-step errors (tries, items) and forecasts (horizon, tries, items) of additive level, damped trend and season, for many items at once.
+
+    ``y`` is (longest, items), of which an item has the first ``n``; items come by falling length, so that those still running are the first ones. ``weights`` is (4, tries, items).
+    """
+    use = (season > 1) & (n >= 2 * season)
+    alpha, beta, gamma, phi = weights[0], weights[1], weights[2] * use, weights[3]
+    first = y[: min(season, len(y))]
+    level = np.where(use, first.mean(axis=0), y[0]) + np.zeros(alpha.shape)
+    trend, error = np.zeros(alpha.shape), np.zeros(alpha.shape)
+    s = np.zeros((season, *alpha.shape))
+    s[: len(first)] += ((first - first.mean(axis=0)) * use)[:, None]
+    running = np.searchsorted(-n, -np.arange(len(y)), side="left")
+    for t, k in enumerate(running):
+        a, b, g, value, phase = alpha[:, :k], beta[:, :k], gamma[:, :k], y[t, :k], s[t % season, :, :k]
+        damped = phi[:, :k] * trend[:, :k]
+        before = level[:, :k] + damped
+        error[:, :k] += (value - before - phase) ** 2
+        now = a * (value - phase) + (1 - a) * before
+        trend[:, :k] = b * (now - level[:, :k]) + (1 - b) * damped
+        level[:, :k] = now
+        phase[:] = g * (value - now) + (1 - g) * phase
+    items, ahead, carried = np.arange(len(n)), np.zeros((horizon, *alpha.shape)), np.zeros(alpha.shape)
+    for h in range(horizon):
+        carried = (carried + 1) * phi
+        ahead[h] = level + carried * trend + s[(n + h) % season, :, items].T
+    return error, ahead
+
+
+def best_weights(y: np.ndarray, n: np.ndarray, season: int, starts=STARTS, rounds: int = 40) -> np.ndarray:
+    """Weights (4, items) of small squared error: a simplex search (Nelder and Mead) within ``BOX`` for each item, all items in step, from the best of ``starts``."""
+    low, high = BOX[:, :1], BOX[:, 1:]
+    items = np.arange(len(n))
+
+    def errors(points: np.ndarray, of: np.ndarray = items) -> np.ndarray:
+        return smoothed(y[:, of], n[of], season, np.swapaxes(points, 0, 1))[0]
+
+    begin = np.repeat(np.array(starts, dtype="float64")[:, :, None], len(n), axis=2)
+    best = begin[errors(begin).argmin(axis=0), :, items].T
+    step = (0.2 * (high - low))[None] * np.eye(4)[:, :, None]
+    simplex = np.concatenate((best[None], best + np.where(best + step > high, -step, step)))
+    value = errors(simplex)
+    for _ in range(rounds):
+        order = value.argsort(axis=0, kind="stable")
+        value, simplex = np.take_along_axis(value, order, 0), np.take_along_axis(simplex, order[:, None], 0)
+        middle = simplex[:-1].mean(axis=0)
+        away = middle - simplex[-1]
+        tries = np.clip(np.stack([middle + f * away for f in (1, 2, 0.5, -0.5)]), low, high)
+        reflected, expanded, outside, inside = found = errors(tries)
+        near = np.where(reflected < value[-1], 2, 3)
+        take = np.where(reflected < value[0], np.where(expanded < reflected, 1, 0), np.where(reflected < value[-2], 0, near))
+        chosen = found[take, items]
+        better = chosen < np.minimum(value[-1], np.where(take == 2, reflected, np.inf))
+        simplex[-1] = np.where(better, tries[take, :, items].T, simplex[-1])
+        value[-1] = np.where(better, chosen, value[-1])
+        # Where no try helps, all points move half the way to the best one.
+        if len(stuck := np.flatnonzero(~better)):
+            simplex[1:, :, stuck] = (simplex[1:, :, stuck] + simplex[:1, :, stuck]) / 2
+            value[1:, stuck] = errors(simplex[1:][:, :, stuck], stuck)
+    return simplex[value.argmin(axis=0), :, items].T
+
+
+def alike(lengths: Sequence[int], cells: int = 1 << 22) -> list[slice]:
+    """Runs of falling lengths that differ by a factor of two at most and, padded to the longest, hold no more than ``cells`` values."""
+    out, at = [], 0
+    for i in range(1, len(lengths) + 1):
+        if i == len(lengths) or 2 * lengths[i] < lengths[at] or (i + 1 - at) * lengths[at] > cells:
+            out.append(slice(at, i))
+            at = i
+    return out
 
 
 def per_item(train: DataFrame, horizon: int, fn, *more: str) -> DataFrame:
@@ -69,9 +128,33 @@ def per_item(train: DataFrame, horizon: int, fn, *more: str) -> DataFrame:
     return out.withColumn("mean", F.when(~F.isnan("mean"), F.col("mean")))
 
 
-def ets(train: DataFrame, horizon: int, season: int = 1, grid: Sequence[tuple[float, float, float]] = ((0.1, 0.01, 0.1), (0.3, 0.05, 0.1), (0.5, 0.1, 0.3), (0.2, 0.0, 0.05))) -> DataFrame:
-    """Exponential smoothing with the parameters of least squared error among a few."""
-    return per_item(train, horizon, lambda y: min((smoothed(y, season, *p, horizon) for p in grid), key=lambda r: r[0])[1])
+def ets(train: DataFrame, horizon: int, season: int = 1, starts: Sequence[tuple[float, float, float, float]] = STARTS, rounds: int = 40, together: int = 64) -> DataFrame:
+    """Exponential smoothing with a damped trend and the weights that a search within bounds finds for each item. About ``together`` items share a task, which smooths them in step.
+
+    Missing values are filled from before, then from behind; an item without any value has no forecast.
+    """
+    groups = max(1, -(-train.agg(F.approx_count_distinct("item_id")).first()[0] // together))
+    kind = train.schema["item_id"].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        each = [one.sort_values("pos", kind="stable") for _, one in group.groupby("item_id", dropna=False, sort=True)]
+        each = sorted(((one["item_id"].iloc[0], int(one["pos"].iloc[-1]), one["x"].ffill().bfill().to_numpy("float64")) for one in each), key=lambda e: -len(e[2]))
+        h, parts = np.arange(1, horizon + 1), []
+        told = [e for e in each if not np.isnan(e[2]).any()]
+        for block in alike([len(e[2]) for e in told]):
+            n = np.array([len(e[2]) for e in told[block]])
+            y = np.zeros((n[0], len(n)))
+            for i, (_, _, values) in enumerate(told[block]):
+                y[: n[i], i] = values
+            weights = best_weights(y, n, season, starts, rounds)
+            ahead = smoothed(y, n, season, weights[:, None], horizon)[1][:, 0]
+            parts += [(item, last, ahead[:, i]) for i, (item, last, _) in enumerate(told[block])]
+        parts += [(item, last, np.full(horizon, np.nan)) for item, last, values in each if np.isnan(values).any()]
+        return pd.concat([pd.DataFrame({"item_id": [item] * horizon, "pos": last + h, "h": h, "mean": mean}) for item, last, mean in parts])
+
+    by = F.pmod(F.xxhash64("item_id"), F.lit(groups)).alias("_group")
+    out = train.select("item_id", "pos", "x", by).groupBy("_group").applyInPandas(run, f"item_id {kind}, pos int, h int, mean double")
+    return out.withColumn("mean", F.when(~F.isnan("mean"), F.col("mean")))
 
 
 def theta(train: DataFrame, horizon: int, season: int = 1, alpha: float = 0.3) -> DataFrame:
