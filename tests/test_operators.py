@@ -692,3 +692,13 @@ def test_folds_side_by_side_equal_one_after_another(spark):
     got = {(r.model, r.pos): r.p for r in automl.out_of_fold(df, models, 4, ["pos"], at_once=3).collect()}
     want = {r.pos: r.p for k in range(4) for r in models["GBM_1"].fit(df.filter(F.col("fold") != k)).transform(df.filter(F.col("fold") == k)).collect()}
     assert len(got) == 600 and all(got[("GBM_1", pos)] == pytest.approx(p, abs=1e-9) for pos, p in want.items())
+
+
+def test_suppliers_are_dealt_by_rows(spark, sf_dir):
+    from tidemark.sources.samples import supplier_weeks
+
+    rows = supplier_weeks(spark, sf_dir).count()
+    parts = supplier_weeks(spark, sf_dir, task_rows=rows // 8)
+    assert parts.rdd.getNumPartitions() >= 8
+    filled = clean.fill(parts)
+    assert filled.count() == rows and filled.rdd.getNumPartitions() >= 8
