@@ -702,3 +702,22 @@ def test_suppliers_are_dealt_by_rows(spark, sf_dir):
     assert parts.rdd.getNumPartitions() >= 8
     filled = clean.fill(parts)
     assert filled.count() == rows and filled.rdd.getNumPartitions() >= 8
+
+
+def test_windows_cost_no_call_a_chunk(spark):
+    df = panel(spark, n=60, items=3, gaps=0).withColumn("item_id", F.when(F.col("item_id") > 0, F.col("item_id")))
+    made = windows.over_windows(df, ["x"], 5, 10, lambda v, rows: pd.DataFrame({"item_id": rows["item_id"], "pos": rows["pos"], "s": v[:, :, 0].sum(axis=1)}), "item_id double, pos int, s double", "item_id")
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+    got = {(None if r.item_id is None or r.item_id != r.item_id else r.item_id, r.pos): r.s for r in made.collect()}
+    x = {(r.item_id, r.pos): r.x for r in df.collect()}
+    assert len(got) == 3 * 56 and all(np.isclose(v, sum(x[item, pos - k] for k in range(5))) for (item, pos), v in got.items())
+
+
+def test_recursion_reads_the_last_values_only(spark):
+    rows = [(i, p, None if (i, p) in ((0, 0), (0, 9), (3, 0), (3, 1)) else float(i + 1 + np.sin(p))) for i, n in ((0, 30), (1, 30), (2, 2), (3, 2)) for p in range(n)]
+    df = spark.createDataFrame(rows, "item_id int, pos int, x double").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("pos") * 604_800))
+    made = forecast.recursive_tabular(df, 4, lags=(1, 2, 3))
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+    got = {(r.item_id, r.pos): r["mean"] for r in made.collect()}
+    assert set(got) == {(i, n + h) for i, n in ((0, 30), (1, 30), (2, 2), (3, 2)) for h in range(4)}
+    assert all((v is None) == (i == 3) for (i, _), v in got.items())
