@@ -182,3 +182,11 @@ def test_factorisation_machine_learns_a_pair():
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_seams_of_many_pairs_are_kept():
+    from tidemark.llm.bpe import Codec
+
+    codec = Codec({bytes([b]): b for b in range(256)})
+    assert all(codec.pair(a, b) == [a, b] for a in range(256) for b in range(256))
+    assert len(codec.seams) == 1 << 16

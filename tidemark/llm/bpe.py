@@ -28,7 +28,7 @@ from tidemark.llm.common import extended, map_arrow, with_columns
 
 #: Entries of a worker's memo of encoded matches before it is emptied, and of its memos of seams and short runs.
 MEMO = 150_000
-SHORT = 60_000
+SHORT = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
