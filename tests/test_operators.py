@@ -721,3 +721,13 @@ def test_recursion_reads_the_last_values_only(spark):
     got = {(r.item_id, r.pos): r["mean"] for r in made.collect()}
     assert set(got) == {(i, n + h) for i, n in ((0, 30), (1, 30), (2, 2), (3, 2)) for h in range(4)}
     assert all((v is None) == (i == 3) for (i, _), v in got.items())
+
+
+def test_many_series_become_components_with_the_same_products(spark):
+    df = panel(spark, n=12, items=30, gaps=0.2)
+    one, others = df.filter("item_id = 0"), df.filter("item_id > 0")
+    side, whole = ({r.pos: np.array(r.known.toArray()) for r in made.collect()} for made in (forecast.side_by_side(one, others), forecast.principal(one, others)))
+    assert sorted(whole) == sorted(side) == list(range(12)) and {len(v) for v in whole.values()} == {12}
+    assert all(np.isclose(whole[a] @ whole[b], side[a] @ side[b]) for a in side for b in side)
+    with pytest.raises(ValueError):
+        forecast.principal(one, others, most=11)
