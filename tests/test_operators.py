@@ -731,3 +731,13 @@ def test_many_series_become_components_with_the_same_products(spark):
     assert all(np.isclose(whole[a] @ whole[b], side[a] @ side[b]) for a in side for b in side)
     with pytest.raises(ValueError):
         forecast.principal(one, others, most=11)
+
+
+def test_features_are_fitted_in_small_parts(spark, sf_dir, monkeypatch):
+    from tidemark.plans import models
+
+    seen = []
+    monkeypatch.setattr(models.automl, "train", lambda df, found, **_: (seen.append((spark.conf.get("spark.sql.files.maxPartitionBytes"), df.inputFiles()[0])), (found, None))[1])
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    models.fitted(spark, sf_dir, {"GBM_1"})
+    assert int(seen[0][0]) == 16 << 20 and "/features-" in seen[0][1] and spark.conf.get("spark.sql.files.maxPartitionBytes") == was
