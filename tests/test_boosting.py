@@ -44,3 +44,14 @@ def test_a_sample_without_rows_is_not_the_end(spark):
     assert [r.p for r in like.drawn_from(df.limit(0)).fit(df).transform(df).orderBy("pos").collect()] == want
     with pytest.raises(ValueError):
         like.fit(df.limit(0))
+
+
+def test_folds_hold_no_rows_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(JavaEstimator, "_fit", refused)
+    df = table(spark)
+    models = automl.candidates(trees=2)
+    rows = automl.out_of_fold(df, models, 3, ["pos"]).toPandas()
+    assert len(rows) == 600 * len(models)
+    error = (rows["y"] - rows["p"]).abs().groupby(rows["model"]).mean()
+    plain = (rows["y"] - rows["y"].mean()).abs().mean()
+    assert set(error.index) == set(models) and (error < 0.9 * plain).all()
