@@ -55,3 +55,14 @@ def test_folds_hold_no_rows_in_memory(spark, monkeypatch):
     error = (rows["y"] - rows["p"]).abs().groupby(rows["model"]).mean()
     plain = (rows["y"] - rows["y"].mean()).abs().mean()
     assert set(error.index) == set(models) and (error < 0.9 * plain).all()
+
+
+def test_packed_training_applies_as_sparks(spark, monkeypatch):
+    df = table(spark)
+    models = {k: v for k, v in automl.candidates(trees=2).items() if k in ("GBM_1", "GBM_2", "DRF_1")}
+    want = {r.pos: r.p for r in models["GBM_2"].fit(df).transform(df).collect()}
+    monkeypatch.setattr(JavaEstimator, "_fit", refused)
+    found, times = automl.train(df, models, packed=True)
+    assert [r.model for r in times.orderBy("fit_order").collect()] == list(models) and times.filter("fit_time > 0").count() == 3
+    got = {(r.model, r.pos): r.p for r in automl.predictions(found, df, ["pos"]).collect()}
+    assert len(got) == 1800 and all(got[("GBM_2", k)] == pytest.approx(v, abs=1e-9) for k, v in want.items())
