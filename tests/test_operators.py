@@ -232,6 +232,46 @@ def test_training_in_groups_keeps_step(spark):
     assert sum(n for *_, n, _ in steps) == 89
 
 
+@pytest.mark.parametrize("groups", [3, 7])
+def test_groups_train_one_after_another_in_whole_batches(spark, groups):
+    """More groups than cores too: the steps of one loop over the batches of all groups, of which only the last one of an epoch is short."""
+    from tidemark.operators.vae import dealt_by_group, mini_batches
+
+    df = wave(spark, 120, items=6)
+    start = CausalVAE.initial(("a", "b"), length=12, units=(6, 6, 6), dilations=(1, 2, 4), latent=2, rate=5e-3, batch=50, epochs=1, seed=3)
+    steps = []
+    model, _ = start.fit(df.filter("pos < 100"), df.filter("pos >= 100"), chunk=40, groups=groups, steps=steps)
+    assert [n for *_, n, _ in steps] == [50] * 10 + [6 * 89 - 500]
+    rows = dealt_by_group(df.filter("pos < 100"), ["a", "b"], 12, 40, groups, 3).orderBy("draw", "series", "chunk", "pos").collect()
+    training, left, losses = network.Training.begin(start.weights), None, []
+    order = np.random.default_rng([3, 0]).permutation(groups).tolist()
+    for group in order:
+        chunks = {}
+        for r in rows:
+            if r.group == group:
+                chunks.setdefault((r.series, r.chunk), []).append((r.a, r.b))
+        rng = np.random.default_rng([3, 0, group])
+        arrays = [np.array(c) for c in chunks.values()]
+        for x in mini_batches(iter(arrays), 12, 50, rng, 10_000, left):
+            left = x
+            if len(x) == 50 or group == order[-1]:
+                loss, g, moments = network.gradients(training.weights, start.config, x, rng.standard_normal((len(x), 12, 2)))
+                training.step(start.config, g, moments)
+                losses.append(loss)
+                left = None
+    assert np.allclose([v for *_, v in steps], losses, rtol=0, atol=1e-9)
+    assert all(np.allclose(model.weights[k], training.weights[k], rtol=0, atol=1e-9) for k in model.weights)
+
+
+def test_windows_that_fill_no_batch_go_on_to_the_next_pool():
+    from tidemark.operators.vae import mini_batches
+
+    arrays = [np.arange(at, at + 30, dtype="float64").reshape(-1, 1) for at in (0, 100, 200)]
+    drawn = list(mini_batches(iter(arrays), 5, 7, np.random.default_rng(1), 30, np.full((3, 5, 1), -1.0)))
+    assert [len(d) for d in drawn] == [7] * 11 + [4]
+    assert sorted(np.concatenate(drawn)[:, 0, 0]) == [-1.0] * 3 + [float(at + i) for at in (0, 100, 200) for i in range(26)]
+
+
 def test_groups_take_the_mean_step():
     """Three groups in threads, of which one has fewer batches, against one loop over all of their gradients."""
     import threading
