@@ -419,6 +419,24 @@ def test_direct_rows_are_restated(spark):
         assert r.season_before == x.get((r.item_id, r.pos - -(-r.h // season) * season)) and r.hour == r.pos % 24
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/St_Johns"])
+def test_spelled_out_steps_are_the_direct_rows(spark, zone):
+    """On gaps, an item with fewer positions than a season, NaN, steps beyond a season, and times of another zone."""
+    from tidemark.sources.staging import setting
+
+    rng, season, horizon = np.random.default_rng(4), 5, 12
+    x = [(i, p, None if rng.random() < 0.1 else float("nan") if rng.random() < 0.05 else float(rng.normal())) for i, n in ((1, 40), (2, 90), (3, 3)) for p in range(n)]
+    df = spark.createDataFrame(x, "item_id int, pos int, x double").withColumn("ts", F.timestamp_seconds(1_600_000_000 + F.col("pos") * 4321)).repartition(2, "item_id")
+    names = ["lag_0", "lag_1", "roll", "season_before", *forecast.CALENDAR, "h", "y"]
+    with setting(spark, "spark.sql.session.timeZone", zone):
+        wanted = np.array(forecast.direct_rows(df, horizon, F.col("pos") >= 2, (0, 1), season).select(*(F.col(c).cast("double") for c in names)).toPandas().astype("float64"))
+        short = forecast.direct_short(df, horizon, F.col("pos") >= 2, (0, 1), season)
+        assert short.count() == 38 + 88 + 1
+        blocks = [np.column_stack(b) for batch in short.toArrow().combine_chunks().to_batches() for b in forecast.spelled(batch, horizon, season, rows=100)]
+    wanted = wanted[~np.isnan(wanted).any(axis=1)]
+    assert sorted(map(tuple, np.concatenate(blocks).tolist())) == sorted(map(tuple, wanted.tolist())) and len(wanted) > 500 and max(map(len, blocks)) <= 100
+
+
 def test_direct_tabular_trains_on_every_origin_with_calendar_and_covariates(spark, monkeypatch):
     fitted_on = []
     fit = forecast.GBTRegressor.fit
