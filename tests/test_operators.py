@@ -344,6 +344,31 @@ def test_network_gradients_and_causality():
         network.Config(channels=1, units=(4, 4))
 
 
+@pytest.mark.parametrize("dilations", [(1, 2, 4), (3, 9, 1)])
+def test_steps_that_share_their_arrays_are_steps(dilations):
+    """One room for many steps gives the gradients of a room for each, with delays beyond the window too; activations at 0 and far from it are finite."""
+    config = network.Config(channels=2, length=7, units=(4, 6, 5), dilations=dilations, latent=2, rate=1e-2, batch=5, seed=2)
+    rng = np.random.default_rng(6)
+    batches = [rng.normal(size=(n, 7, 2)) * scale for n, scale in ((5, 1), (5, 0), (5, 30), (5, 1), (3, 1))]
+    shared, plain, noise = network.Training.begin(network.initial(config)), network.Training.begin(network.initial(config)), np.random.default_rng(1)
+    told = network.sequential(shared, config, iter(batches), np.random.default_rng(1))
+    for x, (n, loss) in zip(batches, told):
+        want, g, moments = network.gradients(plain.weights, config, x, noise.standard_normal((len(x), 7, 2)))
+        assert n == len(x) and loss == pytest.approx(want, rel=1e-9)
+        room = network.Room(plain.weights, config, len(x))
+        assert all(np.shares_memory(room.g[k], room.g_flat) and room.g[k].shape == g[k].shape for k in g) and list(room.g) == [k for k in plain.weights if not network.is_moment(k)]
+        plain.step(config, g, moments)
+    assert all(np.isfinite(plain.weights[k]).all() and np.allclose(shared.weights[k], plain.weights[k], rtol=0, atol=1e-9) for k in plain.weights)
+
+
+def test_chunks_go_on_over_parts_and_nulls_are_a_series():
+    from tidemark.operators.vae import chunk_arrays
+
+    rows = pd.DataFrame({"series": [None, None, "a", "a", "a", "b"], "chunk": [0, 0, 0, 1, 1, 1], "x": np.arange(6.0)})
+    for cut in range(7):
+        assert [a.ravel().tolist() for a in chunk_arrays(iter([rows.iloc[:cut], rows.iloc[cut:]]), ["x"])] == [[0, 1], [2], [3, 4], [5]]
+
+
 def test_training_lowers_the_loss_and_finds_spikes(spark):
     rng = np.random.default_rng(2)
     rows = [(0, i, float(np.sin(i / 3) + rng.normal() * 0.05), float(np.cos(i / 3) + rng.normal() * 0.05)) for i in range(1200)]
