@@ -66,3 +66,42 @@ def test_packed_training_applies_as_sparks(spark, monkeypatch):
     assert [r.model for r in times.orderBy("fit_order").collect()] == list(models) and times.filter("fit_time > 0").count() == 3
     got = {(r.model, r.pos): r.p for r in automl.predictions(found, df, ["pos"]).collect()}
     assert len(got) == 1800 and all(got[("GBM_2", k)] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+@pytest.mark.parametrize("share", [1.0, 0.7, None])
+def test_groups_of_features_are_the_features(share):
+    """Histograms and predictions of a block by groups are those of its features alone, whether paths are looked up or, with more than 15 tests, walked."""
+    rng, n = np.random.default_rng(3), 700
+    tables, at = (rng.integers(0, 32, (2, 90)).astype("uint8"), rng.integers(0, 32, (2, 5)).astype("uint8")), (rng.integers(0, 90, n), rng.integers(0, 5, n))
+    x = np.stack([tables[0][0][at[0]], rng.integers(0, 32, n).astype("uint8"), tables[1][1][at[1]], tables[0][1][at[0]], tables[1][0][at[1]]])
+    y = rng.normal(size=n)
+    apart = boosting.Block(y, [([f], None, row) for f, row in enumerate(x)])
+    grouped = boosting.Block(y, [([0, 3], tables[0], at[0].astype("uint8")), ([1], None, x[1]), ([4, 2], tables[1], at[1].astype("uint16"))])
+    assert all(np.array_equal(grouped[f], x[f]) for f in range(5))
+    levels = lambda depth: [(rng.integers(-1 if k else 0, 5, 2**k), rng.integers(3, 28, 2**k)) for k in range(depth)]
+    trees = [(levels(d), rng.normal(size=2**d), 0.1) for d in (3, 4, 6)]
+    ends, slots = levels(2), np.array([0, 2, 1, 3, 3])
+    assert boosting.Paths.of(trees[2][0], trees[2][1]) is None
+    found = []
+    for block in (apart, grouped):
+        for paths in ((), [*(boosting.Paths.of(l, r * v) for l, v, r in trees), boosting.Paths.of(ends, slots)]):
+            total = np.zeros((2, 5, 4, 32))
+            boosting.add_histogram(total, block, None, trees, ends, slots, False, share, 4, {0, 1, 2, 4}, boosting.poisson(), paths)
+            found.append(total)
+    node, rest = slots[boosting.leaves(x, ends)], 2 * (y - boosting.predicted(x, trees))
+    assert all(np.allclose(f, found[0], rtol=0, atol=1e-9) for f in found) and not found[0][:, 3].any()
+    if share == 1:
+        assert all(found[0][0, f, k, b] == ((node == k) & (x[f] == b)).sum() and found[0][1, f, k, b] == pytest.approx(rest[(node == k) & (x[f] == b)].sum()) for f in (0, 2, 4) for k in range(4) for b in (0, 7, 31))
+
+
+def test_a_zone_that_tasks_do_not_know(spark):
+    """Spark's own names of offsets are spelled out by Spark: the same forecasts as in a zone of the same time."""
+    from tidemark.sources.staging import setting
+
+    df = spark.createDataFrame([(i, k, float(k % 4 + i)) for i in range(2) for k in range(30)], "item_id int, pos int, x double").withColumn("ts", F.timestamp_seconds(F.col("pos") * 50_000)).cache()
+    assert forecast.zone_is_known("Europe/Berlin") and not forecast.zone_is_known("GMT+2")
+    found = []
+    for zone in ("GMT+2", "Etc/GMT-2"):
+        with setting(spark, "spark.sql.session.timeZone", zone):
+            found.append([r["mean"] for r in forecast.direct_tabular(df, 3, 4).orderBy("item_id", "h").collect()])
+    assert len(found[0]) == 6 and np.allclose(*found, rtol=0, atol=1e-9)
