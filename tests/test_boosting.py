@@ -105,3 +105,18 @@ def test_a_zone_that_tasks_do_not_know(spark):
         with setting(spark, "spark.sql.session.timeZone", zone):
             found.append([r["mean"] for r in forecast.direct_tabular(df, 3, 4).orderBy("item_id", "h").collect()])
     assert len(found[0]) == 6 and np.allclose(*found, rtol=0, atol=1e-9)
+
+
+def test_leaders_are_chosen_among_models_that_grow_together(spark, sf_dir, monkeypatch):
+    """Models that draw no rows are Spark's, and the query holds no rows in memory."""
+    from tidemark.plans import models
+
+    df, every = table(spark), automl.candidates(trees=3)
+    want = {k: {r.pos: r.p for r in every[k].fit(df).transform(df).collect()} for k in ("GBM_1", "GBM_2", "GBM_4")}
+    monkeypatch.setattr(JavaEstimator, "_fit", refused)
+    found = automl.train_together(df, every)
+    got = {(r.model, r.pos): r.p for r in automl.predictions(found, df, ["pos"]).collect()}
+    assert list(found) == list(every) and len(got) == 600 * len(every)
+    assert all(got[(k, pos)] == pytest.approx(p, abs=1e-9) for k, rows in want.items() for pos, p in rows.items())
+    told = {r.role: r for r in models.i7_fitted_leaders(spark, sf_dir).collect()}
+    assert set(told) == {"leader", "runner_up"} and told["leader"].mae <= told["runner_up"].mae and told["leader"].family != told["runner_up"].family
