@@ -117,6 +117,8 @@ def test_leaders_are_chosen_among_models_that_grow_together(spark, sf_dir, monke
     found = automl.train_together(df, every)
     got = {(r.model, r.pos): r.p for r in automl.predictions(found, df, ["pos"]).collect()}
     assert list(found) == list(every) and len(got) == 600 * len(every)
+    for name, model in found.items():
+        assert all(got[(name, r.pos)] == r.p for r in model.transform(df).collect())
     assert all(got[(k, pos)] == pytest.approx(p, abs=1e-9) for k, rows in want.items() for pos, p in rows.items())
     told = {r.role: r for r in models.i7_fitted_leaders(spark, sf_dir).collect()}
     assert set(told) == {"leader", "runner_up"} and told["leader"].mae <= told["runner_up"].mae and told["leader"].family != told["runner_up"].family
